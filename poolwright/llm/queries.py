@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from poolwright.llm import decontaminate, media, packing, pii, secrets, sharding, simhash, substrings
+import corpus_pipeline
+from poolwright.llm import decontaminate, langid, media, packing, pii, quality, secrets, sharding, simhash, substrings
 from poolwright.llm.common import table
 
 
@@ -38,11 +39,20 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"))
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.query(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_media, op2_sharding, op3_secrets, op4_substrings, op5_decontaminate, op6_pii, op7_packing, op10_simhash)
-}
+    f.__name__: f for f in (op1_media, op2_sharding, op3_secrets, op4_substrings, op5_decontaminate, op6_pii, op7_packing, op8_quality, op9_language, op10_simhash)
+} | {"pipeline": corpus_pipeline.run}
+#: Hashes, models and whole-text scans have no SQL form that DuckDB can run; tests hold them against brute force.
 ORACLES: dict[str, str] = {}

@@ -177,5 +177,16 @@ def classes(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFr
     return own.join(label, "fp").select("doc_id", "fp", "component_id")
 
 
+def representatives(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
+    """The rows of `docs`, all columns, of which no other row in the same class comes first: by doc_id (null last), then by
+    text hash. Rows equal in both are copies, of which one stays."""
+    tag = classes(docs.select(F.xxhash64("doc_id", "text").alias("doc_id"), "text"), words, radius).select(F.col("doc_id").alias("_tag"), F.col("component_id").alias("_class")).distinct()
+    own = docs.select(F.col("doc_id").alias("_doc"), F.xxhash64("doc_id", "text").alias("_tag"))
+    order = F.struct(F.col("_doc").isNull(), "_doc", "_tag")
+    first = own.join(tag, "_tag").groupBy("_class").agg(F.min(order).alias("o")).select(F.col("o._tag").alias("_tag"))
+    once = docs.withColumn("_tag", F.xxhash64("doc_id", "text")).join(first, "_tag", "left_semi")
+    return once.dropDuplicates(["_tag"]).select(*docs.columns)
+
+
 def query(docs: DataFrame) -> DataFrame:
     return classes(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
