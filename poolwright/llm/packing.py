@@ -8,6 +8,7 @@ nothing is shuffled, and the order of a split is that of its file, so a task tha
 from __future__ import annotations
 
 import os
+import string
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -56,28 +57,60 @@ class Levels:
 
 
 class Ids:
-    """Token ids of a text as little-endian bytes. The tokenizer drops white space, so words between it are told apart first
-    and each distinct word is encoded once."""
+    """Token ids of a text as little-endian bytes.
+
+    The tokenizer drops white space and case, so a text is split at ASCII white space and each distinct word is encoded
+    once. Closing punctuation after a letter or digit is told apart from it by the tokenizer and is looked up apart. Words of plain letters
+    are encoded many at a time and told apart by the tokenizer's mark at the end of a word; all others one by one.
+    """
+
+    CLOSING = string.punctuation.encode()
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-
         self.tokenizer, self.words = Tokenizer.from_file(path), {}
+        vocab, mark = self.tokenizer.get_vocab(), getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.ends = np.zeros(max(vocab.values(), default=0) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if mark and t.endswith(mark)]] = True
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
+        split = [(t if b"<|" in t else t.lower()).split() for t in texts]  # names of special tokens keep their case
         if len(self.words) > WORDS_KEPT:
             self.words = {}
-        new = list({w for words in split for w in words if w not in self.words})
-        for at in range(0, len(new), 5000):
-            part = new[at : at + 5000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self.words[w] = np.asarray(e.ids, "<u4").tobytes()
+        self.learn(set().union(*split).difference(self.words))
         known = self.words
         return [b"".join([known[w] for w in words]) for words in split]
 
+    def learn(self, new: set[bytes]) -> None:
+        cut = {}
+        for w in new:
+            stem = w.rstrip(self.CLOSING)
+            if stem and len(stem) < len(w) and b"<|" not in w and (stem[-1:].isalnum() or stem[-1] > 127 and stem.decode()[-1].lower().isalpha()):
+                cut[w] = stem, w[len(stem) :]
+        self.encode(list({p for pair in cut.values() for p in pair}.union(new.difference(cut)).difference(self.words)))
+        for w, (stem, tail) in cut.items():
+            self.words[w] = self.words[stem] + self.words[tail]
+
+    def encode(self, new: list[bytes], step: int = 2000) -> None:
+        plain = [w for w in new if w.isalpha() or not w.isascii() and (t := w.decode()).isalpha() and max(t) < "\u0250" and "\u0130" not in t]
+        rest = list(set(new).difference(plain))
+        for at in range(0, len(plain), step):
+            part = plain[at : at + step]
+            ids = np.asarray(self.tokenizer.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, "<u4")
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) != len(part):
+                rest += part
+                continue
+            data, stops = ids.tobytes(), (4 * stops).tolist()
+            for w, a, b in zip(part, [0, *stops[:-1]], stops, strict=True):
+                self.words[w] = data[a:b]
+        for at in range(0, len(rest), step):
+            part = rest[at : at + step]
+            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
+                self.words[w] = np.asarray(e.ids, "<u4").tobytes()
+
 
 def pack(docs: DataFrame, tokenizer: str | None = None, size: int = WINDOW, end_id: int = END_ID) -> DataFrame:
     """One row for each piece of each document: see SCHEMA.
