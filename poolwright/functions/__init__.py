@@ -1,0 +1 @@
+"""Column functions: answers, text, hygiene, motifs, labels, statistics. All are native expressions."""

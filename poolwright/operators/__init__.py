@@ -1,0 +1 @@
+"""DataFrame operators over candidate pools."""

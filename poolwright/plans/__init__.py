@@ -1,0 +1 @@
+"""Reports, pipelines and the catalogue of registered queries."""

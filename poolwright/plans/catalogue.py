@@ -3,8 +3,674 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from poolwright.functions import answers as A
+from poolwright.functions import hygiene as H
+from poolwright.functions import labels as L
+from poolwright.functions import motif as Q
+from poolwright.functions import stats as X
+from poolwright.functions import text as T
+from poolwright.operators import joins as J
+from poolwright.operators import metrics as M
+from poolwright.operators import models as U
+from poolwright.operators import ordered as O
+from poolwright.operators import pool as C
+from poolwright.operators import records as R
+from poolwright.operators import select as S
+from poolwright.plans import pipelines, reports
+from poolwright.plans import sqlparts as P
+from poolwright.plans.adapters import pool, slots
+from poolwright.sources.files import fingerprint_ids, fingerprint_set, upsert
+from poolwright.streaming import resume
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None, name: str | None = None):
+    """Registers a function as a query, with its SQL if there is one."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[name or f.__name__] = f
+        if sql is not None:
+            ORACLES[name or f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def pools(spark: SparkSession, sf_dir: str, kind: str = "num") -> DataFrame:
+    return pool(slots(spark, sf_dir, kind))
+
+
+def flags(spark: SparkSession, sf_dir: str, kind: str = "num") -> DataFrame:
+    return M.flags(slots(spark, sf_dir, kind))
+
+
+_FLAGS = f"with {P.flags()} "
+_RATE = "coalesce(count_if({}) / nullif({}, 0), 0.0)"
+
+
+# --- aggregates of per-example facts -----------------------------------------------------------------------------------
+
+
+@query(
+    _FLAGS
+    + "select count(*) total_examples, count_if(oracle) oracle_correct, count_if(oracle) / count(*) oracle_coverage, count_if(first_ok) / count(*) first_accuracy, count_if(base_ok) / count(*) base_accuracy, count_if(verifier_ok) / count(*) verifier_accuracy, "
+    + ", ".join(f"{_RATE.format(f'{s}_ok', 'count_if(oracle)')} {s}_given_oracle" for s in ("first", "base", "verifier"))
+    + " from flags"
+)
+def ovf_summary(spark, sf_dir):
+    return M.ovf(flags(spark, sf_dir))
+
+
+@query(ORACLES["ovf_summary"].replace(P.flags(), P.flags("choice")))
+def ovf_summary_choice(spark, sf_dir):
+    return M.ovf(flags(spark, sf_dir, "choice"))
+
+
+@query(
+    _FLAGS
+    + f"""select count_if(not oracle) oracle_miss, count_if(oracle and not first_ok) first_selection_failure, count_if(oracle and not base_ok) base_selection_failure, count_if(oracle and not verifier_ok) verifier_selection_failure,
+ count_if(oracle and not first_ok and not base_ok and not verifier_ok) all_fail_on_hit, {_RATE.format('not oracle', 'count_if(not verifier_ok)')} miss_share_of_failures from flags"""
+)
+def failure_decomposition(spark, sf_dir):
+    return M.failure_decomposition(flags(spark, sf_dir))
+
+
+@query(
+    _FLAGS
+    + " union all ".join(f"select '{s}' selector, count_if({s}_ok) correct, count_if(oracle) oracle_correct, {_RATE.format(f'{s}_ok', 'count_if(oracle)')} efficiency from flags" for s in ("first", "base", "verifier"))
+)
+def selection_efficiency(spark, sf_dir):
+    return M.selection_efficiency(flags(spark, sf_dir))
+
+
+@query(
+    _FLAGS
+    + "select "
+    + ", ".join(f"count_if(not {a}_ok and {b}_ok) {b}_rescues_{a}, count_if({a}_ok and not {b}_ok) {b}_overrules_{a}" for a, b in (("first", "base"), ("first", "verifier"), ("base", "verifier")))
+    + " from flags"
+)
+def rescue_counts(spark, sf_dir):
+    return M.rescue_counts(flags(spark, sf_dir))
+
+
+@query(_FLAGS + "select concat('F', first_ok::int, 'B', base_ok::int, 'V', verifier_ok::int) pattern, count(*) n from flags where oracle group by 1")
+def oracle_patterns(spark, sf_dir):
+    return M.oracle_patterns(flags(spark, sf_dir))
+
+
+@query(
+    _FLAGS
+    + "select n_candidates, count(*) n, avg(oracle::int) oracle_rate, avg(first_ok::int) first_rate, avg(base_ok::int) base_rate, avg(verifier_ok::int) verifier_rate, count(*) / sum(count(*)) over () share from flags group by 1"
+)
+def count_breakdown(spark, sf_dir):
+    return M.count_breakdown(flags(spark, sf_dir))
+
+
+@query(_FLAGS + f"select count(*) n, avg(({P.num('verifier_text')} is not null)::int) parseable_rate, avg(({P.leak('verifier_text')})::int) leak_rate, avg(({P.scaffold('verifier_text')})::int) scaffold_rate, avg(({P.wrapper('verifier_text')})::int) wrapper_rate from flags")
+def selected_hygiene(spark, sf_dir):
+    return M.prediction_hygiene(flags(spark, sf_dir), "verifier_text")
+
+
+@query(f"with {P.slots()}, p as (select first(candidate order by slot) prediction, any_value(gold_answer) gold from slots group by example_id) select count(*) total, count_if({P.ok('prediction', 'gold')}) correct, count_if({P.ok('prediction', 'gold')}) / count(*) accuracy from p")
+def exact_match(spark, sf_dir):
+    return M.exact_match(R.first_predictions(pools(spark, sf_dir)))
+
+
+_KEY = f"coalesce('num:' || {P.num('candidate')}, 'text:' || {P.norm('candidate')})"
+
+
+@query(
+    f"""with {P.slots()}, k as (select example_id, {_KEY} k, count(*) n, count_if({P.num('candidate')} is not null) parseable, count_if({P.leak('candidate')}) leaks, count_if({P.scaffold('candidate')}) scaffolds, count_if({P.wrapper('candidate')}) wrappers, sum({P.words('candidate')}) tokens from slots group by 1, 2),
+ e as (select example_id, sum(n) n, count(*) u, sum(parseable) p, sum(leaks) l, sum(scaffolds) s, sum(wrappers) w, sum(tokens) t from k group by 1)
+ select count(*) examples, sum(n)::bigint slots, sum(u)::bigint unique_keys, (sum(n) - sum(u))::bigint duplicate_slots, count_if(n > u) examples_with_duplicates, sum(p) / sum(n) parseable_rate, sum(l) / sum(n) leak_rate, sum(s) / sum(n) scaffold_rate, sum(w) / sum(n) wrapper_rate, sum(t) / sum(n) avg_tokens from e"""
+)
+def pool_hygiene(spark, sf_dir):
+    return M.pool_hygiene(slots(spark, sf_dir))
+
+
+@query(f"with {P.slots()}, e as (select example_id, count({P.num('candidate')}) n, count(distinct {P.num('candidate')}) unique_answers from slots group by 1) select unique_answers, count(*) examples, sum(n - unique_answers)::bigint duplicate_slots from e group by 1")
+def numeric_duplication(spark, sf_dir):
+    return M.numeric_duplication(slots(spark, sf_dir))
+
+
+@query(_FLAGS + "select coalesce(first_correct_position, -1) bucket, count(*) n from flags group by 1")
+def first_correct_position(spark, sf_dir):
+    return M.histogram(flags(spark, sf_dir), "first_correct_position")
+
+
+@query(
+    f"with {P.flags()}, {P.flags('alt', 'alt', 'flags2')}, j as (select a.oracle o1, a.verifier_ok v1, b.oracle o2, b.verifier_ok v2 from flags a join flags2 b using (example_id)) select case when not o1 and o2 then 'new_hit' when o1 and not o2 then 'lost_hit' when o1 then 'common_hit' else 'common_miss' end bucket, count(*) n, count_if(v1) first_run_correct, count_if(v2) second_run_correct, count_if(v1 and not v2) verifier_losses from j group by 1"
+)
+def conversion_diagnosis(spark, sf_dir):
+    return M.transition(flags(spark, sf_dir), flags(spark, sf_dir, "alt"))
+
+
+def _form_sql(x: str) -> str:
+    return rf"""case when {x} = '' then 'empty' when regexp_matches(lower({x}), 'use at most|do not use|do not mention|prompt-writing|role tags') then 'instruction_leak'
+ when regexp_matches(lower({x}), 'step 1|step 2|step 3|let me think|here''s the solution|here is the solution|wait,|okay,') or regexp_matches({x}, '[:=]$') then 'scaffold_or_fragment'
+ when length(trim(replace(replace({x}, 'Final answer:', ''), 'final answer:', ''))) <= 32 and regexp_matches(trim(replace(replace({x}, 'Final answer:', ''), 'final answer:', '')), '^[-+$]?\d[\d,]*(?:\.\d+)?%?[.]?$') then 'short_numeric_like'
+ when contains(lower({x}), 'final answer:') and length({x}) <= 80 then 'answer_like_short' when length({x}) > 180 then 'long_reasoning' else 'other_wrong_form' end"""
+
+
+@query(
+    _FLAGS
+    + f"""select case when base_ok and verifier_ok then 'both' when verifier_ok then 'verifier_only' when base_ok then 'base_only' else 'neither' end outcome, {_form_sql('(case when verifier_ok then base_text else verifier_text end)')} form, count(*) n from flags group by 1, 2"""
+)
+def external_buckets(spark, sf_dir):
+    return M.external_buckets(flags(spark, sf_dir))
+
+
+@query(
+    f"with {P.flags()}, m as (select example_id, max(margin) t, max(case when ok then margin end) r from slots_ok group by 1) select {_form_sql('verifier_text')} form, case when t - r is null then 'unscored' when t - r <= 100 then 'close' when t - r <= 5000 then 'middle' else 'far' end gap, count(*) n from flags join m using (example_id) where oracle and not verifier_ok group by 1, 2"
+)
+def persistent_miss(spark, sf_dir):
+    s = slots(spark, sf_dir)
+    return M.persistent_miss(s, M.flags(s))
+
+
+# --- functions over texts ----------------------------------------------------------------------------------------------
+
+
+def _by_text(column: str, expr: Callable, kind: str = "num"):
+    def run(spark, sf_dir):
+        return slots(spark, sf_dir, kind).select("example_id", "slot", expr().alias(column))
+
+    return run
+
+
+_TEXT_QUERIES = {
+    "numeric_extract": ("answer", lambda: A.extract_numeric(F.col("candidate")), P.num("candidate"), "num"),
+    "numeric_tail": ("answer", lambda: A.extract_numeric_tail(F.col("candidate")), P.tail("candidate"), "num"),
+    "choice_extract": ("answer", lambda: A.extract_choice(F.col("candidate")), P.choice("candidate"), "choice"),
+    "answer_match": ("ok", lambda: A.answers_match(F.col("candidate"), F.col("gold_answer"), F.col("answer_mode")), P.ok("candidate", "gold_answer"), "num"),
+    "answer_match_choice": ("ok", lambda: A.answers_match(F.col("candidate"), F.col("gold_answer"), F.col("answer_mode")), P.ok("candidate", "gold_answer", "choice"), "choice"),
+    "match_numeric_only": ("ok", lambda: A.match_numeric_only(F.col("candidate"), F.col("gold_answer")), P.ok("candidate", "gold_answer"), "num"),
+    "match_teacher": ("ok", lambda: A.match_teacher(F.col("candidate"), F.col("gold_answer")), r"coalesce(lower(trim(candidate)) = lower(trim(gold_answer)) or regexp_extract_all(replace(candidate, ',', ''), '-?\d+(?:\.\d+)?')[-1] = regexp_extract_all(replace(gold_answer, ',', ''), '-?\d+(?:\.\d+)?')[-1], false)", "num"),
+    "normalize_answer": ("answer", lambda: A.normalize_answer(F.col("candidate")), P.norm("candidate"), "num"),
+    "dedupe_key": ("k", lambda: A.key(F.col("candidate"), F.col("answer_mode"), "letter_then_number"), _KEY, "num"),
+    "dedupe_key_parsed": ("k", lambda: A.key(F.col("candidate"), F.col("answer_mode"), "parsed"), f"coalesce('parsed::' || {P.num('candidate')}, 'text::' || {P.norm('candidate')})", "num"),
+    "dedupe_key_choice": ("k", lambda: A.key(F.col("candidate"), F.col("answer_mode")), f"coalesce('choice:' || {P.choice('candidate')}, 'text:' || {P.norm('candidate')})", "choice"),
+    "leak_flags": ("flag", lambda: H.instruction_leak(F.col("candidate")), P.leak("candidate"), "num"),
+    "scaffold_flags": ("flag", lambda: H.scaffold_residue(F.col("candidate")), P.scaffold("candidate"), "num"),
+    "malformed": ("flag", lambda: H.malformed(F.col("candidate"), F.col("answer_mode")), P.malformed("candidate"), "num"),
+    "malformed_choice": ("flag", lambda: H.malformed(F.col("candidate"), F.col("answer_mode")), P.malformed("candidate", "choice"), "choice"),
+    "malformed_wrapper": ("flag", lambda: H.malformed_wrapper(F.col("candidate")), P.wrapper("candidate"), "num"),
+    "form_buckets": ("form", lambda: H.wrong_form(F.col("candidate")), _form_sql("candidate"), "num"),
+    "token_count": ("n", lambda: T.token_count(F.col("candidate")).cast("long"), P.words("candidate"), "num"),
+    "quality_tags": ("quality", lambda: Q.quality(F.col("candidate"))["label"], P.quality("candidate"), "num"),
+    "parse_status": ("status", lambda: A.parse_status(F.col("candidate"), F.col("answer_mode")), f"case when {P.num('candidate')} is null then 'unparseable_numeric' else 'parseable_numeric' end", "num"),
+    "clip": ("text", lambda: T.clip(F.col("candidate"), 40), "case when length(candidate) > 40 then substr(candidate, 1, 37) || '...' else candidate end", "num"),
+    "short_numeric_like": ("flag", lambda: H.short_numeric_like(F.col("candidate"), F.col("answer_mode")), f"{P.num('candidate')} is not null and {P.words('candidate')} <= 6", "num"),
+}
+for _name, (_column, _expr, _sql, _kind) in _TEXT_QUERIES.items():
+    query(f"with {P.slots(_kind)} select example_id, slot, {_sql} {_column} from slots", _name)(_by_text(_column, _expr, _kind))
+
+
+@query(r"""select l_linenumber n, cast(l_extendedprice as varchar) token, regexp_replace(regexp_replace(cast(l_extendedprice as varchar), '(\.\d*[1-9])0+$', '\1'), '\.0*$', '') canonical from lineitem where l_extendedprice < 9000000 and l_extendedprice >= 1""")
+def numeric_canonical(spark, sf_dir):
+    rows = read(spark, sf_dir, "lineitem").where("l_extendedprice < 9000000 and l_extendedprice >= 1")
+    token = F.col("l_extendedprice").cast("string")
+    return rows.select(F.col("l_linenumber").alias("n"), token.alias("token"), A.canonical_numeric(token).alias("canonical"))
+
+
+@query(
+    r"""select conv_id, turn, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '')[1:3], chr(10)) cot from conversations where role = 'assistant' and not contains(lower(text), 'final answer') and not contains(text, chr(13))"""
+)
+def filtered_cot(spark, sf_dir):
+    rows = read(spark, sf_dir, "conversations").where("role = 'assistant' and not contains(lower(text), 'final answer') and not contains(text, chr(13))")
+    return rows.select("conv_id", "turn", T.filtered_cot(F.col("text")).alias("cot"))
+
+
+@query(r"""select doc_id, regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '^ | $', '', 'g') t, len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) n from documents where text is not null""")
+def collapse_texts(spark, sf_dir):
+    rows = read(spark, sf_dir, "documents").where("text is not null")
+    return rows.select("doc_id", T.collapse(F.col("text")).alias("t"), T.token_count(F.col("text")).cast("long").alias("n"))
+
+
+# --- selectors ---------------------------------------------------------------------------------------------------------
+
+
+def _rule_sql(order: str, kind: str = "num", where: str = "") -> str:
+    return f"with {P.scored(kind)} select example_id, first(slot order by {order}) slot, first(candidate order by {order}) answer, first(ok order by {order}) ok from scored {where} group by 1"
+
+
+_ADJ = "margin - 500.0 * dirty - 250.0 * dup_rank"
+_RULES = {
+    "baseline_top_margin": _rule_sql("rank"),
+    "parseable_then_margin": _rule_sql("(parsed is null)::int, rank"),
+    "first_if_close_2000": f"with {P.scored()} select example_id, first(slot order by pick, rank) slot, first(candidate order by pick, rank) answer, first(ok order by pick, rank) ok from (select *, case when slot = 0 and parsed is not null and max(margin) over (partition by example_id) - margin <= 2000 then 0 else 1 end pick from scored) group by 1",
+    "clean_dup_500_250": _rule_sql(f"{_ADJ} desc, margin desc, rank"),
+    "clean_dup_firstclose_500_250_2000": f"with {P.scored()} select example_id, first(slot order by pick, a desc, margin desc, rank) slot, first(candidate order by pick, a desc, margin desc, rank) answer, first(ok order by pick, a desc, margin desc, rank) ok from (select *, case when slot = 0 and dirty = 0 and max(a) over (partition by example_id) - a <= 2000 then 0 else 1 end pick from (select *, {_ADJ} a from scored)) group by 1",
+}
+
+
+def _rule(name: str, legacy: bool = False):
+    def run(spark, sf_dir):
+        s = S.select(pools(spark, sf_dir), name, legacy=legacy)
+        return s.select("example_id", F.col("selected.index").cast("long").alias("slot"), F.col("selected.answer").alias("answer"), A.answers_match(F.col("selected.answer"), F.col("gold_answer"), F.col("answer_mode")).alias("ok"))
+
+    return run
+
+
+for _name, _sql in _RULES.items():
+    query(_sql, f"selector_{_name}")(_rule(_name))
+query(_rule_sql("margin - 500.0 * dirty - 250.0 * (group_size - 1) desc, group_size, margin desc, rank"), "selector_clean_dup_legacy")(_rule("clean_dup_500_250", legacy=True))
+
+
+@query(
+    f"with {P.scored()}, t as (select example_id, cast(example_id as bigint) % 2 = 0 s, first(ok order by rank) base, first(ok order by (parsed is null)::int, rank) b, first(ok order by {_ADJ} desc, margin desc, rank) c from scored group by 1), r as (select s, base, 'parseable_then_margin' rule, b ok from t union all select s, base, 'clean_dup_500_250', c from t) select rule, s in_slice, count(*) examples, count_if(ok) correct, count_if(ok and not base) gains, count_if(not ok and base) losses from r group by 1, 2"
+)
+def slice_calibration(spark, sf_dir):
+    return reports.slice_calibration(pools(spark, sf_dir), ["parseable_then_margin", "clean_dup_500_250"], "cast(example_id as bigint) % 2 = 0")
+
+
+# --- order inside a pool -----------------------------------------------------------------------------------------------
+
+
+@query(f"with {P.slots()} select example_id, slot, {_KEY} dup_key, row_number() over (partition by example_id, {_KEY} order by slot) - 1 dup_rank, count(*) over (partition by example_id, {_KEY}) group_size from slots")
+def duplicate_ranks(spark, sf_dir):
+    return O.duplicate_ranks(slots(spark, sf_dir), A.key(F.col("candidate"), F.col("answer_mode"), "letter_then_number")).select("example_id", "slot", "dup_key", "dup_rank", "group_size")
+
+
+@query(
+    f"with {P.slots()}, ks as (select unnest(range(1, 9)) k), e as (select k, example_id, bool_or(ok)::int o, first(ok order by margin desc, slot)::int b from slots_ok, ks where slot < k group by 1, 2), c as (select k, count(*) examples, avg(o) oracle_rate, avg(b) best_rate from e group by 1) select *, oracle_rate - lag(oracle_rate, 1, 0.0) over (order by k) gain from c"
+)
+def budget_curve(spark, sf_dir):
+    return O.budget_curve(slots(spark, sf_dir), 8)
+
+
+@query(f"with {P.slots()}, d as (select *, {_KEY} k from slots), f as (select *, row_number() over (partition by example_id order by slot) r from (select * from d qualify row_number() over (partition by example_id, k order by slot) = 1)) select example_id, string_agg(candidate, '|' order by slot) kept from f where r <= 3 group by 1")
+def dedupe_first(spark, sf_dir):
+    return pools(spark, sf_dir).select("example_id", F.array_join(O.dedupe_first(F.col("candidates"), F.col("answer_mode"), 3, "letter_then_number"), "|").alias("kept"))
+
+
+@query(
+    f"""with {P.slots()}, u as (select *, row_number() over (partition by example_id order by slot) i from (select * from slots qualify row_number() over (partition by example_id, candidate order by slot) = 1)), n as (select *, {P.num('candidate')} a from u),
+ p as (select *, case when i <= 2 then 0 when a is not null and row_number() over (partition by example_id, a order by i) = 1 then 1 else 2 end phase from n), r as (select *, row_number() over (partition by example_id order by phase, i) r from p) select example_id, string_agg(candidate, '|' order by r) kept from r where r <= 5 group by 1"""
+)
+def prefix_fill(spark, sf_dir):
+    return pools(spark, sf_dir).select("example_id", F.array_join(O.prefix_fill(F.col("candidates"), 2, 5), "|").alias("kept"))
+
+
+@query(_FLAGS + ", b as (select *, case when not oracle then 'oracle_miss' when not verifier_ok then 'selection_failure' else 'solved' end bucket from flags) select bucket, example_id from b qualify row_number() over (partition by bucket order by length(problem), example_id) <= 3")
+def bucket_sample(spark, sf_dir):
+    kind = F.when(~F.col("oracle"), "oracle_miss").when(~F.col("verifier_ok"), "selection_failure").otherwise("solved")
+    return O.bucket_sample(flags(spark, sf_dir).withColumn("bucket", kind), "bucket", 3, F.length("problem")).select("bucket", "example_id")
+
+
+@query(f"with {P.slots()} select {P.num('candidate')} answer, count(*) n from slots where {P.num('candidate')} is not null group by 1 order by n desc, answer limit 10")
+def top_answers(spark, sf_dir):
+    return O.top_counts(slots(spark, sf_dir).select(A.extract_numeric(F.col("candidate")).alias("answer")).where("answer is not null"), "answer", 10)
+
+
+# --- joins and sets ----------------------------------------------------------------------------------------------------
+
+
+@query(
+    f"with {P.slots()}, {P.slots('alt', 'alt')}, z as (select coalesce(a.example_id, b.example_id) e, a.candidate x, b.candidate y from slots a full join alt b on a.example_id = b.example_id and a.slot = b.slot) select count(*) slots, count_if(x <> y) changed, count_if(x is null) added, count_if(y is null) removed, count(distinct case when x is distinct from y then e end) examples_changed from z"
+)
+def pool_diff(spark, sf_dir):
+    return J.pool_diff(J.slot_pairs(pools(spark, sf_dir), pools(spark, sf_dir, "alt")))
+
+
+@query(f"with {P.slots()}, e as (select distinct example_id from slots), t as (select cast(o_orderkey as string) example_id, row_number() over (order by o_orderkey) - 1 pos from orders where o_custkey % 7 = 0) select pos, example_id, string_agg(candidate, '|' order by slot) c from t join slots using (example_id) group by 1, 2")
+def ordered_slice(spark, sf_dir):
+    ids = R.latest_position(read(spark, sf_dir, "orders").where("o_custkey % 7 = 0").select(F.col("o_orderkey").cast("string").alias("example_id"), "o_orderkey"), "o_orderkey").select("example_id", "pos")
+    return J.ordered_slice(ids, pools(spark, sf_dir), strict=False).select("pos", "example_id", F.array_join("candidates", "|").alias("c"))
+
+
+@query(f"with {P.slots()}, {P.slots('alt', 'alt')} select distinct example_id from slots where example_id not in (select example_id from alt) order by 1 limit 20")
+def anti_slice(spark, sf_dir):
+    return J.anti_slice(slots(spark, sf_dir), slots(spark, sf_dir, "alt"), 20)
+
+
+@query(f"with {P.slots()}, {P.slots('alt', 'alt')} select distinct example_id from slots where example_id in (select example_id from alt)")
+def intersect_ids(spark, sf_dir):
+    return J.intersection(slots(spark, sf_dir), slots(spark, sf_dir, "alt"))
+
+
+@query(f"with {P.slots()}, w as (select example_id, first(candidate order by base_margin desc, slot) p from slots group by 1), j as (select s.*, p, {_KEY} k from slots s join w using (example_id)) select example_id, min(case when candidate = p then slot end) selected_slot from j group by 1")
+def selected_slot(spark, sf_dir):
+    s = slots(spark, sf_dir)
+    winners = s.groupBy("example_id").agg(F.max_by("candidate", F.struct("base_margin", -F.col("slot"))).alias("prediction"))
+    return J.selected_slot(s, winners)
+
+
+@query(
+    f"with {P.slots()}, {P.slots('alt', 'alt')}, x as (select example_id, candidate c, first(margin order by slot desc) m from alt group by 1, 2), n as (select example_id, {P.norm('candidate')} c, first(margin order by slot) m from alt group by 1, 2) select s.example_id, s.slot, coalesce(x.m, n.m) score from slots s left join x on x.example_id = s.example_id and x.c = s.candidate left join n on n.example_id = s.example_id and n.c = {P.norm('s.candidate')}"
+)
+def text_scores(spark, sf_dir):
+    scores = slots(spark, sf_dir, "alt").select("example_id", F.col("candidate").alias("candidate_answer"), "margin", F.col("slot").alias("pos"))
+    return J.text_scores(slots(spark, sf_dir), scores).select("example_id", "slot", "score")
+
+
+@query(f"with {P.slots()} select a.example_id, count(*) pairs, count_if(coalesce({P.num('a.candidate')} = {P.num('b.candidate')}, false)) agreeing from slots a join slots b on a.example_id = b.example_id and a.slot < b.slot group by 1")
+def candidate_pairs(spark, sf_dir):
+    pairs = J.candidate_pairs(pools(spark, sf_dir))
+    return pairs.groupBy("example_id").agg(F.count("*").alias("pairs"), F.count_if(A.extract_numeric(F.col("left")) == A.extract_numeric(F.col("right"))).alias("agreeing"))
+
+
+@query("select o_orderkey, o_custkey, row_number() over (order by o_orderkey) - 1 pos from orders")
+def gapless_positions(spark, sf_dir):
+    return R.latest_position(read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_orderkey")
+
+
+@query("select o_orderkey, o_orderstatus from orders")
+def shard_union(spark, sf_dir):
+    rows = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    expected = rows.select(F.col("o_orderkey").alias("example_id"), F.col("o_orderkey").alias("pos"))
+    parts = [O.shard(rows.withColumn("example_id", F.col("o_orderkey")), "o_orderkey", 3, i) for i in range(3)]
+    return J.union_shards(parts, expected).select("o_orderkey", "o_orderstatus")
+
+
+# --- pool construction -------------------------------------------------------------------------------------------------
+
+
+@query(
+    f"""with {P.slots('choice')}, t as (select *, {P.choice('candidate')} k from slots), u as (select * from t where k is not null qualify row_number() over (partition by example_id, k order by slot) = 1),
+ a as (select example_id, string_agg('Final answer: ' || k, '|' order by slot) c, count(*) n from u group by 1), b as (select example_id, first(trim(candidate) order by slot) f, count(*) n, count(k) v from t group by 1)
+ select b.example_id, coalesce(a.c, b.f) candidates, b.n - b.v dropped_invalid, b.v - coalesce(a.n, 0) dropped_duplicates from b left join a using (example_id)"""
+)
+def family_hygiene(spark, sf_dir):
+    return C.family_hygiene(pools(spark, sf_dir, "choice")).select("example_id", F.array_join("candidates", "|").alias("candidates"), F.col("dropped_invalid").cast("long").alias("dropped_invalid"), F.col("dropped_duplicates").cast("long").alias("dropped_duplicates"))
+
+
+@query()
+def normalize_pool(spark, sf_dir):
+    p = C.normalize_pool(pools(spark, sf_dir))
+    return p.select(F.explode(F.arrays_zip("candidates", "actions")).alias("z")).groupBy("z.actions").agg(F.count("*").alias("n"))
+
+
+@query()
+def merge_anchor(spark, sf_dir):
+    p = pools(spark, sf_dir)
+    merged = C.merge_anchor(p.withColumn("candidates", F.slice("candidates", 1, 2)), p, pools(spark, sf_dir, "alt"), most=4)
+    return merged.select("example_id", F.array_join("candidates", "|").alias("candidates"), "appended", "replaced")
+
+
+def _merge_policy(policy: str):
+    def run(spark, sf_dir):
+        new = pools(spark, sf_dir, "alt").select("example_id", F.slice("candidates", 1, 2).alias("completions"))
+        p = pools(spark, sf_dir).join(new, "example_id", "left")
+        return C.merge_completion(p, policy, most=4).select("example_id", F.array_join("candidates", "|").alias("candidates"), F.array_join(F.array_sort(F.transform("removed", lambda x: x.cast("string"))), ",").alias("removed"))
+
+    return run
+
+
+def _merge_sql(order: str) -> str:
+    flag = lambda c: f"(not ({c}))::int"
+    facts = f"{P.quality('candidate')} q, {flag(P.num('candidate') + ' is null')} inv, {flag(P.leak('candidate'))} lk, {flag(P.scaffold('candidate'))} sc, (contains(lower(candidate), 'final answer:'))::int wr, least({P.words('candidate')}, 40) tok"
+    return f"""with {P.slots()}, {P.slots('alt', 'alt')}, o as (select *, {facts} from slots where slot < 4), n as (select example_id, candidate, slot from alt where slot < 2), c as (select o.example_id, count(*) old, any_value(coalesce(x.n, 0)) new from o left join (select example_id, count(*) n from n group by 1) x using (example_id) group by 1),
+ d as (select o.*, case q when 'fragment' then 0 when 'partial_solution' then 1 else 2 end qf, case q when 'partial_solution' then 0 when 'fragment' then 1 else 2 end qp from o where slot >= 1), r as (select *, row_number() over (partition by example_id order by {order}, tok, slot desc) r from d),
+ g as (select r.example_id, slot from r join c using (example_id) where old >= 4 and r <= new), k as (select example_id, candidate, slot from o where (example_id, slot) not in (select (example_id, slot) from g) union all
+ select n.example_id, candidate, 100 + slot from n join c using (example_id) where slot < case when old < 4 then least(new, 4 - old) else (select count(*) from g where g.example_id = n.example_id) end)
+ select k.example_id, string_agg(candidate, '|' order by slot) candidates, coalesce((select string_agg(cast(slot as varchar), ',' order by slot) from g where g.example_id = k.example_id), '') removed from k where k.example_id in (select example_id from c) group by 1"""
+
+
+#: SQL orders of the policies that don't read motifs or closure.
+_POLICY_SQL = {"replace_margin_fragments": None}
+for _policy in C.POLICIES:
+    query(_POLICY_SQL.get(_policy), f"merge_policy_{_policy}")(_merge_policy(_policy))
+query(None, "merge_policy_append_if_room")(_merge_policy("append_if_room"))
+
+
+@query()
+def repair_filter(spark, sf_dir):
+    out = C.revert_repairs(pools(spark, sf_dir), pools(spark, sf_dir, "alt").withColumn("candidates", F.slice("candidates", 1, 3)))
+    return out.select("example_id", F.array_join("candidates", "|").alias("candidates"), "reverted", "accepted")
+
+
+@query()
+def matched_fresh(spark, sf_dir):
+    s = slots(spark, sf_dir)
+    odd = s.where("slot % 2 = 1").select("example_id", F.col("slot").cast("int").alias("slot"))
+    return C.matched_fresh(pools(spark, sf_dir), pools(spark, sf_dir, "alt"), odd, 6).select("example_id", F.array_join("candidates", "|").alias("candidates"), "applied", "missing")
+
+
+def _events(spark, sf_dir):
+    s = slots(spark, sf_dir)
+    winners = s.groupBy("example_id").agg(F.max_by("candidate", F.struct("margin", -F.col("slot"))).alias("prediction"))
+    return C.provenance_events(pools(spark, sf_dir), pools(spark, sf_dir, "alt"), J.selected_slot(s, winners))
+
+
+_EVENTS = f"""{P.slots()}, {P.slots('alt', 'alt')}, w as (select example_id, first(candidate order by margin desc, slot) p from slots group by 1), ws as (select s.example_id, min(slot) sel from slots s join w on w.example_id = s.example_id and s.candidate = w.p group by 1),
+ pair as (select distinct a.example_id, a.gold_answer from slots a join alt b using (example_id)), ids as (select example_id, slot from slots where example_id in (select example_id from pair) union select example_id, slot from alt where example_id in (select example_id from pair)),
+ ev as (select i.example_id, i.slot, coalesce(a.candidate, '') b, coalesce(c.candidate, '') a2, g.gold_answer g, i.slot = ws.sel chosen from ids i join pair g using (example_id) left join slots a on a.example_id = i.example_id and a.slot = i.slot left join alt c on c.example_id = i.example_id and c.slot = i.slot left join ws on ws.example_id = i.example_id),
+ events as (select *, {P.ok('b', 'g')} bc, {P.ok('a2', 'g')} ac, a2 <> b rep, {P.quality('b')} || ':' || case when {P.num('b')} is null then 'unparseable_numeric' else 'parseable_numeric' end || ':' || coalesce(nullif(concat_ws('+', case when {P.leak('b')} then 'instruction_leak' end, case when {P.scaffold('b')} then 'scaffold_residue' end, case when {P.wrapper('b')} then 'malformed_wrapper' end), ''), 'cleanish') bucket from ev)"""
+
+
+@query(f"with {_EVENTS} select example_id, slot source_slot_id, bucket source_bucket, bc before_correct, ac after_correct, chosen selected_by_verifier, rep repair_applied from events")
+def provenance_events(spark, sf_dir):
+    return _events(spark, sf_dir).select("example_id", F.col("source_slot_id").cast("long").alias("source_slot_id"), "source_bucket", "before_correct", "after_correct", "selected_by_verifier", "repair_applied")
+
+
+@query(f"with {_EVENTS} select bucket source_bucket, count(*) n, avg(bc::int) before_rate, avg(ac::int) after_rate, avg(chosen::int) selected_rate, count_if(chosen and ac) selected_correct from events where rep group by 1")
+def conversion_buckets(spark, sf_dir):
+    return M.conversion_by_bucket(_events(spark, sf_dir))
+
+
+@query(
+    f"with {_EVENTS}, s as (select example_id, first(rep order by slot) r, first(ac order by slot) a from events where chosen group by 1), e as (select distinct example_id from events) select case when r is null then 'unknown' when r then 'repaired' else 'original' end source, count(*) n, count_if(coalesce(a, false)) correct from e left join s using (example_id) group by 1"
+)
+def final_source(spark, sf_dir):
+    return M.final_source(_events(spark, sf_dir))
+
+
+@query()
+def motif_tags(spark, sf_dir):
+    tags = C.tag_pool(pools(spark, sf_dir))
+    return tags.select("example_id", "candidate_index", "candidate_is_correct", "problem_motif_label", "motif_label", F.array_join("motif_cues", ",").alias("motif_cues"), "quality_label", F.array_join("quality_cues", ",").alias("quality_cues"))
+
+
+@query()
+def motif_coverage(spark, sf_dir):
+    return M.motif_coverage(C.tag_pool(pools(spark, sf_dir)))
+
+
+@query()
+def label_histogram(spark, sf_dir):
+    return M.label_histogram(C.tag_pool(pools(spark, sf_dir)))
+
+
+@query()
+def context_topk(spark, sf_dir):
+    return O.context_topk(C.tag_pool(pools(spark, sf_dir)), 2).select("example_id", "candidate_index", "rank")
+
+
+@query(f"with {P.slots()}, e as (select example_id from slots group by 1 having bool_and({P.quality('candidate')} = 'fragment')) select example_id from e")
+def all_fragment(spark, sf_dir):
+    return M.all_fragment_examples(slots(spark, sf_dir))
+
+
+# --- statistics and reports --------------------------------------------------------------------------------------------
+
+
+@query(_FLAGS + "select count(*) n, count_if(base_ok and not verifier_ok) a_only, count_if(verifier_ok and not base_ok) b_only, count_if(base_ok and verifier_ok) 'both', count_if(not base_ok and not verifier_ok) neither, avg(base_ok::int) accuracy_a, avg(verifier_ok::int) accuracy_b from flags")
+def paired_counts(spark, sf_dir):
+    return X.paired_counts(flags(spark, sf_dir), "base_ok", "verifier_ok").drop("p_value", "delta")
+
+
+@query(
+    _FLAGS
+    + """, c as (select cast(example_id as bigint) % 400 g, count_if(base_ok and not verifier_ok) a, count_if(verifier_ok and not base_ok) b from flags group by 1)
+ select g, a a_only, b b_only, round(case when a + b = 0 then 1.0 else least(1.0, 2 * list_sum(list_transform(range(0::bigint, (least(a, b) + 1)::bigint), lambda k: exp(lgamma(a + b + 1) - lgamma(k + 1) - lgamma(a + b - k + 1) - (a + b) * ln(2.0))))) end, 9) p_value from c"""
+)
+def mcnemar(spark, sf_dir):
+    f = flags(spark, sf_dir).withColumn("g", F.col("example_id").cast("long") % 400)
+    return X.paired_counts(f, "base_ok", "verifier_ok", "g").select("g", "a_only", "b_only", F.round("p_value", 9).alias("p_value"))
+
+
+@query(
+    f"with {P.flags()}, {P.flags('alt', 'alt', 'flags2')}, a as (select avg(oracle::int) o, count_if(verifier_ok) / count_if(oracle) v from flags), b as (select avg(oracle::int) o, count_if(verifier_ok) / count_if(oracle) v from flags2) select (b.o - a.o) * a.v coverage, b.o * (b.v - a.v) conversion from a, b"
+)
+def ovf_decomposition(spark, sf_dir):
+    a, b = (M.ovf(flags(spark, sf_dir, k)).select(F.col("oracle_coverage").alias(f"o{i}"), F.col("verifier_given_oracle").alias(f"v{i}")) for i, k in ((1, "num"), (2, "alt")))
+    return a.join(F.broadcast(b)).select(X.ovf_decomposition(F.col("o1"), F.col("v1"), F.col("o2"), F.col("v2")).alias("d")).select("d.*")
+
+
+_METHODS = "m as (select p_brand slice, o_orderpriority method, count(*) n, avg((l_returnflag = 'R')::int) oracle_rate, avg((l_returnflag = 'A')::int) verifier_rate from lineitem join orders on o_orderkey = l_orderkey join part on p_partkey = l_partkey group by 1, 2)"
+
+
+def _methods(spark, sf_dir):
+    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_returnflag").join(read(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority"), F.col("o_orderkey") == F.col("l_orderkey")).join(read(spark, sf_dir, "part").select("p_partkey", "p_brand"), F.col("p_partkey") == F.col("l_partkey"))
+    return lines.groupBy(F.col("p_brand").alias("slice"), F.col("o_orderpriority").alias("method")).agg(F.count("*").alias("n"), F.avg((F.col("l_returnflag") == "R").cast("int")).alias("oracle_rate"), F.avg((F.col("l_returnflag") == "A").cast("int")).alias("verifier_rate"))
+
+
+_FIRST_METHOD = "(select min(o_orderpriority) from orders)"
+
+
+@query(f"with {_METHODS}, b as (select slice, oracle_rate o, verifier_rate v from m where method = '1-URGENT') select m.*, oracle_rate - o oracle_rate_delta, verifier_rate - v verifier_rate_delta from m left join b using (slice)")
+def leaderboard_delta(spark, sf_dir):
+    return M.with_baseline(_methods(spark, sf_dir), "slice", "1-URGENT", ["oracle_rate", "verifier_rate"])
+
+
+@query(f"with {_METHODS}, b as (select slice, oracle_rate o, verifier_rate v from m where method = '1-URGENT') select slice, method from m left join b using (slice) where oracle_rate > o and verifier_rate < v")
+def tension_rows(spark, sf_dir):
+    return M.tension_rows(_methods(spark, sf_dir), "slice", "1-URGENT").select("slice", "method")
+
+
+@query(f"with {_METHODS} select slice, count(*) runs, round(avg(oracle_rate), 9) mean, round(coalesce(stddev_samp(oracle_rate), 0), 9) std, min(oracle_rate) low, max(oracle_rate) high, max(oracle_rate) - min(oracle_rate) spread from m group by 1")
+def seed_stability(spark, sf_dir):
+    return M.seed_stability(_methods(spark, sf_dir), "slice", "oracle_rate").withColumns({"mean": F.round("mean", 9), "std": F.round("std", 9)})
+
+
+@query(_FLAGS + "select round(sum(n_candidates * n) / sum(n), 9) weighted_avg from (select n_candidates, count(*) n from flags group by 1)")
+def weighted_size(spark, sf_dir):
+    return M.weighted_avg(M.count_breakdown(flags(spark, sf_dir)), "n_candidates", "n").select(F.round("weighted_avg", 9).alias("weighted_avg"))
+
+
+@query(
+    "with c as (select c_custkey, c_acctbal / 10000 d from customer) select c_custkey, case when abs(d) <= 0.02 then 'close' when d > 0.02 then 'higher_final' when abs(d) <= 0.05 then 'watch' else 'large_gap' end status, case when d > 0.01 then 'ahead' when d >= -0.01 then 'level' else 'behind' end tag from c"
+)
+def target_buckets(spark, sf_dir):
+    d = F.col("c_acctbal") / 10000
+    return read(spark, sf_dir, "customer").select("c_custkey", L.classify_delta(d).alias("status"), L.competitive_tag(d).alias("tag"))
+
+
+@query("select o_custkey, count(*) n, sha1(string_agg(cast(o_orderkey as varchar), chr(10) order by o_orderkey)) sha1 from orders group by 1")
+def fingerprint_id_lists(spark, sf_dir):
+    return fingerprint_ids(read(spark, sf_dir, "orders"), "o_orderkey", "o_orderkey", "o_custkey")
+
+
+@query("select c_custkey, case when c_custkey % 10 = 0 then 'new' else c_mktsegment end segment from customer")
+def upsert_rows(spark, sf_dir):
+    rows = read(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("segment"))
+    return upsert(rows, rows.where("c_custkey % 10 = 0").withColumn("segment", F.lit("new")), ["c_custkey"])
+
+
+@query("select count_if(l_returnflag is null) n, 'l_returnflag' \"column\" from lineitem union all select count(*), 'absent' from lineitem")
+def required_nulls(spark, sf_dir):
+    return M.required_nulls(read(spark, sf_dir, "lineitem"), ["l_returnflag", "absent"]).select(F.col("nulls").alias("n"), "column")
+
+
+@query("with t as (select o_orderkey example_id, cast(floor(o_totalprice) as bigint) a from orders) select count(*) n, count_if(a % 4 <> 3) correct from t")
+def trusted_correct(spark, sf_dir):
+    rows = read(spark, sf_dir, "orders").select(F.lit("1").alias("prediction"), F.lit("2").alias("gold_answer"), F.lit("numeric").alias("answer_mode"), (F.floor("o_totalprice") % 4 != 3).alias("correct"))
+    return M.exact_match(rows).select(F.col("total").alias("n"), "correct")
+
+
+@query("select conv_id, min(turn) turn, first(text order by turn) problem from conversations where role = 'user' group by 1")
+def first_user_turns(spark, sf_dir):
+    rows = read(spark, sf_dir, "conversations").where("role = 'user'")
+    return rows.groupBy("conv_id").agg(F.min("turn").alias("turn"), F.min_by("text", "turn").alias("problem"))
+
+
+@query(
+    "with t as (select cast(conv_id as varchar) example_id, text from conversations where role = 'user') select example_id, 'Problem: ' || text || chr(10) || 'Answer with the requested format.' prompt, 'Final answer: 7' response from t"
+)
+def sft_answer_only(spark, sf_dir):
+    rows = read(spark, sf_dir, "conversations").where("role = 'user'").select(F.col("conv_id").cast("string").alias("example_id"), F.col("text").alias("problem"), F.lit("7").alias("gold_answer"), _lit_mode())
+    return R.sft(rows, "answer_only").select("example_id", "prompt", "response")
+
+
+def _lit_mode():
+    return F.lit("numeric").alias("answer_mode")
+
+
+# --- sampled, model-backed and streaming operators: no SQL -------------------------------------------------------------
+
+
+@query()
+def bootstrap_interval(spark, sf_dir):
+    return X.bootstrap_ci(flags(spark, sf_dir), "base_ok", "verifier_ok")
+
+
+@query()
+def sample_seeded(spark, sf_dir):
+    return O.sample_seeded(read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), 100, 7, "o_orderkey").orderBy("o_orderkey")
+
+
+@query()
+def verifier_pairs(spark, sf_dir):
+    p = pools(spark, sf_dir).select("example_id", "problem", "gold_answer", "answer_mode")
+    return R.verifier_yesno(R.verifier_sets(p))
+
+
+@query()
+def fingerprint_table(spark, sf_dir):
+    return fingerprint_set(read(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber", "l_extendedprice")
+
+
+@query()
+def teacher_to_sft(spark, sf_dir):
+    p = pools(spark, sf_dir).select("example_id", "problem", "gold_answer", "answer_mode")
+    return R.fanout_sft(R.processed_traces(R.teacher_traces(p)), valid_only=True)
+
+
+@query()
+def stub_rerank(spark, sf_dir):
+    return pipelines.fixed_pool(pools(spark, sf_dir), partial(U.HashScorer, 1), partial(U.HashScorer, 2))
+
+
+@query()
+def stub_generate_rerank(spark, sf_dir):
+    p = pools(spark, sf_dir).select("example_id", "problem", "gold_answer", "answer_mode")
+    return pipelines.generate_rerank(p, partial(U.HashGenerator, 3), partial(U.HashScorer, 1), partial(U.HashScorer, 2), 8, 4)
+
+
+@query()
+def stub_repair(spark, sf_dir):
+    return pipelines.repair(pools(spark, sf_dir), partial(U.HashGenerator, 3), partial(U.HashScorer, 1), partial(U.HashScorer, 2))
+
+
+@query(_FLAGS + "select answer_mode, count(*) examples, count_if(first_ok) first_correct, count_if(oracle) oracle_correct from flags group by 1")
+def running_metrics(spark, sf_dir):
+    return resume.running_metrics(pools(spark, sf_dir))
+
+
+# --- extensions beyond candidate pools: windows and sessions over events, cubes, as-of ----------------------------------
+
+
+@query("select time_bucket(interval 1 hour, ts) window_start, event_type, count(*) n, round(sum(value), 4) total from events group by 1, 2")
+def ext_event_windows(spark, sf_dir):
+    return resume.event_windows(read(spark, sf_dir, "events")).select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query(
+    "with e as (select *, case when ts > lag(ts) over (partition by user_id order by ts, event_id) + interval 30 minute or lag(ts) over (partition by user_id order by ts, event_id) is null then 1 else 0 end b from events), s as (select *, sum(b) over (partition by user_id order by ts, event_id) k from e) select user_id, min(ts) session_start, max(ts) + interval 30 minute session_end, count(*) n from s group by user_id, k"
+)
+def ext_event_sessions(spark, sf_dir):
+    s = resume.event_sessions(read(spark, sf_dir, "events"))
+    return s.select("user_id", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("session_start", "session_end")], "n")
+
+
+@query(_FLAGS + "select n_candidates, oracle, count(*) n from flags group by cube (n_candidates, oracle)")
+def ext_cube(spark, sf_dir):
+    return flags(spark, sf_dir).cube("n_candidates", "oracle").agg(F.count("*").alias("n"))
+
+
+@query("select event_id, user_id, lag(event_type) over (partition by user_id order by ts, event_id) before from events")
+def ext_previous_event(spark, sf_dir):
+    by = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    return read(spark, sf_dir, "events").select("event_id", "user_id", F.lag("event_type").over(by).alias("before"))

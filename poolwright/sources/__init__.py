@@ -1,0 +1 @@
+"""Reading and writing: JSON Lines, JSON, CSV, Parquet, Markdown, paged services; fingerprints and upserts."""

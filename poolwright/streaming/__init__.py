@@ -1,0 +1 @@
+"""Resumable and running computations as Structured Streaming."""
