@@ -103,7 +103,7 @@ def bucket_sample(rows: DataFrame, bucket: str, n: int, *order: Column | str) ->
     best = F.slice(F.array_sort(F.collect_list(F.struct(*fields))), 1, n)
     parts = rows.withColumn("_part", F.spark_partition_id())
     ranked = parts.withColumn("_rank", F.row_number().over(Window.partitionBy("_part", bucket).orderBy(*[F.col(c) if isinstance(c, str) else c for c in (*order, "example_id")]))).where(F.col("_rank") <= n)
-    return ranked.groupBy(bucket).agg(best.alias("b")).select(F.explode("b").alias("b")).select("b.r.*")
+    return ranked.groupBy(bucket).agg(best.alias("_best")).select(F.explode("_best").alias("_one")).select("_one.r.*")
 
 
 def sample_seeded(rows: DataFrame, n: int, seed: int, *ids: str) -> DataFrame:

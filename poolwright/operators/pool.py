@@ -139,14 +139,14 @@ def _protected(slots: Column, policy: str) -> Column:
     return F.array_compact(F.array(*kept))
 
 
-def removal_order(slots: Column, policy: str) -> Column:
-    """Slot features in the order in which a policy gives slots up."""
+def removal_order(slots: Column, policy: str, protected: Column | None = None) -> Column:
+    """Slot features in the order in which a policy gives slots up; `protected`: indices a stratified policy keeps."""
     names = ["partials" if n == "quality" and policy == "replace_partials_first" else n for n in POLICIES[policy]]
     keyed = lambda rows: F.transform(F.array_sort(F.transform(rows, lambda x: F.struct(F.struct(*[x[n].alias(f"o{i}") for i, n in enumerate(names)], x["tokens"].alias("t"), (-x["index"]).alias("i")).alias("o"), x.alias("x")))), lambda y: y["x"])
-    if policy not in _STRATIFIED:
+    if protected is None:
         return keyed(slots)
-    free = lambda kept: F.filter(slots, lambda x: ~F.array_contains(kept, x["index"]))
-    return keyed(let(_protected(slots, policy), lambda kept: F.when(F.size(free(kept)) > 0, free(kept)).otherwise(slots)))
+    free = F.filter(slots, lambda x: ~F.array_contains(protected, x["index"]))
+    return keyed(F.when(F.size(free) > 0, free).otherwise(slots))
 
 
 def merge_completion(pools: DataFrame, policy: str, new: str = "completions", most: int = 8, protect: int = 1, seed: int = 0) -> DataFrame:
@@ -159,13 +159,16 @@ def merge_completion(pools: DataFrame, policy: str, new: str = "completions", mo
         gone = F.array().cast("array<int>")
     else:
         feats = F.filter(F.transform("_old", lambda c, i: slot_features(c, i, F.col("problem"), F.col("answer_mode"), F.get("margins", i), seed, F.col("example_id"))), lambda x: x["index"] >= protect)
-        order = removal_order(feats, policy)
+        rows = rows.withColumn("_feats", feats)
+        if policy in _STRATIFIED:
+            rows = rows.withColumn("_kept", _protected(F.col("_feats"), policy))
+        order = removal_order(F.col("_feats"), policy, F.col("_kept") if policy in _STRATIFIED else None)
         gone = F.transform(F.slice(order, F.lit(1), F.size("_new")), lambda x: x["index"])
     rows = rows.withColumn("removed", F.when(room | (F.size("_new") == 0), F.array().cast("array<int>")).otherwise(gone))
     taken = F.when(room, F.least(F.size("_new"), F.greatest(F.lit(most) - F.size("_old"), F.lit(0)))).otherwise(F.size("removed"))
     rows = rows.withColumn("added", taken)
     merged = F.concat(F.filter("_old", lambda c, i: ~F.array_contains("removed", i)), F.slice("_new", F.lit(1), F.col("added")))
-    return rows.withColumn("candidates", merged).drop("_old", "_new")
+    return rows.withColumn("candidates", merged).drop("_old", "_new", "_feats", "_kept")
 
 
 def replace_slots(pools: DataFrame, replacements: DataFrame) -> DataFrame:

@@ -496,7 +496,7 @@ def all_fragment(spark, sf_dir):
 # --- statistics and reports --------------------------------------------------------------------------------------------
 
 
-@query(_FLAGS + "select count(*) n, count_if(base_ok and not verifier_ok) a_only, count_if(verifier_ok and not base_ok) b_only, count_if(base_ok and verifier_ok) 'both', count_if(not base_ok and not verifier_ok) neither, avg(base_ok::int) accuracy_a, avg(verifier_ok::int) accuracy_b from flags")
+@query(_FLAGS + "select count(*) n, count_if(base_ok and not verifier_ok) a_only, count_if(verifier_ok and not base_ok) b_only, count_if(base_ok and verifier_ok) as \"both\", count_if(not base_ok and not verifier_ok) neither, avg(base_ok::int) accuracy_a, avg(verifier_ok::int) accuracy_b from flags")
 def paired_counts(spark, sf_dir):
     return X.paired_counts(flags(spark, sf_dir), "base_ok", "verifier_ok").drop("p_value", "delta")
 
