@@ -67,7 +67,7 @@ def forward_backward(score: np.ndarray, first: np.ndarray, trans: np.ndarray, bl
     again from their true boundary vectors. This is exact, and a long text costs no more steps than a short one.
     """
     n, labels = score.shape
-    if not n:
+    if not n or not labels:
         return np.zeros_like(score)
     e = np.exp(score - score.max(axis=1, keepdims=True))
     t = np.exp(trans - trans.max())

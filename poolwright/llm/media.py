@@ -10,8 +10,10 @@ import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from poolwright.llm.common import text_slices, utf8
 
@@ -152,9 +154,6 @@ def features(media: DataFrame, column: str = "media", side: int = TILE, thumb: i
     Bytes that are no image, null or empty ones give nulls and `error`. Other columns are carried; one named `image` is
     replaced. Rows are independent, so repeated rows and empty tables need no rule.
     """
-    import pandas as pd
-    from pyspark.sql import functions as F
-
     @F.pandas_udf(MEDIA_SCHEMA)
     def of(values: pd.Series) -> pd.DataFrame:
         rows = []
