@@ -408,20 +408,8 @@ def _merge_policy(policy: str):
     return run
 
 
-def _merge_sql(order: str) -> str:
-    flag = lambda c: f"(not ({c}))::int"
-    facts = f"{P.quality('candidate')} q, {flag(P.num('candidate') + ' is null')} inv, {flag(P.leak('candidate'))} lk, {flag(P.scaffold('candidate'))} sc, (contains(lower(candidate), 'final answer:'))::int wr, least({P.words('candidate')}, 40) tok"
-    return f"""with {P.slots()}, {P.slots('alt', 'alt')}, o as (select *, {facts} from slots where slot < 4), n as (select example_id, candidate, slot from alt where slot < 2), c as (select o.example_id, count(*) old, any_value(coalesce(x.n, 0)) new from o left join (select example_id, count(*) n from n group by 1) x using (example_id) group by 1),
- d as (select o.*, case q when 'fragment' then 0 when 'partial_solution' then 1 else 2 end qf, case q when 'partial_solution' then 0 when 'fragment' then 1 else 2 end qp from o where slot >= 1), r as (select *, row_number() over (partition by example_id order by {order}, tok, slot desc) r from d),
- g as (select r.example_id, slot from r join c using (example_id) where old >= 4 and r <= new), k as (select example_id, candidate, slot from o where (example_id, slot) not in (select (example_id, slot) from g) union all
- select n.example_id, candidate, 100 + slot from n join c using (example_id) where slot < case when old < 4 then least(new, 4 - old) else (select count(*) from g where g.example_id = n.example_id) end)
- select k.example_id, string_agg(candidate, '|' order by slot) candidates, coalesce((select string_agg(cast(slot as varchar), ',' order by slot) from g where g.example_id = k.example_id), '') removed from k where k.example_id in (select example_id from c) group by 1"""
-
-
-#: SQL orders of the policies that don't read motifs or closure.
-_POLICY_SQL = {"replace_margin_fragments": None}
 for _policy in C.POLICIES:
-    query(_POLICY_SQL.get(_policy), f"merge_policy_{_policy}")(_merge_policy(_policy))
+    query(None, f"merge_policy_{_policy}")(_merge_policy(_policy))
 query(None, "merge_policy_append_if_room")(_merge_policy("append_if_room"))
 
 
@@ -527,9 +515,6 @@ def _methods(spark, sf_dir):
     return lines.groupBy(F.col("p_brand").alias("slice"), F.col("o_orderpriority").alias("method")).agg(F.count("*").alias("n"), F.avg((F.col("l_returnflag") == "R").cast("int")).alias("oracle_rate"), F.avg((F.col("l_returnflag") == "A").cast("int")).alias("verifier_rate"))
 
 
-_FIRST_METHOD = "(select min(o_orderpriority) from orders)"
-
-
 @query(f"with {_METHODS}, b as (select slice, oracle_rate o, verifier_rate v from m where method = '1-URGENT') select m.*, oracle_rate - o oracle_rate_delta, verifier_rate - v verifier_rate_delta from m left join b using (slice)")
 def leaderboard_delta(spark, sf_dir):
     return M.with_baseline(_methods(spark, sf_dir), "slice", "1-URGENT", ["oracle_rate", "verifier_rate"])
