@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from poolwright.llm.common import text_slices
-from poolwright.llm.wordarrays import Words
+from poolwright.llm.wordarrays import Words, forget_powers
 
 SEED_WORDS, RARE, SCORE, BLOCK_BYTES = 4, 4.0, 0.6, 16_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -197,6 +197,7 @@ def _aligners(docs: DataFrame, benchmark: DataFrame, n: int, threshold: float) -
         if len(items.grams):
             counted = own.mapInArrow(_counts(items, n), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
             grams, positions = rare_seeds(items, {r.gram: r.n for r in counted.collect()})
+            forget_powers()
             if len(grams):
                 yield Aligner(items, grams, positions, n, threshold)
 

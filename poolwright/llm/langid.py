@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from poolwright.llm.common import text_slices
-from poolwright.llm.wordarrays import Words, _powers, mix
+from poolwright.llm.wordarrays import Words, _powers, forget_powers, mix
 
 BITS, BLOCK, SAMPLE_DOCS, SAMPLE_WORDS, EPOCHS = 18, 64, 300, 60_000, 6
 _SPLIT = np.array([not (c >= 128 or chr(c).isalpha()) for c in range(256)])
@@ -231,6 +231,7 @@ def identify(docs: DataFrame, field: Field | None = None) -> DataFrame:
     by their text alone; repeated rows give repeated rows, an empty table none, other columns are not read.
     """
     field = field or train(*training_sample(docs))
+    forget_powers()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -27,6 +27,11 @@ def _powers(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
+def forget_powers() -> None:
+    """Drops the tables of powers, which would otherwise travel with every function that uses them."""
+    _POWERS.clear()
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Spreads every bit of a 64-bit value over all bits."""
     h = h ^ (h >> np.uint64(32))
