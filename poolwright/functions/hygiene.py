@@ -29,6 +29,87 @@ LEAKS = {
         "single option-letter",
         "do not write anything else",
     ),
+    "analysis": (
+        "you are improving an incomplete candidate pool",
+        "this is a multiple-choice task",
+        "the final answer must be",
+        "the answer must be",
+        "do not include any explanation",
+        "do not write anything else",
+        "single option letter",
+        "final answer in the required format",
+    ),
+    "repair": (
+        "use at most",
+        "exactly one last line",
+        "do not mention",
+        "do not use markdown",
+        "do not output",
+        "the solution should",
+        "you should not include any other text",
+        "the final answer is the only thing you output",
+        "the answer is the final line",
+        "answer should be in the box",
+        "answer should be in a box",
+        "the final answer is the time",
+        "the final answer is the amount",
+        "the final answer is the total cost",
+        "final answer: final answer:",
+    ),
+    "provenance": (
+        "use at most",
+        "exactly one last line",
+        "do not mention",
+        "do not output",
+        "the solution should",
+        "the solution must",
+        "you are improving",
+        "you are finishing",
+        "do not include",
+    ),
+    "normalize": (
+        "use at most",
+        "exactly one last line",
+        "do not mention",
+        "do not critique",
+        "do not stop mid-sentence",
+        "do not output",
+        "do not use markdown",
+        "reply with yes or no",
+        "single option letter only",
+        "the last line must contain",
+        "the final answer must be",
+        "your answer must be",
+        "the answer must be",
+    ),
+    "completion": (
+        "you are improving an incomplete candidate pool",
+        "you are finishing the strongest incomplete attempt",
+        "you are writing one concise complete solution",
+        "use any useful partial steps",
+        "pick one useful path from the incomplete attempts",
+        "use the likely reasoning motif as a planning cue",
+        "produce one complete alternative solution",
+        "choose the most promising path",
+        "the final solution must be self-contained and decisive",
+        "do not mention the attempts",
+        "do not critique them",
+        "do not stop mid-sentence",
+        "do not output general advice",
+        "this is a multiple-choice task",
+        "you may reason about the options briefly",
+        "the last line must contain the single option letter only",
+        "on the last line, write",
+        "you may use any of the given options",
+        "you may use any of the options",
+        "you may use any mathematical or logical steps",
+        "you may use any of the following mathematical operations",
+        "just output the final answer",
+        "do not include any explanation",
+        "do not include any explanation or reasoning",
+        "do not produce any other text besides the final answer",
+        "the correct answer is one of the options listed",
+    ),
     "forms": ("use at most", "do not use", "do not mention", "prompt-writing", "role tags"),
 }
 #: Openings that a model writes before it answers, by profile (fixed values).
@@ -48,6 +129,8 @@ _SCAFFOLD_MORE = (
     r"use the options given(?: above)?[.!?]?\s*",
     r"do not output the letter of the option until the last line[.!?]?\s*",
 )
+#: Characters of a text that is a number, a box around one or a sum (fixed value).
+_NUMERIC_LIKE = r"\A[\s$\\boxed{}\[\]\-+*/().,0-9]+\z"
 _ANSWER_LINES = ("final answer:", "answer:", "option:", "choice:")
 
 
@@ -60,6 +143,14 @@ def scaffold_residue(text: Column) -> Column:
     return let(strip(text), lambda s: s.rlike(start) | starts_with_any(F.lower(s), SCAFFOLD_STARTS))
 
 
+#: What a slot event counts as scaffolding, anywhere in the text (fixed values).
+SCAFFOLD_PARTS = ("here's a complete solution", "here is the correct solution", "here's the candidate solution", "let's think", "let us think", "okay, let's")
+
+
+def scaffold_parts(text: Column) -> Column:
+    return contains_any(F.lower(text), SCAFFOLD_PARTS)
+
+
 def malformed_wrapper(text: Column) -> Column:
     return occurrences(F.lower(text), "final answer:") > 1
 
@@ -93,7 +184,7 @@ def wrong_form(text: Column) -> Column:
             F.when(p == "", "empty")
             .when(contains_any(low, LEAKS["forms"]), "instruction_leak")
             .when(contains_any(low, steps) | ends_with_any(p, (":", "=")), "scaffold_or_fragment")
-            .when((F.char_length(bare) <= 32) & ~F.contains(bare, F.lit("\n")) & bare.rlike(r"\A[-+$]?\d[\d,]*(?:\.\d+)?%?[.]?\z"), "short_numeric_like")
+            .when((F.char_length(bare) <= 32) & ~F.contains(bare, F.lit("\n")) & bare.rlike(_NUMERIC_LIKE), "short_numeric_like")
             .when(F.contains(low, F.lit("final answer:")) & (F.char_length(p) <= 80), "answer_like_short")
             .when(F.char_length(p) > 180, "long_reasoning")
             .otherwise("other_wrong_form")

@@ -5,35 +5,50 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Tolerances of a final accuracy, and the margins of competitive_tag (fixed values).
 CLOSE, WATCH = 0.02, 0.05
+CLEAR, PARITY = 0.03, 0.015
+#: Severity by risk bucket; others are ok (fixed values).
+SEVERITY = {
+    "large_gap": "blocker",
+    "unknown": "blocker",
+    "pending": "pending",
+    "partial": "caveat",
+    "watch": "caveat",
+    "higher_final": "caveat",
+    "fallback_watch": "caveat",
+    "fallback_close": "caveat",
+}
 
 
 def classify_delta(delta: Column, close: float = CLOSE, watch: float = WATCH) -> Column:
-    return F.when(delta.isNull(), "missing").when(F.abs(delta) <= close, "close").when(delta > close, "higher_final").when(F.abs(delta) <= watch, "watch").otherwise("large_gap")
+    """close, higher_final, watch or large_gap; null stays null."""
+    size = F.abs(delta)
+    return F.when(size <= close, "close").when(delta > 0, "higher_final").when(size <= watch, "watch").when(delta.isNotNull(), "large_gap")
 
 
-def risk_bucket(paper: Column, release: Column, fallback: Column, close: float = CLOSE, watch: float = WATCH) -> Column:
-    """How a published final value stands against the released and the recovered one."""
-    near = lambda x, t: F.coalesce(F.abs(x - paper) <= t, F.lit(False))
+def risk_bucket(status: Column, release: Column, fallback: Column) -> Column:
+    """What stands between a row and its published final value: its status where that says so, a fallback that makes good
+    for a release far below, else the class of the release delta (the fallback's where there is no release)."""
+    saved = (release < -WATCH) & (F.abs(fallback) <= WATCH)
     return (
-        F.when(release.isNull() & fallback.isNull(), "no_release")
-        .when(near(release, close), "release_close")
-        .when(F.coalesce(release - paper > close, F.lit(False)), "release_higher")
-        .when(near(fallback, close), "fallback_close")
-        .when(near(release, watch) | near(fallback, watch), "watch")
-        .otherwise("large_gap")
+        F.when(status.isin("artifact_reproduced", "artifact_reproduced_display_ratio"), "artifact")
+        .when(F.startswith(status, F.lit("partial")), "partial")
+        .when(F.contains(status, F.lit("pending")), "pending")
+        .when(release.isNull() & fallback.isNull(), "unknown")
+        .when(saved, F.when(F.abs(fallback) <= CLOSE, "fallback_close").otherwise("fallback_watch"))
+        .otherwise(classify_delta(F.coalesce(release, fallback)))
     )
 
 
-SEVERITY = {"release_close": "ok", "release_higher": "ok", "fallback_close": "note", "watch": "warn", "no_release": "missing", "large_gap": "block"}
-
-
 def severity(bucket: Column) -> Column:
-    return F.coalesce(*[F.when(bucket == k, F.lit(v)) for k, v in SEVERITY.items()], F.lit("unknown"))
+    return F.coalesce(*[F.when(bucket == k, F.lit(v)) for k, v in SEVERITY.items()], F.lit("ok"))
 
 
-def competitive_tag(delta: Column, margin: float = 0.01) -> Column:
-    return F.when(delta.isNull(), "unknown").when(delta > margin, "ahead").when(delta >= -margin, "level").otherwise("behind")
+def competitive_tag(delta: Column) -> Column:
+    """Where we stand against an external baseline; null stays null."""
+    steps = ((CLEAR, "clear_win"), (0.0, "edge_or_win"), (-PARITY, "near_parity"), (-CLEAR, "competitive_but_trailing"))
+    return F.coalesce(*[F.when(delta >= limit, F.lit(tag)) for limit, tag in steps], F.when(delta.isNotNull(), "clear_trail"))
 
 
 def ladder(text: Column, rules: dict[str, str], default: str) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from poolwright.functions.answers import parse_status
-from poolwright.functions.hygiene import instruction_leak, malformed_wrapper, scaffold_residue
+from poolwright.functions.hygiene import instruction_leak, malformed_wrapper, scaffold_parts
 from poolwright.functions.text import ends_with_any, freeform, let, occurrences, strip, token_count
 
 #: Cue words by motif, in the order of priority from low to high (fixed values). A pattern is a whole word or words unless
@@ -104,7 +104,7 @@ def quality(candidate: Column) -> Column:
 
 def source_bucket(text: Column, mode: Column) -> Column:
     """quality:status:flags of a slot."""
-    flags = _cues([(instruction_leak(text), "instruction_leak"), (scaffold_residue(text), "scaffold_residue"), (malformed_wrapper(text), "malformed_wrapper")])
+    flags = _cues([(instruction_leak(text, "provenance"), "instruction_leak"), (scaffold_parts(text), "scaffold_residue"), (malformed_wrapper(text), "malformed_wrapper")])
     return F.concat_ws(":", quality(text)["label"], parse_status(text, mode), F.when(F.size(flags) == 0, "cleanish").otherwise(F.array_join(flags, "+")))
 
 

@@ -254,9 +254,9 @@ def scorecard(rows: DataFrame, sections: dict[str, str]) -> DataFrame:
 
 
 def readiness(rows: DataFrame, severity: str = "severity") -> DataFrame:
-    """Counts by severity and whether a release is practical (no block) and strict (all ok)."""
+    """Counts by severity and whether a release is practical (no blocker) and strict (all ok)."""
     s = F.col(severity)
-    return rows.agg(*[F.count_if(s == k).alias(k) for k in ("ok", "note", "warn", "missing", "block")], F.coalesce(F.bool_and(s != "block"), F.lit(True)).alias("practical"), F.coalesce(F.bool_and(s == "ok"), F.lit(True)).alias("strict"))
+    return rows.agg(*[F.count_if(s == k).alias(k) for k in ("ok", "caveat", "pending", "blocker")], F.coalesce(F.bool_and(s != "blocker"), F.lit(True)).alias("practical"), F.coalesce(F.bool_and(s == "ok"), F.lit(True)).alias("strict"))
 
 
 def all_fragment_examples(slots: DataFrame) -> DataFrame:

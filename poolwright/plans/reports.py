@@ -134,7 +134,7 @@ def gate_compatibility(rows: DataFrame, baseline: str) -> dict:
 def gate_external(rows: DataFrame) -> dict:
     """Rows (benchmark, ours, external): delta and tag."""
     tagged = rows.withColumn("delta", F.col("ours") - F.col("external")).withColumn("tag", competitive_tag(F.col("delta")))
-    return {"rows": table(tagged, "benchmark"), "passed": all(r["tag"] in ("ahead", "level") for r in table(tagged))}
+    return {"rows": table(tagged, "benchmark"), "passed": all(r["tag"] in ("clear_win", "edge_or_win", "near_parity") for r in table(tagged))}
 
 
 def gate_stability(rows: DataFrame, limit: float = 0.02) -> dict:
@@ -189,7 +189,8 @@ def compare_targets(targets: DataFrame, observed: DataFrame) -> DataFrame:
 
 
 def export_targets(targets: DataFrame) -> DataFrame:
-    bucket = risk_bucket(F.col("paper.final"), F.col("release_reference.final"), F.col("fallback_reference.final"))
+    delta = lambda c: F.col(f"{c}.final") - F.col("paper.final")
+    bucket = risk_bucket(F.col("release_status"), delta("release_reference"), delta("fallback_reference"))
     return targets.select("row_id", "dataset", "variant", F.col("paper.final").alias("paper_final"), F.col("release_reference.final").alias("release_final"), bucket.alias("bucket"), severity(bucket).alias("severity"))
 
 
