@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -36,6 +37,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets go of the shuffle files of jobs whose results are stored: Spark removes them when the driver collects garbage,
+    which may otherwise be long after."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def text_slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[int, int]]:
     """Row ranges (start, end) of a batch with about SLICE_BYTES of text each."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))

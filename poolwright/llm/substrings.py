@@ -8,8 +8,10 @@ A window of 50 words can only repeat where the shorter windows inside it repeat,
 - 25 words: each survivor is extended to the left and to the right; every 50-word window around it holds one of the two.
 - 50 words: all windows that hold a surviving 25-word window, under 96-bit hashes.
 
-A window survives a level if it occurs in two documents: minimum and maximum doc_id by hash, aggregated before the
-shuffle, so a passage that a third of all documents share costs each task one row.
+A window survives a level if it occurs in two documents: minimum and maximum by hash, aggregated before the shuffle, so a
+passage that a third of all documents share costs each task one row. Exact copies of a text with a smaller doc_id lose
+whatever lies in a window and are no sources, for the first of them has the same windows; they are told apart by SHA-256
+first, and the levels count texts, not documents.
 """
 
 from __future__ import annotations
@@ -22,11 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from poolwright.llm.common import stored, text_slices
-from poolwright.llm.wordarrays import Words, ranges_hash, sliding
+from poolwright.llm.common import release, stored, text_slices
+from poolwright.llm.wordarrays import Words, mix, ranges_hash, sliding
 
 WINDOW = 50
-_ANCHORS = pa.schema([("h", pa.int64()), ("doc_id", pa.int64()), ("left", pa.int64()), ("right", pa.int64())])
+_ANCHORS = pa.schema([("h", pa.int64()), ("t", pa.int64()), ("left", pa.int64()), ("right", pa.int64())])
 _LONGEST = "doc_id long, n_words long, n_removed long, kept_sha256 string, text string, h1 array<long>, h2 array<int>"
 _LONGEST_ARROW = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("text", pa.string()), ("h1", pa.list_(pa.int64())), ("h2", pa.list_(pa.int32()))])
 _DIGEST = "doc_id long, n_words long, n_removed long, kept_sha256 string"
@@ -44,7 +46,7 @@ def _anchors(window: int):
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id").cast(pa.int64())
+            ids = batch.column("t")
             for a, b in text_slices(batch):
                 words = Words(batch.column("text")[a:b])
                 n = len(words.starts)
@@ -64,9 +66,9 @@ def _anchors(window: int):
                 left = np.where(has_left, half_hash[np.maximum(back, 0)], 0)
                 right = np.where(fits[chosen], half_hash[chosen], 0)
                 doc = words.doc[chosen]
-                rows = np.unique(np.stack([doc.astype(np.uint64), short[chosen], left, right]), axis=1)
-                keep = ids[a:b].take(pa.array(rows[0].astype(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(rows[1].view(np.int64)), keep, pa.array(rows[2].view(np.int64), mask=rows[2] == 0), pa.array(rows[3].view(np.int64), mask=rows[3] == 0)], schema=_ANCHORS)
+                _, once = np.unique(mix(mix(mix(short[chosen]) + left) + right) + mix(doc.astype(np.uint64)), return_index=True)
+                doc, short, left, right = doc[once], short[chosen][once], left[once], right[once]
+                yield pa.RecordBatch.from_arrays([pa.array(short.view(np.int64)), ids[a:b].take(pa.array(doc)), pa.array(left.view(np.int64), mask=left == 0), pa.array(right.view(np.int64), mask=right == 0)], schema=_ANCHORS)
 
     return run
 
@@ -87,9 +89,14 @@ def _longest(window: int):
         for batch in batches:
             for a, b in text_slices(batch):
                 rows = []
-                for doc, text, found in zip(batch.column("doc_id")[a:b].to_pylist(), batch.column("text")[a:b], batch.column("found")[a:b], strict=True):
+                for doc, text, found, copy_of in zip(batch.column("doc_id")[a:b].to_pylist(), batch.column("text")[a:b], batch.column("found")[a:b], batch.column("copy_of")[a:b].to_pylist(), strict=True):
                     raw = (text.as_py() or "").encode()
                     at = np.zeros(0, np.int64)
+                    if copy_of and hashlib.sha256(raw).digest() in copy_of:
+                        parts = raw.split()
+                        gone = len(parts) if len(parts) >= window else 0
+                        rows.append((doc, len(parts), gone, digest([] if gone else parts), None, None, None))
+                        continue
                     if found.is_valid and doc is not None:
                         words = Words(pa.array([raw], pa.binary()))
                         n = len(words.starts)
@@ -105,7 +112,7 @@ def _longest(window: int):
                         rows.append((doc, len(parts), 0, digest(parts), None, None, None))
                         continue
                     h1, h2 = _window_hashes(words, at, window)
-                    _, once = np.unique(np.stack([h1, h2.astype(np.int64)]), axis=1, return_index=True)
+                    _, once = np.unique(mixed(h1, h2), return_index=True)
                     rows.append((doc, n, None, None, text.as_py(), h1[once], h2[once]))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _LONGEST_ARROW, strict=True)], schema=_LONGEST_ARROW)
 
@@ -144,19 +151,26 @@ def mixed(h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
     return h1.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + h2.view(np.uint32).astype(np.uint64)
 
 
-def _repeated(rows: DataFrame, *key: str) -> DataFrame:
-    """The keys that occur in two documents, with the smallest doc_id."""
-    return rows.groupBy(*key).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
+def _repeated(rows: DataFrame, document: str, *key: str) -> DataFrame:
+    """The keys that occur in two documents, with the smallest of them."""
+    return rows.groupBy(*key).agg(F.min(document).alias("least"), F.max(document).alias("most")).where("least < most")
 
 
 def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, h array<long>): the half-length windows of each document that survive the levels below `window`."""
-    own = docs.where("doc_id is not null").select("doc_id", "text")
-    anchors = own.mapInArrow(_anchors(window), "h long, doc_id long, left long, right long")
-    first = _repeated(anchors.select("h", "doc_id"), "h").select("h")
-    halves = anchors.join(first, "h", "left_semi").select("doc_id", F.explode(F.array("left", "right")).alias("h")).where("h is not null").distinct()
+    """(doc_id, found array<long>, copy_of array<binary>): the half-length windows of each first text that survive the levels
+    below `window`, and the SHA-256 of texts that are copies of an earlier document's."""
+    own = docs.where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    texts = stored(own.select("doc_id", F.xxhash64("text").alias("t"), F.unhex(F.sha2("text", 256)).alias("s")), "texts")
+    firsts = texts.groupBy("s", "t").agg(F.min("doc_id").alias("least"))
+    copies = texts.join(firsts, ["s", "t"]).where("doc_id > least").groupBy("doc_id").agg(F.collect_set("s").alias("copy_of"))
+    anchors = own.select(F.xxhash64("text").alias("t"), "text").mapInArrow(_anchors(window), "h long, t long, left long, right long")
+    first = _repeated(anchors.select("h", "t"), "t", "h").select("h")
+    halves = anchors.join(first, "h", "left_semi").select("t", F.explode(F.array("left", "right")).alias("h")).where("h is not null").distinct()
     halves = stored(halves, "halves")
-    return halves.join(_repeated(halves, "h").select("h"), "h", "left_semi").groupBy("doc_id").agg(F.collect_list("h").alias("found"))
+    release(docs.sparkSession)
+    found = halves.join(_repeated(halves, "t", "h").select("h"), "h", "left_semi").groupBy("t").agg(F.collect_list("h").alias("h"))
+    by_doc = firsts.join(found, "t").groupBy(F.col("least").alias("doc_id")).agg(F.flatten(F.collect_list("h")).alias("found"))
+    return by_doc.join(copies, "doc_id", "full")
 
 
 def deduplicate(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -168,10 +182,11 @@ def deduplicate(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     kept; a table without rows gives none; other columns are not read.
     """
     found = repeats(docs, window)
-    judged = docs.select("doc_id", "text").join(found, "doc_id", "left").select("doc_id", "text", "found")
+    judged = docs.select("doc_id", "text").join(found, "doc_id", "left").select("doc_id", "text", "found", "copy_of")
     judged = stored(judged.mapInArrow(_longest(window), _LONGEST), "longest")
+    release(docs.sparkSession)
     windows = judged.where("h1 is not null").select("doc_id", F.explode(F.arrays_zip("h1", "h2")).alias("w")).select("doc_id", "w.h1", "w.h2")
-    sources = _repeated(windows, "h1", "h2")
+    sources = _repeated(windows, "doc_id", "h1", "h2")
     hits = windows.join(sources, ["h1", "h2"]).where("doc_id > least").groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2")).alias("hits"))
     cut = judged.where("h1 is not null").select("doc_id", "text", "n_words").join(hits, "doc_id", "left").select("doc_id", "text", "n_words", "hits")
     return judged.where("h1 is null").select("doc_id", "n_words", "n_removed", "kept_sha256").unionAll(cut.mapInArrow(_removed(window), _DIGEST))
