@@ -12,8 +12,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-#: Bytes of text that one numpy pass works on; a single longer text is a slice of its own.
-SLICE_BYTES = 2_000_000
+#: Bytes and rows of text that one numpy pass works on; a single longer text is a slice of its own.
+SLICE_BYTES, SLICE_ROWS = 2_000_000, 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,12 +45,12 @@ def release(spark: SparkSession) -> None:
 
 
 def text_slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[int, int]]:
-    """Row ranges (start, end) of a batch with about SLICE_BYTES of text each."""
+    """Row ranges (start, end) of a batch with at most SLICE_ROWS rows and about SLICE_BYTES of text each."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     start, n = 0, batch.num_rows
     while start < n:
         base = sizes[start - 1] if start else 0
-        end = max(start + 1, int(np.searchsorted(sizes, base + SLICE_BYTES, "right")))
+        end = min(start + SLICE_ROWS, max(start + 1, int(np.searchsorted(sizes, base + SLICE_BYTES, "right"))))
         yield start, end
         start = end
 
