@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from poolwright.llm.common import text_slices
 from poolwright.llm.wordarrays import Words
 
-BUCKETS, EXTRA, SAMPLE, THRESHOLD = 4096, 8, 6000, 0.5
+BUCKETS, EXTRA, SAMPLE, THRESHOLD = 4096, 8, 4000, 0.5
 #: The share of good texts on which a labeller that speaks against a text may fire.
 FALSE_ALARMS = 0.004
 #: Frequent words of the languages the corpus is known to hold (fixed values).
@@ -58,7 +58,8 @@ def statistics(words: Words) -> dict[str, np.ndarray]:
         again[1:] = (words.hash[1:] == words.hash[:-1]) & (words.doc[1:] == words.doc[:-1])
     last = data[words.ends - 1] if len(again) else np.zeros(0, np.uint8)
     known = np.isin(words.hash, _function_hashes()) if len(again) else np.zeros(0, bool)
-    kinds = np.unique(np.stack([words.doc.astype(np.uint64), words.hash]), axis=1)[0] if len(again) else np.zeros(0, np.uint64)
+    kinds = np.sort(words.doc.astype(np.uint64) << np.uint64(40) | words.hash >> np.uint64(24))  # by document, 40 bits of each word
+    kinds = (kinds[np.diff(kinds, prepend=~kinds[:1]) != 0] >> np.uint64(40)).astype(np.int64)
     letters, capitals, size = per((kind == 1) | (kind == 2)), per(kind == 2), np.maximum(np.diff(offsets), 1)
     written = np.maximum(per(~np.isin(data, [32, 9, 10, 11, 12, 13, *range(48, 58)])), 1)
     each = np.maximum(n, 1)
@@ -69,7 +70,7 @@ def statistics(words: Words) -> dict[str, np.ndarray]:
         "exclaims": per(kind == 4) / each,
         "symbols": per(kind == 3) / size,
         "bars": per(kind == 5) / each,
-        "kinds": np.log(np.maximum(np.bincount(kinds.astype(np.int64), minlength=n_docs), 1)) / np.log(np.maximum(n, 2)),
+        "kinds": np.log(np.maximum(np.bincount(kinds, minlength=n_docs), 1)) / np.log(np.maximum(n, 2)),
         "stops": of_words(np.isin(last, [46, 63])) / each,
         "known": of_words(known) / each,
         "letters": letters / written,
@@ -98,8 +99,8 @@ def votes(s: dict[str, np.ndarray]) -> np.ndarray:
     return np.stack([fired[k] for k in LABELLERS], axis=1).astype(np.int64)
 
 
-def hashed(words: Words) -> np.ndarray:
-    """Square roots of the shares of hashed byte trigrams, and EXTRA columns on words, for each text."""
+def hashed(words: Words, s: dict[str, np.ndarray]) -> np.ndarray:
+    """Square roots of the shares of hashed byte trigrams, and EXTRA columns of the statistics `s`, for each text."""
     data, offsets, n_docs = words.data.astype(np.uint32), words.offsets, len(words.offsets) - 1
     out = np.zeros((n_docs, BUCKETS + EXTRA), np.float32)
     if len(data) >= 3:
@@ -109,7 +110,6 @@ def hashed(words: Words) -> np.ndarray:
         counts = np.bincount(doc[:-2][same] * BUCKETS + bucket[same], minlength=n_docs * BUCKETS).reshape(n_docs, BUCKETS)
         out[:, :BUCKETS] = np.sqrt(counts / np.maximum(counts.sum(axis=1, keepdims=True), 1))
     if n_docs:
-        s = statistics(words)
         out[:, BUCKETS:] = np.stack([np.sqrt(s[k]) if k != "kinds" else s[k] for k in ("again", "capitals", "exclaims", "symbols", "bars", "kinds", "stops", "letters")], axis=1)
     return out
 
@@ -189,7 +189,8 @@ def _examples(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b in text_slices(batch):
             words = Words(batch.column("text")[a:b])
-            v, x = votes(statistics(words)), hashed(words)
+            s = statistics(words)
+            v, x = votes(s), hashed(words, s)
             yield pa.RecordBatch.from_arrays([pa.array(v @ (1 << np.arange(v.shape[1]))), pa.array([r.tobytes() for r in x.astype(np.float16)], pa.binary())], names=["pattern", "x"])
 
 
@@ -206,7 +207,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> tuple[Accuracies, Scorer]:
     share = min(1.0, sample / max(counts.sum(), 1))
     chosen = docs.where("text is not null").where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < int(share * (1 << 30))).select("text")
     rows = chosen.mapInArrow(_examples, "pattern long, x binary").limit(2 * sample).toPandas()
-    x = np.frombuffer(b"".join(map(bytes, rows["x"])), np.float16).reshape(len(rows), -1).astype(np.float32)
+    x = np.frombuffer(b"".join(map(bytes, rows["x"])), np.float16).reshape(len(rows), BUCKETS + EXTRA).astype(np.float32)
     return found, fit(x, found.posterior(_unpack(rows["pattern"].to_numpy(np.int64))).astype(np.float32))
 
 
@@ -215,9 +216,9 @@ _SCORED = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("posterio
 
 def _judged(found: Accuracies, scorer: Scorer, column: pa.Array, threshold: float):
     words = Words(column)
-    n = np.diff(words.first)
-    score = np.where(n > 0, np.round(scorer.score(hashed(words)).astype(np.float64), 6), 0.0)
-    return n, found.posterior(votes(statistics(words))), score, score >= threshold
+    n, s = np.diff(words.first), statistics(words)
+    score = np.where(n > 0, np.round(scorer.score(hashed(words, s)).astype(np.float64), 6), 0.0)
+    return n, found.posterior(votes(s)), score, score >= threshold
 
 
 def classify(docs: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
