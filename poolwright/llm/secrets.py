@@ -13,20 +13,25 @@ from pyspark.sql import functions as F
 
 from poolwright.llm.common import stored
 
-_NAMED = r"(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth)"
-#: Candidate patterns by kind, tried in this order. The value of an assignment is what follows its sign and quote.
+#: A name that holds one of the words, whatever stands around it (DB_PASSWORD, client_secret, userPassword2); an author, a secretary and a tokenizer are none.
+_NAMED = r"[A-Za-z0-9_.-]*(?i:password|passwd|pwd|secret(?!ar(?:y|i))|token(?!i[sz])|api[_-]?key|access[_-]?key|auth(?!or(?!i[sz])))[A-Za-z0-9_.-]*"
+_SIGN = r"[\"']?[ \t]{0,3}[:=][ \t]{0,3}[\"']?"
+_ALONE = r"(?<![A-Za-z0-9+/_-])"
+_BEGIN, _END = (rf"-----{x} [A-Z ]{{0,30}}PRIVATE KEY(?: BLOCK)?-----" for x in ("BEGIN", "END"))
+#: Candidate patterns by kind, tried in this order. The value of an assignment is what follows its sign and quote. A private key
+#: goes to its END line, or, without one, as far as lines of its letters follow.
 PATTERNS = {
-    "private_key": r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----",
-    "aws_key": r"AKIA[0-9A-Z]{16}",
-    "github": r"gh[pousr]_[A-Za-z0-9]{30,}",
-    "slack": r"xox[baprs]-[A-Za-z0-9-]{10,}",
-    "jwt": r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}",
-    "service": r"sk[-_][A-Za-z0-9_-]{16,}",
-    "assigned": _NAMED + r"[\"']?[ \t]{0,3}[:=][ \t]{0,3}[\"']?[^\s\"',;]{6,}",
-    "opaque": r"[A-Za-z0-9+/_-]{32,}={0,2}",
+    "private_key": _BEGIN + rf"(?:[\s\S]{{0,20000}}?{_END}|(?:(?:\s|\\[nr])+[A-Za-z0-9+/=]{{16,}}){{0,300}})",
+    "aws_key": _ALONE + r"AKIA[0-9A-Z]{16}",
+    "github": _ALONE + r"gh[pousr]_[A-Za-z0-9]{30,}",
+    "slack": _ALONE + r"xox[baprs]-[A-Za-z0-9-]{10,}",
+    "jwt": _ALONE + r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}",
+    "service": _ALONE + r"sk[-_][A-Za-z0-9_-]{16,}",
+    "assigned": r"(?<![A-Za-z0-9_.-])" + _NAMED + _SIGN + r"(?!-----BEGIN)[^\s\"',;]{6,}",
+    "opaque": _ALONE + r"[A-Za-z0-9+/_-]{32,}={0,2}",
 }
-CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?:" + "|".join(PATTERNS.values()) + ")"
-_PREFIX = r"^" + _NAMED + r"[\"']?[ \t]{0,3}[:=][ \t]{0,3}[\"']?"
+CANDIDATE = "|".join(PATTERNS.values())
+_PREFIX = "^" + _NAMED + _SIGN
 #: Words whose letters count as covered by the dictionary: what placeholders, identifiers and paths are made of.
 DICTIONARY = (
     "the and for you your this that with from have here not value name user admin root login account example sample dummy fake test demo default change "
@@ -92,6 +97,7 @@ def sample_findings(spark: SparkSession, n: int = 3000) -> DataFrame:
         (F.concat(F.lit("ghp_"), F.substr(mixed, F.lit(1), F.lit(36))), "github"),
         (F.concat(F.lit("sk-"), F.substr(mixed, F.lit(4), F.lit(32))), "service"),
         (F.concat(word(5), F.substr(mixed, F.lit(3), F.lit(6)), F.lit("!")), "assigned"),
+        (F.concat(F.lit("-----BEGIN RSA PRIVATE KEY-----\n"), F.repeat(F.concat(mixed, F.lit("\n")), (F.pmod("id", F.lit(40)) + 2).cast("int")), F.lit("-----END RSA PRIVATE KEY-----")), "private_key"),
     ]
     false = [
         (F.concat(word(1), word(2)), "assigned"),
@@ -102,6 +108,7 @@ def sample_findings(spark: SparkSession, n: int = 3000) -> DataFrame:
         (part(2, 40, 40), "opaque"),  # a checksum beside a word that says so
         (F.concat_ws("_", word(1), word(2), word(3), word(4), word(5), word(6), word(7)), "opaque"),
         (F.concat(word(3), pick(9, ["1", "12", "123", "1234", "2024"])), "assigned"),
+        (F.lit("-----BEGIN RSA PRIVATE KEY-----"), "private_key"),
     ]
     row = F.pmod(F.xxhash64("id", F.lit("row")), F.lit(len(true) + len(false))).cast("int")
     kinds = F.array(*[F.struct(v.alias("value"), F.lit(k).alias("kind"), F.lit(s).alias("is_secret")) for rows, s in ((true, 1), (false, 0)) for v, k in rows])
@@ -183,7 +190,7 @@ def with_findings(docs: DataFrame, rules: list, path: str | None = None) -> Data
         lambda m, i: F.struct(
             kind(m).alias("kind"),
             value(m, kind(m)).alias("value"),
-            F.concat_ws(" ", F.regexp_extract(F.substring(F.get("_pieces", i), -64, 64), r"(\S+)\s*$", 1), F.when(kind(m) == "assigned", F.regexp_extract(m, "^[A-Za-z_-]+", 0))).alias("before"),
+            F.concat_ws(" ", F.regexp_extract(F.substring(F.get("_pieces", i), -64, 64), r"(\S+)\s*$", 1), F.when(kind(m) == "assigned", F.regexp_replace(F.regexp_extract(m, "^[A-Za-z0-9_.-]+", 0), "([a-z0-9])([A-Z])", "$1 $2"))).alias("before"),
             F.regexp_extract(F.substring(F.get("_pieces", i + 1), 1, 64), r"^[\"',;]?\s*(\S+)", 1).alias("after"),
         ),
     )
