@@ -50,10 +50,13 @@ TOP_DOMAINS = frozenset("com org net edu gov mil int info biz name io ai app dev
 
 #: Without a match of these a text has no span: RE2 patterns, run over a batch.
 PLAIN_SIGN = r"[@0-9]"
+_WORDS = "(?:" + "|".join(_DIGIT_WORDS) + ")"
 DISGUISE_SIGN = (
-    r"(?i)[(\[{<]\s*(at|@|dot|\.)\s*[)\]}>]|\sdot\s|(zero|one|two|three|four|five|six|seven|eight|nine|oh|nought)[\s,.-]+(zero|one|two|three|four|five|six|seven|eight|nine|oh|nought)"
-    r"|[" + "".join(HOMOGLYPHS) + r"\x{ff01}-\x{ff5e}\x{200b}-\x{200d}\x{2060}\x{00ad}\x{feff}\x{0660}-\x{0669}\x{1d7ce}-\x{1d7ff}]"
+    rf"(?i)[(\[{{<]\s*(at|@|dot|\.)\s*[)\]}}>]|\sdot\s|{_WORDS}[\s,.-]+{_WORDS}|(\+|plus)[\s-]*{_WORDS}|[0-9][\s,.-]*{_WORDS}[\s,.-]*[0-9]"
+    r"|[\x{0300}-\x{10ffff}\x{00ad}]"
 )
+#: All that homoglyphs() may rewrite: the sign above holds the same characters.
+_REWRITABLE = re.compile("[\u0300-\U0010ffff\u00ad]")
 _INVISIBLE = frozenset("​‌‍⁠­﻿")
 
 Span = tuple[int, int, int]  # start, end, number of the kind
@@ -119,12 +122,13 @@ def homoglyphs(r: Rewritten) -> None:
     if r.text.isascii():
         return
     edits = []
-    for i, c in enumerate(r.text):
+    for m in _REWRITABLE.finditer(r.text):
+        i, c = m.start(), m[0]
         if c in _INVISIBLE:
             edits.append((i, i + 1, ""))
         elif c in HOMOGLYPHS:
             edits.append((i, i + 1, HOMOGLYPHS[c]))
-        elif c > "˿":
+        else:
             new = unicodedata.normalize("NFKC", c) if not c.isdecimal() else str(unicodedata.decimal(c))
             if len(new) == 1 and new.isascii() and not new.isspace():
                 edits.append((i, i + 1, new))
