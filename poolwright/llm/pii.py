@@ -35,7 +35,7 @@ HOMOGLYPHS = dict(
     )
 )
 _DIGIT_WORDS = {w: str(i) for i, w in enumerate("zero one two three four five six seven eight nine".split())} | {"oh": "0", "nought": "0"}
-_SPELLED = re.compile(rf"(?i)(?<![A-Za-z])(?:plus[\s-]+)?(?:{'|'.join(_DIGIT_WORDS)})(?:[\s,.-]+(?:{'|'.join(_DIGIT_WORDS)}))+(?![A-Za-z])")
+_SPELLED = re.compile(rf"(?i)(?<![A-Za-z])(?:plus[\s-]+)?(?:{'|'.join(_DIGIT_WORDS)})(?:[\s,.-]+(?:{'|'.join(_DIGIT_WORDS)}))*(?![A-Za-z])")
 _DIGIT_WORD = re.compile(rf"(?i){'|'.join(_DIGIT_WORDS)}")
 _PLUS_WORD = re.compile(r"(?i)plus")
 _AT = r"\s*(?:[(\[{<]\s*(?:at|@)\s*[)\]}>]|\s(?:at|AT)\s)\s*"
@@ -43,6 +43,8 @@ _DOT = r"\s*(?:[(\[{<]\s*(?:dot|\.)\s*[)\]}>]|\s(?:dot|DOT)\s)\s*"
 _NAME = r"[A-Za-z0-9_%+-]+"
 _ADDRESS = re.compile(rf"{_NAME}(?:(?:{_DOT}|\.){_NAME})*(?:{_AT}|@)[A-Za-z0-9-]+(?:(?:{_DOT}|\.)[A-Za-z0-9-]+)+", re.I)
 _AT_TOKEN, _DOT_TOKEN = re.compile(_AT, re.I), re.compile(_DOT, re.I)
+_DIGIT_BEFORE, _DIGIT_AFTER = re.compile(r"[0-9][\s,.-]*$"), re.compile(r"[\s,.-]*[0-9]")
+_MARK_BEFORE = re.compile(rf"(?:\+\s*|{_DOT})$", re.I)
 _NUMBER_DOTS = re.compile(rf"[0-9]+(?:(?:{_DOT}|\.)[0-9]+){{3}}", re.I)
 
 #: Endings that make `name at host dot ending` an address (fixed values).
@@ -137,14 +139,20 @@ def homoglyphs(r: Rewritten) -> None:
 
 
 def spelled_digits(r: Rewritten) -> None:
-    """Runs of at least seven spelled digits to digits, `plus` before them to +; other runs are prose and stay."""
+    """Spelled digits to digits, `plus` before them to +: runs of seven or more, those beside a spelled dot or after a plus,
+    those of two or more beside digits and single ones between digits. Other runs are prose and stay; of these ones, length,
+    range and Luhn tests tell what is a number."""
     edits = []
     for m in _SPELLED.finditer(r.text):
         words = list(_DIGIT_WORD.finditer(r.text, m.start(), m.end()))
-        if len(words) < 7:
-            continue
         at = m.start()
-        if p := _PLUS_WORD.match(r.text, at):
+        p = _PLUS_WORD.match(r.text, at)
+        if len(words) < 7 and not p:
+            before, after = r.text[max(0, at - 12) : at], r.text[m.end() : m.end() + 12]
+            digits = bool(_DIGIT_BEFORE.search(before)) + bool(_DIGIT_AFTER.match(after))
+            if not (_MARK_BEFORE.search(before) or _DOT_TOKEN.match(after) or digits and (digits == 2 or len(words) > 1)):
+                continue
+        if p:
             edits.append((at, p.end(), "+"))
             at = p.end()
         for w in words:

@@ -35,3 +35,19 @@ def test_gate_changes_nothing():
     for _ in range(20_000):
         text = "".join(r.choice(parts) for _ in range(r.randint(1, 16)))
         assert both(text) == pii.find(text), text
+
+
+def test_spelled_in_part():
+    cases = {
+        "host one nine two dot one six eight dot zero dot one is": "one nine two dot one six eight dot zero dot one",
+        "ring +44 seven seven zero zero 900123 now": "+44 seven seven zero zero 900123",
+        "ring plus four four 7700 900123 now": "plus four four 7700 900123",
+        "at 192 dot one six eight (dot) 0 dot 1 ok": "192 dot one six eight (dot) 0 dot 1",
+    }
+    for text, want in cases.items():
+        assert [text[a:b] for a, b, _ in both(text)[1]] == [want], text
+    for text in ("one dot on the map, two dots", "+1 202 555 0100", "in 2019 one of two went", "meet me at example.com", "three dot four"):
+        base, every = both(text)
+        assert base == every, text
+    text = "call +1 202 555 0100 one more time"
+    assert [text[a:b] for a, b, _ in both(text)[1]] == ["+1 202 555 0100"]
