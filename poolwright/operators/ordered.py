@@ -116,14 +116,29 @@ def shuffle_seeded(values: Column, seed: int, salt: Column) -> Column:
     return F.transform(F.array_sort(F.transform(values, lambda v, i: F.struct(F.xxhash64(F.lit(seed), salt, v, i).alias("h"), i.alias("i"), v.alias("v")))), lambda x: x["v"])
 
 
-def negatives(rows: DataFrame, answers: DataFrame, count: int, seed: int, width: int = 8) -> DataFrame:
-    """`rows` with `negatives`: up to `count` distinct answers that differ from gold_answer.
-
-    `answers` (answer) is cut to `width` x `count` + 1 rows by hash, which is what makes it small enough to broadcast; each
-    row then orders these by a hash of its own. Ends also where there are fewer answers than asked for."""
-    few = answers.select("answer").distinct().orderBy(F.xxhash64(F.lit(seed), "answer"), "answer").limit(width * count + 1).agg(F.collect_list("answer").alias("_all"))
-    other = F.filter("_all", lambda a: a != F.col("gold_answer"))
-    return rows.join(F.broadcast(few)).withColumn("negatives", F.slice(shuffle_seeded(other, seed, F.col("example_id")), 1, count)).drop("_all")
+def negatives(rows: DataFrame, answers: DataFrame, count: int, seed: int) -> DataFrame:
+    """`rows` with `negatives`: up to `count` distinct answers that differ from gold_answer, drawn by hash of seed, example and
+    draw from all distinct `answers` (answer).
+
+    Answers are numbered in hash order, each partition from where the one before ends, and drawn numbers are joined to them,
+    so nothing is broadcast. A row draws consecutive numbers from a start of its own, one to spare in place of gold. Where
+    there are fewer answers than asked for, all of them are given."""
+    own = answers.select("answer").where("answer is not null").distinct().select(F.xxhash64(F.lit(seed), "answer").alias("_h"), "answer")
+    # a number within each of 4096 buckets by hash, and bucket starts from their counts: no window holds all answers
+    bucket = own.withColumn("_b", F.pmod("_h", F.lit(4096)))
+    sizes = bucket.groupBy("_b").agg(F.count("*").alias("_n"))
+    starts = sizes.withColumn("_from", F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))).select("_b", F.coalesce("_from", F.lit(0)).alias("_from"))
+    numbered = bucket.withColumn("_i", F.row_number().over(Window.partitionBy("_b").orderBy("_h", "answer")) - 1).join(F.broadcast(starts), "_b").select((F.col("_i") + F.col("_from")).alias("_number"), "answer")
+    total = sizes.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_total"))
+    keyed = rows.join(F.broadcast(total))
+    start = F.pmod(F.xxhash64(F.lit(seed), "example_id"), F.col("_total"))
+    keys = keyed.select("example_id", "gold_answer", "_total").distinct().where("_total > 0")
+    draws = keys.select("example_id", "gold_answer", F.posexplode(F.transform(F.sequence(F.lit(0), F.least(F.lit(count), F.col("_total") - 1).cast("int")), lambda i: F.pmod(start + i, F.col("_total")))).alias("_at", "_number"))
+    drawn = draws.join(numbered, "_number").where("answer <> gold_answer").groupBy("example_id", "gold_answer")
+    found = drawn.agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("_at", "answer"))), lambda x: x["answer"]), 1, count).alias("negatives"))
+    found = found.withColumnsRenamed({"example_id": "_example", "gold_answer": "_gold"})
+    out = rows.join(found, rows["example_id"].eqNullSafe(found["_example"]) & rows["gold_answer"].eqNullSafe(found["_gold"]), "left").drop("_example", "_gold")
+    return out.withColumn("negatives", F.coalesce("negatives", F.array().cast("array<string>")))
 
 
 def limit_prefix(rows: DataFrame, position: str, n: int, offset: int = 0) -> DataFrame:
