@@ -22,15 +22,16 @@ _BEGIN, _END = (rf"-----{x} [A-Z ]{{0,30}}PRIVATE KEY(?: BLOCK)?-----" for x in
 #: goes to its END line, or, without one, as far as lines of its letters follow.
 PATTERNS = {
     "private_key": _BEGIN + rf"(?:[\s\S]{{0,20000}}?{_END}|(?:(?:\s|\\[nr])+[A-Za-z0-9+/=]{{16,}}){{0,300}})",
-    "aws_key": _ALONE + r"AKIA[0-9A-Z]{16}",
-    "github": _ALONE + r"gh[pousr]_[A-Za-z0-9]{30,}",
-    "slack": _ALONE + r"xox[baprs]-[A-Za-z0-9-]{10,}",
-    "jwt": _ALONE + r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}",
-    "service": _ALONE + r"sk[-_][A-Za-z0-9_-]{16,}",
-    "assigned": r"(?<![A-Za-z0-9_.-])" + _NAMED + _SIGN + r"(?!-----BEGIN)[^\s\"',;]{6,}",
-    "opaque": _ALONE + r"[A-Za-z0-9+/_-]{32,}={0,2}",
+    "aws_key": r"AKIA[0-9A-Z]{16}",
+    "github": r"gh[pousr]_[A-Za-z0-9]{30,}",
+    "slack": r"xox[baprs]-[A-Za-z0-9-]{10,}",
+    "jwt": r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}",
+    "service": r"sk[-_][A-Za-z0-9_-]{16,}",
+    "assigned": r"(?<![A-Za-z0-9_.-])(?=[A-Za-z0-9_.-]++[\"']?[ \t]{0,3}[:=])" + _NAMED + _SIGN + r"(?!-----BEGIN)[^\s\"',;]{6,}",
+    "opaque": r"[A-Za-z0-9+/_-]{32,}={0,2}",
 }
-CANDIDATE = "|".join(PATTERNS.values())
+_SOLID = "|".join(PATTERNS[k] for k in ("aws_key", "github", "slack", "jwt", "service"))
+CANDIDATE = f"{PATTERNS['private_key']}|(?<![A-Za-z0-9_])(?:{_ALONE}(?:{_SOLID})|{PATTERNS['assigned']}|{_ALONE}{PATTERNS['opaque']})"
 _PREFIX = "^" + _NAMED + _SIGN
 #: Words whose letters count as covered by the dictionary: what placeholders, identifiers and paths are made of.
 DICTIONARY = (
