@@ -11,9 +11,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes and rows of text that one numpy pass works on; a single longer text is a slice of its own.
-SLICE_BYTES, SLICE_ROWS = 2_000_000, 1000
+SLICE_BYTES, SLICE_ROWS = 1_000_000, 500
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,9 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local master gets a folder of
+    its own; a cluster has no folder that could be guessed, so that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="poolwright-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
@@ -34,7 +38,27 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """`df` written as Parquet in the shared folder and read back: cuts lineage and outlives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/poolwright/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes the files of stored tables that nothing reads any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def with_rows(docs: DataFrame) -> DataFrame:
+    """`docs` stored as (id, row): a number for each row, which reading again doesn't change, and its columns as a struct, so
+    that none of their names meets another."""
+    return stored(docs.select(F.monotonically_increasing_id().alias("id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")), "rows")
+
+
+def plain_rows(rows: DataFrame) -> DataFrame:
+    """The columns that with_rows() put into the struct."""
+    return rows.select("row.*")
 
 
 def release(spark: SparkSession) -> None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from poolwright.llm.common import stored
+from poolwright.llm.common import discard, stored
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -32,6 +32,10 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         seen = edges.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first()
         if seen == mark or not seen[0]:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            out = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            out.stored_at = edges.stored_at
+            return out
         mark = seen
-        edges = stored(_star(_star(edges, True), False), "edges")
+        grown = stored(_star(_star(edges, True), False), "edges")
+        discard(edges)
+        edges = grown

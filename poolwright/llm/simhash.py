@@ -17,16 +17,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from poolwright.llm.common import stored, text_slices, utf8
+from poolwright.llm.common import plain_rows, stored, text_slices, utf8, with_rows
 from poolwright.llm.components import components
 
 RADIUS, WORDS, SHARD = 3, 3, 4096
-_FP = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("fp", pa.int64())])
+_FP = pa.schema([("id", pa.int64()), ("doc_id", pa.int64()), ("tag", pa.int64()), ("fp", pa.int64())])
 _PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, tag, fp): tag is a hash of the text, fp the 64 bits as a signed long. A bit is 1 if set in over half the shingles' XXH64 (seed 42); null or
+def fingerprints(docs: DataFrame, words: int = WORDS, number: str | None = None) -> DataFrame:
+    """(id, doc_id, tag, fp): id is the column `number`, null where none is named; tag is a hash of the text, fp the 64 bits as a signed long. A bit is 1 if set in over half the shingles' XXH64 (seed 42); null or
     blank text: 0; fewer words than a shingle: the whole sequence is one."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -46,9 +46,10 @@ def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
                     starts = [0, *[e + 1 for e in ends[: n - words]]]
                     hashes += [digest(joined[s:e], 42) for s, e in zip(starts, ends[words - 1 :], strict=True)]
                     counts.append(n - words + 1)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b].cast(pa.int64()), batch.column("tag")[a:b], pa.array(majority(np.array(hashes, np.uint64), np.array(counts)))], schema=_FP)
+                yield pa.RecordBatch.from_arrays([batch.column("id")[a:b], batch.column("doc_id")[a:b].cast(pa.int64()), batch.column("tag")[a:b], pa.array(majority(np.array(hashes, np.uint64), np.array(counts)))], schema=_FP)
 
-    return docs.select("doc_id", F.xxhash64("text").alias("tag"), "text").mapInArrow(run, "doc_id long, tag long, fp long")
+    own = F.col(number) if number else F.lit(None)
+    return docs.select(own.cast("long").alias("id"), "doc_id", F.xxhash64("text").alias("tag"), "text").mapInArrow(run, "id long, doc_id long, tag long, fp long")
 
 
 def majority(hashes: np.ndarray, counts: np.ndarray, step: int = 200_000) -> np.ndarray:
@@ -160,31 +161,33 @@ def links(distinct: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> Data
         rows = stored(keyed.join(big, "path", "left_semi").select("fp", "rest", "path"), "shards")
 
 
-def classes(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
-    """One row for each document: doc_id, tag (hash of the text), fp (signed long), root (a fingerprint that names the class),
+def classes(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, number: str | None = None) -> DataFrame:
+    """One row for each document: id (the column `number`, if one is named), doc_id, tag (hash of the text), fp (signed long), root (a fingerprint that names the class),
     component_id (smallest doc_id reachable over links of at most `radius` bits, itself included).
 
     Equal fingerprints are one node, so copies are never paired. Null text counts as empty; all texts without words share
     fingerprint 0 and are linked like any other. A null doc_id is carried and never names a component unless all its
     members' are null; repeated doc_ids are rows of their own. An empty table gives no rows; other columns aren't read.
     """
-    own = stored(fingerprints(docs, words), "fingerprints")
+    own = stored(fingerprints(docs, words, number), "fingerprints")
     distinct = stored(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     roots = components(links(distinct, radius))
     named = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     best = named.groupBy("root").agg(F.min("least").alias("component_id"))
     label = named.join(best, "root").select("fp", "root", "component_id")
-    return own.join(label, "fp").select("doc_id", "tag", "fp", "root", "component_id")
+    return own.join(label, "fp").select("id", "doc_id", "tag", "fp", "root", "component_id")
 
 
 def representatives(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
     """The rows of `docs`, all columns, of which no other row in the same class comes first: by doc_id (null last), then by
-    text hash. Rows equal in both are copies, of which one stays."""
-    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tag")
-    first = classes(docs.select("doc_id", "text"), words, radius).groupBy("root").agg(F.min(order).alias("o")).select(F.col("o.doc_id").alias("_doc"), F.col("o.tag").alias("_tag"))
-    own = docs.withColumn("_text", F.xxhash64("text"))
-    once = own.join(first, own["doc_id"].eqNullSafe(first["_doc"]) & (own["_text"] == first["_tag"]), "left_semi")
-    return once.dropDuplicates(["doc_id", "_text"]).select(*docs.columns)
+    text hash. Rows equal in both are copies, of which one stays. Null text counts as empty; an empty table gives no rows;
+    columns of any name are carried."""
+    rows = with_rows(docs)
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tag", "id")
+    named = classes(rows.select("id", F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text")), words, radius, "id")
+    first = named.groupBy("root").agg(F.min(order).alias("o")).select(F.col("o.id").alias("id"))
+    gone = stored(rows.select("id").join(first, "id", "left_anti"), "gone")
+    return plain_rows(rows.join(gone, "id", "left_anti"))
 
 
 def query(docs: DataFrame) -> DataFrame:
