@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame
 from poolwright.llm.common import text_slices, utf8
 
 WINDOW, END_ID = 2048, 1
-#: Distinct words whose ids a task keeps; the table starts anew beyond it, which changes no result.
-WORDS_KEPT = 400_000
+#: Distinct words whose ids a worker process keeps from task to task; the table starts anew beyond it, which changes no result.
+WORDS_KEPT = 1_000_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _ARROW = pa.schema([(x.split()[0], pa.int64()) for x in SCHEMA.split(", ")])
 
@@ -76,12 +76,16 @@ class Ids:
         self.ends[[i for t, i in vocab.items() if mark and t.endswith(mark)]] = True
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
-        split = [(t if b"<|" in t else t.lower()).split() for t in texts]  # names of special tokens keep their case
         if len(self.words) > WORDS_KEPT:
             self.words = {}
-        self.learn(set().union(*split).difference(self.words))
-        known = self.words
-        return [b"".join([known[w] for w in words]) for words in split]
+        split = [(t if b"<|" in t else t.lower()).split() for t in texts]  # names of special tokens keep their case
+        known, new = self.words, set()
+        found = [list(map(known.get, words)) for words in split]
+        for words, got in zip(split, found, strict=True):
+            if None in got:
+                new.update([w for w, g in zip(words, got, strict=True) if g is None])
+        self.learn(new)
+        return [b"".join([known[w] for w in words] if None in got else got) for words, got in zip(split, found, strict=True)]
 
     def learn(self, new: set[bytes]) -> None:
         cut = {}
@@ -112,6 +116,17 @@ class Ids:
                 self.words[w] = np.asarray(e.ids, "<u4").tobytes()
 
 
+_IDS: dict[str, Ids] = {}
+
+
+def ids_of(path: str) -> Ids:
+    """This process's table for a tokenizer file."""
+    if path not in _IDS:
+        _IDS.clear()
+        _IDS[path] = Ids(path)
+    return _IDS[path]
+
+
 def pack(docs: DataFrame, tokenizer: str | None = None, size: int = WINDOW, end_id: int = END_ID) -> DataFrame:
     """One row for each piece of each document: see SCHEMA.
 
@@ -123,7 +138,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, size: int = WINDOW, end_
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
 
-        ids, levels = Ids(tokenizer or public_tokenizers.path("word_bpe_49k.json")), Levels(size)
+        ids, levels = ids_of(tokenizer or public_tokenizers.path("word_bpe_49k.json")), Levels(size)
         end, base = np.asarray([end_id], "<u4").tobytes(), TaskContext.get().partitionId() << 36
         for batch in batches:
             for a, b in text_slices(batch):
