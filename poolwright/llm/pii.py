@@ -3,11 +3,13 @@
 The plain patterns are matched in the text itself. A transducer then rewrites disguises - homoglyphs, spelled digits, `at`
 and `dot` in words or brackets - and keeps for every character written the source span it came from; the same patterns
 run over the rewritten text, and what they find is mapped back to source characters. Texts without any sign of an
-identifier or a disguise are told apart first, for a whole batch, by two linear-time patterns.
+identifier or a disguise are told apart first, for a whole batch, by two linear-time patterns. Everything runs in time
+linear in the text: numbers are entered at the first digit of a run only, addresses are read outwards from their signs.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 import unicodedata
@@ -22,7 +24,8 @@ from poolwright.llm.common import text_slices
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+#: A match that begins within a run of digits would end where one from its first digit ends.
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
@@ -34,27 +37,42 @@ HOMOGLYPHS = dict(
         strict=True,
     )
 )
-_DIGIT_WORDS = {w: str(i) for i, w in enumerate("zero one two three four five six seven eight nine".split())} | {"oh": "0", "nought": "0"}
-_SPELLED = re.compile(rf"(?i)(?<![A-Za-z])(?:plus[\s-]+)?(?:{'|'.join(_DIGIT_WORDS)})(?:[\s,.-]+(?:{'|'.join(_DIGIT_WORDS)}))*(?![A-Za-z])")
-_DIGIT_WORD = re.compile(rf"(?i){'|'.join(_DIGIT_WORDS)}")
-_PLUS_WORD = re.compile(r"(?i)plus")
-_AT = r"\s*(?:[(\[{<]\s*(?:at|@)\s*[)\]}>]|\s(?:at|AT)\s)\s*"
-_DOT = r"\s*(?:[(\[{<]\s*(?:dot|\.)\s*[)\]}>]|\s(?:dot|DOT)\s)\s*"
-_NAME = r"[A-Za-z0-9_%+-]+"
-_ADDRESS = re.compile(rf"{_NAME}(?:(?:{_DOT}|\.){_NAME})*(?:{_AT}|@)[A-Za-z0-9-]+(?:(?:{_DOT}|\.)[A-Za-z0-9-]+)+", re.I)
-_AT_TOKEN, _DOT_TOKEN = re.compile(_AT, re.I), re.compile(_DOT, re.I)
+#: Spelled digits in English, German, French and Spanish (fixed values).
+_DIGIT_WORDS = {
+    w: str(i)
+    for words in ("zero one two three four five six seven eight nine", "null eins zwei drei vier fünf sechs sieben acht neun", "zéro un deux trois quatre cinq six sept huit neuf", "cero uno dos tres cuatro cinco seis siete ocho nueve")
+    for i, w in enumerate(words.split())
+} | {"oh": "0", "nought": "0"}
+_WORDS = "(?:" + "|".join(sorted(_DIGIT_WORDS, key=len, reverse=True)) + ")"
+_SPELLED = re.compile(rf"(?i)(?<![A-Za-z])(?:plus[\s-]+)?{_WORDS}(?:[\s,.-]+{_WORDS})*(?![A-Za-z])")
+_DIGIT_WORD, _PLUS_WORD, _PLUS_NUMBER = re.compile(f"(?i){_WORDS}"), re.compile(r"(?i)plus"), re.compile(r"(?i)(?<![A-Za-z])plus[\s-]*(?=[0-9])")
+_AT_WORDS, _DOT_WORDS = "at|arobase|arroba|@", r"dot|punkt|punto|point"
+#: The sign of a token, bracketed or between spaces, or as it is.
+_TOKEN = re.compile(rf"(?i)(?P<open>[(\[{{<]\s*)?(?:(?P<at>{_AT_WORDS})|(?P<dot>{_DOT_WORDS}|\.))")
+_CLOSE = re.compile(r"\s*[)\]}>]")
+_DOT = rf"(?:\s*+(?:[(\[{{<]\s*+(?:{_DOT_WORDS}|\.)\s*+[)\]}}>]|(?<=\s)(?:{_DOT_WORDS})(?=\s))\s*+)"
+_DOT_TOKEN = re.compile(_DOT, re.I)
+_NAME = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_%+-")
+_HOST = _NAME - frozenset("_%+")
 _DIGIT_BEFORE, _DIGIT_AFTER = re.compile(r"[0-9][\s,.-]*$"), re.compile(r"[\s,.-]*[0-9]")
+_PLUS_GAP = re.compile(r"\+[\s-]+$")
 _MARK_BEFORE = re.compile(rf"(?:\+\s*|{_DOT})$", re.I)
-_NUMBER_DOTS = re.compile(rf"[0-9]+(?:(?:{_DOT}|\.)[0-9]+){{3}}", re.I)
+_NUMBER_DOTS = re.compile(rf"(?<![0-9])[0-9]++(?:(?:{_DOT}|\.)[0-9]++){{3}}", re.I)
 
 #: Endings that make `name at host dot ending` an address (fixed values).
 TOP_DOMAINS = frozenset("com org net edu gov mil int info biz name io ai app dev co me tv us uk de fr es it nl be ch at eu pl pt se no fi dk ie ru cn jp in br au ca mx".split())
 
+#: What before a name says that an address follows, and words before `at` that are no names (fixed values).
+_CUE = re.compile(r"(?i)\b(?:e-?mails?|mail|contact|write|reach|address|correo|adresse)\b")
+NOT_NAMES = frozenset("me us him her it them you out look see be is are was were available found hosted here there online visit page site team people and or not".split())
+
 #: Without a match of these a text has no span: RE2 patterns, run over a batch.
 PLAIN_SIGN = r"[@0-9]"
-_WORDS = "(?:" + "|".join(_DIGIT_WORDS) + ")"
+_S = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}]"
+_SEP = r"[\s\x0b\x1c-\x1f\x{85}\x{a0},.-]"
 DISGUISE_SIGN = (
-    rf"(?i)[(\[{{<]\s*(at|@|dot|\.)\s*[)\]}}>]|\sdot\s|{_WORDS}[\s,.-]+{_WORDS}|(\+|plus)[\s-]*{_WORDS}|[0-9][\s,.-]*{_WORDS}[\s,.-]*[0-9]"
+    rf"(?i)[(\[{{<]{_S}*({_AT_WORDS}|{_DOT_WORDS}|\.){_S}*[)\]}}>]|{_S}({_DOT_WORDS}){_S}|{_S}({_AT_WORDS}){_S}+[a-z0-9-]+\.[a-z0-9-]"
+    rf"|(^|[^A-Za-z]){_WORDS}{_SEP}+{_WORDS}([^A-Za-z]|$)|(\+|plus[\s\x0b\x1c-\x1f\x{{85}}\x{{a0}}-]){_SEP}*{_WORDS}|plus[\s\x0b\x1c-\x1f\x{{85}}\x{{a0}}-]*[0-9]|[0-9]{_SEP}*{_WORDS}{_SEP}*[0-9]"
     r"|[\x{0300}-\x{10ffff}\x{00ad}]"
 )
 #: All that homoglyphs() may rewrite: the sign above holds the same characters.
@@ -139,22 +157,23 @@ def homoglyphs(r: Rewritten) -> None:
 
 
 def spelled_digits(r: Rewritten) -> None:
-    """Spelled digits to digits, `plus` before them to +: runs of seven or more, those beside a spelled dot or after a plus,
-    those of two or more beside digits and single ones between digits. Other runs are prose and stay; of these ones, length,
-    range and Luhn tests tell what is a number."""
+    """Spelled digits to digits and `plus` before a number to +: runs of two or more, single ones beside a spelled dot or
+    after a plus or between digits. A single word elsewhere is prose and stays; of all others, length, range and Luhn tests
+    tell what is a number."""
     edits = []
     for m in _SPELLED.finditer(r.text):
         words = list(_DIGIT_WORD.finditer(r.text, m.start(), m.end()))
         at = m.start()
         p = _PLUS_WORD.match(r.text, at)
-        if len(words) < 7 and not p:
+        if len(words) < 2 and not p:
             before, after = r.text[max(0, at - 12) : at], r.text[m.end() : m.end() + 12]
-            digits = bool(_DIGIT_BEFORE.search(before)) + bool(_DIGIT_AFTER.match(after))
-            if not (_MARK_BEFORE.search(before) or _DOT_TOKEN.match(after) or digits and (digits == 2 or len(words) > 1)):
+            if not (_MARK_BEFORE.search(before) or _DOT_TOKEN.match(after) or _DIGIT_BEFORE.search(before) and _DIGIT_AFTER.match(after)):
                 continue
         if p:
             edits.append((at, p.end(), "+"))
             at = p.end()
+        elif gap := _PLUS_GAP.search(r.text, max(0, at - 12), at):
+            edits.append((gap.start() + 1, at, ""))
         for w in words:
             if at < w.start():
                 edits.append((at, w.start(), ""))
@@ -162,23 +181,87 @@ def spelled_digits(r: Rewritten) -> None:
             at = w.end()
     if edits:
         r.replace(edits)
+    if edits := [(m.start(), m.end(), "+") for m in _PLUS_NUMBER.finditer(r.text)]:
+        r.replace(edits)
+
+
+def sign_tokens(text: str) -> list[tuple[int, int, str, str]]:
+    """(start, end, sign, form) of what stands for @ or a dot, spaces around disguises included. form: `plain` (the sign
+    itself), `bare` (a word between spaces) or `bracketed`."""
+    out = []
+    for m in _TOKEN.finditer(text):
+        a, b, sign, form = m.start(), m.end(), "@" if m["at"] else ".", "plain"
+        if m["open"] and (close := _CLOSE.match(text, b)):
+            b, form = close.end(), "bracketed"
+        else:
+            a = m.start("at" if m["at"] else "dot")
+            spaced = a and b < len(text) and text[a - 1].isspace() and text[b].isspace()
+            if spaced and text[a] != ".":
+                form = "bare"
+            elif text[a] not in "@.":
+                continue
+        if form != "plain":
+            while a and text[a - 1].isspace():
+                a -= 1
+            while b < len(text) and text[b].isspace():
+                b += 1
+        out.append((a, b, sign, form))
+    return out
 
 
 def words_for_signs(r: Rewritten) -> None:
-    """`at` and `dot` disguises to @ and . inside what reads as an address or as four numbers. Bare words count only where
-    a sign in the address is bracketed or the address ends in a common top-level domain, else they are prose."""
-    edits: list[tuple[int, int, str]] = []
-    if "dot" in (low := r.text.lower()) or re.search(r"[(\[{<]\s*(?:at|@|\.)\s*[)\]}>]", low):
-        for m in _ADDRESS.finditer(r.text):
-            inside = [(t.start(), t.end(), ".") for t in _DOT_TOKEN.finditer(r.text, m.start(), m.end())]
-            at = [(t.start(), t.end(), "@") for t in _AT_TOKEN.finditer(r.text, m.start(), m.end())]
-            bracketed = any(r.text[a:b].strip()[:1] in "([{<" for a, b, _ in inside + at)
-            if bracketed or inside and re.split(r"[.\s]", m[0])[-1].lower() in TOP_DOMAINS:
-                edits += inside + at
-        for m in _NUMBER_DOTS.finditer(r.text):
-            edits += [(t.start(), t.end(), ".") for t in _DOT_TOKEN.finditer(r.text, m.start(), m.end())]
+    """`at` and `dot` disguises to @ and . inside what reads as an address or as four numbers.
+
+    An address is read outwards from each @. Bare words count only where a sign in the address is bracketed or it ends in a
+    common top-level domain; a bare `at` before a plain host also needs a name that is no common word, with a digit or sign
+    in it or an e-mail cue before it. All else is prose."""
+    text = r.text
+    tokens = sign_tokens(text)
+    edits: set[tuple[int, int, str]] = set()
+    dots_to = {t[1]: t for t in tokens if t[2] == "."}
+    dots_from = {t[0]: t for t in tokens if t[2] == "."}
+    floor = 0
+    for at in tokens:
+        if at[2] != "@":
+            continue
+        used, begin = [at], at[0]
+        while True:
+            a = begin
+            while a > floor and text[a - 1] in _NAME:
+                a -= 1
+            if a == begin:
+                break
+            begin = a
+            if not ((dot := dots_to.get(a)) and dot[0] > floor and text[dot[0] - 1] in _NAME):
+                break
+            used.append(dot)
+            begin = dot[0]
+        if begin == at[0]:
+            continue
+        end, atoms, last = at[1], 0, ""
+        while True:
+            b = end
+            while b < len(text) and text[b] in _HOST:
+                b += 1
+            if b == end:
+                break
+            last, end, atoms = text[end:b], b, atoms + 1
+            if not ((dot := dots_from.get(b)) and dot[1] < len(text) and text[dot[1]] in _HOST):
+                break
+            used.append(dot)
+            end = dot[1]
+        if atoms < 2:
+            continue
+        floor = end
+        forms, name = {t[3] for t in used}, text[begin : at[0]]
+        spelled = any(t[3] == "bare" and t[2] == "." for t in used)
+        named = name.lower() not in NOT_NAMES and (not name.isalpha() or bool(_CUE.search(text[max(0, begin - 40) : begin])))
+        if "bracketed" in forms or last.lower() in TOP_DOMAINS and (spelled or named):
+            edits.update((a, b, sign) for a, b, sign, form in used if form != "plain")
+    for m in _NUMBER_DOTS.finditer(text):
+        edits.update((t.start(), t.end(), ".") for t in _DOT_TOKEN.finditer(text, m.start(), m.end()))
     if edits:
-        r.replace(sorted(set(edits)))
+        r.replace(sorted(edits))
 
 
 def disguised(text: str) -> list[Span]:
@@ -192,7 +275,12 @@ def disguised(text: str) -> list[Span]:
 def find(text: str, sign: bool = True, disguise: bool = True) -> tuple[list[Span], list[Span]]:
     """Base spans, and all spans: those of the rewritten text are added unless a base span of their kind holds them."""
     base = plain(text) if sign else []
-    more = [s for s in disguised(text) if not any(b[0] <= s[0] and s[1] <= b[1] and s[2] == b[2] for b in base)] if disguise else []
+    more = disguised(text) if disguise else []
+    if more:
+        own = [[s for s in base if s[2] == k] for k in range(len(KINDS))]
+        starts = [[s[0] for s in spans] for spans in own]
+        held = lambda s: (i := bisect.bisect_right(starts[s[2]], s[0])) and own[s[2]][i - 1][1] >= s[1]  # noqa: E731  spans of a kind don't overlap
+        more = [s for s in more if not held(s)]
     return base, sorted({*base, *more}, key=lambda s: (s[0], s[2], s[1])) if more else base
 
 
@@ -205,11 +293,11 @@ def signs(column: pa.Array) -> tuple[list[bool], list[bool]]:
     return tuple(pc.fill_null(pc.match_substring_regex(column, p), False).to_pylist() for p in (PLAIN_SIGN, DISGUISE_SIGN))
 
 
-_ROW = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base_sha256", pa.string()), ("spans", pa.string())])
+_ROW = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base_sha256", pa.string()), ("spans", pa.string()), ("n_spans", pa.int64())])
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """For each row of `docs`: doc_id, base spans by kind (n_email, n_ip, n_card, n_phone), base_sha256, spans (all).
+    """For each row of `docs`: doc_id, base spans by kind (n_email, n_ip, n_card, n_phone), base_sha256, spans (all), n_spans.
 
     Offsets are code points, ends exclusive. Null text counts as empty: no spans. Rows are independent, so null and
     repeated doc_ids are carried, other columns are not read, and a table without rows gives none.
@@ -222,11 +310,11 @@ def scan(docs: DataFrame) -> DataFrame:
                 column, rows = batch.column("text")[a:b], []
                 for doc, text, plain_, hidden in zip(batch.column("doc_id")[a:b].to_pylist(), column, *signs(column), strict=True):
                     if not plain_ and not hidden:
-                        rows.append((doc, 0, 0, 0, 0, nothing, ""))
+                        rows.append((doc, 0, 0, 0, 0, nothing, "", 0))
                         continue
                     base, every = find(text.as_py(), plain_, hidden)
                     counts = [sum(s[2] == k for s in base) for k in range(4)]
-                    rows.append((doc, *counts, hashlib.sha256(written(base).encode()).hexdigest(), written(every)))
+                    rows.append((doc, *counts, hashlib.sha256(written(base).encode()).hexdigest(), written(every), len(every)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ROW, strict=True)], schema=_ROW)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long")
