@@ -67,34 +67,72 @@ def _netpbm(data: bytes) -> np.ndarray:
     return out.reshape((height, width, 3) if channels == 3 else (height, width))
 
 
+def _masked(values: np.ndarray, mask: int) -> np.ndarray:
+    """The bits of a mask, widened to 0 to 255."""
+    if not mask:
+        return np.zeros(values.shape, np.uint8)
+    low = (mask & -mask).bit_length() - 1
+    return ((values.astype(np.int64) & mask) >> low) * 255 // (mask >> low)
+
+
 def _bmp(data: bytes) -> np.ndarray:
     if len(data) < 54:
         raise MediaError("header")
     start, size, width, height, _, depth, packed = struct.unpack_from("<IIiiHHI", data, 10)
-    if packed not in (0, 3) or depth not in (8, 24, 32) or width <= 0 or not height:
+    if packed not in (0, 3) or depth not in (1, 4, 8, 16, 24, 32) or packed == 3 and depth not in (16, 32) or width <= 0 or not height:
         raise MediaError("kind")
     row = (width * depth + 31) // 32 * 4
     body = np.frombuffer(data[start : start + row * abs(height)], np.uint8)
     if len(body) != row * abs(height):
         raise MediaError("samples are missing")
-    rows = body.reshape(abs(height), row)[:, : width * depth // 8]
+    rows = body.reshape(abs(height), row)
     rows = rows[::-1] if height > 0 else rows
+    if depth in (24, 32) and packed == 0:
+        return np.ascontiguousarray(rows[:, : width * depth // 8].reshape(abs(height), width, depth // 8)[:, :, 2::-1])
     if depth > 8:
-        return np.ascontiguousarray(rows.reshape(abs(height), width, depth // 8)[:, :, 2::-1])
-    colours = (struct.unpack_from("<I", data, 46)[0] or 256) * 4
-    table = np.frombuffer(data[14 + size : 14 + size + colours], np.uint8).reshape(-1, 4)[:, 2::-1]
-    if rows.size and rows.max() >= len(table):
+        masks = struct.unpack_from("<III", data, 54) if packed == 3 else (0x7C00, 0x3E0, 0x1F)
+        values = np.ascontiguousarray(rows[:, : width * depth // 8]).view("<u2" if depth == 16 else "<u4")
+        return np.stack([_masked(values, m) for m in masks], axis=-1).astype(np.uint8)
+    bits = np.unpackbits(rows, axis=1).reshape(abs(height), -1, depth)[:, :width]
+    index = bits @ (1 << np.arange(depth)[::-1])
+    colours = (struct.unpack_from("<I", data, 46)[0] or 1 << depth) * 4
+    table = np.frombuffer(data[14 + size : 14 + size + colours], np.uint8)
+    if len(table) % 4 or index.max() >= len(table) // 4:
         raise MediaError("palette")
-    out = table[rows]
+    table = table.reshape(-1, 4)[:, 2::-1]
+    out = table[index]
     return np.ascontiguousarray(out[..., 0] if (table[:, :1] == table).all() else out)
 
 
+def _pam(data: bytes) -> np.ndarray:
+    head, mark, body = data.partition(b"\nENDHDR\n")
+    fields = dict(x.split(None, 1) for x in head.splitlines()[1:] if x.strip() and not x.startswith(b"#") and len(x.split()) > 1)
+    width, height, channels, top = (int(fields.get(k, b"0")) for k in (b"WIDTH", b"HEIGHT", b"DEPTH", b"MAXVAL"))
+    if not mark or min(width, height) < 1 or channels not in (1, 2, 3, 4) or not 0 < top < 65536:
+        raise MediaError("header")
+    n, size = width * height * channels, 1 + (top > 255)
+    values = np.frombuffer(body[: n * size], ">u2" if size == 2 else np.uint8)
+    if len(values) != n:
+        raise MediaError("samples are missing")
+    out = values.astype(np.uint16 if size == 2 else np.uint8).reshape(height, width, channels)
+    return np.ascontiguousarray(out[..., :3] if channels > 2 else out[..., 0])  # alpha goes
+
+
 def decode(data: bytes) -> np.ndarray:
-    """The samples of a Netpbm (P1 to P6) or BMP (8, 24, 32 bits) image: rows x columns, or x 3 for colour."""
-    if data[:1] == b"P" and data[1:2] in (b"1", b"2", b"3", b"4", b"5", b"6"):
-        return _netpbm(data)
-    if data[:2] == b"BM":
-        return _bmp(data)
+    """The samples of a Netpbm (P1 to P7) or BMP (1 to 32 bits, no run lengths) image: rows x columns, or x 3 for colour.
+    Samples keep the values of the file, so a file whose largest value is 15 gives 0 to 15. Alpha is left out. Bytes that
+    are no whole image raise MediaError, whatever is wrong with them."""
+    try:
+        if data[:1] == b"P" and data[1:2] in (b"1", b"2", b"3", b"4", b"5", b"6"):
+            return _netpbm(data)
+        if data[:2] == b"P7":
+            return _pam(data)
+        if data[:2] == b"BM":
+            return _bmp(data)
+    except MediaError:
+        raise
+    except (ValueError, TypeError, IndexError, OverflowError, struct.error) as e:
+        raise MediaError(str(e)) from e
     raise MediaError("neither Netpbm nor BMP")
 
 
@@ -168,17 +206,16 @@ def features(media: DataFrame, column: str = "media", side: int = TILE, thumb: i
     return media.withColumn("image", of(column))
 
 
-_STORED = pa.schema(
-    [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("n_tiles", pa.int64()), ("tiles_sha256", pa.string())]
-)
+_IMAGES = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("tiles", pa.list_(pa.binary())), ("feature", pa.string())])
+_DIGESTS = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("n_tiles", pa.int64())])
 
 
 def store_text(docs: DataFrame) -> DataFrame:
-    """Every text as a greyscale image 64 samples wide, decoded again, and what is read back.
+    """(doc_id, n_bytes, tiles, feature): every text as a greyscale image 64 samples wide, stored as NPY tiles.
 
-    The payload is the UTF-8 text (null: empty) and bytes 0 up to a positive multiple of 64; its image is a PGM file, whose
-    size and hash are media_bytes and media_sha256. The payload columns are read from the NPY tiles of the decoded image;
-    feature is difference hash and mean. A null doc_id is carried, repeated rows give repeated rows, no rows give none.
+    The payload is the UTF-8 text (null: empty) and bytes 0 up to a positive multiple of 64. It passes through a PGM file and
+    its decoder; tiles hold at most 256 rows each; feature is difference hash and mean. n_bytes has no padding. A null
+    doc_id is carried, repeated rows give repeated rows, no rows give none, other columns are not read.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,12 +224,25 @@ def store_text(docs: DataFrame) -> DataFrame:
                 rows = []
                 for doc, text in zip(batch.column("doc_id")[a:b].to_pylist(), utf8(batch.column("text")[a:b]), strict=True):
                     payload = text + bytes(-len(text) % WIDTH or (0 if text else WIDTH))
-                    media = encode_pgm(np.frombuffer(payload, np.uint8).reshape(-1, WIDTH))
-                    samples = decode(media)
-                    parts = tiles(samples)
-                    back = join_tiles(parts, -(-WIDTH // TILE)).tobytes()
-                    mean = float(samples.mean())
-                    rows.append((doc, len(text), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), f"{difference_hash(samples)}:{mean:.4f}", len(parts), hashlib.sha256(b"".join(parts)).hexdigest()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _STORED, strict=True)], schema=_STORED)
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_tiles long, tiles_sha256 string")
+                    samples = decode(encode_pgm(np.frombuffer(payload, np.uint8).reshape(-1, WIDTH)))
+                    rows.append((doc, len(text), tiles(samples), f"{difference_hash(samples)}:{float(samples.mean()):.4f}"))
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _IMAGES, strict=True)], schema=_IMAGES)
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, tiles array<binary>, feature string")
+
+
+def read_back(images: DataFrame) -> DataFrame:
+    """What store_text() stored, read from its tiles: size, SHA-256 and the CRC-32 of the last 64 bytes of the payload, and
+    size and SHA-256 of the stored form (the tiles end to end)."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for doc, n, parts, feature in zip(*(batch.column(c) for c in ("doc_id", "n_bytes", "tiles", "feature")), strict=True):
+                parts = parts.as_py()
+                back, media = join_tiles(parts, 1).tobytes(), b"".join(parts)
+                rows.append((doc.as_py(), n.as_py(), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-WIDTH:]), len(media), hashlib.sha256(media).hexdigest(), feature.as_py(), len(parts)))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _DIGESTS, strict=True)], schema=_DIGESTS)
+
+    return images.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_tiles long")

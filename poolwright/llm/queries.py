@@ -12,7 +12,7 @@ from poolwright.llm.common import table
 
 
 def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.store_text(table(spark, sf_dir, "documents"))
+    return media.read_back(media.store_text(table(spark, sf_dir, "documents")))
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

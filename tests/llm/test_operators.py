@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from poolwright.llm import decontaminate, langid, media, packing, pii, quality, secrets, sharding, simhash, substrings
 from poolwright.llm.common import table
 
-SCHEMA = "doc_id long, text string, lang string, source string, fp long, _tag string"
+SCHEMA = "doc_id long, text string, lang string, source string, fp long, _tag string, _hits string, _text string, id string, row string"
 
 
 def sample_rows(seed=0):
@@ -26,7 +26,7 @@ def sample_rows(seed=0):
     rows = [(i, said(r.randint(0, 120)), "en", "src", 0, "x") for i in range(12)]
     rows += [(12, base, "en", "s", 0, ""), (13, base, "en", "s", 0, ""), (14, base.replace("w1 ", "z "), "en", "s", 0, ""), (15, said(60) + "\n" + shared + "\t" + said(5), None, None, 0, ""), (16, shared, "de", "s", 0, "")]
     rows += [(17, None, "en", None, None, None), (18, "", "fr", "s", 0, ""), (19, " \n\t ", "fr", "s", 0, ""), (None, base, "en", "s", 0, ""), (20, "w1 " * 6000, "en", "s", 0, ""), (20, "w1 " * 6000, "en", "s", 0, ""), (20, "other text of the same id", "en", "s", 0, "")]
-    return rows
+    return [(*row, "h", "t", "no number", None) for row in rows]  # columns named as the operators' own
 
 
 @pytest.fixture(scope="module")
@@ -41,15 +41,36 @@ def empty(spark):
 
 def test_empty_tables(spark, empty):
     bench = spark.createDataFrame([], "item_id long, text string")
-    for out in (media.store_text(empty), sharding.assign(empty), substrings.deduplicate(empty), decontaminate.leaks(empty, bench), pii.scan(empty), packing.pack(empty), simhash.classes(empty), simhash.representatives(empty), langid.identify(empty), quality.classify(empty), secrets.scan(empty, [0.0])):
+    for out in (media.read_back(media.store_text(empty)), sharding.assign(empty), substrings.deduplicate(empty), decontaminate.leaks(empty, bench), pii.scan(empty), packing.pack(empty), simhash.classes(empty), simhash.representatives(empty), langid.identify(empty), quality.classify(empty), secrets.scan(empty, [0.0])):
         assert out.count() == 0
 
 
 def test_media(docs):
     want = sorted((r[1] or "").encode() for r in sample_rows())
-    got = sorted((r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in media.store_text(docs).collect())
-    padded = [(t, t + bytes(-len(t) % 64 or (0 if t else 64))) for t in want]
-    assert got == sorted((len(t), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:])) for t, p in padded)
+    got = sorted((r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_bytes, r.media_sha256, r.feature) for r in media.read_back(media.store_text(docs)).collect())
+
+    def row(t):
+        p = t + bytes(-len(t) % 64 or (0 if t else 64))
+        image = np.frombuffer(p, np.uint8).reshape(-1, 64)
+        stored = b"".join(media.npy(image[y : y + 256]) for y in range(0, len(image), 256))
+        fine = np.repeat(np.repeat(image.astype(float), 8, axis=0), 9, axis=1)  # divisible by 8 x 9: plain block means
+        small = np.round(fine.reshape(8, len(image), 9, 64).mean(axis=(1, 3)), 6)
+        return len(t), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), f"{np.packbits(small[:, 1:] > small[:, :-1]).tobytes().hex()}:{image.mean():.4f}"
+
+    assert got == sorted(map(row, want))
+
+
+def test_media_malformed():
+    r = random.Random(3)
+    good = [b"P2\n3 2\n9\n1 2 3 4 5 6", b"P4\n9 2\n\xa0\0\xa0\0", b"P5\n2 2\n65535\n" + bytes(8), b"P7\nWIDTH 2\nHEIGHT 1\nDEPTH 4\nMAXVAL 255\nENDHDR\n" + bytes(8), b"BM" + bytes(8) + (62).to_bytes(4, "little") + (40).to_bytes(4, "little") + (3).to_bytes(4, "little") + (2).to_bytes(4, "little") + b"\1\0\1\0" + bytes(24) + bytes(3) + b"\0\xff\xff\xff\0" + b"\xa0\0\0\0\x40\0\0\0"]
+    assert media.decode(good[4]).tolist() == [[0, 255, 0], [255, 0, 255]] and media.decode(good[3]).shape == (1, 2, 3)
+    masked = b"BM" + bytes(8) + (66).to_bytes(4, "little") + (40).to_bytes(4, "little") + (1).to_bytes(4, "little") * 2 + b"\1\0\x10\0\3" + bytes(23) + (0xF800).to_bytes(4, "little") + (0x7E0).to_bytes(4, "little") + (0x1F).to_bytes(4, "little") + (0xF81F).to_bytes(2, "little") + bytes(2)
+    assert media.decode(masked).tolist() == [[[255, 0, 255]]]
+    for bad in [b"P2\n2 1\n9\n1 x", b"P4\n3 1\n", b"P5\n2 2\n65535\n" + bytes(7), good[4][:58]] + [bytes(r.randrange(256) if r.random() < 0.1 else c for c in r.choice(good)[: r.randint(0, 90)]) for _ in range(3000)]:
+        try:
+            media.decode(bad)
+        except media.MediaError:
+            pass
 
 
 def test_media_formats():
@@ -166,6 +187,39 @@ def test_decontaminate(spark):
     assert sorted(x.doc_id for x in decontaminate.clean(df, bench).collect()) == [2, 3, 4, 5]
 
 
+def test_decontaminate_against_brute_force(spark):
+    """Plain Smith-Waterman of each item with each whole text, where they share a seed; in one block and in many."""
+    r = random.Random(12)
+    words = [f"v{i}" for i in range(300)]
+    items = [[r.choice(words) for _ in range(r.choice([1, 2, 3, 5, 12, 30]))] for _ in range(12)]
+    texts = []
+    for _ in range(60):
+        text = [r.choice(words) for _ in range(r.randint(0, 80))]
+        for _ in range(r.randint(0, 2)):
+            part = [w if r.random() > 0.12 else r.choice(words) for w in r.choice(items)]
+            at = r.randint(0, len(text))
+            text[at:at] = part
+        texts.append(text)
+
+    def plain(a, b):
+        row, best = [0] * (len(b) + 1), 0
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(max(0, row[j] + (2 if x == y else -1), row[j + 1] - 1, new[j] - 1))
+            row, best = new, max(best, *new)
+        return best / (2 * len(a))
+
+    grams = lambda t, k: {tuple(t[i : i + k]) for i in range(len(t) - k + 1)}
+    want = {(i, j): round(s, 9) for i, t in enumerate(texts) for j, item in enumerate(items) if t and grams(t, k := min(4, len(item))) & grams(item, k) and (s := plain(item, t)) >= 0.6}
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame([(j, ", ".join(t)) for j, t in enumerate(items)], "item_id long, text string")
+    for block in (decontaminate.BLOCK_BYTES, 100):
+        got = {(x.doc_id, x.item_id): round(x.score, 9) for x in decontaminate.leaks(df, bench, block=block).collect()}
+        assert got == want and len(want) > 20
+        assert sorted(x.doc_id for x in decontaminate.clean(df, bench, block=block).collect()) == sorted(set(range(len(texts))) - {i for i, _ in want})
+
+
 def test_pii():
     cases = {
         "john dot smith at mail dot example dot com now": ["email"], "x john(at)mail.example.com y": ["email"], "plus one two three four five six seven eight nine zero": ["phone"], "jоhn@mаil.com": ["email"],
