@@ -14,14 +14,16 @@ from pyspark.sql import functions as F
 from poolwright.llm.common import stored
 
 #: A name that holds one of the words, whatever stands around it (DB_PASSWORD, client_secret, userPassword2); an author, a secretary and a tokenizer are none.
-_NAMED = r"[A-Za-z0-9_.-]*(?i:password|passwd|pwd|secret(?!ar(?:y|i))|token(?!i[sz])|api[_-]?key|access[_-]?key|auth(?!or(?!i[sz])))[A-Za-z0-9_.-]*"
+_NAMED = r"[A-Za-z0-9_.-]*(?i:password|passwd|passphrase|pwd|(?<![a-z])pass(?![a-z])|secret(?!ar(?:y|i))|token(?!i[sz])|api[_-]?key|access[_-]?key|auth(?!or(?!i[sz])))[A-Za-z0-9_.-]*"
 _SIGN = r"[\"']?[ \t]{0,3}[:=][ \t]{0,3}[\"']?"
 _ALONE = r"(?<![A-Za-z0-9+/_-])"
 _BEGIN, _END = (rf"-----{x} [A-Z ]{{0,30}}PRIVATE KEY(?: BLOCK)?-----" for x in ("BEGIN", "END"))
-#: Candidate patterns by kind, tried in this order. The value of an assignment is what follows its sign and quote. A private key
+#: Candidate patterns by kind, tried in this order. The value of an assignment is what follows its sign and quote, that of a URL
+#: the password in it. A private key
 #: goes to its END line, or, without one, as far as lines of its letters follow.
 PATTERNS = {
     "private_key": _BEGIN + rf"(?:[\s\S]{{0,20000}}?{_END}|(?:(?:\s|\\[nr])+[A-Za-z0-9+/=]{{16,}}){{0,300}})",
+    "url": r"://[^\s:/@\"'<>]{1,64}:[^\s/@\"'<>]{3,128}(?=@[A-Za-z0-9])",
     "aws_key": r"AKIA[0-9A-Z]{16}",
     "github": r"gh[pousr]_[A-Za-z0-9]{30,}",
     "slack": r"xox[baprs]-[A-Za-z0-9-]{10,}",
@@ -31,8 +33,8 @@ PATTERNS = {
     "opaque": r"[A-Za-z0-9+/_-]{32,}={0,2}",
 }
 _SOLID = "|".join(PATTERNS[k] for k in ("aws_key", "github", "slack", "jwt", "service"))
-CANDIDATE = f"{PATTERNS['private_key']}|(?<![A-Za-z0-9_])(?:{_ALONE}(?:{_SOLID})|{PATTERNS['assigned']}|{_ALONE}{PATTERNS['opaque']})"
-_PREFIX = "^" + _NAMED + _SIGN
+CANDIDATE = f"{PATTERNS['private_key']}|{PATTERNS['url']}|(?<![A-Za-z0-9_])(?:{_ALONE}(?:{_SOLID})|{PATTERNS['assigned']}|{_ALONE}{PATTERNS['opaque']})"
+_PREFIX, _URL_PREFIX = "^" + _NAMED + _SIGN, r"^://[^:]*:"
 #: Words whose letters count as covered by the dictionary: what placeholders, identifiers and paths are made of.
 DICTIONARY = (
     "the and for you your this that with from have here not value name user admin root login account example sample dummy fake test demo default change "
@@ -76,7 +78,7 @@ def features(value: Column, before: Column, after: Column, path: Column, kind: C
         F.coalesce(path, F.lit("")).rlike(PATH_DOUBTS).cast("double"),
         _in(DOUBTS, before, after),
         _in(HINTS, before, after),
-        (~kind.isin("assigned", "opaque")).cast("double"),
+        (~kind.isin("assigned", "opaque", "url")).cast("double"),
         F.regexp_count(value, F.lit(r"(.)\1")).cast("double"),
     )
 
@@ -98,11 +100,13 @@ def sample_findings(spark: SparkSession, n: int = 3000) -> DataFrame:
         (F.concat(F.lit("ghp_"), F.substr(mixed, F.lit(1), F.lit(36))), "github"),
         (F.concat(F.lit("sk-"), F.substr(mixed, F.lit(4), F.lit(32))), "service"),
         (F.concat(word(5), F.substr(mixed, F.lit(3), F.lit(6)), F.lit("!")), "assigned"),
+        (F.substr(mixed, F.lit(5), (F.pmod("id", F.lit(14)) + 6).cast("int")), "url"),
         (F.concat(F.lit("-----BEGIN RSA PRIVATE KEY-----\n"), F.repeat(F.concat(mixed, F.lit("\n")), (F.pmod("id", F.lit(40)) + 2).cast("int")), F.lit("-----END RSA PRIVATE KEY-----")), "private_key"),
     ]
     false = [
         (F.concat(word(1), word(2)), "assigned"),
         (F.concat_ws("_", word(1), word(2), word(3)), "assigned"),
+        (pick(10, ["password", "pass", "secret", "user", "xxxx", "changeme", "example", "name"]), "url"),
         (F.concat_ws("-", F.lit("your"), word(2), word(3), F.lit("here")), "assigned"),
         (F.concat(F.lit("/usr/lib/"), word(1), F.lit("/"), word(2), F.lit("/"), word(3), F.lit("/"), word(4)), "opaque"),
         (F.repeat(pick(6, ["x", "0", "a", "xX", "12", "ab"]), 20), "opaque"),
@@ -113,7 +117,7 @@ def sample_findings(spark: SparkSession, n: int = 3000) -> DataFrame:
     ]
     row = F.pmod(F.xxhash64("id", F.lit("row")), F.lit(len(true) + len(false))).cast("int")
     kinds = F.array(*[F.struct(v.alias("value"), F.lit(k).alias("kind"), F.lit(s).alias("is_secret")) for rows, s in ((true, 1), (false, 0)) for v, k in rows])
-    checksum = row == len(true) + 5
+    checksum = row == len(true) + 6
     return ids.select(
         F.get(kinds, row).alias("f"),
         F.when(checksum, pick(11, DOUBTS[7:])).when(F.get(kinds, row)["is_secret"] == 1, pick(12, [*HINTS, "is", "with", "of", "for", "this"])).otherwise(pick(13, [*HINTS, *DOUBTS, "is", "with", "of", "for", "this"])).alias("before"),
@@ -173,19 +177,21 @@ def default_forest(spark: SparkSession) -> list:
 
 
 def with_findings(docs: DataFrame, rules: list, path: str | None = None) -> DataFrame:
-    """`docs` with `_pieces` (the text between candidates), `_hits` (what is between the pieces) and `_found`: an array of
-    kind, start, end (code points of the value), score; all are null where a text has no candidate."""
-    text, where = F.col("text"), F.col(path) if path else F.lit("")
-    out = docs.withColumn("_hits", F.regexp_extract_all(text, F.lit(CANDIDATE), 0)).withColumn("_hits", F.when(F.size("_hits") > 0, F.col("_hits")))
+    """`docs` as a struct `row`, so that no column of theirs meets another, with `_pieces` (the text between candidates),
+    `_hits` (what is between the pieces) and `_found`: an array of kind, start, end (code points of the value), score; all
+    are null where a text has no candidate."""
+    text, where = F.col("row.text"), F.col(f"row.`{path}`").cast("string") if path else F.lit("")
+    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    out = out.withColumn("_hits", F.regexp_extract_all(text, F.lit(CANDIDATE), 0)).withColumn("_hits", F.when(F.size("_hits") > 0, F.col("_hits")))
     out = out.withColumn("_pieces", F.when(F.col("_hits").isNotNull(), F.split(text, CANDIDATE, -1)))
-    kind = lambda m: F.coalesce(*[F.when(m.rlike(f"^(?:{p})"), F.lit(k)) for k, p in PATTERNS.items()])
+    kind = lambda m: F.coalesce(*[F.when(m.rlike(f"^(?:{p})"), F.lit(k)) for k, p in (PATTERNS | {"url": "://"}).items()])
     ends = F.aggregate(
         F.arrays_zip("_hits", F.slice("_pieces", F.lit(1), F.size("_hits")).alias("piece")),
         F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("ends")),
         lambda a, x: F.struct((a["at"] + F.char_length(x["piece"]) + F.char_length(x["_hits"])).alias("at"), F.concat(a["ends"], F.array(a["at"] + F.char_length(x["piece"]) + F.char_length(x["_hits"]))).alias("ends")),
         lambda a: a["ends"],
     )
-    value = lambda m, k: F.when(k == "assigned", F.regexp_replace(m, _PREFIX, "")).otherwise(m)
+    value = lambda m, k: F.when(k == "assigned", F.regexp_replace(m, _PREFIX, "")).when(k == "url", F.regexp_replace(m, _URL_PREFIX, "")).otherwise(m)
     seen = F.transform(
         "_hits",
         lambda m, i: F.struct(
@@ -212,23 +218,25 @@ def scan(docs: DataFrame, rules: list | None = None, path: str | None = None, th
     rules = rules or default_forest(docs.sparkSession)
     columns = ["doc_id", "text", *([path] if path else [])]
     full = F.transform("_found", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["score"].alias("score"), (x["score"] >= threshold).alias("is_secret")))
-    own = with_findings(docs.select(*columns), rules, path).select("doc_id", F.coalesce(full, F.array().cast("array<struct<kind:string,start:int,end:int,score:double,is_secret:boolean>>")).alias("findings"))
+    own = with_findings(docs.select(*dict.fromkeys(columns)), rules, path).select("row.doc_id", F.coalesce(full, F.array().cast("array<struct<kind:string,start:int,end:int,score:double,is_secret:boolean>>")).alias("findings"))
     return own.select("doc_id", F.size("findings").cast("long").alias("n_candidates"), F.size(F.filter("findings", lambda x: x["is_secret"])).cast("long").alias("n_secrets"), "findings")
 
 
 def redact(docs: DataFrame, rules: list | None = None, path: str | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """`docs`, all columns, with the value of each secret replaced by MARK; n_chars, where there is such a column, follows."""
+    """`docs`, all columns, with the value of each secret replaced by MARK; n_chars, where there is such a column, follows.
+
+    Null and empty texts stay as they are. Rows are independent: repeated rows and null doc_ids are carried, an empty table
+    gives none; columns may have any name.
+    """
     rules = rules or default_forest(docs.sparkSession)
     own = with_findings(docs, rules, path)
     parts = F.transform(
         "_hits",
         lambda m, i: F.concat(F.get("_pieces", i), F.when(F.get("_found", i)["score"] >= threshold, F.concat(F.substring(m, F.lit(1), F.char_length(m) - F.get("_found", i)["end"] + F.get("_found", i)["start"]), F.lit(MARK))).otherwise(m)),
     )
-    text = F.when(F.col("_hits").isNull(), F.col("text")).otherwise(F.concat(F.array_join(parts, ""), F.element_at("_pieces", -1)))
-    out = own.withColumn("text", text).drop("_hits", "_pieces", "_found")
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    text = F.when(F.col("_hits").isNull(), F.col("row.text")).otherwise(F.concat(F.array_join(parts, ""), F.element_at("_pieces", -1)))
+    new = {"text": F.col("_text")} | ({"n_chars": F.char_length("_text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return own.select("row", text.alias("_text")).select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -14,10 +14,12 @@ SECRET = {
     'userPassword = "q8Zr2LxT0vWb5KdN"': 'userPassword = "[SECRET]"',
     "x/app.secret2=q8Zr2LxT0vWb5KdN": "x/app.secret2=[SECRET]",
     f"a {KEY} b": "a [SECRET] b",
+    "db pass: hunter2xyz99 ok": "db pass: [SECRET] ok",
+    "postgres://bob:S3cr3tPw9@host/db": "postgres://bob:[SECRET]@host/db",
     f'api_key = "{KEY}"': 'api_key = "[SECRET]"',
     "a " + KEY.replace("\n", "\\n") + " b": "a [SECRET] b",
 }
-PLAIN = ["author: Shakespeare wrote", "the secretary = someone else", "my_password=changeme", "a token of thanks: flowers", "tokens: placeholder_here"]
+PLAIN = ["see https://example.org:8080/path@2", "http://user:password@example.org", "they bypass: something", "author: Shakespeare wrote", "the secretary = someone else", "my_password=changeme", "a token of thanks: flowers", "tokens: placeholder_here"]
 
 
 def test_forms(spark):
