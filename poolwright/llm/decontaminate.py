@@ -31,23 +31,27 @@ _FOUND_ARROW = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("sco
 
 @dataclass
 class Items:
-    """The test items of a block: word hashes end to end, and the n-grams at each position."""
+    """The test items of a block: word hashes end to end, and the n-grams at each position. An item of fewer words than n is
+    one gram of its own length; `sizes` are the lengths in use."""
 
     ids: list[int]
     words: np.ndarray
     first: np.ndarray
     grams: np.ndarray
     gram_at: np.ndarray
+    sizes: list[int]
 
     @classmethod
     def of(cls, rows: list[tuple[int, str]], n: int) -> Items:
         words = _words(pa.array([t or "" for _, t in rows], pa.string()))
         size = np.diff(words.first)
         hashes, fits = words.windows(n)
-        for i in np.flatnonzero((size > 0) & (size < n)):  # an item shorter than a seed is never one: nothing to align
-            fits[words.first[i] : words.first[i + 1]] = False
+        short = np.unique(size[(size > 0) & (size < n)]).tolist()
+        for k in short:
+            own, starts = words.windows(k)[0], words.first[:-1][size == k]
+            hashes[starts], fits[starts] = own[starts], True
         at = np.flatnonzero(fits)
-        return cls([i for i, _ in rows], words.hash, words.first, hashes[at], at)
+        return cls([i for i, _ in rows], words.hash, words.first, hashes[at], at, [*short, n])
 
     def owner(self, at: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.first, at, "right") - 1
@@ -71,6 +75,18 @@ class Lookup:
         return at[self.keys[spot] == hashes[at]]
 
 
+def _gram_hits(words: Words, lookup: Lookup, sizes: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Where in the words a gram of the set begins, and its hash."""
+    at, found = [], []
+    for k in sizes:
+        hashes, fits = words.windows(k)
+        here = lookup.find(hashes)
+        here = here[fits[here]]
+        at.append(here)
+        found.append(hashes[here])
+    return np.concatenate(at), np.concatenate(found)
+
+
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
     """Smith-Waterman with linear gaps: the best score and the passage words [start, end) it covers. A row of the matrix is
     one numpy step: gaps along the passage are a running maximum. The start is carried along with the score."""
@@ -93,7 +109,7 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
     return best
 
 
-def _counts(items: Items, n: int):
+def _counts(items: Items):
     """How many documents of a task hold each n-gram of the items."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,10 +118,8 @@ def _counts(items: Items, n: int):
         for batch in batches:
             for a, b in text_slices(batch):
                 words = _words(batch.column("text")[a:b])
-                hashes, fits = words.windows(n)
-                at = lookup.find(hashes)
-                at = at[fits[at]]
-                gram = np.searchsorted(lookup.keys, hashes[at])
+                at, hashes = _gram_hits(words, lookup, items.sizes)
+                gram = np.searchsorted(lookup.keys, hashes)
                 seen += np.bincount(np.unique(np.stack([words.doc[at], gram]), axis=1)[1], minlength=len(seen))
         yield pa.RecordBatch.from_arrays([pa.array(lookup.keys.view(np.int64)), pa.array(seen)], names=["gram", "n"])
 
@@ -126,21 +140,19 @@ def rare_seeds(items: Items, counts: dict[int, int], rare: float = RARE) -> tupl
 class Aligner:
     """Finds the seeds of a block of items in texts and aligns the words around them."""
 
-    def __init__(self, items: Items, grams: np.ndarray, positions: np.ndarray, n: int, threshold: float):
+    def __init__(self, items: Items, grams: np.ndarray, positions: np.ndarray, threshold: float):
         order = np.argsort(grams, kind="stable")
-        self.items, self.n, self.threshold, self.lookup = items, n, threshold, Lookup(grams)
+        self.items, self.threshold, self.lookup = items, threshold, Lookup(grams)
         self.grams, self.owner = grams[order], items.owner(positions[order])
         self.offset, self.length = positions[order] - items.first[self.owner], np.diff(items.first)
 
     def find(self, column: pa.Array) -> list[tuple[int, int, float, int, int]]:
         """(row, item, score, first word, end word) of the passages that reach the threshold, the best for row and item."""
         items, words = self.items, _words(column)
-        hashes, fits = words.windows(self.n)
-        at = self.lookup.find(hashes)
-        at = at[fits[at]]
+        at, hashes = _gram_hits(words, self.lookup, items.sizes)
         if not len(at):
             return []
-        low, high = np.searchsorted(self.grams, hashes[at], "left"), np.searchsorted(self.grams, hashes[at], "right")
+        low, high = np.searchsorted(self.grams, hashes, "left"), np.searchsorted(self.grams, hashes, "right")
         at = np.repeat(at, high - low)
         k = np.concatenate([np.arange(x, y) for x, y in zip(low, high, strict=True)])
         doc, item, start = words.doc[at], self.owner[k], at - self.offset[k]  # start: where the item would begin
@@ -186,39 +198,41 @@ def _kept(aligner: Aligner):
     return run
 
 
-def _aligners(docs: DataFrame, benchmark: DataFrame, n: int, threshold: float) -> Iterator[Aligner]:
-    """One for each block of items; the seed counts are those of all of `docs`."""
+def _aligners(docs: DataFrame, benchmark: DataFrame, n: int, threshold: float, block: int) -> Iterator[Aligner]:
+    """One for each block of items of about `block` bytes; the seed counts are those of all of `docs`."""
     own, tests = docs.select("text"), benchmark.select("item_id", "text")
     size = tests.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = size // BLOCK_BYTES + 1
+    blocks = size // block + 1
     for k in range(blocks):
         part = tests if blocks == 1 else tests.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
         items = Items.of([(r.item_id, r.text) for r in part.collect()], n)
         if len(items.grams):
-            counted = own.mapInArrow(_counts(items, n), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+            counted = own.mapInArrow(_counts(items), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
             grams, positions = rare_seeds(items, {r.gram: r.n for r in counted.collect()})
             forget_powers()
             if len(grams):
-                yield Aligner(items, grams, positions, n, threshold)
+                yield Aligner(items, grams, positions, threshold)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, n: int = SEED_WORDS, threshold: float = SCORE) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, n: int = SEED_WORDS, threshold: float = SCORE, block: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, item_id, score, word_start, word_end): documents with a passage that aligns with a test item.
 
     `score` is the best local alignment over that of the item with itself (1: an exact copy), at least `threshold`; one
-    row for a row of `docs` and an item. Null or empty texts and items, and items shorter than a seed, match nothing; a
-    null doc_id or item_id is carried; repeated rows give repeated rows; other columns are not read; empty tables: no
+    row for a row of `docs` and an item. Null or empty texts and items match nothing; an item shorter than a seed is a seed
+    itself, so it matches where all its words stand in order; a null doc_id or item_id is carried; repeated rows give repeated rows; other columns are not read; empty tables: no
     rows. Whole texts are read at any length, hot items need no special case: nothing is shuffled but the seed counts.
     """
     out = docs.sparkSession.createDataFrame([], _FOUND)
-    for aligner in _aligners(docs, benchmark, n, threshold):
+    for aligner in _aligners(docs, benchmark, n, threshold, block):
         out = out.unionAll(docs.select("doc_id", "text").mapInArrow(_aligned(aligner), _FOUND))
     return out
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, n: int = SEED_WORDS, threshold: float = SCORE) -> DataFrame:
-    """The rows of `docs`, all their columns, without those in which a passage aligns with a test item (see leaks)."""
+def clean(docs: DataFrame, benchmark: DataFrame, n: int = SEED_WORDS, threshold: float = SCORE, block: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of `docs`, all their columns, without those in which a passage aligns with a test item (see leaks).
+    Rows are independent: null texts stay, repeated rows stay or go together, an empty table gives none, columns may have any
+    name; an empty benchmark changes nothing."""
     out = docs
-    for aligner in _aligners(docs, benchmark, n, threshold):
+    for aligner in _aligners(docs, benchmark, n, threshold, block):
         out = out.mapInArrow(_kept(aligner), docs.schema)
     return out
