@@ -10,18 +10,22 @@ from pyspark.sql import functions as F
 ORDER = "l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax, l_shipdate, l_returnflag, l_linestatus"
 _Q = "cast(cast(l_quantity as bigint) as string)"
 _L = "chr(cast(65 + l_suppkey % 10 as int))"
+#: What a candidate says: its own line's answer, or a wrong one where the line says so.
+_SAID = "cast(cast(l_quantity as bigint) + case when (l_partkey + l_suppkey) % 3 = 0 then 50 else 0 end as string)"
+_LETTER = "chr(cast(65 + (l_suppkey + case when (l_partkey + l_suppkey) % 3 = 0 then 5 else 0 end) % 10 as int))"
 #: Texts of candidates: how each is written depends on the part, what it says on quantity or supplier.
 NUMBER_TEXT = f"""case l_partkey % 9
- when 0 then concat('Final answer: ', {_Q}) when 1 then concat('The answer is ', {_Q}, '.') when 2 then {_Q}
- when 3 then concat('Step 1: add the parts of each bag. Step 2: then the total is ', {_Q}, ' so the answer is ', {_Q}, '.')
- when 4 then concat('Let me think about this. x = ', {_Q}) when 5 then concat('Use at most one line. ', {_Q}, '.0')
- when 6 then 'so the total is the' when 7 then concat('Final answer: final answer: ', {_Q})
- else concat('Therefore ', {_Q}, ' of 1,000 dollars remain in all after the first week, which is more than half of what was left before the price was cut again. Final answer: ', {_Q}) end"""
+ when 0 then concat('Final answer: ', {_SAID}) when 1 then concat('The answer is ', {_SAID}, '.') when 2 then {_SAID}
+ when 3 then concat('Step 1: add the parts of each bag. Step 2: then the total is ', {_SAID}, ' so the answer is ', {_SAID}, '.')
+ when 4 then concat('Let me think about this. x = ', {_SAID}) when 5 then concat('Use at most one line. ', {_SAID}, '.0')
+ when 6 then 'so the total is the' when 7 then concat('Final answer: final answer: ', {_SAID})
+ else concat('Therefore ', {_SAID}, ' of 1,000 dollars remain in all after the first week, which is more than half of what was left before the price was cut again. Final answer: ', {_SAID}) end"""
 CHOICE_TEXT = f"""case l_partkey % 6
- when 0 then concat('Final answer: ', {_L}) when 1 then concat('(', {_L}, ')') when 2 then concat('Option ', {_L}, ' fits best.')
- when 3 then 'none of these fit' when 4 then {_L} else concat('The answer: ', {_L}) end"""
-FILTERS = {"num": "(l_partkey + l_suppkey) % 3 <> 0", "alt": "l_partkey % 2 = 0", "choice": "(l_partkey + l_suppkey) % 3 <> 0"}
-TEXTS = {"num": NUMBER_TEXT, "alt": NUMBER_TEXT, "choice": CHOICE_TEXT}
+ when 0 then concat('Final answer: ', {_LETTER}) when 1 then concat('(', {_LETTER}, ')') when 2 then concat('Option ', {_LETTER}, ' fits best.')
+ when 3 then 'none of these fit' when 4 then {_LETTER} else concat('The answer: ', {_LETTER}) end"""
+#: The alternative pool has the same lines, half of them cut short.
+ALT_TEXT = f"case when l_partkey % 2 = 1 then 'so the total is the' else {NUMBER_TEXT} end"
+TEXTS = {"num": NUMBER_TEXT, "alt": ALT_TEXT, "choice": CHOICE_TEXT}
 GOLD = {"num": _Q, "alt": _Q, "choice": _L}
 MODES = {"num": "numeric", "alt": "numeric", "choice": "choice_letter"}
 PROBLEM = "concat('Each order has ', cast(l_orderkey % 7 as string), ' bags. How many are left in total?')"
@@ -29,14 +33,14 @@ PROBLEM = "concat('Each order has ', cast(l_orderkey % 7 as string), ' bags. How
 
 def slots(spark: SparkSession, sf_dir: str, kind: str = "num") -> DataFrame:
     """One row for each candidate: example_id, slot, candidate, gold_answer, problem, answer_mode, margin (verifier),
-    base_margin. One shuffle, by order."""
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    by = Window.partitionBy("l_orderkey").orderBy(*[c.strip() for c in ORDER.split(",")])
-    priciest = F.struct(F.col("l_extendedprice").alias("p"), *[F.col(c.strip()) for c in ORDER.split(",")], F.expr(GOLD[kind]).alias("gold"))
-    rows = lines.withColumn("gold_answer", F.max(priciest).over(Window.partitionBy("l_orderkey"))["gold"]).where(FILTERS[kind])
+    base_margin. One shuffle, by example_id, which serves whatever is grouped by it later."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumn("example_id", F.col("l_orderkey").cast("string"))
+    columns = [c.strip() for c in ORDER.split(",")]
+    priciest = F.struct(F.col("l_extendedprice").alias("p"), *[F.col(c) for c in columns], F.expr(GOLD[kind]).alias("gold"))
+    rows = lines.withColumns({"slot": F.row_number().over(Window.partitionBy("example_id").orderBy(*columns)) - 1, "gold_answer": F.max(priciest).over(Window.partitionBy("example_id"))["gold"]})
     return rows.select(
-        F.col("l_orderkey").cast("string").alias("example_id"),
-        (F.row_number().over(by) - 1).alias("slot"),
+        "example_id",
+        "slot",
         F.expr(TEXTS[kind]).alias("candidate"),
         "gold_answer",
         F.expr(PROBLEM).alias("problem"),
@@ -59,4 +63,4 @@ def slots_sql(kind: str = "num") -> str:
     up = ", ".join(f"{c.strip()} desc" for c in ("l_extendedprice, " + columns).split(","))
     return f"""select cast(l_orderkey as string) example_id, row_number() over (partition by l_orderkey order by {ORDER}) - 1 slot, {TEXTS[kind]} candidate, gold_answer,
  {PROBLEM} problem, '{MODES[kind]}' answer_mode, l_extendedprice * (1 - l_discount) margin, l_discount base_margin
-from (select *, first_value({GOLD[kind]}) over (partition by l_orderkey order by {up}) gold_answer from lineitem) where {FILTERS[kind]}"""
+from (select *, first_value({GOLD[kind]}) over (partition by l_orderkey order by {up}) gold_answer from lineitem)"""

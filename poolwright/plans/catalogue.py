@@ -217,25 +217,23 @@ for _name, (_column, _expr, _sql, _kind) in _TEXT_QUERIES.items():
     query(f"with {P.slots(_kind)} select example_id, slot, {_sql} {_column} from slots", _name)(_by_text(_column, _expr, _kind))
 
 
-@query(r"""select l_linenumber n, cast(l_extendedprice as varchar) token, regexp_replace(regexp_replace(cast(l_extendedprice as varchar), '(\.\d*[1-9])0+$', '\1'), '\.0*$', '') canonical from lineitem where l_extendedprice < 9000000 and l_extendedprice >= 1""")
+@query(r"""select l_linenumber n, cast(l_extendedprice as varchar) token, regexp_replace(regexp_replace(cast(l_extendedprice as varchar), '(\.\d*[1-9])0+$', '\1'), '\.0*$', '') canonical from lineitem""")
 def numeric_canonical(spark, sf_dir):
-    rows = read(spark, sf_dir, "lineitem").where("l_extendedprice < 9000000 and l_extendedprice >= 1")
     token = F.col("l_extendedprice").cast("string")
-    return rows.select(F.col("l_linenumber").alias("n"), token.alias("token"), A.canonical_numeric(token).alias("canonical"))
+    return read(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("n"), token.alias("token"), A.canonical_numeric(token).alias("canonical"))
 
 
 @query(
-    r"""select conv_id, turn, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '')[1:3], chr(10)) cot from conversations where role = 'assistant' and not contains(lower(text), 'final answer') and not contains(text, chr(13))"""
+    r"""select conv_id, turn, array_to_string(list_filter(list_transform(regexp_split_to_array(text, '\r\n|[\n\r\x0b\x0c]'), lambda x: trim(x)), lambda x: x <> '' and not starts_with(lower(x), 'final answer:') and lower(x) not in ('<think>', '</think>'))[1:3], chr(10)) cot from conversations where role = 'assistant'"""
 )
 def filtered_cot(spark, sf_dir):
-    rows = read(spark, sf_dir, "conversations").where("role = 'assistant' and not contains(lower(text), 'final answer') and not contains(text, chr(13))")
-    return rows.select("conv_id", "turn", T.filtered_cot(F.col("text")).alias("cot"))
+    return read(spark, sf_dir, "conversations").where("role = 'assistant'").select("conv_id", "turn", T.filtered_cot(F.col("text")).alias("cot"))
 
 
-@query(r"""select doc_id, regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '^ | $', '', 'g') t, len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) n from documents where text is not null""")
+@query(r"""select doc_id, regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '^ | $', '', 'g') t, len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) n from documents""")
 def collapse_texts(spark, sf_dir):
-    rows = read(spark, sf_dir, "documents").where("text is not null")
-    return rows.select("doc_id", T.collapse(F.col("text")).alias("t"), T.token_count(F.col("text")).cast("long").alias("n"))
+    n = F.when(F.col("text").isNotNull(), T.token_count(F.col("text")).cast("long"))
+    return read(spark, sf_dir, "documents").select("doc_id", T.collapse(F.col("text")).alias("t"), n.alias("n"))
 
 
 # --- selectors ---------------------------------------------------------------------------------------------------------
@@ -324,20 +322,24 @@ def pool_diff(spark, sf_dir):
     return J.pool_diff(J.slot_pairs(pools(spark, sf_dir), pools(spark, sf_dir, "alt")))
 
 
-@query(f"with {P.slots()}, e as (select distinct example_id from slots), t as (select cast(o_orderkey as string) example_id, row_number() over (order by o_orderkey) - 1 pos from orders where o_custkey % 7 = 0) select pos, example_id, string_agg(candidate, '|' order by slot) c from t join slots using (example_id) group by 1, 2")
+@query(f"with {P.slots()}, t as (select cast(o_orderkey as string) example_id, row_number() over (order by o_orderkey) - 1 pos from orders) select pos, example_id, string_agg(candidate, '|' order by slot) c from t join slots using (example_id) group by 1, 2")
 def ordered_slice(spark, sf_dir):
-    ids = R.latest_position(read(spark, sf_dir, "orders").where("o_custkey % 7 = 0").select(F.col("o_orderkey").cast("string").alias("example_id"), "o_orderkey"), "o_orderkey").select("example_id", "pos")
+    ids = R.latest_position(read(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("example_id"), "o_orderkey"), "o_orderkey").select("example_id", "pos")
     return J.ordered_slice(ids, pools(spark, sf_dir), strict=False).select("pos", "example_id", F.array_join("candidates", "|").alias("c"))
 
 
-@query(f"with {P.slots()}, {P.slots('alt', 'alt')} select distinct example_id from slots where example_id not in (select example_id from alt) order by 1 limit 20")
+def _customers(spark, sf_dir):
+    return read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("example_id")), read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("example_id"))
+
+
+@query("select c_custkey example_id from customer where c_custkey not in (select o_custkey from orders) order by 1 limit 20")
 def anti_slice(spark, sf_dir):
-    return J.anti_slice(slots(spark, sf_dir), slots(spark, sf_dir, "alt"), 20)
+    return J.anti_slice(*_customers(spark, sf_dir), 20)
 
 
-@query(f"with {P.slots()}, {P.slots('alt', 'alt')} select distinct example_id from slots where example_id in (select example_id from alt)")
+@query("select c_custkey example_id from customer where c_custkey in (select o_custkey from orders)")
 def intersect_ids(spark, sf_dir):
-    return J.intersection(slots(spark, sf_dir), slots(spark, sf_dir, "alt"))
+    return J.intersection(*_customers(spark, sf_dir))
 
 
 @query(f"with {P.slots()}, w as (select example_id, first(candidate order by base_margin desc, slot) p from slots group by 1), j as (select s.*, p, {_KEY} k from slots s join w using (example_id)) select example_id, min(case when candidate = p then slot end) selected_slot from j group by 1")
