@@ -238,10 +238,21 @@ def variant_allocation(samples: int, variants: list[str]) -> list[tuple[str, int
     return [(v, each + (i < more)) for i, v in enumerate(variants) if each + (i < more)]
 
 
+#: Names under which an object may hold a candidate's text, in the order in which they are tried (fixed values).
+TEXT_FIELDS = ("candidate", "candidate_text", "text", "prediction", "response", "answer")
+
+
 def coerce_candidate(item: Column) -> Column:
-    """Text of a candidate that is a VARIANT: a string, or an object under one of the usual names."""
-    fields = [F.try_variant_get(item, f"$.{n}", "string") for n in ("candidate", "candidate_answer", "prediction", "text", "response")]
-    return F.coalesce(*fields, F.try_variant_get(item, "$", "string"), F.lit(""))
+    """Text of a candidate that is a VARIANT: a string, or an object with a text that isn't blank under one of the usual names,
+    or its `content` whatever that is; else the item as JSON."""
+
+    def said(name: str) -> Column:
+        value = F.try_variant_get(item, f"$.{name}", "variant")
+        text = F.try_variant_get(item, f"$.{name}", "string")
+        return F.when((F.schema_of_variant(value) == "STRING") & (strip(text) != ""), text)
+
+    whole = F.when(F.schema_of_variant(item) == "STRING", F.try_variant_get(item, "$", "string"))
+    return F.coalesce(whole, *map(said, TEXT_FIELDS), F.try_variant_get(item, "$.content", "string"), F.try_variant_get(item, "$", "string"), F.lit(""))
 
 
 def choice_letters(pools: DataFrame) -> DataFrame:

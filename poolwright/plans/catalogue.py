@@ -401,26 +401,6 @@ def merge_anchor(spark, sf_dir):
     return merged.select("example_id", F.array_join("candidates", "|").alias("candidates"), "appended", "replaced")
 
 
-def _merge_policy(policy: str):
-    def run(spark, sf_dir):
-        new = pools(spark, sf_dir, "alt").select("example_id", F.slice("candidates", 1, 2).alias("completions"))
-        p = pools(spark, sf_dir).join(new, "example_id", "left")
-        return C.merge_completion(p, policy, most=4).select("example_id", F.array_join("candidates", "|").alias("candidates"), F.array_join(F.array_sort(F.transform("removed", lambda x: x.cast("string"))), ",").alias("removed"))
-
-    return run
-
-
-for _policy in C.POLICIES:
-    query(None, f"merge_policy_{_policy}")(_merge_policy(_policy))
-query(None, "merge_policy_append_if_room")(_merge_policy("append_if_room"))
-
-
-@query()
-def repair_filter(spark, sf_dir):
-    out = C.revert_repairs(pools(spark, sf_dir), pools(spark, sf_dir, "alt").withColumn("candidates", F.slice("candidates", 1, 3)))
-    return out.select("example_id", F.array_join("candidates", "|").alias("candidates"), "reverted", "accepted")
-
-
 @query()
 def matched_fresh(spark, sf_dir):
     s = slots(spark, sf_dir)
@@ -457,27 +437,6 @@ def final_source(spark, sf_dir):
     return M.final_source(_events(spark, sf_dir))
 
 
-@query()
-def motif_tags(spark, sf_dir):
-    tags = C.tag_pool(pools(spark, sf_dir))
-    return tags.select("example_id", "candidate_index", "candidate_is_correct", "problem_motif_label", "motif_label", F.array_join("motif_cues", ",").alias("motif_cues"), "quality_label", F.array_join("quality_cues", ",").alias("quality_cues"))
-
-
-@query()
-def motif_coverage(spark, sf_dir):
-    return M.motif_coverage(C.tag_pool(pools(spark, sf_dir)))
-
-
-@query()
-def label_histogram(spark, sf_dir):
-    return M.label_histogram(C.tag_pool(pools(spark, sf_dir)))
-
-
-@query()
-def context_topk(spark, sf_dir):
-    return O.context_topk(C.tag_pool(pools(spark, sf_dir)), 2).select("example_id", "candidate_index", "rank")
-
-
 @query(f"with {P.slots()}, e as (select example_id from slots group by 1 having bool_and({P.quality('candidate')} = 'fragment')) select example_id from e")
 def all_fragment(spark, sf_dir):
     return M.all_fragment_examples(slots(spark, sf_dir))

@@ -1,5 +1,6 @@
 """SQL of the oracles: the same facts as the Column functions, written for DuckDB and for the derived pools."""
 
+from poolwright.functions import motif as _motif
 from poolwright.plans.adapters import slots_sql
 
 _NUMBER = r"[-+]?\d+(?:,\d{3})*(?:\.\d+)?(?:e[-+]?\d+)?"
@@ -91,3 +92,58 @@ def quality(x: str) -> str:
     p = " + ".join([i(rf"regexp_matches({low}, '\b(step\s*\d+|then|so)\b')"), i(rf"regexp_matches({low}, '-?\d+(?:\.\d+)?')"), i(f"{n} >= 12")])
     c = " + ".join([i(rf"regexp_matches({low}, '\bfinal answer:\b')"), i(f"regexp_matches({x}, '[.!?]$')"), i(rf"regexp_matches({low}, '\btherefore\b|\bso the answer\b')"), i(f"{n} >= 20")])
     return f"case when {x} = '' then 'fragment' when ({c}) >= 2 and ({c}) >= ({p}) then 'complete_attempt' when ({f}) >= 2 and ({f}) >= ({p}) then 'fragment' else 'partial_solution' end"
+
+
+def _list(pairs: list[tuple[str, str]]) -> str:
+    return "list_filter([" + ", ".join(f"case when {c} then '{n}' end" for c, n in pairs) + "], lambda x: x is not null)"
+
+
+def _motif_lists(p: str, c: str) -> list[str]:
+    """The cue list of each motif in order of priority; p, c: collapsed lower-case problem and candidate (may be '')."""
+    both, has = f"({p} || chr(10) || {c})", lambda x, r: f"regexp_matches({x}, '{r}')"
+    said = {m: [(has(both, _motif._FORMS.get(w, rf"\b{w}\b")), w.replace(" ", "_")) for w in ws] for m, ws in _motif.CUES.items()}
+    said |= {m: [(has(c, r), n) for n, r in cues.items()] for m, cues in _motif.CANDIDATE_CUES.items()}
+    said["count_aggregation"].append((f"len(regexp_extract_all({c}, 'step')) >= 2", "candidate:multi_step"))
+    units = [u for g in _motif.UNITS.values() for u in g.split()]
+    joined = f"({p} || ' ' || {c})"
+    kinds = " + ".join("(" + has(joined, rf"\b(?:{g.replace(' ', '|')})\b") + ")::int" for g in _motif.UNITS.values())
+    found = rf"len(list_distinct(regexp_extract_all({joined}, '\b(?:{'|'.join(units)})\b')))"
+    said["unit_conversion"] = [(f"({kinds}) >= 2 or {found} >= 2 and " + has(joined, r"\bconvert\b|\bcontains\b|\bper\b|\beach\b"), "unit_groups>=2")]
+    said["arithmetic_finish"] = [(rf"len(regexp_extract_all({c}, '-?\d+(?:\.\d+)?')) >= 2 and regexp_matches({c}, '[+\-*/=]') or regexp_matches({c}, '\bsubtract\b|\badd\b|\bmultiply\b|\bdivide\b')", "candidate:arithmetic_ops"), (f"contains({c}, 'final answer:')", "candidate:final_answer")]
+    return [_list(said[m]) for m in _motif.PRIORITY]
+
+
+def _motif_columns(p: str, c: str, name: str) -> str:
+    lists = ", ".join(f"{x} l{i}_{name}" for i, x in enumerate(_motif_lists(p, c)))
+    return lists
+
+
+def _best(name: str) -> str:
+    return "greatest(" + ", ".join(f"len(l{i}_{name}) * 10 + {i}" for i in range(len(_motif.PRIORITY))) + ")"
+
+
+def tags(kind: str = "num") -> str:
+    """Slots and motif tags of the derived pools: tags has what tag_pool() gives, and the columns of a slot."""
+    names = "[" + ", ".join(f"'{m}'" for m in _motif.PRIORITY) + "]"
+    x, low = "candidate", "lower(candidate)"
+    ends = "(?:" + "|".join(_motif.DANGLING) + ")$"
+    n = words(x)
+    f = _list([(f"length({x}) < 18", "short_chars"), (f"{n} <= 4", "short_words"), (f"regexp_matches({low}, '{ends}')", "dangling_suffix")])
+    p = _list([(rf"regexp_matches({low}, '\b(step\s*\d+|then|so)\b')", "reasoning_marker"), (rf"regexp_matches({low}, '-?\d+(?:\.\d+)?')", "contains_number"), (f"{n} >= 12", "long_enough")])
+    c = _list([(rf"regexp_matches({low}, '\bfinal answer:\b')", "final_answer"), (f"regexp_matches({x}, '[.!?]$')", "terminal_punctuation"), (rf"regexp_matches({low}, '\btherefore\b|\bso the answer\b')", "final_conclusion"), (f"{n} >= 20", "substantial_length")])
+    label = lambda s: f"case when b_{s} < 10 then 'other_or_unclear' else {names}[b_{s} % 10 + 1] end"
+    chosen = "[" + ", ".join(f"l{i}_m" for i in range(len(_motif.PRIORITY))) + "]"
+    return f"""{slots(kind)}, tag0 as (select *, slot candidate_index, candidate candidate_text, {_motif_columns('lower(problem)', low, 'm')}, {_motif_columns('lower(problem)', "''", 'pm')}, {f} qf, {p} qp, {c} qc, {n} tokens_all from slots_ok),
+ tag1 as (select *, {_best('m')} b_m, {_best('pm')} b_pm, case when {x} = '' then 'fragment' when len(qc) >= 2 and len(qc) >= len(qp) then 'complete_attempt' when len(qf) >= 2 and len(qf) >= len(qp) then 'fragment' else 'partial_solution' end quality_label from tag0),
+ tags as (select *, ok candidate_is_correct, {label('m')} motif_label, {label('pm')} problem_motif_label, case when b_m < 10 then [] else list_sort({chosen}[b_m % 10 + 1]) end motif_cues, case when b_m < 10 then 0.2 else least(0.95, 0.35 + 0.12 * (b_m // 10)) end motif_confidence,
+ list_sort(case quality_label when 'complete_attempt' then qc when 'fragment' then qf else case when len(qp) = 0 then ['default_partial'] else qp end end) quality_cues, case quality_label when 'complete_attempt' then least(0.95, 0.45 + 0.12 * len(qc)) when 'fragment' then least(0.95, 0.45 + 0.12 * len(qf)) else least(0.9, 0.4 + 0.1 * greatest(len(qp), 1)) end quality_confidence from tag1)"""
+
+
+def slot_features(source: str) -> str:
+    """feat: what the removal policies read of the slots 1 to 3 of numeric pools; smaller goes first."""
+    i = lambda c: f"({c})::int::double"
+    wrapped = "contains(lower(candidate), 'final answer:')"
+    return f"""fact as (select *, {num('candidate')} is null invalid_, {leak('candidate')} leak_, {scaffold('candidate')} scaffold_, motif_label = problem_motif_label same_, {wrapped} wrapped_, coalesce(margin, 0.0) support, least(tokens_all, 40)::double tokens from {source} where slot between 1 and 3),
+ feat as (select *, case quality_label when 'fragment' then 0.0 when 'partial_solution' then 1.0 else 2.0 end quality, case quality_label when 'partial_solution' then 0.0 when 'fragment' then 1.0 else 2.0 end partials, {i('not invalid_')} invalid, {i('not leak_')} leak, {i('not scaffold_')} scaffold, {i('wrapped_')} wrapper, {i('same_')} motif,
+ 4 * {i('not invalid_')} + 2 * {i('wrapped_')} + least(tokens, 12.0) / 12.0 - 2 * {i('leak_')} - 1.5 * {i('scaffold_')} closure, {i('margin is null')} missing, -(4.0 * {i('invalid_')} + 3.0 * {i('leak_')} + 2.0 * {i('scaffold_')} + 1.5 * {i('not wrapped_')}) risk,
+ case quality_label when 'complete_attempt' then 3.0::double when 'partial_solution' then 2.5::double else 1.5::double end + 0.75::double * {i('same_')} + 0.5::double * {i('wrapped_')} + 0.5::double * greatest(support, 0.0) salvage, {i(f"not invalid_ and tokens <= 6 and not leak_")} short from fact)"""

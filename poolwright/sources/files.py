@@ -33,9 +33,10 @@ def scan_json_variant(spark: SparkSession, path: str) -> DataFrame:
 
 
 def scan_shards(spark: SparkSession, folder: str, schema: str, pattern: str = "shard_*.jsonl") -> DataFrame:
-    """All shards of a folder with `shard`, the file each row is from; order by (shard, pos) for their order."""
+    """All shards of a folder with `shard` and `_path`, name and path of the file each row is from; order by (shard, pos) for
+    their order."""
     rows = spark.read.schema(schema).option("mode", "FAILFAST").option("pathGlobFilter", pattern).json(folder)
-    return rows.select("*", F.element_at(F.split("_metadata.file_path", "/"), -1).alias("shard"), F.monotonically_increasing_id().alias("pos"))
+    return rows.select("*", F.element_at(F.split("_metadata.file_path", "/"), -1).alias("shard"), F.col("_metadata.file_path").alias("_path"), F.monotonically_increasing_id().alias("pos"))
 
 
 def scan_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
@@ -179,5 +180,13 @@ def stage(rows: DataFrame, target: str, refresh: bool = False) -> DataFrame:
     return spark.read.parquet(target)
 
 
-def temporary_name(prefix: str) -> str:
-    return f"{prefix}-{uuid.uuid4().hex}"
+def work_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share (spark.checkpoint.dir). Where it is unset, a local master
+    gets a folder of its own; on a cluster that is an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="poolwright-"))
+        found = spark.sparkContext.getCheckpointDir()
+    return f"{found.rstrip('/')}/poolwright/{name}-{uuid.uuid4().hex}"
