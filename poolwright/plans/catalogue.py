@@ -558,34 +558,11 @@ def sample_seeded(spark, sf_dir):
     return O.sample_seeded(read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), 100, 7, "o_orderkey").orderBy("o_orderkey")
 
 
-@query()
-def verifier_pairs(spark, sf_dir):
-    p = pools(spark, sf_dir).select("example_id", "problem", "gold_answer", "answer_mode")
-    return R.verifier_yesno(R.verifier_sets(p))
-
-
 @query()
 def fingerprint_table(spark, sf_dir):
     return fingerprint_set(read(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber", "l_extendedprice")
 
 
-@query()
-def teacher_to_sft(spark, sf_dir):
-    p = pools(spark, sf_dir).select("example_id", "problem", "gold_answer", "answer_mode")
-    return R.fanout_sft(R.processed_traces(R.teacher_traces(p)), valid_only=True)
-
-
-@query()
-def stub_rerank(spark, sf_dir):
-    return pipelines.fixed_pool(pools(spark, sf_dir), partial(U.HashScorer, 1), partial(U.HashScorer, 2))
-
-
-@query()
-def stub_generate_rerank(spark, sf_dir):
-    p = pools(spark, sf_dir).select("example_id", "problem", "gold_answer", "answer_mode")
-    return pipelines.generate_rerank(p, partial(U.HashGenerator, 3), partial(U.HashScorer, 1), partial(U.HashScorer, 2), 8, 4)
-
-
 @query()
 def stub_repair(spark, sf_dir):
     return pipelines.repair(pools(spark, sf_dir), partial(U.HashGenerator, 3), partial(U.HashScorer, 1), partial(U.HashScorer, 2))

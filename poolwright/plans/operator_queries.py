@@ -23,7 +23,8 @@ from poolwright.operators import records as R
 from poolwright.plans import pipelines, reports
 from poolwright.plans import sqlparts as P
 from poolwright.plans.adapters import slots
-from poolwright.plans.catalogue import _METHODS, _methods, flags, pools, query, read
+from poolwright.operators import select as SEL
+from poolwright.plans.catalogue import ORACLES, _events, _METHODS, _methods, flags, pools, query, read
 from poolwright.sources import files as S
 from poolwright.streaming import resume
 
@@ -485,3 +486,432 @@ def repair_filter(spark, sf_dir):
 def variant_allocation(spark, sf_dir):
     rows = [(k, v, n) for k in sorted({r[0] for r in read(spark, sf_dir, "customer").select(F.col("c_custkey") % 50).distinct().collect()}) for v, n in C.variant_allocation(k, ["complete", "repair", "rank"])]
     return spark.createDataFrame(rows, "samples long, variant string, n long")
+
+
+@query(
+    f"""with {P.tags()}, {P.slots('alt', 'alt')}, size as (select example_id, count(*) n, count_if(slot between 1 and 3 and quality_label = 'fragment') f, count_if(slot between 1 and 3 and quality_label = 'partial_solution') p from tags group by 1), new as (select example_id, count(*) k from alt where slot < 2 group by 1),
+ j as (select s.*, coalesce(k, 0) k, case when n >= 4 then coalesce(k, 0) else 0 end removed from size s left join new using (example_id)) select example_id, o.policy policy, least(n, 4) + (case when n >= 4 then 0 else least(k, 4 - n) end) candidates, removed, case o.policy when 'replace_random_fragment_only' then least(f, removed) when 'replace_random_partial_only' then least(p, removed) end of_kind
+ from j, (select unnest(['replace_random_nonprefix', 'replace_random_fragment_only', 'replace_random_partial_only']) policy) o"""
+)
+def merge_random_sizes(spark, sf_dir):
+    """Random policies: pool sizes, slots given up, and how many of those have the quality that the policy goes for."""
+    new = pools(spark, sf_dir, "alt").select("example_id", F.slice("candidates", 1, 2).alias("completions"))
+    p = pools(spark, sf_dir)
+    labels = F.transform("candidates", lambda c: Q.quality(c)["label"])
+    out = []
+    for policy, kind in (("replace_random_nonprefix", None), ("replace_random_fragment_only", "fragment"), ("replace_random_partial_only", "partial_solution")):
+        merged = C.merge_completion(p.join(new, "example_id", "left").withColumn("labels", labels), policy, most=4)
+        of_kind = F.size(F.filter("removed", lambda i: F.get("labels", i) == kind)).cast("long") if kind else F.lit(None).cast("long")
+        out.append(merged.select("example_id", F.lit(policy).alias("policy"), F.size("candidates").cast("long").alias("candidates"), F.size("removed").cast("long").alias("removed"), of_kind.alias("of_kind")))
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+# --- models: the stand-ins are hashes, which SQL has too -----------------------------------------------------------------
+
+
+def _unit(*parts: str) -> str:
+    return f"(('0x' || substr(sha256(concat_ws(chr(31), {', '.join(parts)})), 1, 14))::bigint::double / 72057594037927936.0)"
+
+
+def _said(seed: int, i: str, ask: str) -> str:
+    """A generated text of the stand-in."""
+    return f"('Step 1: consider it.' || chr(10) || 'Final answer: ' || floor(50 * {_unit(f"'{seed}'", i, ask)})::int)"
+
+
+_END = "chr(10) || 'End with one line: Final answer: <number>'"
+_VERIFY = "'Problem: ' || problem || chr(10) || 'Attempt: ' || candidate || chr(10) || 'Is the final answer correct? Answer yes or no.'"
+_ASK = f"'Problem: ' || problem || chr(10) || 'Answer with the requested format.' || {_END}"
+
+
+def _margin(seed: int, ask: str) -> str:
+    return f"(-{_unit(f"'{seed}'", "'yes'", ask)} + {_unit(f"'{seed}'", "'no'", ask)})"
+
+
+@query(f"with {P.slots()} select example_id, slot, -{_unit("'1'", "'yes'", _VERIFY)} yes_score, -{_unit("'1'", "'no'", _VERIFY)} no_score, {_margin(1, _VERIFY)} margin from slots")
+def yes_no_scores(spark, sf_dir):
+    return U.score_candidates(slots(spark, sf_dir), partial(U.HashScorer, 1)).drop("candidate")
+
+
+@query(f"with {P.slots()}, s as (select *, {_margin(1, _VERIFY)} m from slots) select example_id, first(candidate order by m desc, slot) prediction, string_agg(slot, ',' order by m desc, slot) slots_in_order, first({P.ok('candidate', 'gold_answer')} order by m desc, slot) correct from s group by 1")
+def scored_prediction_rows(spark, sf_dir):
+    rows = U.scored_rows(slots(spark, sf_dir), partial(U.HashScorer, 1))
+    return rows.select("example_id", "prediction", F.array_join(F.transform("candidates", lambda c: c["candidate_index"].cast("string")), ",").alias("slots_in_order"), "correct")
+
+
+_OVF = (
+    "select count(*) total_examples, count_if(oracle) oracle_correct, count_if(oracle) / count(*) oracle_coverage, count_if(first_ok) / count(*) first_accuracy, count_if(base_ok) / count(*) base_accuracy, count_if(verifier_ok) / count(*) verifier_accuracy, "
+    + ", ".join(f"coalesce(count_if({s}_ok) / nullif(count_if(oracle), 0), 0.0) {s}_given_oracle" for s in ("first", "base", "verifier"))
+    + " from flags"
+)
+
+
+def _reranked(raw: str) -> str:
+    """Flags of a pool whose margins are those of the stand-ins 1 (base) and 2 (verifier); raw: SQL of its slots."""
+    from poolwright.plans.adapters import slots_sql
+
+    scored = f"select example_id, slot, candidate, gold_answer, problem, answer_mode, {_margin(2, _VERIFY)} margin, {_margin(1, _VERIFY)} base_margin from ({raw})"
+    return f"with {P.flags().replace(slots_sql('num'), scored)} {_OVF}"
+
+
+_BASE, _VERIFIER, _GENERATOR = partial(U.HashScorer, 1), partial(U.HashScorer, 2), partial(U.HashGenerator, 3)
+
+
+def _slots_sql(kind: str = "num") -> str:
+    from poolwright.plans.adapters import slots_sql
+
+    return slots_sql(kind)
+
+
+@query(_reranked(_slots_sql()), "stub_rerank")
+def stub_rerank(spark, sf_dir):
+    return pipelines.fixed_pool(pools(spark, sf_dir), _BASE, _VERIFIER)
+
+
+_PROBLEM_ROWS = f"select distinct example_id, problem, gold_answer, answer_mode from ({_slots_sql()})"
+_POOLS = f"""gen as (select p.*, i, {_said(3, 'i::varchar', _ASK)} t from ({_PROBLEM_ROWS}) p, (select unnest(range(0, 8)) i)), kept as (select * from gen qualify row_number() over (partition by example_id, {P.num('t')} order by i) = 1),
+ made as (select example_id, problem, gold_answer, answer_mode, t candidate, row_number() over (partition by example_id order by i) - 1 slot from kept qualify slot < 4)"""
+
+
+@query(f"with {_POOLS} select example_id, string_agg(candidate, '|' order by slot) candidates from made group by 1")
+def generated_pools(spark, sf_dir):
+    return U.generate_pools(_problems(spark, sf_dir), _GENERATOR, 8, 4).select("example_id", F.array_join("candidates", "|").alias("candidates"))
+
+
+@query(_reranked(f"with {_POOLS} select * from made"), "stub_generate_rerank")
+def stub_generate_rerank(spark, sf_dir):
+    return pipelines.generate_rerank(_problems(spark, sf_dir), _GENERATOR, _BASE, _VERIFIER, 8, 4)
+
+
+@query(f"with p as ({_PROBLEM_ROWS}), g as (select *, {_said(3, "'0'", _ASK)} t from p) select example_id, gold_answer, answer_mode, t prediction, {P.words('t')} tokens from g")
+def generated_predictions(spark, sf_dir):
+    return U.generate_predictions(_problems(spark, sf_dir), _GENERATOR).withColumn("tokens", F.col("tokens").cast("long"))
+
+
+@query(f"with p as ({_PROBLEM_ROWS}), g as (select *, {_said(3, "'0'", _ASK)} t from p) select count(*) n, sum({P.words('t')})::bigint tokens, avg({P.words('t')}) avg_tokens, 2.0 wall_seconds, sum({P.words('t')}) / (2.0 * count(*)) tokens_per_second from g")
+def generation_totals(spark, sf_dir):
+    return M.generation_metrics(U.generate_predictions(_problems(spark, sf_dir), _GENERATOR).withColumn("seconds", F.lit(2.0)))
+
+
+@query(f"with {P.slots()}, c as (select * from slots where slot < 3), q as (select a.example_id, a.candidate l, b.candidate r, {_margin(1, "a.candidate || chr(10) || b.candidate")} m from c a join c b on a.example_id = b.example_id and a.slot < b.slot), e as (select example_id, l t, m from q union all select example_id, r, -m from q), s as (select example_id, t as text, count_if(m > 0) wins, sum(m) score from e group by 1, 2) select example_id, text, wins, round(score, 9) score, row_number() over (partition by example_id order by wins desc, score desc, text) as \"rank\" from s")
+def pairwise_ranks(spark, sf_dir):
+    p = pools(spark, sf_dir).withColumn("candidates", F.slice("candidates", 1, 3))
+    return U.rank_pairwise(p, _BASE).withColumn("score", F.round("score", 9))
+
+
+@query(f"with {P.slots()}, p as (select example_id, gold_answer, answer_mode, list(candidate order by slot) c, any_value(problem) problem from slots group by 1, 2, 3), g as (select *, floor(50 * {_unit("'3'", "'0'", "problem || chr(10) || array_to_string(c, chr(10) || '---' || chr(10))")})::int k from p) select example_id, gold_answer, answer_mode, c[case when k between 1 and len(c) then k when 1 <= len(c) then 1 end] prediction from g")
+def question_selected(spark, sf_dir):
+    return U.select_by_question(pools(spark, sf_dir), _GENERATOR)
+
+
+_FEEDBACK = "'Problem: ' || problem || chr(10) || 'Attempt: ' || t || chr(10) || 'Say what is wrong, in two sentences at most.'"
+_REFINE = f"'Problem: ' || problem || chr(10) || 'Attempt: ' || t || chr(10) || 'Feedback: ' || f || chr(10) || 'Write a better solution.' || {_END}"
+_REFINED = f"a as (select *, {_said(3, "'0'", _ASK)} t from ({_PROBLEM_ROWS})), b as (select *, {_said(3, "'0'", _FEEDBACK)} f from a), c as (select *, {_said(3, "'0'", _REFINE)} prediction from b)"
+
+
+@query(f"with {_REFINED} select example_id, prediction from c")
+def refined_answers(spark, sf_dir):
+    return U.self_refine(_problems(spark, sf_dir), _GENERATOR).select("example_id", "prediction")
+
+
+@query(f"with {_REFINED} select count(*) total, count_if({P.ok('prediction', 'gold_answer')}) correct, count_if({P.ok('prediction', 'gold_answer')}) / count(*) accuracy from c")
+def external_baseline(spark, sf_dir):
+    return pipelines.external_baseline(_problems(spark, sf_dir), _GENERATOR)
+
+
+_GROWN = f"'Problem: ' || problem || chr(10) || 'Answer with the requested format.' || {_END} || chr(10) || t"
+
+
+def _tree_level(source: str) -> str:
+    """Three continuations of each partial solution, the two best distinct ones kept; a score is the stand-in's margin above 1."""
+    text = f"case when t = '' then '' else t || chr(10) end || {_said(3, 'i::varchar', _GROWN)}"
+    return f"select example_id, problem, gold_answer, x t, max(1 + {_margin(1, "problem || chr(10) || x")}) score from (select *, {text} x from {source}, (select unnest([0, 1, 2]) i)) group by 1, 2, 3, 4 qualify row_number() over (partition by example_id order by max(1 + {_margin(1, "problem || chr(10) || x")}) desc, x) <= 2"
+
+
+@query(f"with l0 as (select *, '' t from ({_PROBLEM_ROWS})), l1 as ({_tree_level('l0')}), l2 as ({_tree_level('l1')}) select example_id, first(t order by score desc, t) prediction from l2 group by 1")
+def tree_answers(spark, sf_dir):
+    return U.tree_search(_problems(spark, sf_dir), _GENERATOR, _BASE).select("example_id", "prediction")
+
+
+_COMPLETED = f"""{P.tags()}, pv as (select distinct example_id, 'Problem: ' || problem || chr(10) || 'Hint: ' || case pm {_HINTS} else 'try another approach' end || '.' || chr(10) || 'Give one full solution.' || {_END} ask from (select distinct example_id, problem from slots) left join (select example_id, first(problem_motif_label) pm from tags where quality_label <> 'fragment' group by 1) using (example_id)),
+ gn as (select example_id, i, {_said(3, 'i::varchar', 'ask')} t from pv, (select unnest(range(0, 4)) i)), nw as (select *, {P.num('t')} k from gn), ks as (select distinct example_id, {P.num('candidate')} k from slots), fr as (select * from (select nw.* from nw left join ks using (example_id, k) where ks.example_id is null) qualify row_number() over (partition by example_id, k order by i) = 1)"""
+
+
+@query(f"with {_COMPLETED} select p.example_id, coalesce(string_agg(t, '|' order by i), '') completions from pv p left join fr using (example_id) group by 1")
+def generated_completions(spark, sf_dir):
+    p = pools(spark, sf_dir)
+    return U.generate_completions(p, R.prompt_preview(p, C.tag_pool(p)), _GENERATOR).select("example_id", F.array_join("completions", "|").alias("completions"))
+
+
+@query()
+def stub_completion(spark, sf_dir):
+    return pipelines.completion(pools(spark, sf_dir), _GENERATOR, _BASE, _VERIFIER)
+
+
+# --- metrics and reports as rows ---------------------------------------------------------------------------------------
+
+
+@query(f"with {P.flags()} select example_id, outcome from (select example_id, case when base_ok then 'a' when verifier_ok then 'b' else 'c' end outcome, row_number() over (partition by base_ok, verifier_ok order by example_id) r from flags) where r <= 2 and outcome = 'b'")
+def audit_examples(spark, sf_dir):
+    f = flags(spark, sf_dir).withColumn("bucket", F.concat(F.col("base_ok").cast("string"), F.col("verifier_ok").cast("string")))
+    return O.bucket_sample(f, "bucket", 2).where("not base_ok and verifier_ok").select("example_id", F.lit("b").alias("outcome"))
+
+
+@query("select c_custkey k, coalesce(case when c_acctbal > 0 then c_acctbal end, case when c_acctbal < -500 then -1.0 end) x, case when c_acctbal > 0 or c_acctbal >= -500 then 'summary' else 'mixed' end provenance from customer")
+def merged_hygiene(spark, sf_dir):
+    rows = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")).alias("x"), F.lit(1.0).alias("y"))
+    fallback = read(spark, sf_dir, "customer").where("c_acctbal < -500").select(F.col("c_custkey").alias("k"), F.lit(-1.0).alias("x"), F.lit(2.0).alias("y"))
+    return M.merge_hygiene(rows, fallback, ["x", "y"], "k").drop("y")
+
+
+@query("with c as (select o_custkey run_id, count_if(o_orderstatus = 'F') f, count_if(o_orderstatus = 'O') o, count_if(o_orderstatus = 'P') p from orders group by 1) select run_id, case when f >= o and f >= p then 'f' when o >= p then 'o' else 'p' end dominant, greatest(f, o, p) n from c")
+def dominant_buckets(spark, sf_dir):
+    s = F.col("o_orderstatus")
+    counts = read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("run_id")).agg(*[F.count_if(s == k.upper()).alias(k) for k in "fop"])
+    return M.dominant_bucket(counts, ["f", "o", "p"], "run_id")
+
+
+@query(f"with {_METHODS} select slice, method, oracle_rate from m where oracle_rate is not null qualify row_number() over (partition by slice order by oracle_rate desc, n) = 1")
+def best_rows(spark, sf_dir):
+    return M.best_row(_methods(spark, sf_dir), "oracle_rate", "n", "slice").select("slice", "method", "oracle_rate")
+
+
+@query("select 'cheap' section, case when max(r) < 2 then 'ready' else 'partial' end status from (select r_regionkey r from region) union all select 'known', 'ready' union all select 'absent', 'waiting'")
+def scorecards(spark, sf_dir):
+    return M.scorecard(read(spark, sf_dir, "region"), {"cheap": "r_regionkey < 2", "known": "r_name is not null", "absent": "r_regionkey > 100"})
+
+
+_TARGETS = "t as (select c_custkey row_id, case c_custkey % 7 when 0 then 'artifact_reproduced' when 1 then 'partial_run' when 2 then 'rerun_pending' else 'released' end st, 0.5 paper, case when c_custkey % 5 <> 0 then 0.5 + c_acctbal / 100000 end rel, case when c_custkey % 2 = 0 then 0.5 + c_acctbal / 400000 end fb from customer), d as (select *, rel - paper dr, fb - paper df from t), b as (select row_id, case when st = 'artifact_reproduced' then 'artifact' when st = 'partial_run' then 'partial' when st = 'rerun_pending' then 'pending' when dr is null and df is null then 'unknown' when dr < -0.05 and abs(df) <= 0.05 then case when abs(df) <= 0.02 then 'fallback_close' else 'fallback_watch' end else case when abs(coalesce(dr, df)) <= 0.02 then 'close' when coalesce(dr, df) > 0 then 'higher_final' when abs(coalesce(dr, df)) <= 0.05 then 'watch' else 'large_gap' end end bucket from d), e as (select *, case when bucket in ('large_gap', 'unknown') then 'blocker' when bucket = 'pending' then 'pending' when bucket in ('partial', 'watch', 'higher_final', 'fallback_watch', 'fallback_close') then 'caveat' else 'ok' end severity from b)"
+
+
+def _targets(spark, sf_dir):
+    status = F.when(F.col("c_custkey") % 7 == 0, "artifact_reproduced").when(F.col("c_custkey") % 7 == 1, "partial_run").when(F.col("c_custkey") % 7 == 2, "rerun_pending").otherwise("released")
+    final = lambda c: F.struct(c.alias("final"))
+    return read(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("row_id"), F.lit("d").alias("dataset"), F.col("c_mktsegment").alias("variant"), status.alias("release_status"), final(F.lit(0.5)).alias("paper"),
+        final(F.when(F.col("c_custkey") % 5 != 0, 0.5 + F.col("c_acctbal") / 100000)).alias("release_reference"), final(F.when(F.col("c_custkey") % 2 == 0, 0.5 + F.col("c_acctbal") / 400000)).alias("fallback_reference"),
+    )
+
+
+@query(f"with {_TARGETS} select row_id, bucket, severity from e")
+def exported_targets(spark, sf_dir):
+    return reports.export_targets(_targets(spark, sf_dir)).select("row_id", "bucket", "severity")
+
+
+@query(f"with {_TARGETS} select count_if(severity = 'ok') ok, count_if(severity = 'caveat') caveat, count_if(severity = 'pending') pending, count_if(severity = 'blocker') blocker, bool_and(severity <> 'blocker') practical, bool_and(severity = 'ok') strict, case when bool_and(severity <> 'blocker') then 0 else 1 end exit_code from e")
+def readiness(spark, sf_dir):
+    return spark.createDataFrame([reports.release_readiness(_targets(spark, sf_dir))], "ok long, caveat long, pending long, blocker long, practical boolean, strict boolean, exit_code int")
+
+
+@query(f"with {_TARGETS} select row_number() over (order by case severity when 'blocker' then 0 when 'pending' then 1 when 'caveat' then 2 else 3 end, row_id) - 1 pos, row_id from e")
+def targets_by_severity(spark, sf_dir):
+    rank = F.array_position(F.array(*map(F.lit, ("blocker", "pending", "caveat", "ok"))), F.col("severity"))
+    rows = reports.export_targets(_targets(spark, sf_dir)).withColumn("rank", rank)
+    return R.latest_position(rows.select("row_id", "rank"), "rank", "row_id").select("pos", "row_id")
+
+
+@query(f"with {_TARGETS} select row_id, paper paper_final, rel final, dr delta, case when abs(dr) <= 0.02 then 'close' when dr > 0 then 'higher_final' when abs(dr) <= 0.05 then 'watch' when dr is not null then 'large_gap' end status from d")
+def compared_targets(spark, sf_dir):
+    t = _targets(spark, sf_dir)
+    return reports.compare_targets(t, t.select("row_id", F.col("release_reference.final").alias("final")).where("final is not null"))
+
+
+@query(f"with {_METHODS} select slice row_id, sum(oracle_rate * n) / sum(n) oracle_coverage, sum(verifier_rate * n) / nullif(sum(oracle_rate * n), 0) v_given_o, sum(verifier_rate * n) / sum(n) final_accuracy from m group by 1")
+def exports_in_one_shape(spark, sf_dir):
+    n = F.col("n")
+    runs = _methods(spark, sf_dir).groupBy(F.col("slice").alias("row_id")).agg(F.sum(F.col("oracle_rate") * n).alias("oracle"), F.sum(F.col("verifier_rate") * n).alias("verifier"), F.sum(n).alias("total"))
+    return reports.normalized_exports(runs)
+
+
+@query(f"with {_METHODS} select slice branch, sum(n * n) / sum(n) avg_candidates from m group by 1")
+def branches(spark, sf_dir):
+    return reports.branch_matrix(_methods(spark, sf_dir).select(F.col("slice").alias("branch"), F.col("n").alias("n_candidates"), "n"))
+
+
+@query("select c_custkey run_name, c_acctbal loss, (select count(*) from orders where o_custkey = c_custkey and o_orderstatus = 'F') generated, (select max(o_totalprice) from orders where o_custkey = c_custkey) score from customer")
+def run_table(spark, sf_dir):
+    orders = read(spark, sf_dir, "orders")
+    generated = orders.groupBy(F.col("o_custkey").alias("run_name")).agg(F.count_if(F.col("o_orderstatus") == "F").alias("generated"))
+    evaluated = orders.groupBy(F.col("o_custkey").alias("run_name")).agg(F.max("o_totalprice").alias("score"))
+    return reports.benchmark_runs(read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("run_name"), F.col("c_acctbal").alias("loss")), generated, evaluated).fillna(0, ["generated"])
+
+
+@query(f"with {_METHODS}, v as (select slice, method, oracle_rate accuracy, row_number() over (partition by slice order by method) step from m where slice = (select min(slice) from m)) select a.step, a.method variant, a.accuracy, a.accuracy - b.accuracy delta from v a left join v b on b.step = a.step - 1")
+def variant_steps(spark, sf_dir):
+    m = _methods(spark, sf_dir)
+    first = m.join(F.broadcast(m.agg(F.min("slice").alias("slice"))), "slice").select(F.col("method").alias("variant"), F.col("oracle_rate").alias("accuracy"))
+    order = sorted(r[0] for r in first.select("variant").collect())  # the list that a run configures
+    return reports.variant_ladder(first, order).withColumn("step", F.col("step").cast("long"))
+
+
+@query(f"with {_METHODS}, b as (select slice, oracle_rate o from m where method = '1-URGENT') select slice, method, oracle_rate - o accuracy_delta from m left join b using (slice)")
+def policy_board(spark, sf_dir):
+    return reports.leaderboard(_methods(spark, sf_dir).withColumn("accuracy", F.col("oracle_rate")), "1-URGENT", ["2-HIGH"]).select("slice", "method", "accuracy_delta")
+
+
+@query(f"with {_METHODS}, p as (select slice benchmark, max(case method when '1-URGENT' then oracle_rate end) o1, max(case method when '1-URGENT' then verifier_rate end) v1, max(case method when '2-HIGH' then oracle_rate end) o2, max(case method when '2-HIGH' then verifier_rate end) v2 from m group by 1) select benchmark, (o2 - o1) * v1 coverage, o2 * (v2 - v1) conversion from p")
+def audited_conversion(spark, sf_dir):
+    pick = lambda m, c: F.max(F.when(F.col("method") == m, F.col(c)))
+    runs = _methods(spark, sf_dir).groupBy(F.col("slice").alias("benchmark")).agg(pick("1-URGENT", "oracle_rate").alias("o1"), pick("1-URGENT", "verifier_rate").alias("v1"), pick("2-HIGH", "oracle_rate").alias("o2"), pick("2-HIGH", "verifier_rate").alias("v2"))
+    return reports.conversion_audit(runs)
+
+
+# --- whole reports: what the driver renders, row by row ------------------------------------------------------------------
+
+
+def _rows(spark: SparkSession, found: list[dict], schema: str) -> DataFrame:
+    """Rows of a report, whose tables are bounded, as a DataFrame again."""
+    names = [c.split()[0] for c in schema.split(", ")]
+    return spark.createDataFrame([tuple(r[n] for n in names) for r in found], schema)
+
+
+@query("with m as (select o_orderpriority ours_, count_if(o_orderstatus = 'F') / count(*) ours, count_if(o_orderstatus = 'O') / count(*) external from orders group by 1) select ours_ benchmark, ours - external delta, case when ours - external >= 0.03 then 'clear_win' when ours - external >= 0 then 'edge_or_win' when ours - external >= -0.015 then 'near_parity' when ours - external >= -0.03 then 'competitive_but_trailing' else 'clear_trail' end tag from m")
+def external_gate(spark, sf_dir):
+    s = F.col("o_orderstatus")
+    rows = read(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("benchmark")).agg((F.count_if(s == "F") / F.count("*")).alias("ours"), (F.count_if(s == "O") / F.count("*")).alias("external"))
+    return _rows(spark, reports.gate_external(rows)["rows"], "benchmark string, delta double, tag string")
+
+
+@query(f"with {_METHODS}, b as (select slice, oracle_rate o, verifier_rate v from m where method = '1-URGENT') select slice, method, verifier_rate - v verifier_rate_delta from m left join b using (slice)")
+def compatibility_gate(spark, sf_dir):
+    return _rows(spark, reports.gate_compatibility(_methods(spark, sf_dir), "1-URGENT")["deltas"], "slice string, method string, verifier_rate_delta double")
+
+
+@query(f"with {_METHODS}, s as (select slice, max(oracle_rate) - min(oracle_rate) spread, count(*) runs from m group by 1) select 'spread' section, case when count_if(spread <= 0.02) = 0 then 'waiting' when count_if(spread <= 0.02) = count(*) then 'ready' else 'partial' end status from s union all select 'several_runs', case when count_if(runs > 1) = 0 then 'waiting' when count_if(runs > 1) = count(*) then 'ready' else 'partial' end from s")
+def stability_gate(spark, sf_dir):
+    report = reports.gate_stability(_methods(spark, sf_dir).withColumnsRenamed({"oracle_rate": "accuracy", "method": "seed"}))
+    return _rows(spark, report["sections"], "section string, status string")
+
+
+@query(f"with {_METHODS} select slice, round(avg(oracle_rate), 9) mean, max(oracle_rate) - min(oracle_rate) spread from m group by 1")
+def seeds_report(spark, sf_dir):
+    found = reports.multiseed_summary(_methods(spark, sf_dir).withColumn("accuracy", F.col("oracle_rate")))["seeds"]
+    return _rows(spark, found, "slice string, mean double, spread double").withColumn("mean", F.round("mean", 9))
+
+
+_PRIORITY_RUNS = "r as (select o_orderpriority run_id, count_if(o_orderstatus = 'F') f, count_if(o_orderstatus = 'O') o, count(*) oracle, count_if(o_orderstatus = 'F') verifier from orders group by 1)"
+
+
+def _runs(spark, sf_dir):
+    s = F.col("o_orderstatus")
+    return read(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("run_id")).agg(F.count_if(s == "F").alias("f"), F.count_if(s == "O").alias("o"), F.count("*").alias("oracle"), F.count_if(s == "F").alias("verifier"))
+
+
+@query(f"with {_PRIORITY_RUNS} select run_id, case when f >= o then 'f' else 'o' end dominant, verifier / oracle v_given_o from r")
+def tradeoffs(spark, sf_dir):
+    report = reports.tradeoff_pack(_runs(spark, sf_dir), ["f", "o"])
+    return _rows(spark, [a | b for a, b in zip(report["dominant"], report["efficiency"], strict=True)], "run_id string, dominant string, v_given_o double")
+
+
+@query(f"with {_PRIORITY_RUNS} select run_id, case when o > f then o else f end f, o > f reparsed from r")
+def readiness_runs(spark, sf_dir):
+    runs = _runs(spark, sf_dir).select("run_id", "f", "o")
+    report = reports.readiness_pack(runs.select("run_id", "f"), runs.where("o > f").select("run_id", F.col("o").alias("f")), ["f"])
+    return _rows(spark, report["runs"], "run_id string, f long, reparsed boolean")
+
+
+@query(f"with {P.slots()}, p as (select first(candidate order by slot) prediction, any_value(gold_answer) gold from slots group by example_id) select count(*) total, count_if({P.ok('prediction', 'gold')}) correct from p")
+def evaluation_report(spark, sf_dir):
+    return _rows(spark, [reports.eval_report(R.first_predictions(pools(spark, sf_dir)))["exact_match"]], "total long, correct long")
+
+
+@query(f"with {_TAGS} select 'motif' kind, motif_label as label, count(*) n from tags group by 2 union all select 'quality', quality_label, count(*) from tags group by 2 union all select 'problem', problem_motif_label, count(distinct example_id) from tags group by 2")
+def motif_report(spark, sf_dir):
+    return _rows(spark, reports.motif_audit(C.tag_pool(pools(spark, sf_dir)))["labels"], "kind string, label string, n long")
+
+
+def _report_query(name: str, sql: str, schema: str, make) -> None:
+    """A part of a report under a name, with the SQL of its rows."""
+    query(sql, name)(lambda spark, sf_dir: _rows(spark, make(spark, sf_dir), schema))
+
+
+def _of(name: str) -> str:
+    return ORACLES[name]
+
+
+_report_query("salvage_report", f"select source_bucket, n, selected_correct from ({_of('conversion_buckets')})", "source_bucket string, n long, selected_correct long", lambda spark, d: reports.salvage_attribution(_events(spark, d))["by_bucket"])
+_report_query("salvage_sources", _of("final_source"), "source string, n long, correct long", lambda spark, d: reports.salvage_attribution(_events(spark, d))["final_source"])
+_report_query("external_report", _of("external_buckets"), "outcome string, form string, n long", lambda spark, d: reports.external_audit(flags(spark, d))["buckets"])
+_report_query("persistent_report", _of("persistent_miss"), "form string, gap string, n long", lambda spark, d: reports.persistent_miss_audit(slots(spark, d))["buckets"])
+_report_query("diagnosis_report", _of("conversion_diagnosis"), "bucket string, n long, first_run_correct long, second_run_correct long, verifier_losses long", lambda spark, d: reports.conversion_diagnosis(slots(spark, d), slots(spark, d, "alt"))["buckets"])
+_report_query("budget_report", _of("budget_curve").replace("range(1, 9)", "range(1, 5)"), "k int, examples long, oracle_rate double, best_rate double, gain double", lambda spark, d: reports.candidate_budget(slots(spark, d), 4)["curve"])
+_report_query("flagship_report", f"select pattern, n from ({_of('oracle_patterns')})", "pattern string, n long", lambda spark, d: reports.generate_then_rerank(slots(spark, d))["patterns"])
+_report_query("retarget_report", _of("pool_diff"), "slots long, changed long, added long, removed long, examples_changed long", lambda spark, d: reports.retarget_diagnosis({k: pools(spark, d, k) for k in ("num", "alt")}, {k: slots(spark, d, k) for k in ("num", "alt")}, "num")["diffs"])
+
+
+@query("select 'pipe ' || chr(92) || '| and 1 line' cell, '0.2500' number, 'NA' nothing")
+def markdown_cells(spark, sf_dir):
+    cells = reports.markdown_table([{"cell": "pipe | and 1\nline", "number": 0.25, "nothing": None}]).splitlines()[2][2:-2].split(" | ")
+    return spark.createDataFrame([tuple(cells)], "cell string, number string, nothing string")
+
+
+@query("select p_partkey id, case when p_partkey % 2 = 0 then 'missing' when p_partkey % 3 = 0 then 'wrong_lines' else 'ok' end state from part where p_partkey <= 60")
+def bundle_states(spark, sf_dir):
+    """Artifacts of a hand-kept list of 60: there or not, with the lines that they should have or not."""
+    path = S.work_path(spark, "bundle")
+    S.sink_jsonl(read(spark, sf_dir, "region"), path)
+    listed = read(spark, sf_dir, "part").where("p_partkey <= 60").select(F.col("p_partkey").alias("id"), F.array(F.lit("all")).alias("required_for"), F.when(F.col("p_partkey") % 2 == 0, F.lit("nowhere")).otherwise(F.lit(path)).alias("path"), F.when(F.col("p_partkey") % 3 == 0, 4).otherwise(5).alias("expected_lines"))
+    return _rows(spark, reports.check_bundle(spark, listed, ["x"], lambda p: p != "nowhere"), "id long, state string")
+
+
+# --- scalar functions that no other query reaches ------------------------------------------------------------------------
+
+
+@query(r"""select o_orderkey, coalesce(regexp_extract_all(t, '\b([1-5])\b', 1)[-1]::int, 1) score, coalesce(list_filter(list_transform(regexp_extract_all(t, '\d+'), lambda x: x::int), lambda x: x between 1 and 4)[-1] - 1, 0) place, case when o_orderkey % 3 = 0 then 'NA' else printf('%.4f', o_totalprice) end fmt, case when o_totalprice >= 0 then '+' else '' end || printf('%.2f', o_totalprice) signed, round_even(o_totalprice / 7, 6) six from (select *, 'rate ' || o_custkey % 9 || ' of 5, or ' || o_orderkey % 7 || '/' || o_orderkey % 11 t from orders)""")
+def parsed_numbers(spark, sf_dir):
+    c = lambda x, n: (F.col(x) % n).cast("string")
+    t = F.concat(F.lit("rate "), c("o_custkey", 9), F.lit(" of 5, or "), c("o_orderkey", 7), F.lit("/"), c("o_orderkey", 11))
+    price = F.col("o_totalprice")
+    return read(spark, sf_dir, "orders").select("o_orderkey", T.parse_score(t).alias("score"), T.parse_index(t, F.lit(4)).alias("place"), T.fmt_number(F.when(F.col("o_orderkey") % 3 != 0, price)).alias("fmt"), T.fmt_number(price, 2, signed=True).alias("signed"), T.round6(price / 7).alias("six"))
+
+
+@query(f"with {P.slots()} select example_id, slot, {P.num('candidate')} is not null valid, 'token::' || coalesce(nullif({P.num('candidate')}, ''), candidate) token_key, 'surface::' || candidate surface_key, '{'answer'}' || case when {P.tail('candidate')} is null then '' else ' ' || {P.tail('candidate')} end tail from slots")
+def family_keys(spark, sf_dir):
+    t = F.col("candidate")
+    tail = F.concat(F.lit("answer"), F.coalesce(F.concat(F.lit(" "), A.parse_answer(t, F.col("answer_mode"), "tail_anchored")), F.lit("")))
+    return slots(spark, sf_dir).select("example_id", "slot", A.has_valid_final(t, F.col("answer_mode")).alias("valid"), A.key_family(t, A.extract_numeric(t)).alias("token_key"), A.key_family(t, A.extract_numeric(t), "none").alias("surface_key"), tail.alias("tail"))
+
+
+@query(f"with {P.slots()}, k as (select example_id, list_sort(list(distinct slot)) s from slots group by 1) select example_id, array_to_string(list_filter([4, 8, 16, 32], lambda b: not list_contains(list_transform(s, lambda x: x * 4), b)), ',') missing from k")
+def missing_budgets(spark, sf_dir):
+    seen = slots(spark, sf_dir).groupBy("example_id").agg(F.collect_set((F.col("slot") * 4).cast("int")).alias("s"))
+    return seen.select("example_id", F.array_join(X.missing_budgets(F.col("s")), ",").alias("missing"))
+
+
+@query(f"with {P.slots()}, e as (select example_id, row_number() over (order by example_id) r from (select distinct example_id from slots)), d as (select example_id from e where r % 3 = 0) select example_id from e where example_id not in (select example_id from d)")
+def pending_examples(spark, sf_dir):
+    """What a run that stopped has still to do."""
+    rows = R.latest_position(_problems(spark, sf_dir).select("example_id"), "example_id")
+    return resume.pending(rows, rows.where("(pos + 1) % 3 = 0")).select("example_id")
+
+
+@query(f"with {P.slots()} select count(distinct example_id) examples, count(*) candidates, count_if(ok and slot = 0) first_correct, count(distinct case when ok then example_id end) oracle_correct from slots_ok")
+def observed_progress(spark, sf_dir):
+    """Counters that an action fills while it runs."""
+    rows, seen = resume.observed(pools(spark, sf_dir))
+    rows.write.format("noop").mode("overwrite").save()
+    got = seen.get
+    return spark.createDataFrame([tuple(got[c] for c in ("examples", "candidates", "first_correct", "oracle_correct"))], "examples long, candidates long, first_correct long, oracle_correct long")
+
+
+@query("select o_orderkey, case when contains(lower(o_orderpriority), 'urgent') then 'hot' when contains(lower(o_orderpriority), 'low') then 'cold' else 'other' end label from orders")
+def variant_labels(spark, sf_dir):
+    return read(spark, sf_dir, "orders").select("o_orderkey", L.ladder(F.col("o_orderpriority"), {"urgent": "hot", "low": "cold"}, "other").alias("label"))
+
+
+@query(f"with {P.slots()} select count(*) examples, max(n) max_candidates from (select example_id, count(*) n from slots group by 1)")
+def method_rows(spark, sf_dir):
+    s = slots(spark, sf_dir)
+    return M.method_summary(s, M.flags(s)).select(F.col("total_examples").alias("examples"), "max_candidates")
+
+
+@query(f"with {P.slots()} select count(*) budget from slots where example_id = (select min(example_id) from slots)")
+def first_pool_width(spark, sf_dir):
+    return M.candidate_budget(pools(spark, sf_dir), "example_id").select(F.col("budget").cast("long").alias("budget"))
+
+
+@query(f"with {P.flags()} select base_ok selected, count(*) n from flags group by 1")
+def baseline_selected(spark, sf_dir):
+    """The base scorer's choice of each pool, by whether it is right."""
+    p = pools(spark, sf_dir).withColumn("margins", F.col("base_margins"))
+    ok = A.answers_match(F.col("selected.answer"), F.col("gold_answer"), F.col("answer_mode"))
+    return SEL.select(p, "baseline_top_margin").groupBy(ok.alias("selected")).agg(F.count("*").alias("n"))
