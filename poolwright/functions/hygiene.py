@@ -123,6 +123,7 @@ SCAFFOLD_PREFIXES = (
     r"wait,\s*but that'?s not correct[.!]?\s*",
     r"wait,\s*that'?s not correct[.!]?\s*",
 )
+#: More of the same, looked for at the start alone (fixed values).
 _SCAFFOLD_MORE = (
     r"the solution (?:should|must)(?: not)? be [^.!?\n]*(?:[.!?]\s*|$)",
     r"the last line should be [^.!?\n]*(?:[.!?]\s*|$)",
@@ -131,6 +132,7 @@ _SCAFFOLD_MORE = (
 )
 #: Characters of a text that is a number, a box around one or a sum (fixed value).
 _NUMERIC_LIKE = r"\A[\s$\\boxed{}\[\]\-+*/().,0-9]+\z"
+#: Openings of a line that gives an answer (fixed values).
 _ANSWER_LINES = ("final answer:", "answer:", "option:", "choice:")
 
 
@@ -160,7 +162,7 @@ def malformed(text: Column, mode: Column, validity: str = "loose") -> Column:
 
     def of(s: Column) -> Column:
         low = F.lower(s)
-        return (
+        return (  # verdicts and endings: fixed values
             (s == "")
             | low.isin("correct", "incorrect", "true", "false", "none", "n/a")
             | malformed_wrapper(s)

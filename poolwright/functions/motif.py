@@ -28,14 +28,16 @@ CUES = {
     "reverse_reasoning": ("originally", "started with", "at first", "left", "remain", "difference", "how many were"),
 }
 _FORMS = {"percent": r"\bpercent(?:age)?\b", "remain": r"\bremain(?:ing)?\b"}
+#: Unit words by kind (fixed values).
 UNITS = {
-    "money": "dollar dollars cent cents",
-    "length": "inch inches foot feet yard yards mile miles meter meters",
-    "weight": "ounce ounces pound pounds gram grams kilogram kilograms",
-    "volume": "cup cups liter liters gallon gallons",
-    "time": "minute minutes hour hours day days week weeks month months year years",
-    "container": "bag bags box boxes pack packs bottle bottles",
+    "money": ("dollar", "dollars", "cent", "cents"),
+    "length": ("inch", "inches", "foot", "feet", "yard", "yards", "mile", "miles", "meter", "meters"),
+    "weight": ("ounce", "ounces", "pound", "pounds", "gram", "grams", "kilogram", "kilograms"),
+    "volume": ("cup", "cups", "liter", "liters", "gallon", "gallons"),
+    "time": ("minute", "minutes", "hour", "hours", "day", "days", "week", "weeks", "month", "months", "year", "years"),
+    "container": ("bag", "bags", "box", "boxes", "pack", "packs", "bottle", "bottles"),
 }
+#: Words that a text does not end in unless it is cut off (fixed values).
 DANGLING = ("then", "so", "because", "which", "that", "the", "a", "an", "of", "to", "for", "from", "is", "are", "was", "were", "be", "by", "with")
 
 
@@ -45,8 +47,8 @@ def _cues(pairs: list[tuple[Column, str]]) -> Column:
 
 def unit_conversion(combined: Column) -> Column:
     """Units of two kinds, or two units and a word that links them."""
-    groups = [combined.rlike(rf"\b(?:{u.replace(' ', '|')})\b").cast("int") for u in UNITS.values()]
-    found = F.size(F.array_distinct(F.regexp_extract_all(combined, F.lit(rf"\b({'|'.join(u for g in UNITS.values() for u in g.split())})\b"), 1)))
+    groups = [combined.rlike(rf"\b(?:{'|'.join(u)})\b").cast("int") for u in UNITS.values()]
+    found = F.size(F.array_distinct(F.regexp_extract_all(combined, F.lit(rf"\b({'|'.join(u for g in UNITS.values() for u in g)})\b"), 1)))
     kinds = groups[0]
     for g in groups[1:]:
         kinds = kinds + g

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,16 +41,23 @@ def bootstrap_ci(rows: DataFrame, a: str, b: str, samples: int = 2000, seed: int
     """(delta, low, high) of the mean of b - a under resampling.
 
     A resample of n paired outcomes is decided by how often each of the three outcomes -1, 0 and 1 is drawn, so the pairs
-    are counted once and the replicates draw counts: nothing grows with rows x samples. Draws are Poisson, weighed back to
-    the replicate's size, by hash of seed and replicate. Bounds are the sorted deltas at int(.025 B) - 1 and int(.975 B) - 1.
+    are counted once and each replicate is one multinomial draw of three counts, by a generator seeded with `seed` and the
+    replicate's number: exact resampling, and nothing grows with rows x samples. Bounds are the sorted deltas at
+    int(.025 B) - 1 and int(.975 B) - 1. No rows: all 0.
     """
     d = F.coalesce(F.col(b).cast("int"), F.lit(0)) - F.coalesce(F.col(a).cast("int"), F.lit(0))
     counts = rows.select(d.alias("d")).agg(F.count_if(F.col("d") > 0).alias("up"), F.count_if(F.col("d") < 0).alias("down"), F.count_if(F.col("d") == 0).alias("same"))
-    unit = lambda k: (F.pmod(F.xxhash64("id", F.lit(seed), F.lit(k)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-    normal = lambda k: F.sqrt(-2 * F.log(unit(2 * k))) * F.cos(F.lit(6.283185307179586) * unit(2 * k + 1))
-    draw = lambda c, k: F.greatest(F.lit(0.0), F.round(F.col(c) + normal(k) * F.sqrt(F.col(c).cast("double"))))
-    drawn = rows.sparkSession.range(samples).join(F.broadcast(counts)).select(draw("up", 1).alias("up"), draw("down", 2).alias("down"), draw("same", 3).alias("same"))
-    deltas = drawn.select(rate(F.col("up") - F.col("down"), F.col("up") + F.col("down") + F.col("same")).alias("x"))
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            out = []
+            for i, *c in x[["id", "up", "down", "same"]].to_numpy().tolist():
+                n = sum(c)
+                drawn = np.random.default_rng([seed, i]).multinomial(n, np.array(c) / n) if n else (0, 0, 0)
+                out.append((drawn[0] - drawn[1]) / max(n, 1))
+            yield pd.DataFrame({"x": out}, dtype="float64")
+
+    deltas = rows.sparkSession.range(samples).join(F.broadcast(counts)).mapInPandas(draw, "x double")
     at = lambda q: F.element_at("xs", max(1, int(q * samples)))
     bounds = deltas.agg(F.array_sort(F.collect_list("x")).alias("xs")).select(at(0.025).alias("low"), at(0.975).alias("high"))
     return counts.select(rate(F.col("up") - F.col("down"), F.col("up") + F.col("down") + F.col("same")).alias("delta")).join(F.broadcast(bounds))

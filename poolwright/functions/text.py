@@ -107,7 +107,7 @@ def synthesize_trace(gold: Column) -> Column:
 
 def fmt_number(value: Column, digits: int = 4, signed: bool = False) -> Column:
     """Fixed digits, `NA` for null."""
-    return F.coalesce(F.format_string(f"%{'+' if signed else ''}.{digits}f", value.cast("double")), F.lit("NA"))
+    return F.when(value.isNull(), "NA").otherwise(F.format_string(f"%{'+' if signed else ''}.{digits}f", value.cast("double")))
 
 
 def round6(value: Column) -> Column:

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from poolwright.functions.answers import answer_mode, answers_match, extract_numeric, key, parse_answer
+from poolwright.functions.answers import answer_mode, answers_match, extract_choice, extract_numeric, normalize_answer, parse_answer
 from poolwright.functions.hygiene import instruction_leak, malformed_wrapper, scaffold_residue, wrong_form
 from poolwright.functions.motif import quality
 from poolwright.functions.stats import rate
@@ -108,10 +108,14 @@ def merge_hygiene(rows: DataFrame, fallback: DataFrame, columns: list[str], on:
 
 
 def pool_hygiene(slots: DataFrame) -> DataFrame:
-    """Rates over all slots, and duplicates by answer key."""
-    t, m = F.col("candidate"), F.col("answer_mode")
-    by_key = slots.groupBy("example_id", key(t, m, "letter_then_number").alias("k")).agg(
-        F.count("*").alias("n"), F.count_if(parse_answer(t, m).isNotNull()).alias("parseable"), F.count_if(instruction_leak(t)).alias("leaks"), F.count_if(scaffold_residue(t)).alias("scaffolds"), F.count_if(malformed_wrapper(t)).alias("wrappers"), F.sum(token_count(t)).alias("tokens")
+    """Rates over all slots, and duplicates by answer key. Numbers and letters are read once for each slot; parse states and
+    keys follow from them."""
+    t, choice = F.col("candidate"), F.col("answer_mode") == "choice_letter"
+    read = slots.select("example_id", "answer_mode", "candidate", extract_numeric(t).alias("_number"), F.when(choice, extract_choice(t)).alias("_letter"), normalize_answer(t).alias("_text"))
+    parsed = F.when(choice, F.col("_letter").isNotNull()).when(F.col("answer_mode") == "numeric", F.col("_number").isNotNull()).otherwise(F.col("_text") != "")
+    k = F.coalesce(F.concat(F.lit("choice:"), "_letter"), F.concat(F.lit("num:"), "_number"), F.concat(F.lit("text:"), "_text"))
+    by_key = read.groupBy("example_id", k.alias("k")).agg(
+        F.count("*").alias("n"), F.count_if(parsed).alias("parseable"), F.count_if(instruction_leak(t)).alias("leaks"), F.count_if(scaffold_residue(t)).alias("scaffolds"), F.count_if(malformed_wrapper(t)).alias("wrappers"), F.sum(token_count(t)).alias("tokens")
     )
     per = by_key.groupBy("example_id").agg(F.sum("n").alias("n"), F.count("*").alias("unique"), *[F.sum(c).alias(c) for c in ("parseable", "leaks", "scaffolds", "wrappers", "tokens")])
     n = F.sum("n")

@@ -40,20 +40,27 @@ def parse_rule(name: str) -> Rule:
     raise ValueError(f"no such rule: {name}")
 
 
-def scored(pools: DataFrame, candidates: str = "candidates", margins: str = "margins", mode: str = "answer_mode", validity: str = "loose") -> DataFrame:
-    """`pools` with `scored`: the candidates by falling margin (null last, then slot) with what the rules read."""
+def scored(pools: DataFrame, candidates: str = "candidates", margins: str = "margins", mode: str = "answer_mode", validity: str = "loose", facts: str = "all") -> DataFrame:
+    """`pools` with `scored`: the candidates by falling margin (null last, then slot) with what the rules read: `all`, no
+    more than what `parsed` answers tell, or nothing but `margins`."""
     raw = F.array_sort(F.transform(candidates, lambda c, i: F.struct((-F.coalesce(F.get(margins, i), F.lit(_LOW))).alias("o"), i.alias("index"), c.alias("answer"), F.get(margins, i).alias("margin"))))
 
+    def place(s: Column, rank: Column) -> list[Column]:
+        return [s["index"].alias("index"), rank.alias("rank"), s["answer"].alias("answer"), s["margin"].alias("margin"), F.coalesce(s["margin"], F.lit(_LOW)).alias("sort_margin")]
+
+    def parsed_only(s: Column, rank: Column) -> Column:
+        return let(parse_answer(s["answer"], F.col(mode), validity), lambda p: F.struct(*place(s, rank), p.alias("parsed"), p.isNull().alias("invalid")))
+
+    if facts != "all":
+        made = (lambda s, rank: F.struct(*place(s, rank))) if facts == "margins" else parsed_only
+        return pools.withColumn("_raw", raw).withColumn("scored", F.transform("_raw", made)).drop("_raw")
+
     def enrich(s: Column, rank: Column) -> Column:
         text, m = s["answer"], F.col(mode)
         return let(
             F.struct(parse_answer(text, m, validity).alias("parsed"), instruction_leak(text).alias("leak"), scaffold_residue(text).alias("scaffold"), malformed(text, m, validity).alias("malformed")),
             lambda f: F.struct(
-                s["index"].alias("index"),
-                rank.alias("rank"),
-                text.alias("answer"),
-                s["margin"].alias("margin"),
-                F.coalesce(s["margin"], F.lit(_LOW)).alias("sort_margin"),
+                *place(s, rank),
                 f["parsed"].alias("parsed"),
                 f["parsed"].isNull().alias("invalid"),
                 f["leak"].alias("leak"),
@@ -147,4 +154,5 @@ def baseline_selected(array: Column, prediction: Column) -> Column:
 
 def select(pools: DataFrame, rule: str, validity: str = "loose", legacy: bool = False) -> DataFrame:
     """`pools` with `selected` (struct) under a rule; pools without candidates drop out."""
-    return scored(pools.where(F.size("candidates") > 0), validity=validity).withColumn("selected", rule_column(rule, legacy=legacy))
+    facts = {"baseline_top_margin": "margins", "parseable_then_margin": "parsed", "first_if_close": "parsed"}.get(parse_rule(rule).family, "all")
+    return scored(pools.where(F.size("candidates") > 0), validity=validity, facts=facts).withColumn("selected", rule_column(rule, legacy=legacy))

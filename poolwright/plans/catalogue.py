@@ -157,7 +157,7 @@ def conversion_diagnosis(spark, sf_dir):
 
 
 def _form_sql(x: str) -> str:
-    return rf"""case when {x} = '' then 'empty' when regexp_matches(lower({x}), 'use at most|do not use|do not mention|prompt-writing|role tags') then 'instruction_leak'
+    return rf"""case when {x} = '' then 'empty' when regexp_matches(lower({x}), '{P.phrases(H.LEAKS['forms'])}') then 'instruction_leak'
  when regexp_matches(lower({x}), 'step 1|step 2|step 3|let me think|here''s the solution|here is the solution|wait,|okay,') or regexp_matches({x}, '[:=]$') then 'scaffold_or_fragment'
  when length(trim(replace(replace({x}, 'Final answer:', ''), 'final answer:', ''))) <= 32 and regexp_matches(trim(replace(replace({x}, 'Final answer:', ''), 'final answer:', '')), '^[\s$\\boxed{{}}\[\]\-+*/().,0-9]+$') then 'short_numeric_like'
  when contains(lower({x}), 'final answer:') and length({x}) <= 80 then 'answer_like_short' when length({x}) > 180 then 'long_reasoning' else 'other_wrong_form' end"""
@@ -417,7 +417,7 @@ def _events(spark, sf_dir):
 _EVENTS = f"""{P.slots()}, {P.slots('alt', 'alt')}, w as (select example_id, first(candidate order by margin desc, slot) p from slots group by 1), ws as (select s.example_id, min(slot) sel from slots s join w on w.example_id = s.example_id and s.candidate = w.p group by 1),
  pair as (select distinct a.example_id, a.gold_answer from slots a join alt b using (example_id)), ids as (select example_id, slot from slots where example_id in (select example_id from pair) union select example_id, slot from alt where example_id in (select example_id from pair)),
  ev as (select i.example_id, i.slot, coalesce(a.candidate, '') b, coalesce(c.candidate, '') a2, g.gold_answer g, i.slot = ws.sel chosen from ids i join pair g using (example_id) left join slots a on a.example_id = i.example_id and a.slot = i.slot left join alt c on c.example_id = i.example_id and c.slot = i.slot left join ws on ws.example_id = i.example_id),
- events as (select *, {P.ok('b', 'g')} bc, {P.ok('a2', 'g')} ac, a2 <> b rep, {P.quality('b')} || ':' || case when {P.num('b')} is null then 'unparseable_numeric' else 'parseable_numeric' end || ':' || coalesce(nullif(concat_ws('+', case when regexp_matches(lower(b), 'use at most|exactly one last line|do not mention|do not output|the solution should|the solution must|you are improving|you are finishing|do not include') then 'instruction_leak' end, case when regexp_matches(lower(b), 'here''s a complete solution|here is the correct solution|here''s the candidate solution|let''s think|let us think|okay, let''s') then 'scaffold_residue' end, case when {P.wrapper('b')} then 'malformed_wrapper' end), ''), 'cleanish') bucket from ev)"""
+ events as (select *, {P.ok('b', 'g')} bc, {P.ok('a2', 'g')} ac, a2 <> b rep, {P.quality('b')} || ':' || case when {P.num('b')} is null then 'unparseable_numeric' else 'parseable_numeric' end || ':' || coalesce(nullif(concat_ws('+', case when regexp_matches(lower(b), '{P.phrases(H.LEAKS['provenance'])}') then 'instruction_leak' end, case when regexp_matches(lower(b), '{P.phrases(H.SCAFFOLD_PARTS)}') then 'scaffold_residue' end, case when {P.wrapper('b')} then 'malformed_wrapper' end), ''), 'cleanish') bucket from ev)"""
 
 
 @query(f"with {_EVENTS} select example_id, slot source_slot_id, bucket source_bucket, bc before_correct, ac after_correct, chosen selected_by_verifier, rep repair_applied from events")

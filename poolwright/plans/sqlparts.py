@@ -1,14 +1,20 @@
 """SQL of the oracles: the same facts as the Column functions, written for DuckDB and for the derived pools."""
 
+import re
+
+from poolwright.functions import hygiene as _hygiene
 from poolwright.functions import motif as _motif
 from poolwright.plans.adapters import slots_sql
 
 _NUMBER = r"[-+]?\d+(?:,\d{3})*(?:\.\d+)?(?:e[-+]?\d+)?"
-_LEAKS = (
-    "use at most|just output the final answer|just output the answer|do not include any explanation|do not include any reasoning|do not produce any other text|the last line must contain|the last line should be|this is a multiple-choice task|"
-    "you may reason about the options briefly|the correct answer is one of the options listed|the final answer must be|your answer must be|the answer must be|single option letter|single option-letter|do not write anything else"
-)
-_STARTS = "let me think|let''s think|okay, let''s|here''s the thought process|i will now provide|the sentence structure|use at most"
+
+
+def phrases(parts: tuple[str, ...]) -> str:
+    """A pattern that matches any of the phrases, quoted for SQL; that the phrases stand in one place keeps both sides equal."""
+    return "|".join(re.escape(p).replace(r"\ ", " ").replace("'", "''") for p in parts)
+
+
+_LEAKS, _STARTS = phrases(_hygiene.LEAKS["selector"]), phrases(_hygiene.SCAFFOLD_STARTS)
 
 
 def norm(x: str) -> str:
@@ -104,9 +110,9 @@ def _motif_lists(p: str, c: str) -> list[str]:
     said = {m: [(has(both, _motif._FORMS.get(w, rf"\b{w}\b")), w.replace(" ", "_")) for w in ws] for m, ws in _motif.CUES.items()}
     said |= {m: [(has(c, r), n) for n, r in cues.items()] for m, cues in _motif.CANDIDATE_CUES.items()}
     said["count_aggregation"].append((f"len(regexp_extract_all({c}, 'step')) >= 2", "candidate:multi_step"))
-    units = [u for g in _motif.UNITS.values() for u in g.split()]
+    units = [u for g in _motif.UNITS.values() for u in g]
     joined = f"({p} || ' ' || {c})"
-    kinds = " + ".join("(" + has(joined, rf"\b(?:{g.replace(' ', '|')})\b") + ")::int" for g in _motif.UNITS.values())
+    kinds = " + ".join("(" + has(joined, rf"\b(?:{'|'.join(g)})\b") + ")::int" for g in _motif.UNITS.values())
     found = rf"len(list_distinct(regexp_extract_all({joined}, '\b(?:{'|'.join(units)})\b')))"
     said["unit_conversion"] = [(f"({kinds}) >= 2 or {found} >= 2 and " + has(joined, r"\bconvert\b|\bcontains\b|\bper\b|\beach\b"), "unit_groups>=2")]
     said["arithmetic_finish"] = [(rf"len(regexp_extract_all({c}, '-?\d+(?:\.\d+)?')) >= 2 and regexp_matches({c}, '[+\-*/=]') or regexp_matches({c}, '\bsubtract\b|\badd\b|\bmultiply\b|\bdivide\b')", "candidate:arithmetic_ops"), (f"contains({c}, 'final answer:')", "candidate:final_answer")]
