@@ -19,7 +19,7 @@ from poolwright.llm.common import text_slices
 from poolwright.llm.wordarrays import Words
 
 BUCKETS, EXTRA, SAMPLE, THRESHOLD = 4096, 8, 6000, 0.5
-#: The share of good texts on which a labeller that speaks against a text may fire.
+#: The share of good texts on which a labeller that speaks against a text may fire, while the estimate is being started.
 FALSE_ALARMS = 0.004
 #: Frequent words of the languages the corpus is known to hold (fixed values).
 FUNCTION_WORDS = (
@@ -128,24 +128,26 @@ class Accuracies:
 
 def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> Accuracies:
     """EM for two classes over vote patterns with counts. It starts from labellers that are right more often than not, and
-    each keeps its sense: one that speaks against a text never fires more on good texts than on bad ones, nor on more than
-    FALSE_ALARMS of them, so a kind of bad text that only one or two labellers know is not taken for good text."""
+    each keeps its sense: one that speaks against a text never fires more on good texts than on bad ones. EM finds the
+    optimum nearest to its start, so it is first run with false alarms bounded by FALSE_ALARMS, which keeps kinds of bad
+    text that one or two labellers know out of the good class, and then goes on without that bound until it settles."""
     sense = np.array(list(LABELLERS.values()))
     fires = np.where(np.array([[1], [-1]]) * -sense > 0, [[0.5], [0.5]], [[0.05], [0.05]]).astype(float)
     fires[0, sense > 0], fires[1, sense > 0] = 0.5, 0.95
     found, total = Accuracies(0.8, fires), max(counts.sum(), 1)
-    for _ in range(rounds):
-        p = found.posterior(patterns)
-        weight = np.stack([(1 - p) * counts, p * counts])
-        fires = (weight @ patterns + 0.5) / (weight.sum(axis=1, keepdims=True) + 1)
-        wrong = (fires[1] - fires[0]) * sense < 0
-        fires[:, wrong] = fires[:, wrong].mean(axis=0)
-        fires[1, sense < 0] = np.minimum(fires[1, sense < 0], FALSE_ALARMS)
-        good = float(np.clip(weight[1].sum() / total, 0.02, 0.98))
-        moved = abs(good - found.good) + np.abs(fires - found.fires).max()
-        found = Accuracies(good, np.clip(fires, 1e-4, 1 - 1e-4))
-        if moved < 1e-7:
-            break
+    for bound in (FALSE_ALARMS, 1.0):
+        for _ in range(rounds):
+            p = found.posterior(patterns)
+            weight = np.stack([(1 - p) * counts, p * counts])
+            fires = (weight @ patterns + 0.5) / (weight.sum(axis=1, keepdims=True) + 1)
+            wrong = (fires[1] - fires[0]) * sense < 0
+            fires[:, wrong] = fires[:, wrong].mean(axis=0)
+            fires[1, sense < 0] = np.minimum(fires[1, sense < 0], bound)
+            good = float(np.clip(weight[1].sum() / total, 0.02, 0.98))
+            moved = abs(good - found.good) + np.abs(fires - found.fires).max()
+            found = Accuracies(good, np.clip(fires, 1e-4, 1 - 1e-4))
+            if moved < 1e-7:
+                break
     return found
 
 
@@ -191,7 +193,7 @@ def _examples(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words = Words(batch.column("text")[a:b])
             s = statistics(words)
             v, x = votes(s), hashed(words, s)
-            yield pa.RecordBatch.from_arrays([pa.array(v @ (1 << np.arange(v.shape[1]))), pa.array([r.tobytes() for r in x.astype(np.float16)], pa.binary())], names=["pattern", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column("h")[a:b], batch.column("g")[a:b], pa.array(v @ (1 << np.arange(v.shape[1]))), pa.array([r.tobytes() for r in x.astype(np.float16)], pa.binary())], names=["h", "g", "pattern", "x"])
 
 
 def _unpack(patterns: np.ndarray) -> np.ndarray:
@@ -205,8 +207,9 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> tuple[Accuracies, Scorer]:
     patterns, counts = _unpack(counted["pattern"].to_numpy(np.int64)), counted["n"].to_numpy(np.float64)
     found = estimate(patterns, counts)
     share = min(1.0, sample / max(counts.sum(), 1))
-    chosen = docs.where("text is not null").where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < int(share * (1 << 30))).select("text")
-    rows = chosen.mapInArrow(_examples, "pattern long, x binary").limit(2 * sample).toPandas()
+    chosen = docs.where("text is not null").withColumn("h", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30))).where(F.col("h") < int(share * (1 << 30)))
+    made = chosen.select("h", F.xxhash64(F.lit(1), "text").alias("g"), "text").mapInArrow(_examples, "h long, g long, pattern long, x binary")
+    rows = made.orderBy("h", "g").limit(2 * sample).select("pattern", "x").toPandas()
     x = np.frombuffer(b"".join(map(bytes, rows["x"])), np.float16).reshape(len(rows), BUCKETS + EXTRA).astype(np.float32)
     return found, fit(x, found.posterior(_unpack(rows["pattern"].to_numpy(np.int64))).astype(np.float32))
 
