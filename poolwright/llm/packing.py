@@ -127,8 +127,9 @@ def ids_of(path: str) -> Ids:
     return _IDS[path]
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, size: int = WINDOW, end_id: int = END_ID) -> DataFrame:
-    """One row for each piece of each document: see SCHEMA.
+def pack(docs: DataFrame, tokenizer: str | None = None, size: int = WINDOW, end_id: int = END_ID, with_ids: bool = True) -> DataFrame:
+    """One row for each piece of each document: see SCHEMA, and `ids`, the token ids of the piece (array<int>), unless
+    `with_ids` is false.
 
     A document is its ids and `end_id`; null or empty text: `end_id` alone. Longer documents fill whole windows of their
     own and their rest is placed. Rows are independent: a null or repeated doc_id is carried as it is, other columns are
@@ -142,14 +143,20 @@ def pack(docs: DataFrame, tokenizer: str | None = None, size: int = WINDOW, end_
         end, base = np.asarray([end_id], "<u4").tobytes(), TaskContext.get().partitionId() << 36
         for batch in batches:
             for a, b in text_slices(batch):
-                rows = []
+                rows, tokens = [], []
                 for doc, data in zip(batch.column("doc_id")[a:b].to_pylist(), ids(utf8(batch.column("text")[a:b])), strict=True):
                     data += end
                     n = len(data) // 4
                     for start in range(0, n, size):
                         length = min(size, n - start)
                         window, level = levels.place(length)
-                        rows.append((doc, start, length, zlib.crc32(data[4 * start : 4 * (start + length)]), n, base + window, level))
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], schema=_ARROW)
-
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+                        part = data[4 * start : 4 * (start + length)]
+                        rows.append((doc, start, length, zlib.crc32(part), n, base + window, level))
+                        tokens.append(part)
+                columns = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
+                if with_ids:
+                    ends = np.concatenate([[0], np.cumsum([len(t) // 4 for t in tokens])]).astype(np.int32)
+                    columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(tokens), "<i4"))))
+                yield pa.RecordBatch.from_arrays(columns, schema=_ARROW.append(pa.field("ids", pa.list_(pa.int32()))) if with_ids else _ARROW)
+
+    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA + (", ids array<int>" if with_ids else ""))
