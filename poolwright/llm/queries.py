@@ -24,7 +24,7 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.deduplicate(table(spark, sf_dir, "documents"))
+    return substrings.deduplicate(table(spark, sf_dir, "documents"), texts=False).drop("kept")
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,7 +36,7 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"))
+    return packing.pack(table(spark, sf_dir, "documents"), with_ids=False)
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,10 +29,10 @@ from poolwright.llm.wordarrays import Words, mix, ranges_hash, sliding
 
 WINDOW = 50
 _ANCHORS = pa.schema([("h", pa.int64()), ("t", pa.int64()), ("left", pa.int64()), ("right", pa.int64())])
-_LONGEST = "doc_id long, n_words long, n_removed long, kept_sha256 string, text string, h1 array<long>, h2 array<int>"
-_LONGEST_ARROW = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("text", pa.string()), ("h1", pa.list_(pa.int64())), ("h2", pa.list_(pa.int32()))])
-_DIGEST = "doc_id long, n_words long, n_removed long, kept_sha256 string"
-_DIGEST_ARROW = pa.schema(list(_LONGEST_ARROW)[:4])
+_LONGEST = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string, text string, h1 array<long>, h2 array<int>"
+_LONGEST_ARROW = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string()), ("text", pa.string()), ("h1", pa.list_(pa.int64())), ("h2", pa.list_(pa.int32()))])
+_DIGEST = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
+_DIGEST_ARROW = pa.schema(list(_LONGEST_ARROW)[:5])
 
 
 def levels(window: int) -> tuple[int, int]:
@@ -73,8 +73,10 @@ def _anchors(window: int):
     return run
 
 
-def digest(words: list[bytes]) -> str:
-    return hashlib.sha256(b" ".join(words)).hexdigest()
+def digest(words: list[bytes], whole: bool) -> tuple[str, str | None]:
+    """SHA-256 of the kept words, and with `whole` the words themselves."""
+    kept = b" ".join(words)
+    return hashlib.sha256(kept).hexdigest(), kept.decode() if whole else None
 
 
 def _window_hashes(words: Words, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -82,7 +84,7 @@ def _window_hashes(words: Words, at: np.ndarray, window: int) -> tuple[np.ndarra
     return ranges_hash(words.hash, at, at + window).view(np.int64), ranges_hash(words.hash, at, at + window, 0xA0761D6478BD642F).astype(np.uint32).view(np.int32)
 
 
-def _longest(window: int):
+def _longest(window: int, whole: bool):
     _, half = levels(window)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,7 +97,7 @@ def _longest(window: int):
                     if copy_of and hashlib.sha256(raw).digest() in copy_of:
                         parts = raw.split()
                         gone = len(parts) if len(parts) >= window else 0
-                        rows.append((doc, len(parts), gone, digest([] if gone else parts), None, None, None))
+                        rows.append((doc, len(parts), gone, *digest([] if gone else parts, whole), None, None, None))
                         continue
                     if found.is_valid and doc is not None:
                         words = Words(pa.array([raw], pa.binary()))
@@ -109,17 +111,17 @@ def _longest(window: int):
                         at = at[at + window <= n]
                     if not len(at):
                         parts = raw.split()
-                        rows.append((doc, len(parts), 0, digest(parts), None, None, None))
+                        rows.append((doc, len(parts), 0, *digest(parts, whole), None, None, None))
                         continue
                     h1, h2 = _window_hashes(words, at, window)
                     _, once = np.unique(mixed(h1, h2), return_index=True)
-                    rows.append((doc, n, None, None, text.as_py(), h1[once], h2[once]))
+                    rows.append((doc, n, None, None, None, text.as_py(), h1[once], h2[once]))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _LONGEST_ARROW, strict=True)], schema=_LONGEST_ARROW)
 
     return run
 
 
-def _removed(window: int):
+def _removed(window: int, whole: bool):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
@@ -139,7 +141,7 @@ def _removed(window: int):
                     over = np.cumsum(covered[:n]) > 0
                     gone = int(over.sum())
                     parts = [w for w, x in zip(parts, over.tolist(), strict=True) if not x]
-                rows.append((doc, n, gone, digest(parts)))
+                rows.append((doc, n, gone, *digest(parts, whole)))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _DIGEST_ARROW, strict=True)], schema=_DIGEST_ARROW)
 
@@ -173,8 +175,9 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return by_doc.join(copies, "doc_id", "full")
 
 
-def deduplicate(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256) for each row of `docs`.
+def deduplicate(docs: DataFrame, window: int = WINDOW, texts: bool = True) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept_sha256, kept) for each row of `docs`; kept, the words that stay joined by one space, is
+    null if `texts` is false.
 
     A word goes if a window of `window` words over it also starts in a document with a smaller doc_id; windows are judged
     on the input. Null text has no words. A row with null doc_id is kept whole and is no source for others; rows that
@@ -183,10 +186,10 @@ def deduplicate(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """
     found = repeats(docs, window)
     judged = docs.select("doc_id", "text").join(found, "doc_id", "left").select("doc_id", "text", "found", "copy_of")
-    judged = stored(judged.mapInArrow(_longest(window), _LONGEST), "longest")
+    judged = stored(judged.mapInArrow(_longest(window, texts), _LONGEST), "longest")
     release(docs.sparkSession)
     windows = judged.where("h1 is not null").select("doc_id", F.explode(F.arrays_zip("h1", "h2")).alias("w")).select("doc_id", "w.h1", "w.h2")
     sources = _repeated(windows, "doc_id", "h1", "h2")
     hits = windows.join(sources, ["h1", "h2"]).where("doc_id > least").groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2")).alias("hits"))
     cut = judged.where("h1 is not null").select("doc_id", "text", "n_words").join(hits, "doc_id", "left").select("doc_id", "text", "n_words", "hits")
-    return judged.where("h1 is null").select("doc_id", "n_words", "n_removed", "kept_sha256").unionAll(cut.mapInArrow(_removed(window), _DIGEST))
+    return judged.where("h1 is null").select("doc_id", "n_words", "n_removed", "kept_sha256", "kept").unionAll(cut.mapInArrow(_removed(window, texts), _DIGEST))
