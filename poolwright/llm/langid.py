@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from poolwright.llm.common import text_slices
 from poolwright.llm.wordarrays import Words, _powers, forget_powers, mix
 
-BITS, BLOCK, SAMPLE_DOCS, SAMPLE_WORDS, EPOCHS = 18, 64, 300, 60_000, 6
+BITS, BLOCK, SAMPLE_DOCS, SAMPLE_WORDS, SAMPLE_CHARS, EPOCHS = 18, 64, 300, 60_000, 50_000, 6
 _SPLIT = np.array([not (c >= 128 or chr(c).isalpha()) for c in range(256)])
 _RNG_BYTE = np.random.default_rng(97).integers(0, 2**64, 256, dtype=np.uint64)
 _P = 0x9E3779B97F4A7C15
@@ -203,16 +203,17 @@ def bucket_of(doc_id: str = "doc_id"):
 
 
 def training_sample(docs: DataFrame, per_lang: int = SAMPLE_DOCS, most_words: int = SAMPLE_WORDS) -> tuple[list[str], list[str]]:
-    """About `per_lang` whole texts of each language outside the held-out fold, those of least text hash, until the language
-    has `most_words` words. Counts by language are over all documents."""
+    """About `per_lang` texts of each language outside the held-out fold, those of least text hash, until the language has
+    `most_words` words; of a text longer than SAMPLE_CHARS a training example is its beginning. Counts by language are over
+    all documents."""
     own = docs.where((bucket_of() != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang")
     counts = {r["lang"]: r["n"] for r in own.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return [], []
     limit = F.coalesce(*[F.when(F.col("lang") == k, F.lit(int(min(1.0, per_lang / n) * (1 << 30)))) for k, n in counts.items()])
-    rows = own.withColumn("h", F.pmod(F.xxhash64("text"), F.lit(1 << 30))).where(F.col("h") < limit).select("h", "text", "lang").distinct()
+    rows = own.withColumn("h", F.pmod(F.xxhash64("text"), F.lit(1 << 30))).where(F.col("h") < limit).select("h", F.substring("text", 1, SAMPLE_CHARS).alias("text"), "lang").distinct()
     texts, langs, words = [], [], dict.fromkeys(counts, 0)
-    for r in sorted(rows.limit(2 * per_lang * len(counts)).collect(), key=lambda r: (r["h"], r["text"])):
+    for r in sorted(rows.orderBy("h", "text").limit(2 * per_lang * len(counts)).collect(), key=lambda r: (r["h"], r["text"])):
         if words[r["lang"]] < most_words:
             texts.append(r["text"])
             langs.append(r["lang"])

@@ -57,21 +57,26 @@ def latest(maps: DataFrame) -> DataFrame:
     return maps.join(F.broadcast(newest), "version").select("virtual_slot", "shard", "version")
 
 
-def assign(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS) -> DataFrame:
+def assign(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, held: DataFrame | None = None, maps_to: str | None = None) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard, virtual_slot, map_version) for each row of `docs`.
 
     Law `bytes`: sizes (UTF-8 bytes, null none, plus 1) of the shards are near equal. slot numbers a shard's rows without
     gaps, by virtual slot, doc_id and text hash. The virtual slot is a hash of doc_id and text, so null or repeated
     doc_ids spread; identical rows are counted before the shuffle and take neighbouring numbers. Other columns are not
     read; a table without rows gives none.
+
+    `held` is a stored map of an earlier run (virtual_slot, shard, version), whose newest version is edited, so few slots
+    move; without one, slots are dealt round first. All versions are written to `maps_to`, if it is given.
     """
     text = F.coalesce("text", F.lit(""))
     own = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), slot_of("doc_id", text, slots=slots).alias("virtual_slot"))
     kinds = own.groupBy("virtual_slot", "doc_id", "size", "text_crc32").agg(F.count("*").alias("n"))
     kinds = stored(kinds, "kinds")
     load = stored(kinds.groupBy("virtual_slot").agg(F.sum(F.col("size") * F.col("n")).alias("bytes"), F.sum("n").alias("rows")), "load")
-    zero = first_map(docs.sparkSession, shards, slots)
-    maps = stored(zero.unionAll(rebalance(zero, load, shards)), "maps")
+    maps = first_map(docs.sparkSession, shards, slots) if held is None else held.select("virtual_slot", "shard", "version")
+    maps = stored(maps.unionByName(rebalance(latest(maps), load, shards)), "maps")
+    if maps_to:
+        maps.write.mode("errorifexists").parquet(maps_to)
     before = Window.partitionBy("shard").orderBy("virtual_slot").rowsBetween(Window.unboundedPreceding, -1)
     placed = latest(maps).join(F.broadcast(load), "virtual_slot").withColumn("base", F.coalesce(F.sum("rows").over(before), F.lit(0)))
     within = Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, -1)
