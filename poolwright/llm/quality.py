@@ -7,6 +7,7 @@ posteriors are the labels of a linear scorer over hashed features, which judges
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -193,7 +194,7 @@ def _examples(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words = Words(batch.column("text")[a:b])
             s = statistics(words)
             v, x = votes(s), hashed(words, s)
-            yield pa.RecordBatch.from_arrays([batch.column("h")[a:b], batch.column("g")[a:b], pa.array(v @ (1 << np.arange(v.shape[1]))), pa.array([r.tobytes() for r in x.astype(np.float16)], pa.binary())], names=["h", "g", "pattern", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column("h")[a:b], batch.column("g")[a:b], pa.array(v @ (1 << np.arange(v.shape[1]))), pa.array([zlib.compress(r.tobytes(), 1) for r in x.astype(np.float16)], pa.binary())], names=["h", "g", "pattern", "x"])
 
 
 def _unpack(patterns: np.ndarray) -> np.ndarray:
@@ -210,7 +211,9 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> tuple[Accuracies, Scorer]:
     chosen = docs.where("text is not null").withColumn("h", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30))).where(F.col("h") < int(share * (1 << 30)))
     made = chosen.select("h", F.xxhash64(F.lit(1), "text").alias("g"), "text").mapInArrow(_examples, "h long, g long, pattern long, x binary")
     rows = made.orderBy("h", "g").limit(2 * sample).select("pattern", "x").toPandas()
-    x = np.frombuffer(b"".join(map(bytes, rows["x"])), np.float16).reshape(len(rows), BUCKETS + EXTRA).astype(np.float32)
+    x = np.empty((len(rows), BUCKETS + EXTRA), np.float32)
+    for i, packed in enumerate(rows["x"]):
+        x[i] = np.frombuffer(zlib.decompress(packed), np.float16)
     return found, fit(x, found.posterior(_unpack(rows["pattern"].to_numpy(np.int64))).astype(np.float32))
 
 
