@@ -79,13 +79,18 @@ class Ids:
         if len(self.words) > WORDS_KEPT:
             self.words = {}
         split = [(t if b"<|" in t else t.lower()).split() for t in texts]  # names of special tokens keep their case
-        known, new = self.words, set()
+        known, new, open_ = self.words, set(), []
         found = [list(map(known.get, words)) for words in split]
         for words, got in zip(split, found, strict=True):
             if None in got:
-                new.update([w for w, g in zip(words, got, strict=True) if g is None])
+                at = [i for i, ids in enumerate(got) if ids is None]
+                open_.append((words, got, at))
+                new.update([words[i] for i in at])
         self.learn(new)
-        return [b"".join([known[w] for w in words] if None in got else got) for words, got in zip(split, found, strict=True)]
+        for words, got, at in open_:
+            for i in at:
+                got[i] = known[words[i]]
+        return [b"".join(got) for got in found]
 
     def learn(self, new: set[bytes]) -> None:
         cut = {}
