@@ -10,11 +10,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes and rows of text that one numpy pass works on; a single longer text is a slice of its own.
 SLICE_BYTES, SLICE_ROWS = 1_000_000, 500
+#: Keys with more than one in HOT_KEYS of all rows, of which there can be no more than HOT_KEYS, are dealt over SPREAD tasks.
+HOT_KEYS, SPREAD = 4096, 64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +63,18 @@ def plain_rows(rows: DataFrame) -> DataFrame:
     return rows.select("row.*")
 
 
+def split_join(rows: DataFrame, keys: DataFrame, on: list[str], part: Column, how: str = "inner") -> DataFrame:
+    """`rows` joined to stored `keys`, one row a key with n, the number of its rows: hot keys are repeated SPREAD times and
+    their rows dealt by `part` (any whole number), so that no task gets all rows of a key. Fewer than HOT_KEYS keys are
+    broadcast, whatever the input: each has more than one in HOT_KEYS of the counted rows."""
+    total = keys.agg(F.sum("n")).first()[0] or 0
+    hot = F.col("n") * HOT_KEYS > F.lit(total)
+    each = keys.withColumn("_part", F.explode(F.sequence(F.lit(0), F.when(hot, SPREAD - 1).otherwise(0)))).drop("n")
+    marked = rows.withColumn("_part", part).join(F.broadcast(keys.where(hot).select(*on, F.lit(True).alias("_hot"))), on, "left")
+    dealt = marked.withColumn("_part", F.when(F.col("_hot"), F.pmod("_part", F.lit(SPREAD)).cast("int")).otherwise(0)).drop("_hot")
+    return dealt.join(each, [*on, "_part"], how).drop("_part")
+
+
 def release(spark: SparkSession) -> None:
     """Lets go of the shuffle files of jobs whose results are stored: Spark removes them when the driver collects garbage,
     which may otherwise be long after."""

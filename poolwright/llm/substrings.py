@@ -9,7 +9,8 @@ A window of 50 words can only repeat where the shorter windows inside it repeat,
 - 50 words: all windows that hold a surviving 25-word window, under 96-bit hashes.
 
 A window survives a level if it occurs in two documents: minimum and maximum by hash, aggregated before the shuffle, so a
-passage that a third of all documents share costs each task one row. Exact copies of a text with a smaller doc_id lose
+passage that a third of all documents share costs each task one row; when survivors are looked up, rows of a hot key are
+dealt over many tasks. Exact copies of a text with a smaller doc_id lose
 whatever lies in a window and are no sources, for the first of them has the same windows; they are told apart by SHA-256
 first, and the levels count texts, not documents.
 """
@@ -24,11 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from poolwright.llm.common import release, stored, text_slices
+from poolwright.llm.common import SPREAD, release, split_join, stored, text_slices
 from poolwright.llm.wordarrays import Words, mix, ranges_hash, sliding
 
 WINDOW = 50
-_ANCHORS = pa.schema([("h", pa.int64()), ("t", pa.int64()), ("left", pa.int64()), ("right", pa.int64())])
+_ANCHORS = pa.schema([("h", pa.int64()), ("t", pa.int64()), ("d", pa.int8()), ("left", pa.int64()), ("right", pa.int64())])
 _LONGEST = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string, text string, h1 array<long>, h2 array<int>"
 _LONGEST_ARROW = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string()), ("text", pa.string()), ("h1", pa.list_(pa.int64())), ("h2", pa.list_(pa.int32()))])
 _DIGEST = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
@@ -46,7 +47,7 @@ def _anchors(window: int):
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("t")
+            ids, deal = batch.column("t"), batch.column("d")
             for a, b in text_slices(batch):
                 words = Words(batch.column("text")[a:b])
                 n = len(words.starts)
@@ -68,7 +69,7 @@ def _anchors(window: int):
                 doc = words.doc[chosen]
                 _, once = np.unique(mix(mix(mix(short[chosen]) + left) + right) + mix(doc.astype(np.uint64)), return_index=True)
                 doc, short, left, right = doc[once], short[chosen][once], left[once], right[once]
-                yield pa.RecordBatch.from_arrays([pa.array(short.view(np.int64)), ids[a:b].take(pa.array(doc)), pa.array(left.view(np.int64), mask=left == 0), pa.array(right.view(np.int64), mask=right == 0)], schema=_ANCHORS)
+                yield pa.RecordBatch.from_arrays([pa.array(short.view(np.int64)), ids[a:b].take(pa.array(doc)), deal[a:b].take(pa.array(doc)), pa.array(left.view(np.int64), mask=left == 0), pa.array(right.view(np.int64), mask=right == 0)], schema=_ANCHORS)
 
     return run
 
@@ -154,8 +155,8 @@ def mixed(h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
 
 
 def _repeated(rows: DataFrame, document: str, *key: str) -> DataFrame:
-    """The keys that occur in two documents, with the smallest of them."""
-    return rows.groupBy(*key).agg(F.min(document).alias("least"), F.max(document).alias("most")).where("least < most")
+    """The keys that occur in two documents, with the smallest of them and the number of rows."""
+    return rows.groupBy(*key).agg(F.min(document).alias("least"), F.max(document).alias("most"), F.count("*").alias("n")).where("least < most").drop("most")
 
 
 def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -163,14 +164,17 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     below `window`, and the SHA-256 of texts that are copies of an earlier document's."""
     own = docs.where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     texts = stored(own.select("doc_id", F.xxhash64("text").alias("t"), F.unhex(F.sha2("text", 256)).alias("s")), "texts")
-    firsts = texts.groupBy("s", "t").agg(F.min("doc_id").alias("least"))
-    copies = texts.join(firsts, ["s", "t"]).where("doc_id > least").groupBy("doc_id").agg(F.collect_set("s").alias("copy_of"))
-    anchors = own.select(F.xxhash64("text").alias("t"), "text").mapInArrow(_anchors(window), "h long, t long, left long, right long")
-    first = _repeated(anchors.select("h", "t"), "t", "h").select("h")
-    halves = anchors.join(first, "h", "left_semi").select("t", F.explode(F.array("left", "right")).alias("h")).where("h is not null").distinct()
+    firsts = stored(texts.groupBy("s", "t").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "firsts")
+    copies = split_join(texts, firsts.where("n > 1"), ["s", "t"], F.xxhash64("doc_id")).where("doc_id > least").groupBy("doc_id").agg(F.collect_set("s").alias("copy_of"))
+    dealt = F.pmod(F.xxhash64("doc_id"), F.lit(SPREAD)).cast("byte").alias("d")
+    anchors = own.select(F.xxhash64("text").alias("t"), dealt, "text").mapInArrow(_anchors(window), "h long, t long, d byte, left long, right long")
+    first = stored(_repeated(anchors.select("h", "t"), "t", "h").select("h", "n"), "anchors")
+    release(docs.sparkSession)
+    halves = split_join(anchors, first, ["h"], F.col("d"), "left_semi").select("t", F.explode(F.array("left", "right")).alias("h")).where("h is not null").distinct()
     halves = stored(halves, "halves")
     release(docs.sparkSession)
-    found = halves.join(_repeated(halves, "t", "h").select("h"), "h", "left_semi").groupBy("t").agg(F.collect_list("h").alias("h"))
+    second = stored(_repeated(halves, "t", "h").select("h", "n"), "repeated")
+    found = split_join(halves, second, ["h"], F.xxhash64("t"), "left_semi").groupBy("t").agg(F.collect_list("h").alias("h"))
     by_doc = firsts.join(found, "t").groupBy(F.col("least").alias("doc_id")).agg(F.flatten(F.collect_list("h")).alias("found"))
     return by_doc.join(copies, "doc_id", "full")
 
@@ -189,7 +193,7 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, texts: bool = True) -> Da
     judged = stored(judged.mapInArrow(_longest(window, texts), _LONGEST), "longest")
     release(docs.sparkSession)
     windows = judged.where("h1 is not null").select("doc_id", F.explode(F.arrays_zip("h1", "h2")).alias("w")).select("doc_id", "w.h1", "w.h2")
-    sources = _repeated(windows, "doc_id", "h1", "h2")
-    hits = windows.join(sources, ["h1", "h2"]).where("doc_id > least").groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2")).alias("hits"))
+    sources = stored(_repeated(windows, "doc_id", "h1", "h2"), "sources")
+    hits = split_join(windows, sources, ["h1", "h2"], F.xxhash64("doc_id")).where("doc_id > least").groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2")).alias("hits"))
     cut = judged.where("h1 is not null").select("doc_id", "text", "n_words").join(hits, "doc_id", "left").select("doc_id", "text", "n_words", "hits")
     return judged.where("h1 is null").select("doc_id", "n_words", "n_removed", "kept_sha256", "kept").unionAll(cut.mapInArrow(_removed(window, texts), _DIGEST))

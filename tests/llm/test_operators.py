@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from poolwright.llm import decontaminate, langid, media, packing, pii, quality, secrets, sharding, simhash, substrings
-from poolwright.llm.common import table
+from poolwright.llm.common import split_join, stored, table
 
 SCHEMA = "doc_id long, text string, lang string, source string, fp long, _tag string, _hits string, _text string, id string, row string"
 
@@ -178,6 +178,14 @@ def smith_waterman(a, b):
     return best
 
 
+def test_split_join(spark):
+    rows = spark.range(3000).select(F.when(F.col("id") < 1000, 7).otherwise(F.col("id")).cast("long").alias("k"), F.col("id").alias("x"))
+    keys = stored(rows.groupBy("k").agg(F.count("*").alias("n"), F.min("x").alias("least")).where("k % 2 = 1"), "keys")
+    plain = sorted(map(tuple, rows.join(keys.drop("n"), "k").select("k", "x", "least").collect()))
+    assert sorted(map(tuple, split_join(rows, keys, ["k"], F.xxhash64("x")).select("k", "x", "least").collect())) == plain
+    assert sorted(map(tuple, split_join(rows, keys, ["k"], F.xxhash64("x"), "left_semi").collect())) == [(k, x) for k, x, _ in plain]
+
+
 def test_alignment():
     r = np.random.default_rng(1)
     for _ in range(200):
