@@ -1,17 +1,20 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest.
 
 The forest is trained from labelled findings by MLlib and then written out as one Column expression, so scanning is a
-projection of the text column: no shuffle, no Python, and a finding is scored where it stands.
+projection of the text column: no shuffle, no Python, and a finding is scored where it stands. What its features know of
+language, letter transitions and common words, is counted over all texts before, by one aggregate by word.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from poolwright.llm.common import stored
+from poolwright.llm.common import discard, stored
 
 #: A name that holds one of the words, whatever stands around it (DB_PASSWORD, client_secret, userPassword2); an author, a secretary and a tokenizer are none.
 _NAMED = r"[A-Za-z0-9_.-]*(?i:password|passwd|passphrase|pwd|(?<![a-z])pass(?![a-z])|secret(?!ar(?:y|i))|token(?!i[sz])|api[_-]?key|access[_-]?key|auth(?!or(?!i[sz])))[A-Za-z0-9_.-]*"
@@ -45,9 +48,11 @@ DICTIONARY = (
 HINTS = ("password", "passwd", "secret", "token", "key", "credential", "credentials", "auth", "bearer", "login", "access")
 DOUBTS = ("example", "sample", "dummy", "fake", "placeholder", "test", "your", "commit", "sha", "sha1", "sha256", "md5", "hash", "checksum", "digest", "uuid", "id", "revision", "etag", "integrity")
 PATH_DOUBTS = r"(?i)(^|[/_.-])(tests?|examples?|samples?|fixtures?|docs?|mocks?|demo)([/_.-]|$)"
-#: English pairs of letters that random text seldom has (fixed values).
-PAIRS = "th|he|in|er|an|re|on|at|en|nd|ti|es|or|te|of|ed|is|it|al|ar|st|to|nt|ng|se|ha|as|ou|io|le"
-FEATURES = ("length", "turns", "digits", "capitals", "distinct", "dictionary", "pairs", "path_like", "path_doubt", "doubt_near", "hint_near", "named_kind", "repeats")
+#: The dictionary learned from texts: the COMMON most frequent words of 3 to 20 letters that occur at least OFTEN times. The
+#: words of DICTIONARY count as OFTEN occurrences more each.
+COMMON, OFTEN = 1000, 10
+_UNIFORM = math.log2(26)
+FEATURES = ("length", "turns", "digits", "capitals", "distinct", "dictionary", "known", "surprise", "path_like", "path_doubt", "doubt_near", "hint_near", "named_kind", "repeats")
 TREES, DEPTH, SEED, MAX_FINDINGS, THRESHOLD = 20, 6, 7, 20_000, 0.5
 MARK = "[SECRET]"
 
@@ -62,7 +67,50 @@ def _in(words: tuple[str, ...], *texts: Column) -> Column:
     return F.arrays_overlap(found, F.array(*map(F.lit, words))).cast("double")
 
 
-def features(value: Column, before: Column, after: Column, path: Column, kind: Column) -> Column:
+class Letters(NamedTuple):
+    """What the features know of language: common words, and the bits that a letter costs after another (26 rows of 26)."""
+
+    words: tuple[str, ...]
+    bits: tuple[float, ...]
+
+
+def letters(pairs: dict[str, int], words: tuple[str, ...] = ()) -> Letters:
+    """Of counted pairs of letters and common words; DICTIONARY is added to both, and each pair is counted once more."""
+    n = [1] * 676
+    place = lambda x: (ord(x[0]) - 97) * 26 + ord(x[1]) - 97
+    for pair, count in [*pairs.items(), *((w[i : i + 2], OFTEN) for w in DICTIONARY for i in range(len(w) - 1))]:
+        n[place(pair)] += count
+    rows = [sum(n[i : i + 26]) for i in range(0, 676, 26)]
+    return Letters(tuple(dict.fromkeys([*DICTIONARY, *words])), tuple(round(math.log2(rows[i // 26] / x), 4) for i, x in enumerate(n)))
+
+
+PLAIN = letters({})
+
+
+def learn(docs: DataFrame) -> Letters:
+    """Letters of all texts of `docs`. Case is folded and whatever is no letter a to z parts words. What reaches the driver is
+    COMMON words and at most 676 pairs. Null and empty texts have no words; no other column is read."""
+    words = docs.select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("w")).where(F.length("w") > 1)
+    counts = stored(words.groupBy("w").agg(F.count("*").alias("n")), "words")
+    common = counts.where(F.length("w").between(3, 20) & (F.col("n") >= OFTEN)).orderBy(F.desc("n"), "w").limit(COMMON)
+    pairs = counts.select(F.explode(F.regexp_extract_all("w", F.lit("(?=([a-z][a-z]))"), 1)).alias("pair"), "n").groupBy("pair").agg(F.sum("n").alias("n"))
+    out = letters({r.pair: r.n for r in pairs.collect()}, tuple(r.w for r in common.collect()))
+    discard(counts)
+    return out
+
+
+def _language(value: Column, known: Letters) -> list[Column]:
+    """The share of a candidate that common words cover, and the mean bits of its letters after letters."""
+    listed = F.expr("array(" + ",".join(f"'{w}'" for w in known.words) + ")")
+    table = F.expr("array(" + ",".join(f"{x!r}D" for x in known.bits) + ")")
+    parts = F.regexp_extract_all(F.lower(F.regexp_replace(value, "([a-z0-9])([A-Z])", "$1 $2")), F.lit("[a-z]{3,}"), 0)
+    covered = F.aggregate(F.filter(parts, lambda w: F.array_contains(listed, w)), F.lit(0), lambda a, w: a + F.char_length(w))
+    pairs = F.regexp_extract_all(F.lower(value), F.lit("(?=([a-z][a-z]))"), 1)
+    bits = F.aggregate(pairs, F.lit(0.0), lambda a, p: a + F.get(table, (F.ascii(p) - 97) * 26 + F.ascii(F.substring(p, 2, 1)) - 97))
+    return [_share(covered, F.char_length(value)), F.coalesce(F.try_divide(bits, F.size(pairs).cast("double")), F.lit(_UNIFORM))]
+
+
+def features(value: Column, before: Column, after: Column, path: Column, kind: Column, known: Letters = PLAIN) -> Column:
     """FEATURES of a candidate as array<double>."""
     low, n = F.lower(value), F.char_length(value)
     covered = F.aggregate(F.filter(F.array(*map(F.lit, DICTIONARY)), lambda w: F.contains(low, w)), F.lit(0), lambda a, w: a + F.char_length(w))
@@ -73,7 +121,7 @@ def features(value: Column, before: Column, after: Column, path: Column, kind: C
         _share(F.regexp_count(value, F.lit("[A-Z]")), n),
         _share(F.size(F.array_distinct(F.split(value, ""))), n),
         F.least(F.lit(1.0), _share(covered, n)),
-        _share(F.regexp_count(low, F.lit(PAIRS)), n),
+        *_language(value, known),
         value.rlike(r"^[.~]?/|/[a-z]+/|\.[a-z]{2,4}$").cast("double"),
         F.coalesce(path, F.lit("")).rlike(PATH_DOUBTS).cast("double"),
         _in(DOUBTS, before, after),
@@ -83,14 +131,15 @@ def features(value: Column, before: Column, after: Column, path: Column, kind: C
     )
 
 
-def sample_findings(spark: SparkSession, n: int = 3000) -> DataFrame:
+def sample_findings(spark: SparkSession, n: int = 3000, words: tuple[str, ...] = tuple(DICTIONARY)) -> DataFrame:
     """Labelled findings (value, before, after, path, kind, is_secret) made by rule: keys and hexadecimal or mixed secrets
-    against placeholders, identifiers, paths, checksums and runs. Takes the place of a reviewed table where there is none."""
+    against placeholders, identifiers of `words`, paths, checksums and runs. Takes the place of a reviewed table where there is none."""
+    listed = F.expr("array(" + ",".join(f"'{w}'" for w in words) + ")")
     ids = spark.range(n).select("id", F.sha2(F.col("id").cast("string"), 256).alias("hex"))
     pick = lambda k, words: F.element_at(F.array(*map(F.lit, words)), (F.pmod(F.xxhash64("id", F.lit(k)), F.lit(len(words))) + 1).cast("int"))
     part = lambda k, lo, hi: F.substr("hex", F.lit(k), (F.pmod(F.xxhash64("id", F.lit(k)), F.lit(hi - lo + 1)) + lo).cast("int"))
     mixed = F.regexp_replace(F.base64(F.unhex("hex")), "[+/=]", "")
-    word = lambda k: pick(k, DICTIONARY)
+    word = lambda k: F.get(listed, F.pmod(F.xxhash64("id", F.lit(k)), F.lit(len(words))).cast("int"))
     true = [
         (F.concat(F.lit("AKIA"), F.substr(F.upper(F.translate(mixed, "ghjk", "QRST")), F.lit(1), F.lit(16))), "aws_key"),
         (part(1, 10, 20), "assigned"),
@@ -126,13 +175,13 @@ def sample_findings(spark: SparkSession, n: int = 3000) -> DataFrame:
     ).select("f.value", "before", "after", "path", "f.kind", "f.is_secret")
 
 
-def train(findings: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = SEED, most: int = MAX_FINDINGS):
+def train(findings: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = SEED, most: int = MAX_FINDINGS, known: Letters = PLAIN):
     """The forest of labelled findings; fitted on at most `most` of them, those with the least hash."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.functions import array_to_vector
 
     texts = [F.coalesce(c, F.lit("")) for c in ("value", "before", "after", "path")]
-    rows = findings.where("is_secret is not null").select(features(*texts, F.coalesce("kind", F.lit("opaque"))).alias("f"), F.col("is_secret").cast("double").alias("label"), F.xxhash64("value", "before", "after").alias("h"))
+    rows = findings.where("is_secret is not null").select(features(*texts, F.coalesce("kind", F.lit("opaque")), known).alias("f"), F.col("is_secret").cast("double").alias("label"), F.xxhash64("value", "before", "after").alias("h"))
     rows = stored(rows.orderBy("h").limit(most), "findings")
     return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="onethird").fit(rows.select(array_to_vector("f").alias("features"), "label"))
 
@@ -172,11 +221,17 @@ def votes(rules: list, f: Column) -> Column:
     return total / F.lit(float(len(rules)))
 
 
-def default_forest(spark: SparkSession) -> list:
-    return forest_rules(train(sample_findings(spark)))
+def default_forest(spark: SparkSession, known: Letters = PLAIN) -> list:
+    return forest_rules(train(sample_findings(spark, words=known.words), known=known))
+
+
+def _ready(docs: DataFrame, rules: list | None, known: Letters | None) -> tuple[list, Letters]:
+    """A forest goes with the letters that it was trained with; without one, letters are learned from `docs`."""
+    known = known or (learn(docs) if rules is None else PLAIN)
+    return (default_forest(docs.sparkSession, known) if rules is None else rules), known
 
 
-def with_findings(docs: DataFrame, rules: list, path: str | None = None) -> DataFrame:
+def with_findings(docs: DataFrame, rules: list, path: str | None = None, known: Letters = PLAIN) -> DataFrame:
     """`docs` as a struct `row`, so that no column of theirs meets another, with `_pieces` (the text between candidates),
     `_hits` (what is between the pieces) and `_found`: an array of kind, start, end (code points of the value), score; all
     are null where a text has no candidate."""
@@ -202,34 +257,34 @@ def with_findings(docs: DataFrame, rules: list, path: str | None = None) -> Data
         ),
     )
     out = out.withColumn("_seen", F.when(F.col("_hits").isNotNull(), seen)).withColumn("_ends", F.when(F.col("_hits").isNotNull(), ends))
-    out = out.withColumn("_f", F.when(F.col("_seen").isNotNull(), F.transform("_seen", lambda s: features(s["value"], s["before"], s["after"], where, s["kind"]))))
+    out = out.withColumn("_f", F.when(F.col("_seen").isNotNull(), F.transform("_seen", lambda s: features(s["value"], s["before"], s["after"], where, s["kind"], known))))
     out = out.withColumn("_score", F.when(F.col("_f").isNotNull(), F.transform("_f", lambda f: votes(rules, f))))
     found = F.transform("_seen", lambda s, i: F.struct(s["kind"].alias("kind"), (F.get("_ends", i) - F.char_length(s["value"])).alias("start"), F.get("_ends", i).alias("end"), F.get("_score", i).alias("score")))
     return out.withColumn("_found", F.when(F.col("_seen").isNotNull(), found)).drop("_seen", "_ends", "_f", "_score")
 
 
-def scan(docs: DataFrame, rules: list | None = None, path: str | None = None, threshold: float = THRESHOLD) -> DataFrame:
+def scan(docs: DataFrame, rules: list | None = None, path: str | None = None, threshold: float = THRESHOLD, known: Letters | None = None) -> DataFrame:
     """(doc_id, n_candidates, n_secrets, findings) for each row of `docs`; findings has kind, start, end (code points, end
     exclusive), score and is_secret of every candidate in order.
 
     Null and empty texts have none. A null doc_id is carried, repeated rows give repeated rows, an empty table none; no
     column but doc_id, text and `path` is read.
     """
-    rules = rules or default_forest(docs.sparkSession)
+    rules, known = _ready(docs, rules, known)
     columns = ["doc_id", "text", *([path] if path else [])]
     full = F.transform("_found", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["score"].alias("score"), (x["score"] >= threshold).alias("is_secret")))
-    own = with_findings(docs.select(*dict.fromkeys(columns)), rules, path).select("row.doc_id", F.coalesce(full, F.array().cast("array<struct<kind:string,start:int,end:int,score:double,is_secret:boolean>>")).alias("findings"))
+    own = with_findings(docs.select(*dict.fromkeys(columns)), rules, path, known).select("row.doc_id", F.coalesce(full, F.array().cast("array<struct<kind:string,start:int,end:int,score:double,is_secret:boolean>>")).alias("findings"))
     return own.select("doc_id", F.size("findings").cast("long").alias("n_candidates"), F.size(F.filter("findings", lambda x: x["is_secret"])).cast("long").alias("n_secrets"), "findings")
 
 
-def redact(docs: DataFrame, rules: list | None = None, path: str | None = None, threshold: float = THRESHOLD) -> DataFrame:
+def redact(docs: DataFrame, rules: list | None = None, path: str | None = None, threshold: float = THRESHOLD, known: Letters | None = None) -> DataFrame:
     """`docs`, all columns, with the value of each secret replaced by MARK; n_chars, where there is such a column, follows.
 
     Null and empty texts stay as they are. Rows are independent: repeated rows and null doc_ids are carried, an empty table
     gives none; columns may have any name.
     """
-    rules = rules or default_forest(docs.sparkSession)
-    own = with_findings(docs, rules, path)
+    rules, known = _ready(docs, rules, known)
+    own = with_findings(docs, rules, path, known)
     parts = F.transform(
         "_hits",
         lambda m, i: F.concat(F.get("_pieces", i), F.when(F.get("_found", i)["score"] >= threshold, F.concat(F.substring(m, F.lit(1), F.char_length(m) - F.get("_found", i)["end"] + F.get("_found", i)["start"]), F.lit(MARK))).otherwise(m)),

@@ -1,5 +1,8 @@
 """Forms of secrets that a name's prefix or a line break hid."""
 
+import re
+from collections import Counter
+
 from pyspark.sql import functions as F
 
 from poolwright.llm import secrets
@@ -32,6 +35,24 @@ def test_forms(spark):
         assert clean[i] == SECRET.get(text, text), (text, clean[i], found[i])
 
 
+def test_letters_against_counts(spark):
+    texts = ["Quokka quokka zzyzx " * 9, None, "", "the QUOKKA, ünder 12 ab", "q" * 100_000]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, w string")
+    words = [w for t in texts for w in re.split("[^a-z]+", (t or "").lower())]
+    pairs = Counter(w[i : i + 2] for w in words for i in range(len(w) - 1))
+    assert secrets.learn(docs) == secrets.letters(pairs, ("quokka",))
+    assert secrets.learn(docs.limit(0)) == secrets.PLAIN
+
+
+def test_learned_letters_on_held_out_findings(spark, sf):
+    known = secrets.learn(spark.read.parquet(f"{sf}/documents.parquet"))
+    assert len(known.words) > len(secrets.DICTIONARY)
+    rules = secrets.default_forest(spark, known)
+    held = secrets.sample_findings(spark, 6000, known.words).offset(3000)
+    score = secrets.votes(rules, secrets.features(*[F.col(c) for c in ("value", "before", "after", "path", "kind")], known))
+    assert held.select(F.avg(((score >= 0.5).cast("int") == F.col("is_secret")).cast("int")).alias("a")).first().a > 0.95
+
+
 def test_long_texts_end(spark):
     rows = [(1, "token" * 4000), (2, "-----BEGIN PRIVATE KEY----- " * 300), (3, "a_" * 20_000 + "secret")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
