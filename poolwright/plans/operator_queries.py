@@ -844,12 +844,12 @@ def markdown_cells(spark, sf_dir):
     return spark.createDataFrame([tuple(cells)], "cell string, number string, nothing string")
 
 
-@query("select p_partkey id, case when p_partkey % 2 = 0 then 'missing' when p_partkey % 3 = 0 then 'wrong_lines' else 'ok' end state from part where p_partkey <= 60")
+@query("select n_nationkey::bigint id, case when n_nationkey % 2 = 0 then 'missing' when n_nationkey % 3 = 0 then 'wrong_lines' else 'ok' end state from nation")
 def bundle_states(spark, sf_dir):
-    """Artifacts of a hand-kept list of 60: there or not, with the lines that they should have or not."""
+    """Artifacts of a hand-kept list, one for each nation: there or not, with the lines that they should have or not."""
     path = S.work_path(spark, "bundle")
     S.sink_jsonl(read(spark, sf_dir, "region"), path)
-    listed = read(spark, sf_dir, "part").where("p_partkey <= 60").select(F.col("p_partkey").alias("id"), F.array(F.lit("all")).alias("required_for"), F.when(F.col("p_partkey") % 2 == 0, F.lit("nowhere")).otherwise(F.lit(path)).alias("path"), F.when(F.col("p_partkey") % 3 == 0, 4).otherwise(5).alias("expected_lines"))
+    listed = read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.array(F.lit("all")).alias("required_for"), F.when(F.col("n_nationkey") % 2 == 0, F.lit("nowhere")).otherwise(F.lit(path)).alias("path"), F.when(F.col("n_nationkey") % 3 == 0, 4).otherwise(5).alias("expected_lines"))
     return _rows(spark, reports.check_bundle(spark, listed, ["x"], lambda p: p != "nowhere"), "id long, state string")
 
 
