@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from poolwright.llm import decontaminate, langid, media, packing, pii, quality, secrets, sharding, simhash, substrings
+from poolwright.llm import centroids, decontaminate, infill, langid, media, metrictree, packing, pii, quality, secrets, sharding, simhash, substrings
 from poolwright.llm.common import table
 
 
@@ -51,8 +51,20 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.query(table(spark, sf_dir, "documents"))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.query(table(spark, sf_dir, "embeddings"))
+
+
+def op12_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrictree.query(table(spark, sf_dir, "embeddings"))
+
+
+def op13_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.query(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_media, op2_sharding, op3_secrets, op4_substrings, op5_decontaminate, op6_pii, op7_packing, op8_quality, op9_language, op10_simhash)
+    f.__name__: f for f in (op1_media, op2_sharding, op3_secrets, op4_substrings, op5_decontaminate, op6_pii, op7_packing, op8_quality, op9_language, op10_simhash, op11_centroids, op12_mtree, op13_infill)
 } | {"pipeline": corpus_pipeline.run}
-#: Hashes, models and whole-text scans have no SQL form that DuckDB can run; tests hold them against brute force.
-ORACLES: dict[str, str] = {}
+#: The others' hashes, models and whole-text scans have no SQL form that DuckDB can run; tests hold them against brute force.
+ORACLES: dict[str, str] = {"op11_centroids": centroids.oracle(), "op12_mtree": metrictree.ORACLE, "op13_infill": infill.ORACLE}
