@@ -7,6 +7,7 @@ from contextlib import redirect_stdout
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from poolwright.plans import run_queries as Q
 from poolwright.sources import paged
@@ -24,7 +25,7 @@ def plan(df):
 def test_filters_and_columns_reach_the_service(spark, sf):
     paged.register(spark)
     orders = spark.read.parquet(f"{sf}/orders.parquet")
-    load = lambda: spark.read.format("paged_parquet").schema("row_index long, " + SCHEMA).option("base", f"{sf}/orders.parquet").option("page", 100).load()
+    load = lambda: spark.read.format("paged_parquet").schema("row_index long, " + SCHEMA).option("base", f"{sf}/orders.parquet").option("page", 100).option("push", True).load()
     rows = load().where("o_orderstatus = 'F' and o_totalprice > 100000 and o_orderkey in (5, 8, 200, 811) or false").where("row_index >= 3")
     said = plan(rows)
     assert "GreaterThanOrEqual(row_index,3)" in said and "EqualTo(o_orderstatus,F)" in said and "In(o_orderkey" in said and "o_custkey" not in said
@@ -47,7 +48,7 @@ def test_a_scan_can_be_used_again(spark, sf):
 
 
 def test_pages_are_dealt_and_bounded():
-    reader = paged._Reader(paged.ParquetPages("x"), __import__("pyspark.sql.types").sql.types.StructType.fromDDL("row_index long"), {"page": "10", "tasks": "3"})
+    reader = paged._Reader(paged.ParquetPages("x"), StructType.fromDDL("row_index long"), {"page": "10", "tasks": "3"})
     assert [p.value for p in reader.dealt(5, 100)] == [(5, 45), (45, 85), (85, 100)] and reader.dealt(7, 7) == []
     for where, want in ([(">", 4)], (5, 20)), ([("=", 7)], (7, 8)), ([("in", [3, 9])], (3, 10)), ([("<", 4), (">=", 9)], (9, 9)), ([("in", [])], (20, 20)):
         reader.where = [("row_index", *x) for x in where]
