@@ -168,7 +168,7 @@ def malformed(text: Column, mode: Column, validity: str = "loose") -> Column:
             | malformed_wrapper(s)
             | instruction_leak(s)
             | ends_with_any(s, (":", "-", "=", "(", "[", "{", ",", " or", " and", " the"))
-            | s.rlike(r"\[[^\]]*\z|\([^)]*\z|\{[^}]*\z")
+            | s.rlike(r"\[[^\[\]]*\z|\([^()]*\z|\{[^{}]*\z")
             | (parse_answer(s, mode, validity).isNull() & (token_count(s) <= 2))
         )
 
@@ -201,7 +201,7 @@ def short_numeric_like(text: Column, mode: Column) -> Column:
 
 def strip_scaffold(text: Column) -> Column:
     """All scaffold openings off the front, in any order and number."""
-    return strip(F.regexp_replace(strip(text), rf"(?i)\A(?:\s*(?:{'|'.join(SCAFFOLD_PREFIXES)}))+", ""))
+    return strip(F.regexp_replace(strip(text), rf"(?i)\A(?:\s*(?:{'|'.join(SCAFFOLD_PREFIXES)}))++", ""))
 
 
 def meta_instruction(line: Column, profile: str = "selector") -> Column:
@@ -221,7 +221,7 @@ def sanitize(text: Column) -> Column:
         at = F.instr(F.lower(s), "final answer:")
         before = strip_meta_lines(F.substr(s, F.lit(1), F.greatest(at - 1, F.lit(0))))
         said = F.coalesce(F.get(lines(F.substr(s, at + F.lit(len("final answer:")), F.char_length(s))), 0), F.lit(""))
-        said = F.regexp_replace(said, r"(?i)\A(?:final answer\s*:\s*)+", "")
+        said = F.regexp_replace(said, r"(?i)\A(?:final answer\s*:\s*)++", "")
         line = F.when(said != "", F.concat(F.lit("Final answer: "), said)).otherwise("")
         return F.when(at == 0, s).when((line != "") & (before != ""), F.concat(before, F.lit("\n"), line)).when(line != "", line).otherwise(s)
 

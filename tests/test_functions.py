@@ -92,3 +92,14 @@ def test_mcnemar(spark, a, b):
     want = 1.0 if n == 0 else min(1.0, 2 * sum(math.comb(n, i) for i in range(k + 1)) / 2**n)
     got = spark.range(1).select(X.mcnemar_exact(F.lit(a).cast("long"), F.lit(b).cast("long")).alias("p")).first().p
     assert abs(got - want) < 1e-9
+
+
+def test_openings_repeated_many_times(spark):
+    """Groups repeat in a loop, not by recursion: 100,000 openings come off as one does."""
+    n = 100_000
+    texts = ["let's think. " * n + "5", "Okay, let's tackle this problem. Let me think! " * n + "so 7", "wait, that's not correct. \n" * n, "x\nfinal answer: " + "final answer : " * n + "8", "1" + ",234" * n, "(" * n + "3" + ")" * n]
+    assert values(spark, texts[:3], H.strip_scaffold) == ["5", "so 7", ""]
+    assert values(spark, texts[:4], H.sanitize) == ["5", "so 7", "", "x\nFinal answer: 8"]
+    assert values(spark, texts[:1], H.strip_meta_lines) == ["5"] and values(spark, texts[:1], H.meta_instruction) == [False]
+    for f in (A.extract_numeric, A.extract_numeric_tail, A.extract_choice, A.extract_prediction, T.brief_reasoning, T.collapse, H.wrong_form, lambda c: H.malformed(c, F.lit("numeric")), lambda c: H.normalize_candidate(c, F.lit("numeric"))["text"]):
+        assert len(values(spark, texts, f)) == len(texts)
