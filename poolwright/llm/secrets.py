@@ -22,11 +22,12 @@ _SIGN = r"[\"']?[ \t]{0,3}[:=][ \t]{0,3}[\"']?"
 _ALONE = r"(?<![A-Za-z0-9+/_-])"
 _BEGIN, _END = (rf"-----{x} [A-Z ]{{0,30}}PRIVATE KEY(?: BLOCK)?-----" for x in ("BEGIN", "END"))
 #: Candidate patterns by kind, tried in this order. The value of an assignment is what follows its sign and quote, that of a URL
-#: the password in it. A private key
-#: goes to its END line, or, without one, as far as lines of its letters follow.
+#: the password in it. A private key goes to its END line, or, where another BEGIN or END comes first or none at all, as far
+#: as lines of its letters follow. Groups repeat possessively, which Java runs as a loop, so texts of any length end in linear
+#: time and without deep recursion.
 PATTERNS = {
-    "private_key": _BEGIN + rf"(?:[\s\S]{{0,20000}}?{_END}|(?:(?:\s|\\[nr])+[A-Za-z0-9+/=]{{16,}}){{0,300}})",
-    "url": r"://[^\s:/@\"'<>]{1,64}:[^\s/@\"'<>]{3,128}(?=@[A-Za-z0-9])",
+    "private_key": _BEGIN + rf"(?:[^-]*+(?:-(?!----(?:BEGIN|END) )[^-]*+)*+{_END}|(?:(?:\s|\\[nr])++[A-Za-z0-9+/=]{{16,}}+)*+)",
+    "url": r"://[^\s:/@\"'<>]++:[^\s/@\"'<>]{3,}+(?=@[A-Za-z0-9])",
     "aws_key": r"AKIA[0-9A-Z]{16}",
     "github": r"gh[pousr]_[A-Za-z0-9]{30,}",
     "slack": r"xox[baprs]-[A-Za-z0-9-]{10,}",
@@ -101,10 +102,9 @@ def learn(docs: DataFrame) -> Letters:
 
 def _language(value: Column, known: Letters) -> list[Column]:
     """The share of a candidate that common words cover, and the mean bits of its letters after letters."""
-    listed = F.expr("array(" + ",".join(f"'{w}'" for w in known.words) + ")")
     table = F.expr("array(" + ",".join(f"{x!r}D" for x in known.bits) + ")")
     parts = F.regexp_extract_all(F.lower(F.regexp_replace(value, "([a-z0-9])([A-Z])", "$1 $2")), F.lit("[a-z]{3,}"), 0)
-    covered = F.aggregate(F.filter(parts, lambda w: F.array_contains(listed, w)), F.lit(0), lambda a, w: a + F.char_length(w))
+    covered = F.aggregate(F.filter(parts, lambda w: w.isin(*known.words)), F.lit(0), lambda a, w: a + F.char_length(w))
     pairs = F.regexp_extract_all(F.lower(value), F.lit("(?=([a-z][a-z]))"), 1)
     bits = F.aggregate(pairs, F.lit(0.0), lambda a, p: a + F.get(table, (F.ascii(p) - 97) * 26 + F.ascii(F.substring(p, 2, 1)) - 97))
     return [_share(covered, F.char_length(value)), F.coalesce(F.try_divide(bits, F.size(pairs).cast("double")), F.lit(_UNIFORM))]
@@ -231,6 +231,16 @@ def _ready(docs: DataFrame, rules: list | None, known: Letters | None) -> tuple[
     return (default_forest(docs.sparkSession, known) if rules is None else rules), known
 
 
+def running_sums(numbers: Column, step: int = 256) -> Column:
+    """The sums of an array's first one, two, ... numbers: sums of whole runs of `step`, then the rest of one's own run."""
+    total = lambda x: F.aggregate(x, F.lit(0), lambda a, n: a + n)
+    runs = lambda x: F.transform(F.sequence(F.lit(0), F.floor(F.size(x) / step).cast("int")), lambda k: total(F.slice(x, k * step + 1, F.lit(step))))
+    before = lambda x: F.aggregate(runs(x), F.array(F.lit(0)), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
+    both = lambda s: F.transform(s["n"], lambda _, i: F.get(s["b"], F.floor(i / step).cast("int")) + total(F.slice(s["n"], i - i % step + 1, i % step + 1)))
+    with_runs = F.transform(F.array(numbers), lambda x: F.struct(x.alias("n"), before(x).alias("b")))
+    return F.get(F.transform(with_runs, both), 0)
+
+
 def with_findings(docs: DataFrame, rules: list, path: str | None = None, known: Letters = PLAIN) -> DataFrame:
     """`docs` as a struct `row`, so that no column of theirs meets another, with `_pieces` (the text between candidates),
     `_hits` (what is between the pieces) and `_found`: an array of kind, start, end (code points of the value), score; all
@@ -240,26 +250,25 @@ def with_findings(docs: DataFrame, rules: list, path: str | None = None, known:
     out = out.withColumn("_hits", F.regexp_extract_all(text, F.lit(CANDIDATE), 0)).withColumn("_hits", F.when(F.size("_hits") > 0, F.col("_hits")))
     out = out.withColumn("_pieces", F.when(F.col("_hits").isNotNull(), F.split(text, CANDIDATE, -1)))
     kind = lambda m: F.coalesce(*[F.when(m.rlike(f"^(?:{p})"), F.lit(k)) for k, p in (PATTERNS | {"url": "://"}).items()])
-    ends = F.aggregate(
-        F.arrays_zip("_hits", F.slice("_pieces", F.lit(1), F.size("_hits")).alias("piece")),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("ends")),
-        lambda a, x: F.struct((a["at"] + F.char_length(x["piece"]) + F.char_length(x["_hits"])).alias("at"), F.concat(a["ends"], F.array(a["at"] + F.char_length(x["piece"]) + F.char_length(x["_hits"]))).alias("ends")),
-        lambda a: a["ends"],
-    )
+    n = F.size("_hits")
+    around = F.arrays_zip(F.col("_hits").alias("hit"), F.slice("_pieces", F.lit(1), n).alias("piece"), F.slice("_pieces", F.lit(2), n).alias("next"))  # what lambdas use comes in by the array: a column named inside one would be computed for each element
+    ends = running_sums(F.transform(around, lambda x: F.char_length(x["piece"]) + F.char_length(x["hit"])))
     value = lambda m, k: F.when(k == "assigned", F.regexp_replace(m, _PREFIX, "")).when(k == "url", F.regexp_replace(m, _URL_PREFIX, "")).otherwise(m)
+    kinds = F.transform(around, lambda x: F.struct(x["hit"].alias("hit"), x["piece"].alias("piece"), x["next"].alias("next"), kind(x["hit"]).alias("kind")))
     seen = F.transform(
-        "_hits",
-        lambda m, i: F.struct(
-            kind(m).alias("kind"),
-            value(m, kind(m)).alias("value"),
-            F.concat_ws(" ", F.regexp_extract(F.substring(F.get("_pieces", i), -64, 64), r"(\S+)\s*$", 1), F.when(kind(m) == "assigned", F.regexp_replace(F.regexp_extract(m, "^[A-Za-z0-9_.-]+", 0), "([a-z0-9])([A-Z])", "$1 $2"))).alias("before"),
-            F.regexp_extract(F.substring(F.get("_pieces", i + 1), 1, 64), r"^[\"',;]?\s*(\S+)", 1).alias("after"),
+        kinds,
+        lambda x: F.struct(
+            x["kind"].alias("kind"),
+            value(x["hit"], x["kind"]).alias("value"),
+            F.concat_ws(" ", F.regexp_extract(F.substring(x["piece"], -64, 64), r"(\S+)\s*$", 1), F.when(x["kind"] == "assigned", F.regexp_replace(F.regexp_extract(x["hit"], "^[A-Za-z0-9_.-]+", 0), "([a-z0-9])([A-Z])", "$1 $2"))).alias("before"),
+            F.regexp_extract(F.substring(x["next"], 1, 64), r"^[\"',;]?\s*(\S+)", 1).alias("after"),
         ),
     )
     out = out.withColumn("_seen", F.when(F.col("_hits").isNotNull(), seen)).withColumn("_ends", F.when(F.col("_hits").isNotNull(), ends))
     out = out.withColumn("_f", F.when(F.col("_seen").isNotNull(), F.transform("_seen", lambda s: features(s["value"], s["before"], s["after"], where, s["kind"], known))))
     out = out.withColumn("_score", F.when(F.col("_f").isNotNull(), F.transform("_f", lambda f: votes(rules, f))))
-    found = F.transform("_seen", lambda s, i: F.struct(s["kind"].alias("kind"), (F.get("_ends", i) - F.char_length(s["value"])).alias("start"), F.get("_ends", i).alias("end"), F.get("_score", i).alias("score")))
+    all_of = F.arrays_zip(F.col("_seen").alias("s"), F.col("_ends").alias("e"), F.col("_score").alias("v"))
+    found = F.transform(all_of, lambda x: F.struct(x["s"]["kind"].alias("kind"), (x["e"] - F.char_length(x["s"]["value"])).alias("start"), x["e"].alias("end"), x["v"].alias("score")))
     return out.withColumn("_found", F.when(F.col("_seen").isNotNull(), found)).drop("_seen", "_ends", "_f", "_score")
 
 
@@ -285,10 +294,8 @@ def redact(docs: DataFrame, rules: list | None = None, path: str | None = None,
     """
     rules, known = _ready(docs, rules, known)
     own = with_findings(docs, rules, path, known)
-    parts = F.transform(
-        "_hits",
-        lambda m, i: F.concat(F.get("_pieces", i), F.when(F.get("_found", i)["score"] >= threshold, F.concat(F.substring(m, F.lit(1), F.char_length(m) - F.get("_found", i)["end"] + F.get("_found", i)["start"]), F.lit(MARK))).otherwise(m)),
-    )
+    each = F.arrays_zip(F.col("_hits").alias("hit"), F.slice("_pieces", F.lit(1), F.size("_hits")).alias("piece"), F.col("_found").alias("f"))
+    parts = F.transform(each, lambda x: F.concat(x["piece"], F.when(x["f"]["score"] >= threshold, F.concat(F.substring(x["hit"], F.lit(1), F.char_length(x["hit"]) - x["f"]["end"] + x["f"]["start"]), F.lit(MARK))).otherwise(x["hit"])))
     text = F.when(F.col("_hits").isNull(), F.col("row.text")).otherwise(F.concat(F.array_join(parts, ""), F.element_at("_pieces", -1)))
     new = {"text": F.col("_text")} | ({"n_chars": F.char_length("_text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
     return own.select("row", text.alias("_text")).select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
