@@ -106,9 +106,15 @@ def bucket_sample(rows: DataFrame, bucket: str, n: int, *order: Column | str) ->
     return ranked.groupBy(bucket).agg(best.alias("_best")).select(F.explode("_best").alias("_one")).select("_one.r.*")
 
 
-def sample_seeded(rows: DataFrame, n: int, seed: int, *ids: str) -> DataFrame:
-    """n rows without replacement by hash of seed and id: the same rows however the table is partitioned."""
-    return rows.orderBy(F.xxhash64(F.lit(seed), *ids), *ids).limit(n)
+def sample_seeded(rows: DataFrame, n: int, seed: int, *ids: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """n rows without replacement, of each stratum `by` if there are any: those of least hash of seed and ids, the same however
+    the table is partitioned. Every task keeps n rows, or n of each stratum, before rows meet, so neither a sort of the table
+    nor a stratum that holds most of it comes to one task."""
+    order = [F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ids])), *ids]
+    if not by:
+        return rows.orderBy(*order).limit(n)
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    return rows.withColumn("_place", place).where(F.col("_place") <= n).drop("_place")
 
 
 def shuffle_seeded(values: Column, seed: int, salt: Column) -> Column:

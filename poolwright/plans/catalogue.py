@@ -24,7 +24,7 @@ from poolwright.operators import select as S
 from poolwright.plans import pipelines, reports
 from poolwright.plans import sqlparts as P
 from poolwright.plans.adapters import pool, slots
-from poolwright.sources.files import fingerprint_ids, fingerprint_set, upsert
+from poolwright.sources.files import fingerprint_ids, fingerprint_set, fingerprint_sum, fingerprint_text, upsert
 from poolwright.streaming import resume
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -388,20 +388,45 @@ def family_hygiene(spark, sf_dir):
     return C.family_hygiene(pools(spark, sf_dir, "choice")).select("example_id", F.array_join("candidates", "|").alias("candidates"), F.col("dropped_invalid").cast("long").alias("dropped_invalid"), F.col("dropped_duplicates").cast("long").alias("dropped_duplicates"))
 
 
-@query()
+@query("with " + ", ".join(P.normalized(k) for k in ("num", "choice", "alt")) + " select * from norm_num union all select * from norm_choice union all select * from norm_alt")
 def normalize_pool(spark, sf_dir):
-    p = C.normalize_pool(pools(spark, sf_dir))
-    return p.select(F.explode(F.arrays_zip("candidates", "actions")).alias("z")).groupBy("z.actions").agg(F.count("*").alias("n"))
+    """Every candidate of three kinds of pools as it is written anew, and what was done to it."""
 
+    def of(kind: str) -> DataFrame:
+        done = C.normalize_pool(pools(spark, sf_dir, kind)).select("example_id", F.posexplode(F.arrays_zip("candidates", "actions")).alias("slot", "z"))
+        return done.select(F.lit(kind).alias("kind"), "example_id", F.col("slot").cast("long").alias("slot"), F.col("z.candidates").alias("candidate"), F.col("z.actions").alias("action"))
 
-@query()
+    return of("num").unionAll(of("choice")).unionAll(of("alt"))
+
+
+_KEYED = f"{P.slots()}, {P.slots('alt', 'alt')}, a as (select *, {P.key('candidate')} k from slots), x as (select *, {P.key('candidate')} k from alt)"
+
+
+@query(
+    f"""with {_KEYED}, b as (select example_id, list(k order by slot) filter (slot < 2) bk, list({{'c': candidate, 'k': k}} order by slot) filter (slot < 4) an from a group by 1),
+ u as (select x.*, row_number() over (partition by x.example_id, x.k order by x.slot) r from x join b using (example_id) where not list_contains(list_transform(an, lambda y: y.k), x.k)),
+ n as (select example_id, list({{'c': candidate, 'k': k}} order by slot) new from u where r = 1 group by 1),
+ j as (select b.*, coalesce(new, []) new, least(3, 4 - len(an), len(coalesce(new, []))) appended from b left join n using (example_id)),
+ m as (select *, list_concat(an, new[1:appended]) mm, new[appended + 1:3] lf from j),
+ s as (select *, list_reverse(list_filter(range(1, len(mm)), lambda i: list_contains(bk, mm[i + 1].k))) sl from m)
+ select example_id, array_to_string(list_transform(range(0, len(mm)), lambda i: coalesce(lf[nullif(coalesce(list_position(sl, i), 0), 0)].c, mm[i + 1].c)), '|') candidates, cast(appended as integer) appended, cast(least(len(sl), len(lf)) as integer) replaced from s"""
+)
 def merge_anchor(spark, sf_dir):
     p = pools(spark, sf_dir)
     merged = C.merge_anchor(p.withColumn("candidates", F.slice("candidates", 1, 2)), p, pools(spark, sf_dir, "alt"), most=4)
     return merged.select("example_id", F.array_join("candidates", "|").alias("candidates"), "appended", "replaced")
 
 
-@query()
+@query(
+    f"""with recursive {_KEYED}, p as (select example_id, list_concat(list({{'c': candidate, 'k': k}} order by slot), list_transform(range(6), lambda i: {{'c': '', 'k': 'text:'}}))[1:6] c, coalesce(list(slot order by slot) filter (slot % 2 = 1 and slot < 6), []) sl from a group by 1),
+ f as (select example_id, list({{'c': trim(candidate), 'k': k}} order by slot) f from x where trim(candidate) <> '' group by 1),
+ fold as (select example_id, c, sl, coalesce(f, []) f, 0::bigint at_, 0 applied, 1 j from p left join f using (example_id)
+  union all
+  select example_id, case when spot is null then c else list_concat(list_append(c[1:slot], f[spot + 1]), c[slot + 2:]) end, sl, f, coalesce(spot + 1, len(f)), applied + case when spot is null then 0 else 1 end, j + 1
+  from (select *, list_filter(range(at_, len(f)), lambda i: not list_contains(list_transform(list_filter(range(1, 7), lambda h: h <> slot + 1 and trim(c[h].c) <> ''), lambda h: c[h].k), f[i + 1].k))[1] spot from (select *, sl[j] slot from fold where j <= len(sl)))
+ )
+ select example_id, array_to_string(list_transform(c, lambda y: y.c), '|') candidates, applied, cast(len(sl) - applied as integer) missing from fold where j > len(sl)"""
+)
 def matched_fresh(spark, sf_dir):
     s = slots(spark, sf_dir)
     odd = s.where("slot % 2 = 1").select("example_id", F.col("slot").cast("int").alias("slot"))
@@ -553,14 +578,35 @@ def bootstrap_interval(spark, sf_dir):
     return X.bootstrap_ci(flags(spark, sf_dir), "base_ok", "verifier_ok")
 
 
-@query()
+@query("select o_orderkey, o_custkey from orders order by md5('7:' || o_orderkey), o_orderkey limit 100")
 def sample_seeded(spark, sf_dir):
     return O.sample_seeded(read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), 100, 7, "o_orderkey").orderBy("o_orderkey")
 
 
-@query()
+@query("select o_orderstatus, o_orderkey from orders qualify row_number() over (partition by o_orderstatus order by md5('11:' || o_orderkey || ':' || o_custkey), o_orderkey, o_custkey) <= 40")
+def sample_by_stratum(spark, sf_dir):
+    """40 orders of each status, one of which holds about half of all."""
+    return O.sample_seeded(read(spark, sf_dir, "orders"), 40, 11, "o_orderkey", "o_custkey", by=("o_orderstatus",)).select("o_orderstatus", "o_orderkey")
+
+
+_LANES = "list_transform([" + ", ".join(f"sum(cast('0x' || h[{15 * i + 1}:{15 * i + 15}] as bigint))" for i in range(4)) + "], lambda x: cast(x % 1152921504606846976 as bigint))"
+_FINGERPRINT = f"select count(*) n, array_to_string(list_transform({_LANES}, lambda x: printf('%015x', x)), '') digest from (select sha256(l_orderkey || chr(31) || l_linenumber || chr(31) || printf('%.2f', l_extendedprice)) h from lineitem)"
+_FACTS = ("l_orderkey", "l_linenumber", "format_string('%.2f', l_extendedprice)")
+
+
+@query(_FINGERPRINT)
 def fingerprint_table(spark, sf_dir):
-    return fingerprint_set(read(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber", "l_extendedprice")
+    return fingerprint_text(fingerprint_set(read(spark, sf_dir, "lineitem"), *_FACTS))
+
+
+@query(_FINGERPRINT)
+def fingerprint_update(spark, sf_dir):
+    """The fingerprint of a table that rows were added to and removed from, without reading what stayed: the first lines and
+    some that go again, then the remainder in, then those out."""
+    lines = read(spark, sf_dir, "lineitem")
+    first, more, gone = lines.where("l_linenumber <= 3").unionAll(lines.where("l_linenumber = 5")), lines.where("l_linenumber > 3"), lines.where("l_linenumber = 5")
+    of = lambda d: fingerprint_set(d.repartition(3, "l_partkey"), *_FACTS)
+    return fingerprint_text(fingerprint_sum(fingerprint_sum(of(first), of(more)), of(gone), -1))
 
 
 @query()

@@ -153,3 +153,42 @@ def slot_features(source: str) -> str:
  feat as (select *, case quality_label when 'fragment' then 0.0 when 'partial_solution' then 1.0 else 2.0 end quality, case quality_label when 'partial_solution' then 0.0 when 'fragment' then 1.0 else 2.0 end partials, {i('not invalid_')} invalid, {i('not leak_')} leak, {i('not scaffold_')} scaffold, {i('wrapped_')} wrapper, {i('same_')} motif,
  4 * {i('not invalid_')} + 2 * {i('wrapped_')} + least(tokens, 12.0) / 12.0 - 2 * {i('leak_')} - 1.5 * {i('scaffold_')} closure, {i('margin is null')} missing, -(4.0 * {i('invalid_')} + 3.0 * {i('leak_')} + 2.0 * {i('scaffold_')} + 1.5 * {i('not wrapped_')}) risk,
  case quality_label when 'complete_attempt' then 3.0::double when 'partial_solution' then 2.5::double else 1.5::double end + 0.75::double * {i('same_')} + 0.5::double * {i('wrapped_')} + 0.5::double * greatest(support, 0.0) salvage, {i(f"not invalid_ and tokens <= 6 and not leak_")} short from fact)"""
+
+
+def key(x: str) -> str:
+    """What makes two candidates of a numeric pool the same."""
+    return f"coalesce('num:' || {num(x)}, 'text:' || {norm(x)})"
+
+
+def _strip(x: str) -> str:
+    return rf"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
+
+
+def _lines(x: str, v: str = "l") -> str:
+    return rf"list_filter(list_transform(regexp_split_to_array({x}, '\r\n|[\n\v\f\r]'), lambda {v}: {_strip(v)}), lambda {v}: {v} <> '')"
+
+
+def _said(x: str) -> str:
+    """The lines of a text without openings and instructions, joined again."""
+    openings = "|".join(_hygiene.SCAFFOLD_PREFIXES).replace("'", "''")
+    bare = rf"list_transform({_lines(x)}, lambda l: {_strip(rf"regexp_replace(l, '(?i)^(?:\s*(?:{openings}))+', '')")})"
+    answers = "|".join(_hygiene._ANSWER_LINES)
+    return f"array_to_string(list_filter({bare}, lambda l: l <> '' and (regexp_matches(lower(l), '^(?:{answers})') or not regexp_matches(lower(l), '{_LEAKS}'))), chr(10))"
+
+
+def normalized(kind: str) -> str:
+    """norm_<kind>: each slot of a pool with its candidate as one answer line, and what was done to it."""
+    label, token = r"(?i)^(?:final answer|answer)\s*[:\-]\s*", (lambda x: choice(x)) if kind == "choice" else (lambda x: num(x))
+    k = kind
+    return rf"""{slots(k, f'slots_{k}')}, n0_{k} as (select example_id, slot, {_strip('candidate')} old_ from slots_{k}),
+ n1_{k} as (select *, {_said(_strip(r"regexp_replace(old_, '(?is)\n(?:human|user|assistant|problem)\b[,:]?.*$', '')"))} s from n0_{k}),
+ n2_{k} as (select *, instr(lower(s), 'final answer:') at_ from n1_{k}),
+ n3_{k} as (select *, {_said("substr(s, 1, greatest(at_ - 1, 0))")} before_, regexp_replace(coalesce({_lines("substr(s, at_ + 13)")}[1], ''), '(?i)^(?:final answer\s*:\s*)+', '') said_ from n2_{k}),
+ n4_{k} as (select *, case when at_ = 0 then s when said_ <> '' and before_ <> '' then before_ || chr(10) || 'Final answer: ' || said_ when said_ <> '' then 'Final answer: ' || said_ else s end clean_ from n3_{k}),
+ n5_{k} as (select *, coalesce(nullif(clean_, ''), old_) work_, {_lines("coalesce(nullif(clean_, ''), old_)")} rows_ from n4_{k}),
+ n6_{k} as (select *, list_filter(range(1, len(rows_) + 1), lambda i: regexp_matches(rows_[i], '{label}'))[-1] last_ from n5_{k}),
+ n7_{k} as (select *, coalesce(nullif({_strip(f"regexp_replace(rows_[last_], '{label}', '')")}, ''), nullif(rows_[last_ + 1], ''), regexp_extract_all(work_, '\\boxed\{{([^}}]+)\}}', 1)[-1],
+  nullif({_strip(r"regexp_extract(work_, '(?i)the answer is\s*:?\s*([^\n.]+)', 1)")}, ''), rows_[-1], '') pred_ from n6_{k}),
+ n8_{k} as (select *, coalesce({token('pred_')}, {token('work_')}) token_ from n7_{k}),
+ norm_{k} as (select '{k}' kind, example_id, slot, coalesce('Final answer: ' || token_, work_) candidate,
+  case when token_ is null and work_ = old_ then 'unchanged' when token_ is null then 'sanitized_only' when 'Final answer: ' || token_ = old_ then 'unchanged' else 'rewritten' end action from n8_{k})"""

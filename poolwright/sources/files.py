@@ -113,10 +113,30 @@ def fingerprint_ids(rows: DataFrame, ids: str = "example_id", position: str = "p
     return rows.groupBy(*by).agg(F.count("*").alias("n"), F.sha1(F.array_join(ordered, "\n")).alias("sha1"))
 
 
-def fingerprint_set(rows: DataFrame, *columns: str) -> DataFrame:
-    """(n, digest): an order-free fingerprint of any number of rows: sums of two 64-bit hashes as decimals."""
-    h = lambda salt: F.sum(F.xxhash64(F.lit(salt), *columns).cast("decimal(38,0)"))
-    return rows.agg(F.count("*").alias("n"), F.sha1(F.concat_ws(":", h(1).cast("string"), h(2).cast("string"))).alias("digest"))
+#: Hexadecimal digits of SHA-256 that a lane of a fingerprint has, and how many lanes there are.
+LANE, LANES = 15, 4
+
+
+def fingerprint_set(rows: DataFrame, *facts: str) -> DataFrame:
+    """(n, lanes array<long>): an order-free fingerprint of any number of rows: the SHA-256 of each row's facts (SQL
+    expressions, as text; null as \\N), summed lane by lane modulo 16**LANE. Rows that repeat count as often as they occur, the same rows
+    give the same fingerprint however they are partitioned, and fingerprint_sum() adds or takes away rows."""
+    text = F.concat_ws(chr(31), *[F.coalesce(F.expr(c).cast("string"), F.lit("\\N")) for c in facts])
+    h = F.sha2(text, 256)
+    lane = lambda i: F.sum(F.conv(F.substring("h", LANE * i + 1, LANE), 16, 10).cast("decimal(38,0)"))
+    kept = lambda s: F.coalesce(s % F.lit(16**LANE).cast("decimal(38,0)"), F.lit(0)).cast("long")
+    return rows.select(h.alias("h")).agg(F.count("*").alias("n"), F.array(*[kept(lane(i)) for i in range(LANES)]).alias("lanes"))
+
+
+def fingerprint_sum(a: DataFrame, b: DataFrame, sign: int = 1) -> DataFrame:
+    """The fingerprint of the rows of `a` and `b` together, or with `sign` -1 of those of `a` without those of `b`."""
+    both = a.join(F.broadcast(b.select(F.col("n").alias("_n"), F.col("lanes").alias("_lanes"))))  # one row each
+    return both.select((F.col("n") + sign * F.col("_n")).alias("n"), F.zip_with("lanes", "_lanes", lambda x, y: F.pmod(x + sign * y, F.lit(16**LANE))).alias("lanes"))
+
+
+def fingerprint_text(of: DataFrame) -> DataFrame:
+    """(n, digest): the lanes as hexadecimal digits."""
+    return of.select("n", F.array_join(F.transform("lanes", lambda x: F.lpad(F.lower(F.hex(x)), LANE, "0")), "").alias("digest"))
 
 
 def upsert(rows: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
