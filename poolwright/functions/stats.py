@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from poolwright.functions.text import let
+
 
 def rate(n: Column, of: Column, default: float | None = 0.0) -> Column:
     """n / of; `default` where `of` is 0."""
@@ -37,30 +35,55 @@ def paired_counts(rows: DataFrame, a: str, b: str, *by: str) -> DataFrame:
     return out.withColumns({"delta": F.col("accuracy_b") - F.col("accuracy_a"), "p_value": mcnemar_exact(F.col("a_only"), F.col("b_only"))})
 
 
+def uniform(seed: int, *counters: Column) -> Column:
+    """A number between 0 and 1, both excluded, for a seed and counters: the same wherever and however often it is drawn."""
+    bits = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *[c.cast("string") for c in counters])), 1, 13), 16, 10)
+    return (bits.cast("double") + 0.5) / F.lit(float(2**52))
+
+
+def binomial(n: Column, hits: Column, of: Column, u: Column) -> Column:
+    """The number of successes of `n` draws that succeed with probability hits / of, by inverting the distribution at `u`.
+
+    Weights run from 12 deviations and 30 below the mean to as much above it, each from the one before; what lies outside
+    weighs less than a double can tell. Twice as many steps as weights, no matter how large n is in itself.
+    """
+
+    def place(s: Column) -> Column:
+        steps = F.when(s["high"] > s["low"], F.sequence(s["low"], s["high"] - 1)).otherwise(F.array().cast("array<long>"))
+        weight = lambda w, k: w * ((s["n"] - k).cast("double") / (k + 1).cast("double")) * s["odds"]
+        whole = F.aggregate(steps, F.struct(F.lit(1.0).alias("w"), F.lit(1.0).alias("sum")), lambda a, k: let(weight(a["w"], k), lambda w: F.struct(w.alias("w"), (a["sum"] + w).alias("sum"))), lambda a: a["sum"])
+        walk = lambda goal: F.aggregate(
+            steps,
+            F.struct(F.lit(1.0).alias("w"), F.lit(1.0).alias("sum"), s["low"].alias("at")),
+            lambda a, k: let(weight(a["w"], k), lambda w: F.struct(w.alias("w"), (a["sum"] + w).alias("sum"), (a["at"] + (a["sum"] < goal).cast("long")).alias("at"))),
+            lambda a: a["at"],
+        )
+        return let(whole * s["u"], walk)
+
+    p = hits.cast("double") / of.cast("double")
+    far = 12 * F.sqrt(n.cast("double") * p * (1 - p)) + 30
+    low, high = F.greatest(F.lit(0).cast("long"), F.floor(n * p - far)), F.least(n.cast("long"), F.ceil(n * p + far))
+    facts = F.struct(n.cast("long").alias("n"), low.cast("long").alias("low"), high.cast("long").alias("high"), (hits.cast("double") / (of - hits).cast("double")).alias("odds"), u.alias("u"))
+    return F.when((n <= 0) | (hits <= 0), F.lit(0).cast("long")).when(hits >= of, n.cast("long")).otherwise(let(facts, place))
+
+
 def bootstrap_ci(rows: DataFrame, a: str, b: str, samples: int = 2000, seed: int = 7) -> DataFrame:
     """(delta, low, high) of the mean of b - a under resampling.
 
     A resample of n paired outcomes is decided by how often each of the three outcomes -1, 0 and 1 is drawn, so the pairs
-    are counted once and each replicate is one multinomial draw of three counts, by a generator seeded with `seed` and the
-    replicate's number: exact resampling, and nothing grows with rows x samples. Bounds are the sorted deltas at
-    int(.025 B) - 1 and int(.975 B) - 1. No rows: all 0.
+    are counted once, and each replicate draws first how many differ, then how many of those are 1: exact resampling whose
+    work doesn't grow with rows x samples, from numbers that seed, replicate and draw decide alone. Bounds are the sorted
+    deltas at int(.025 B) - 1 and int(.975 B) - 1. No rows: all 0.
     """
     d = F.coalesce(F.col(b).cast("int"), F.lit(0)) - F.coalesce(F.col(a).cast("int"), F.lit(0))
-    counts = rows.select(d.alias("d")).agg(F.count_if(F.col("d") > 0).alias("up"), F.count_if(F.col("d") < 0).alias("down"), F.count_if(F.col("d") == 0).alias("same"))
-
-    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in batches:
-            out = []
-            for i, *c in x[["id", "up", "down", "same"]].to_numpy().tolist():
-                n = sum(c)
-                drawn = np.random.default_rng([seed, i]).multinomial(n, np.array(c) / n) if n else (0, 0, 0)
-                out.append((drawn[0] - drawn[1]) / max(n, 1))
-            yield pd.DataFrame({"x": out}, dtype="float64")
-
-    deltas = rows.sparkSession.range(samples).join(F.broadcast(counts)).mapInPandas(draw, "x double")
+    counts = rows.select(d.alias("d")).agg(F.count_if(F.col("d") > 0).alias("up"), F.count_if(F.col("d") < 0).alias("down"), F.count("*").alias("n"))
+    n, both = F.col("n"), F.col("up") + F.col("down")
+    drawn = rows.sparkSession.range(samples).join(F.broadcast(counts)).withColumn("differ", binomial(n, both, n, uniform(seed, F.col("id"), F.lit(1))))
+    drawn = drawn.withColumn("rise", binomial(F.col("differ"), F.col("up"), both, uniform(seed, F.col("id"), F.lit(2))))
+    deltas = drawn.select(rate(2 * F.col("rise") - F.col("differ"), n).alias("x"))
     at = lambda q: F.element_at("xs", max(1, int(q * samples)))
     bounds = deltas.agg(F.array_sort(F.collect_list("x")).alias("xs")).select(at(0.025).alias("low"), at(0.975).alias("high"))
-    return counts.select(rate(F.col("up") - F.col("down"), F.col("up") + F.col("down") + F.col("same")).alias("delta")).join(F.broadcast(bounds))
+    return counts.select(rate(F.col("up") - F.col("down"), n).alias("delta")).join(F.broadcast(bounds))
 
 
 def ovf_decomposition(o1: Column, v1: Column, o2: Column, v2: Column) -> Column:

@@ -573,7 +573,29 @@ def _lit_mode():
 # --- sampled, model-backed and streaming operators: no SQL -------------------------------------------------------------
 
 
-@query()
+def _inverse(name: str, source: str, trials: str, hits: str, of: str) -> str:
+    """CTEs that end in `name`: (trials, at, share), the distribution of a binomial count by the logarithms of its terms."""
+    p, far = f"({hits}::double / {of})", f"(12 * sqrt({trials} * ({hits}::double / {of}) * (1 - {hits}::double / {of})) + 30)"
+    low, high = f"greatest(0, floor({trials} * {p} - {far}))::bigint", f"least({trials}, ceil({trials} * {p} + {far}))::bigint"
+    return f"""{name}_k as (select *, unnest(range({low}, {high} + 1)) at_, {low} low_ from {source}),
+ {name}_w as (select *, sum(case when at_ = low_ then 0 else ln(({trials} - at_ + 1)::double / at_ * ({hits}::double / ({of} - {hits}))) end) over (partition by {trials} order by at_) w from {name}_k),
+ {name}_m as (select *, max(w) over (partition by {trials}) top from {name}_w),
+ {name} as (select {trials} trials, at_, sum(exp(w - top)) over (partition by {trials} order by at_) / sum(exp(w - top)) over (partition by {trials}) share from {name}_m)"""
+
+
+_DRAW = "(cast('0x' || md5('7:' || i || ':{}')[1:13] as bigint) + 0.5) / 4503599627370496.0"
+
+
+@query(
+    _FLAGS
+    + f""", c as (select count_if(verifier_ok and not base_ok) up, count_if(base_ok and not verifier_ok) down, count(*) n from flags),
+ ids as (select unnest(range(2000)) i), {_inverse('first', 'c', 'n', '(up + down)', 'n')},
+ f as (select i, min(at_) differ from ids, first where share >= {_DRAW.format(1)} group by i),
+ ds as (select distinct differ, up, down from f, c where differ > 0), {_inverse('second', 'ds', 'differ', 'up', '(up + down)')},
+ r as (select f.i, f.differ, coalesce(min(at_), 0) rise from f left join second on trials = differ and share >= {_DRAW.format(2).replace('|| i ||', '|| f.i ||')} group by f.i, f.differ),
+ x as (select list_sort(list((2 * rise - differ) / n)) xs from r, c)
+ select (up - down) / n delta, xs[50] low, xs[1950] high from c, x"""
+)
 def bootstrap_interval(spark, sf_dir):
     return X.bootstrap_ci(flags(spark, sf_dir), "base_ok", "verifier_ok")
 

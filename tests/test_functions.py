@@ -103,3 +103,23 @@ def test_openings_repeated_many_times(spark):
     assert values(spark, texts[:1], H.strip_meta_lines) == ["5"] and values(spark, texts[:1], H.meta_instruction) == [False]
     for f in (A.extract_numeric, A.extract_numeric_tail, A.extract_choice, A.extract_prediction, T.brief_reasoning, T.collapse, H.wrong_form, lambda c: H.malformed(c, F.lit("numeric")), lambda c: H.normalize_candidate(c, F.lit("numeric"))["text"]):
         assert len(values(spark, texts, f)) == len(texts)
+
+
+def test_binomial_inverts_the_distribution(spark):
+    cases = [(n, h, of, (i + 0.5) / 40) for n, h, of in ((20, 3, 10), (1, 1, 2), (300, 1, 300), (300, 299, 300), (50, 0, 7), (50, 7, 7), (0, 1, 2)) for i in range(40)]
+    rows = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, n long, h long, of long, u double")
+    got = [r.k for r in rows.select("i", X.binomial(F.col("n"), F.col("h"), F.col("of"), F.col("u")).alias("k")).orderBy("i").collect()]
+    for (n, h, of, u), k in zip(cases, got, strict=True):
+        p, total, want = h / of, 0.0, 0
+        for want in range(n + 1):
+            total += math.comb(n, want) * p**want * (1 - p) ** (n - want)
+            if total >= u:
+                break
+        assert k == want, (n, h, of, u)
+
+
+def test_binomial_of_many_draws(spark):
+    n, p = 10**7, 0.3
+    row = spark.range(200).select(X.binomial(F.lit(n), F.lit(3), F.lit(10), X.uniform(5, F.col("id"))).alias("k")).agg(F.avg("k").alias("m"), F.stddev("k").alias("s")).first()
+    sd = math.sqrt(n * p * (1 - p))
+    assert abs(row.m - n * p) < 5 * sd / math.sqrt(200) and 0.8 < row.s / sd < 1.2
