@@ -5,20 +5,38 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from poolwright.functions.text import collapse, let, lines, strip
+from poolwright.functions.text import DIGIT, SPACE, WORD, ascii_digits, collapse, let, lines, strip
 
-NUMBER = r"[-+]?\d+(?:,\d{3})*(?:\.\d+)?(?:[eE][-+]?\d+)?"
-_CHOICE = r"(?i)(?:final answer|answer|option|choice)\s*[:\-]?\s*\(?([A-J])\)?"
+NUMBER = rf"[-+]?{DIGIT}+(?:,{DIGIT}{{3}})*(?:\.{DIGIT}+)?(?:[eE][-+]?{DIGIT}+)?"
+_CHOICE = rf"(?i)(?:final answer|answer|option|choice){SPACE}*[:\-]?{SPACE}*\(?([A-J])\)?"
 
 
 def normalize_answer(text: Column) -> Column:
     """Lower case, stripped, without one leading `final answer:`."""
-    return strip(F.regexp_replace(F.lower(strip(text)), r"^final answer:\s*", ""))
+    return strip(F.regexp_replace(F.lower(strip(text)), rf"^final answer:{SPACE}*", ""))
+
+
+#: Significant digits and the largest exponent of the decimal context in which numbers are spelled (fixed values).
+PRECISION, FURTHEST = 28, 30
+
+
+def _half_even(digits: Column) -> Column:
+    """struct(sig, more): PRECISION digits of a longer digit string without zeros at its end, rounded half to even, zeros at the
+    end left out; `more` is 1 where a digit was carried over the front."""
+    kept, after = F.substring(digits, 1, PRECISION), F.substr(digits, F.lit(PRECISION + 1), F.char_length(digits))
+    odd = F.substring(kept, -1, 1).isin("1", "3", "5", "7", "9")
+    up = (after > "5") | ((after == "5") & odd)
+    raised = (kept.try_cast("decimal(38,0)") + up.cast("int")).cast("string")
+    return let(raised, lambda r: F.struct(F.regexp_replace(r, "0+$", "").alias("sig"), (F.char_length(r) - PRECISION).alias("more")))
 
 
 def canonical_numeric(token: Column) -> Column:
     """One spelling for each number, as text: no commas, plus sign, or zeros at the ends of the fraction; `-0` stays; an
-    exponent is written out, except beyond 30 places. Null where the token is no finite number. Digits are never rounded."""
+    exponent is written out, except beyond 30 places. Null where the token is no finite number.
+
+    Whole numbers within 30 places keep all digits. Others are rounded to 28 digits, half to even, as are all beyond 30
+    places; what has become whole by it loses the zeros at its end. Digits may be those of any script.
+    """
 
     def plain(c: Column) -> Column:
         sign = F.when(F.startswith(c, F.lit("-")), F.lit("-")).otherwise(F.lit(""))
@@ -31,18 +49,27 @@ def canonical_numeric(token: Column) -> Column:
             tail = F.substr(digits, F.lit(2), F.greatest(size - 1, F.lit(0)))
             science = F.concat(F.substr(digits, F.lit(1), F.lit(1)), F.when(size > 1, F.concat(F.lit("."), tail)).otherwise(""), F.lit("e"), F.when(first >= 0, "+").otherwise(""), first.cast("string"))
             small = F.concat(F.lit("0."), F.repeat(F.lit("0"), F.greatest(-first - 1, F.lit(0))), digits)
-            integer = F.concat(F.substr(digits, F.lit(1), F.greatest(first + 1, F.lit(0))), F.repeat(F.lit("0"), F.greatest(first + 1 - size, F.lit(0))))
+            zeros = F.when(s["rounded"], 0).otherwise(F.greatest(first + 1 - size, F.lit(0)))
+            integer = F.concat(F.substr(digits, F.lit(1), F.greatest(first + 1, F.lit(0))), F.repeat(F.lit("0"), zeros))
             large = F.concat(integer, F.when(size > first + 1, F.concat(F.lit("."), F.substr(digits, first + 2, size))).otherwise(""))
-            return F.concat(lead, F.when(size == 0, F.lit("0")).when(F.abs(first) > 30, science).when(first < 0, small).otherwise(large))
+            return F.concat(lead, F.when(size == 0, F.lit("0")).when(s["far"], science).when(first < 0, small).otherwise(large))
+
+        def rounded(s: Column) -> Column:
+            size, far = F.char_length(s["sig"]), F.abs(s["first"]) > FURTHEST
+            inexact = (size > PRECISION) & (far | (size > s["first"] + 1))
+            short = let(_half_even(s["sig"]), lambda r: F.struct(r["sig"].alias("sig"), (s["first"] + r["more"]).alias("first"), F.lit(True).alias("rounded")))
+            as_is = F.struct(s["sig"].alias("sig"), s["first"].alias("first"), F.lit(False).alias("rounded"))
+            return let(F.when(inexact, short).otherwise(as_is), lambda r: F.struct(r["sig"].alias("sig"), s["sign"].alias("sign"), r["first"].alias("first"), r["rounded"].alias("rounded"), far.alias("far")))
 
         all_digits = F.concat(whole, part)
         zeros = F.char_length(F.regexp_extract(all_digits, "^0*", 0))
         sig = F.regexp_replace(F.regexp_replace(all_digits, "^0+", ""), "0+$", "")
-        return let(F.struct(sig.alias("sig"), sign.alias("sign"), (F.char_length(whole) + power - zeros - 1).alias("first")), spelled)
+        facts = F.struct(sig.alias("sig"), sign.alias("sign"), (F.char_length(whole) + power - zeros - 1).alias("first"))
+        return let(let(facts, rounded), spelled)
 
-    cleaned = F.replace(strip(token), F.lit(","), F.lit(""))
-    valid = cleaned.rlike(r"\A[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d{1,9})?\z")
-    return let(F.when(valid, cleaned), lambda c: F.when(c.isNotNull(), plain(c)))
+    cleaned = ascii_digits(F.translate(strip(token), ",_", ""))
+    valid = r"\A[-+]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][-+]?[0-9]{1,9})?\z"
+    return let(cleaned, lambda c: F.when(c.rlike(valid), plain(c)))
 
 
 def _last_number(tokens: Column) -> Column:
@@ -60,12 +87,12 @@ def extract_numeric_tail(text: Column) -> Column:
     def of(n: Column) -> Column:
         tail = F.coalesce(F.try_element_at(lines(n), F.lit(-1)), n)
         forms = (
-            rf"\A(?:final answer|answer)\s*[:\-]?\s*({NUMBER})\s*[.!?]*\z",
-            rf"\A(?:the\s+)?answer\s+is\s+({NUMBER})\s*[.!?]*\z",
+            rf"\A(?:final answer|answer){SPACE}*[:\-]?{SPACE}*({NUMBER}){SPACE}*[.!?]*\z",
+            rf"\A(?:the{SPACE}+)?answer{SPACE}+is{SPACE}+({NUMBER}){SPACE}*[.!?]*\z",
             rf"\A\(?({NUMBER})\)?[.!?]*\z",
-            rf"\A.*=\s*({NUMBER})\s*[.!?]*\z",
+            rf"\A[^\n]*={SPACE}*({NUMBER}){SPACE}*[.!?]*\z",
         )
-        found = [F.nullif(F.regexp_extract(n, r"\\boxed\{([^}]+)\}\s*[.!?]*\s*\z", 1), F.lit(""))]
+        found = [F.nullif(F.regexp_extract(n, rf"\\boxed\{{([^}}]+)\}}{SPACE}*[.!?]*{SPACE}*\z", 1), F.lit(""))]
         found += [F.nullif(F.regexp_extract(tail, p, 1), F.lit("")) for p in forms]
         return F.coalesce(*[canonical_numeric(x) for x in found])
 
@@ -78,7 +105,7 @@ def extract_choice(text: Column) -> Column:
     def of(s: Column) -> Column:
         labelled = F.upper(F.try_element_at(F.regexp_extract_all(s, F.lit(_CHOICE), 1), F.lit(-1)))
         single = F.upper(F.nullif(F.regexp_extract(normalize_answer(s), r"\A\(?([a-j])\)?[.)]?\z", 1), F.lit("")))
-        alone = F.regexp_extract_all(F.upper(s), F.lit(r"\b([A-J])\b"), 1)
+        alone = F.regexp_extract_all(F.upper(s), F.lit(rf"(?<!{WORD})([A-J])(?!{WORD})"), 1)
         return F.coalesce(labelled, single, F.when(F.size(alone) == 1, F.get(alone, 0)))
 
     return let(strip(text), of)

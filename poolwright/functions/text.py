@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -13,13 +14,28 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
+#: Classes of characters as Python has them, in every pattern of answers and texts: white space with the separators 1C to 1F,
+#: decimal digits of all scripts, and what a word is made of.
+SPACE = r"[\s\x1C-\x1F\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
+DIGIT, WORD = r"\p{Nd}", r"[\p{L}\p{N}_]"
+#: What ends a line.
+BREAK = r"\r\n|[\n\x0B\f\r\x1C-\x1E\x85\u2028\u2029]"
+_NUMERALS = "".join(chr(c) for c in range(128, 0x20000) if unicodedata.decimal(chr(c), None) is not None)
+_VALUES = "".join(str(unicodedata.decimal(c)) for c in _NUMERALS)
+
+
+def ascii_digits(text: Column) -> Column:
+    """Decimal digits of any script as 0 to 9."""
+    return F.when(text.rlike(r"[^\x00-\x7F]"), F.translate(text, _NUMERALS, _VALUES)).otherwise(text)
+
+
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)\A\s+|\s+\z", "")
+    return F.regexp_replace(text, rf"\A{SPACE}+|(?<!{SPACE}){SPACE}++\z", "")
 
 
 def collapse(text: Column) -> Column:
     """White space runs to one space, none at the ends."""
-    return strip(F.regexp_replace(text, r"(?U)\s+", " "))
+    return strip(F.regexp_replace(text, rf"{SPACE}+", " "))
 
 
 def freeform(text: Column) -> Column:
@@ -27,7 +43,7 @@ def freeform(text: Column) -> Column:
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")
+    return F.filter(F.split(text, rf"{SPACE}+"), lambda w: w != "")
 
 
 def token_count(text: Column) -> Column:
@@ -36,7 +52,7 @@ def token_count(text: Column) -> Column:
 
 def lines(text: Column) -> Column:
     """Stripped lines that aren't blank."""
-    return F.filter(F.transform(F.split(text, r"\R"), strip), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, BREAK), strip), lambda x: x != "")
 
 
 def clip(text: Column, limit: int = 160) -> Column:
