@@ -641,6 +641,54 @@ def running_metrics(spark, sf_dir):
     return resume.running_metrics(pools(spark, sf_dir))
 
 
+# --- numbers beyond 28 digits, digits and spaces of other scripts ----------------------------------------------------------
+
+_D40 = "concat(translate(md5(cast(o_orderkey as varchar(20))), 'abcdef', '012345'), translate(substr(md5(cast(o_custkey as varchar(20))), 1, 8), 'abcdef', '999950'))"
+_NDIGITS, _POINT = "(1 + o_orderkey % 40)", "(o_custkey % (2 + o_orderkey % 40))"
+_RUN = f"case when o_orderkey % 5 = 0 then concat(substr({_D40}, 1, cast(({_NDIGITS} - {_NDIGITS} % 2) / 2 as int)), repeat('9', cast({_NDIGITS} as int)), case when o_custkey % 3 = 0 then '5' when o_custkey % 3 = 1 then '50' else '51' end) else substr({_D40}, 1, cast({_NDIGITS} as int)) end"
+_EXPONENT = "case o_orderkey % 9 when 1 then 'e-45' when 2 then 'e-31' when 3 then 'E-30' when 4 then 'e2' when 5 then 'e28' when 6 then 'e+30' when 7 then 'e31' when 8 then 'e-3' else '' end"
+_TOKEN = f"concat(case o_custkey % 4 when 0 then '-' when 1 then '+' else '' end, case when o_custkey % 7 = 0 then {_RUN} else concat(substr({_RUN}, 1, cast({_POINT} as int)), '.', substr({_RUN}, cast({_POINT} as int) + 1)) end, {_EXPONENT})"
+
+
+@query(
+    f"""with t as (select o_orderkey, {_TOKEN} token from orders),
+ a as (select *, case when token like '-%' then '-' else '' end sign, regexp_extract(token, '^[-+]?(\\d*)', 1) w, regexp_extract(token, '\\.(\\d*)', 1) p, coalesce(try_cast(nullif(regexp_extract(token, '[eE]([-+]?\\d+)$', 1), '') as int), 0) power from t),
+ b as (select *, rtrim(ltrim(w || p, '0'), '0') sig, length(w) + power - (length(w || p) - length(ltrim(w || p, '0'))) - 1 first_ from a where w || p <> ''),
+ c as (select *, abs(first_) > 30 far, length(sig) > 28 and (abs(first_) > 30 or length(sig) > first_ + 1) inexact, sig[1:28] kept, sig[29:] tail_ from b),
+ d as (select *, case when inexact then cast(cast(kept as hugeint) + case when tail_ > '5' or tail_ = '5' and kept[28] in ('1', '3', '5', '7', '9') then 1 else 0 end as varchar) end raised from c),
+ e as (select *, coalesce(rtrim(raised, '0'), sig) s2, case when inexact then first_ + length(raised) - 28 else first_ end f2 from d)
+ select o_orderkey, token, sign || case when s2 = '' then '0' when far then s2[1] || case when length(s2) > 1 then '.' || s2[2:] else '' end || 'e' || case when f2 >= 0 then '+' else '' end || f2
+  when f2 < 0 then '0.' || repeat('0', -f2 - 1) || s2 when length(s2) > f2 + 1 then s2[1:f2 + 1] || '.' || s2[f2 + 2:] when inexact then s2 else s2 || repeat('0', f2 + 1 - length(s2)) end canonical from e
+ union all select o_orderkey, token, null from a where w || p = ''"""
+)
+def long_numbers(spark, sf_dir):
+    """Tokens of 1 to 60 digits with exponents around 30: which digits stay, how halves are rounded, when an exponent is written."""
+    return read(spark, sf_dir, "orders").select("o_orderkey", F.expr(_TOKEN).alias("token")).select("o_orderkey", "token", A.canonical_numeric(F.col("token")).alias("canonical"))
+
+
+_ARABIC = "translate(cast(o_orderkey as varchar(20)), '0123456789', '\u0660\u0661\u0662\u0663\u0664\u0665\u0666\u0667\u0668\u0669')"
+_WIDE = "translate(cast(o_custkey as varchar(20)), '0123456789', '\uff10\uff11\uff12\uff13\uff14\uff15\uff16\uff17\uff18\uff19')"
+_OPTION = "substr('ABCDEFGHIJ', cast(1 + o_custkey % 10 as int), 1)"
+_FOREIGN = f"""case o_orderkey % 6 when 0 then concat('\u00a0Final answer:\u2003', {_ARABIC}, '\x1f') when 1 then concat('so\x1cthe answer is\u00a0', cast(o_custkey as varchar(20)), '.5\u2028')
+ when 2 then concat('answer\u202f:\x1d(', {_OPTION}, ')') when 3 then concat('\u00e9A ', {_OPTION}, '\u3000word\x85') when 4 then concat({_ARABIC}, ' of ', {_WIDE}) else concat('H\u00b2 ', {_OPTION}, '\u2009') end"""
+_S = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+@query(
+    f"""with t as (select o_orderkey, {_FOREIGN} x from orders), s as (select *, regexp_replace(x, '^{_S}+|{_S}+$', '', 'g') st from t),
+ n as (select *, regexp_replace(regexp_replace(lower(st), '^final answer:{_S}*', ''), '^{_S}+|{_S}+$', '', 'g') norm from s),
+ d as (select *, translate(regexp_extract_all(norm, '[-+]?\\p{{Nd}}+(?:,\\p{{Nd}}{{{{3}}}})*(?:\\.\\p{{Nd}}+)?')[-1], '\u0660\u0661\u0662\u0663\u0664\u0665\u0666\u0667\u0668\u0669\uff10\uff11\uff12\uff13\uff14\uff15\uff16\uff17\uff18\uff19', '01234567890123456789') last_,
+  regexp_extract_all(st, '(?i)(?:final answer|answer|option|choice){_S}*[:\\-]?{_S}*\\(?([A-J])\\)?', 1)[-1] labelled, list_filter(string_split(regexp_replace(upper(st), '[^\\p{{L}}\\p{{N}}_]', ' ', 'g'), ' '), lambda y: regexp_full_match(y, '[A-J]')) alone from n)
+ select o_orderkey, norm normalized, {P.canon('last_')} number, coalesce(upper(labelled), nullif(upper(regexp_extract(norm, '^\\(?([a-j])\\)?[.)]?$', 1)), ''), case when len(alone) = 1 then alone[1] end) letter,
+  regexp_replace(norm, '{_S}+', ' ', 'g') flat, cast(len(list_filter(regexp_split_to_array(x, '{_S}+'), lambda y: y <> '')) as integer) tokens from d""".replace("{{3}}", "{3}")
+)
+def foreign_scripts(spark, sf_dir):
+    """Answers in digits of other scripts, between spaces that only Unicode has, beside letters and marks that are none of ASCII."""
+    x = F.col("x")
+    rows = read(spark, sf_dir, "orders").select("o_orderkey", F.expr(_FOREIGN).alias("x"))
+    return rows.select("o_orderkey", A.normalize_answer(x).alias("normalized"), A.extract_numeric(x).alias("number"), A.extract_choice(x).alias("letter"), A.canonical_text(x).alias("flat"), T.token_count(x).alias("tokens"))
+
+
 # --- extensions beyond candidate pools: windows and sessions over events, cubes, as-of ----------------------------------
 
 
