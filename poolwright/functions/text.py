@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -139,3 +139,15 @@ def parse_index(text: Column, n: Column) -> Column:
     """Zero-based index from the last whole number within 1 to n, else 0."""
     found = F.filter(F.transform(F.regexp_extract_all(text, F.lit(r"\d+"), 0), lambda x: x.try_cast("int")), lambda x: x.between(F.lit(1), n))
     return F.coalesce(F.try_element_at(found, F.lit(-1)) - 1, F.lit(0))
+
+
+def markdown_lines(rows: DataFrame, *keys: str) -> DataFrame:
+    """(keys, line): each row's other columns as a line of a Markdown table, numbers with a fraction in four digits, `NA` for
+    null, bars escaped and line breaks as spaces."""
+
+    def cell(name: str, kind: str) -> Column:
+        said = F.format_string("%.4f", name) if kind in ("double", "float") else F.replace(F.replace(F.col(name).cast("string"), F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" "))
+        return F.when(F.col(name).isNull(), F.lit("NA")).otherwise(said)
+
+    cells = [cell(n, k) for n, k in rows.dtypes if n not in keys]
+    return rows.select(*keys, F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))

@@ -232,10 +232,13 @@ def provenance_events(before: DataFrame, after: DataFrame, selected: DataFrame)
     )
 
 
-def variant_allocation(samples: int, variants: list[str]) -> list[tuple[str, int]]:
-    """Samples dealt to prompt variants as evenly as can be, earlier variants first."""
-    each, more = divmod(samples, len(variants))
-    return [(v, each + (i < more)) for i, v in enumerate(variants) if each + (i < more)]
+def variant_allocation(samples: Column, variants: list[str]) -> Column:
+    """array<struct(variant, n)>: samples dealt to prompt variants as evenly as can be, earlier variants first; those that get
+    none are left out."""
+    k = len(variants)
+    each, more = F.floor(samples / k), F.pmod(samples, F.lit(k))
+    shares = F.array(*[F.struct(F.lit(v).alias("variant"), (each + (more > i).cast("int")).cast("long").alias("n")) for i, v in enumerate(variants)])
+    return F.filter(shares, lambda x: x["n"] > 0)
 
 
 #: Names under which an object may hold a candidate's text, in the order in which they are tried (fixed values).

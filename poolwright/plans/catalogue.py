@@ -332,9 +332,11 @@ def _customers(spark, sf_dir):
     return read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("example_id")), read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("example_id"))
 
 
-@query("select c_custkey example_id from customer where c_custkey not in (select o_custkey from orders) order by 1 limit 20")
+@query("select c_custkey example_id from customer where c_custkey not in (select o_custkey from orders where o_totalprice > 450000) order by 1 limit 20")
 def anti_slice(spark, sf_dir):
-    return J.anti_slice(*_customers(spark, sf_dir), 20)
+    """The first customers without a large order."""
+    large = read(spark, sf_dir, "orders").where("o_totalprice > 450000").select(F.col("o_custkey").alias("example_id"))
+    return J.anti_slice(_customers(spark, sf_dir)[0], large, 20)
 
 
 @query("select c_custkey example_id from customer where c_custkey in (select o_custkey from orders)")

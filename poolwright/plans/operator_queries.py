@@ -99,10 +99,12 @@ def json_documents(spark, sf_dir):
 
 @query("select n_nationkey, n_name from nation")
 def json_array(spark, sf_dir):
+    """One document for each region, an array of its nations."""
     path = S.work_path(spark, "array")
-    rows = read(spark, sf_dir, "nation").agg(F.to_json(F.array_sort(F.collect_list(F.struct(F.col("n_nationkey").cast("long").alias("n_nationkey"), "n_name")))).alias("value"))
-    rows.coalesce(1).write.text(path)
-    return S.scan_json(spark, path, "n_nationkey long, n_name string")
+    item = F.struct(F.col("n_nationkey").cast("long").alias("n_nationkey"), "n_name")
+    arrays = read(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("part")).agg(F.to_json(F.array_sort(F.collect_list(item))).alias("value"))
+    arrays.write.partitionBy("part").text(path)
+    return S.scan_json(spark, f"{path}/*", "n_nationkey long, n_name string")
 
 
 @query("select n_name, n_nationkey + 0.25 accuracy from nation")
@@ -167,11 +169,12 @@ def left_with_defaults(spark, sf_dir):
     return J.left_default(read(spark, sf_dir, "customer").select("c_custkey"), orders, {"n": 0, "top": "none"}, "c_custkey")
 
 
-@query("select c_custkey example_id, 0 missing_in from customer where c_custkey not in (select o_custkey from orders) union all select c_custkey, 1 from customer where c_nationkey not in (select s_nationkey from supplier)")
+@query("select c_custkey example_id, 0 missing_in from customer where c_custkey not in (select o_custkey from orders where o_totalprice > 450000) union all select c_custkey, 1 from customer where c_nationkey not in (select s_nationkey from supplier where s_acctbal > 9000)")
 def missing_report(spark, sf_dir):
+    """Customers without a large order, and those in whose nation no supplier has a large balance."""
     customers = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("example_id"), "c_nationkey")
-    served = customers.join(read(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("c_nationkey")).distinct(), "c_nationkey")
-    return J.missing_ids(customers, read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("example_id")), served)
+    served = customers.join(read(spark, sf_dir, "supplier").where("s_acctbal > 9000").select(F.col("s_nationkey").alias("c_nationkey")).distinct(), "c_nationkey")
+    return J.missing_ids(customers, read(spark, sf_dir, "orders").where("o_totalprice > 450000").select(F.col("o_custkey").alias("example_id")), served)
 
 
 @query("with p as (select o_orderkey, o_custkey, row_number() over (order by o_orderkey) - 1 pos from orders) select pos, o_orderkey example_id, o_custkey from p")
@@ -484,8 +487,9 @@ def repair_filter(spark, sf_dir):
 
 @query("select c_custkey % 50 samples, v variant, n from (select distinct c_custkey % 50 k from customer) c, (select unnest([0, 1, 2]) i) i, lateral (select ['complete', 'repair', 'rank'][i + 1] v, k // 3 + (i < k % 3)::int n) x, lateral (select k c_custkey) y where n > 0")
 def variant_allocation(spark, sf_dir):
-    rows = [(k, v, n) for k in sorted({r[0] for r in read(spark, sf_dir, "customer").select(F.col("c_custkey") % 50).distinct().collect()}) for v, n in C.variant_allocation(k, ["complete", "repair", "rank"])]
-    return spark.createDataFrame(rows, "samples long, variant string, n long")
+    """The samples of each budget dealt to three prompt variants."""
+    budgets = read(spark, sf_dir, "customer").select((F.col("c_custkey") % 50).alias("samples")).distinct()
+    return budgets.select("samples", F.inline(C.variant_allocation(F.col("samples"), ["complete", "repair", "rank"])))
 
 
 @query(
@@ -838,10 +842,11 @@ _report_query("flagship_report", f"select pattern, n from ({_of('oracle_patterns
 _report_query("retarget_report", _of("pool_diff"), "slots long, changed long, added long, removed long, examples_changed long", lambda spark, d: reports.retarget_diagnosis({k: pools(spark, d, k) for k in ("num", "alt")}, {k: slots(spark, d, k) for k in ("num", "alt")}, "num")["diffs"])
 
 
-@query("select 'pipe ' || chr(92) || '| and 1 line' cell, '0.2500' number, 'NA' nothing")
+@query("select c_custkey, '| ' || replace(replace(c_name || '|' || c_mktsegment || chr(10) || 'x', '|', chr(92) || '|'), chr(10), ' ') || ' | ' || printf('%.4f', c_acctbal) || ' | ' || coalesce(cast(case when c_acctbal < 0 then null else c_nationkey end as varchar), 'NA') || ' |' line from customer")
 def markdown_cells(spark, sf_dir):
-    cells = reports.markdown_table([{"cell": "pipe | and 1\nline", "number": 0.25, "nothing": None}]).splitlines()[2][2:-2].split(" | ")
-    return spark.createDataFrame([tuple(cells)], "cell string, number string, nothing string")
+    """Lines of a Markdown table: bars and line breaks in texts, four digits of numbers, what is missing."""
+    cells = [F.concat("c_name", F.lit("|"), "c_mktsegment", F.lit("\nx")), F.col("c_acctbal"), F.when(F.col("c_acctbal") >= 0, F.col("c_nationkey"))]
+    return T.markdown_lines(read(spark, sf_dir, "customer").select("c_custkey", *[c.alias(f"c{i}") for i, c in enumerate(cells)]), "c_custkey")
 
 
 @query("select n_nationkey::bigint id, case when n_nationkey % 2 = 0 then 'missing' when n_nationkey % 3 = 0 then 'wrong_lines' else 'ok' end state from nation")
