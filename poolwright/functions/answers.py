@@ -13,7 +13,8 @@ _CHOICE = rf"(?i)(?:final answer|answer|option|choice){SPACE}*[:\-]?{SPACE}*\(?(
 
 def normalize_answer(text: Column) -> Column:
     """Lower case, stripped, without one leading `final answer:`."""
-    return strip(F.regexp_replace(F.lower(strip(text)), rf"^final answer:{SPACE}*", ""))
+    mark = "final answer:"
+    return let(F.lower(strip(text)), lambda low: F.when(F.startswith(low, F.lit(mark)), strip(F.substr(low, F.lit(len(mark) + 1), F.char_length(low)))).otherwise(low))
 
 
 #: Significant digits and the largest exponent of the decimal context in which numbers are spelled (fixed values).

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -61,16 +63,21 @@ def clip(text: Column, limit: int = 160) -> Column:
     return F.when(F.char_length(flat) > limit, F.concat(F.substring(flat, 1, limit - 3), F.lit("..."))).otherwise(flat)
 
 
+def _any(text: Column, parts: tuple[str, ...], test: Callable[[Column, Column], Column]) -> Column:
+    """Is the test met by one of the parts? The text is computed once, and the first part that meets it ends the search."""
+    return let(text, lambda s: reduce(or_, [test(s, F.lit(p)) for p in parts]))
+
+
 def starts_with_any(text: Column, prefixes: tuple[str, ...]) -> Column:
-    return F.exists(F.array(*map(F.lit, prefixes)), lambda p: F.startswith(text, p))
+    return _any(text, prefixes, F.startswith)
 
 
 def ends_with_any(text: Column, suffixes: tuple[str, ...]) -> Column:
-    return F.exists(F.array(*map(F.lit, suffixes)), lambda p: F.endswith(text, p))
+    return _any(text, suffixes, F.endswith)
 
 
 def contains_any(text: Column, parts: tuple[str, ...]) -> Column:
-    return F.exists(F.array(*map(F.lit, parts)), lambda p: F.contains(text, p))
+    return _any(text, parts, F.contains)
 
 
 def occurrences(text: Column, part: str) -> Column:
