@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Callable
-from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +26,7 @@ _VALUES = "".join(str(unicodedata.decimal(c)) for c in _NUMERALS)
 
 def ascii_digits(text: Column) -> Column:
     """Decimal digits of any script as 0 to 9."""
-    return F.when(text.rlike(r"[^\x00-\x7F]"), F.translate(text, _NUMERALS, _VALUES)).otherwise(text)
+    return let(text, lambda t: F.when(t.rlike(r"[^\x00-\x7F]"), F.translate(t, _NUMERALS, _VALUES)).otherwise(t))
 
 
 def strip(text: Column) -> Column:
@@ -64,8 +62,8 @@ def clip(text: Column, limit: int = 160) -> Column:
 
 
 def _any(text: Column, parts: tuple[str, ...], test: Callable[[Column, Column], Column]) -> Column:
-    """Is the test met by one of the parts? The text is computed once, and the first part that meets it ends the search."""
-    return let(text, lambda s: reduce(or_, [test(s, F.lit(p)) for p in parts]))
+    """Is the test met by one of the parts? The text is computed once, not for each part."""
+    return let(text, lambda s: F.exists(F.array(*map(F.lit, parts)), lambda p: test(s, p)))
 
 
 def starts_with_any(text: Column, prefixes: tuple[str, ...]) -> Column:
