@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 SLICE_BYTES, SLICE_ROWS = 1_000_000, 500
 #: Keys with more than one in HOT_KEYS of all rows, of which there can be no more than HOT_KEYS, are dealt over SPREAD tasks.
 HOT_KEYS, SPREAD = 4096, 64
+#: Bits of a filter of keys. As bitmaps of 4 KB it takes 8 MB, whatever the input.
+FILTER_BITS = 1 << 26
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,6 +77,19 @@ def split_join(rows: DataFrame, keys: DataFrame, on: list[str], part: Column, ho
     return dealt.join(each, [*on, "_part"], how).drop("_part")
 
 
+def maybe_in(rows: DataFrame, keys: DataFrame, on: str) -> DataFrame:
+    """`rows` with `_maybe`: false only where no row of stored `keys` has the same value of `on`; null is in no table.
+
+    Hashes of the keys are set in a filter of FILTER_BITS bits, built by partial aggregation and broadcast, a size that no
+    input changes. A filter that fills up tells fewer rows apart and never a wrong one."""
+    bit = F.pmod(F.xxhash64(on), F.lit(FILTER_BITS))
+    place = F.bitmap_bit_position(bit)
+    maps = keys.where(F.col(on).isNotNull()).groupBy(F.bitmap_bucket_number(bit).alias("_bucket")).agg(F.bitmap_construct_agg(place).alias("_map"))
+    byte = F.conv(F.hex(F.substring("_map", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    held = rows.withColumn("_bucket", F.when(F.col(on).isNotNull(), F.bitmap_bucket_number(bit))).join(F.broadcast(maps), "_bucket", "left")
+    return held.withColumn("_maybe", F.coalesce(F.getbit(byte, (place % 8).cast("int")) == 1, F.lit(False))).drop("_bucket", "_map")
+
+
 def release(spark: SparkSession) -> None:
     """Lets go of the shuffle files of jobs whose results are stored: Spark removes them when the driver collects garbage,
     which may otherwise be long after."""

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from poolwright.llm.common import SPREAD, release, split_join, stored, text_slices
+from poolwright.llm.common import SPREAD, maybe_in, release, split_join, stored, text_slices
 from poolwright.llm.wordarrays import Words, mix, ranges_hash, sliding
 
 WINDOW = 50
@@ -187,13 +187,19 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, texts: bool = True) -> Da
     on the input. Null text has no words. A row with null doc_id is kept whole and is no source for others; rows that
     repeat a doc_id are one document by order and so don't remove each other's words. Texts shorter than a window are
     kept; a table without rows gives none; other columns are not read.
+
+    Only texts that may have findings, by a filter of bounded size, are shuffled to them and stored; all others are read
+    once more where they lie.
     """
-    found = repeats(docs, window)
-    judged = docs.select("doc_id", "text").join(found, "doc_id", "left").select("doc_id", "text", "found", "copy_of")
+    found = stored(repeats(docs, window), "found")
+    marked = maybe_in(docs.select("doc_id", "text"), found, "doc_id")
+    judged = marked.where("_maybe").join(found, "doc_id", "left").select("doc_id", "text", "found", "copy_of")
     judged = stored(judged.mapInArrow(_longest(window, texts), _LONGEST), "longest")
+    other = marked.where("not _maybe").select("doc_id", "text", *[F.lit(None).cast(found.schema[c].dataType).alias(c) for c in ("found", "copy_of")]).mapInArrow(_longest(window, texts), _LONGEST)
     release(docs.sparkSession)
     windows = judged.where("h1 is not null").select("doc_id", F.explode(F.arrays_zip("h1", "h2")).alias("w")).select("doc_id", "w.h1", "w.h2")
     sources = stored(_repeated(windows, "doc_id", "h1", "h2"), "sources")
     hits = split_join(windows, sources, ["h1", "h2"], F.xxhash64("doc_id")).where("doc_id > least").groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2")).alias("hits"))
     cut = judged.where("h1 is not null").select("doc_id", "text", "n_words").join(hits, "doc_id", "left").select("doc_id", "text", "n_words", "hits")
-    return judged.where("h1 is null").select("doc_id", "n_words", "n_removed", "kept_sha256", "kept").unionAll(cut.mapInArrow(_removed(window, texts), _DIGEST))
+    done = judged.where("h1 is null").unionAll(other).select("doc_id", "n_words", "n_removed", "kept_sha256", "kept")
+    return done.unionAll(cut.mapInArrow(_removed(window, texts), _DIGEST))

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from poolwright.llm import decontaminate, langid, media, packing, pii, quality, secrets, sharding, simhash, substrings
-from poolwright.llm.common import split_join, stored, table
+from poolwright.llm.common import maybe_in, split_join, stored, table
 
 SCHEMA = "doc_id long, text string, lang string, source string, fp long, _tag string, _hits string, _text string, id string, row string"
 
@@ -422,3 +422,11 @@ def test_text_slices_bound_rows():
     batch = pa.RecordBatch.from_arrays([pa.array(["x"] * 2500 + ["y" * 3_000_000] + [None])], names=["text"])
     slices = list(text_slices(batch))
     assert slices[0][0] == 0 and slices[-1][1] == 2502 and all(a < b and b - a <= 1000 for a, b in slices)
+
+
+def test_filter_of_keys(spark):
+    """Every key is found again, null never, and nearly all that aren't there are told apart."""
+    rows = spark.range(-2000, 2000).selectExpr("id as doc_id").unionAll(spark.sql("select cast(null as bigint)"))
+    keys = stored(spark.range(-2000, 2000, 3).selectExpr("id as doc_id").unionAll(spark.sql("select cast(null as bigint)")), "keys")
+    got = {r.doc_id: r._maybe for r in maybe_in(rows, keys, "doc_id").collect()}
+    assert len(got) == 4001 and not got[None] and all(got[i] for i in range(-2000, 2000, 3)) and sum(got.values()) < 1400
