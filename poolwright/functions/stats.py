@@ -25,12 +25,19 @@ def mcnemar_exact(a_only: Column, b_only: Column) -> Column:
     return F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2 * tail))
 
 
+def pair_columns(a: str, b: str) -> list[Column]:
+    """How often two boolean columns hold together and alone; null doesn't hold."""
+    x, y = F.coalesce(F.col(a), F.lit(False)), F.coalesce(F.col(b), F.lit(False))
+    return [F.count("*").alias("n"), F.count_if(x & ~y).alias("a_only"), F.count_if(y & ~x).alias("b_only"), F.count_if(x & y).alias("both"), F.count_if(~x & ~y).alias("neither")]
+
+
 def paired_counts(rows: DataFrame, a: str, b: str, *by: str) -> DataFrame:
     """Counts of two boolean columns against each other, accuracies, delta and McNemar's p, by the columns `by`."""
-    x, y = F.coalesce(F.col(a), F.lit(False)), F.coalesce(F.col(b), F.lit(False))
-    counted = rows.groupBy(*by).agg(
-        F.count("*").alias("n"), F.count_if(x & ~y).alias("a_only"), F.count_if(y & ~x).alias("b_only"), F.count_if(x & y).alias("both"), F.count_if(~x & ~y).alias("neither")
-    )
+    return paired_rates(rows.groupBy(*by).agg(*pair_columns(a, b)))
+
+
+def paired_rates(counted: DataFrame) -> DataFrame:
+    """Rows of pair_columns() with accuracies, delta and McNemar's p."""
     out = counted.withColumns({"accuracy_a": rate(F.col("a_only") + F.col("both"), F.col("n")), "accuracy_b": rate(F.col("b_only") + F.col("both"), F.col("n"))})
     return out.withColumns({"delta": F.col("accuracy_b") - F.col("accuracy_a"), "p_value": mcnemar_exact(F.col("a_only"), F.col("b_only"))})
 
@@ -76,9 +83,13 @@ def bootstrap_ci(rows: DataFrame, a: str, b: str, samples: int = 2000, seed: int
     deltas at int(.025 B) - 1 and int(.975 B) - 1. No rows: all 0.
     """
     d = F.coalesce(F.col(b).cast("int"), F.lit(0)) - F.coalesce(F.col(a).cast("int"), F.lit(0))
-    counts = rows.select(d.alias("d")).agg(F.count_if(F.col("d") > 0).alias("up"), F.count_if(F.col("d") < 0).alias("down"), F.count("*").alias("n"))
+    return resampled(rows.select(d.alias("d")).agg(F.count_if(F.col("d") > 0).alias("up"), F.count_if(F.col("d") < 0).alias("down"), F.count("*").alias("n")), samples, seed)
+
+
+def resampled(counts: DataFrame, samples: int = 2000, seed: int = 7) -> DataFrame:
+    """bootstrap_ci() from its one row of counts (up, down, n)."""
     n, both = F.col("n"), F.col("up") + F.col("down")
-    drawn = rows.sparkSession.range(samples).join(F.broadcast(counts)).withColumn("differ", binomial(n, both, n, uniform(seed, F.col("id"), F.lit(1))))
+    drawn = counts.sparkSession.range(samples).join(F.broadcast(counts)).withColumn("differ", binomial(n, both, n, uniform(seed, F.col("id"), F.lit(1))))
     drawn = drawn.withColumn("rise", binomial(F.col("differ"), F.col("up"), both, uniform(seed, F.col("id"), F.lit(2))))
     deltas = drawn.select(rate(2 * F.col("rise") - F.col("differ"), n).alias("x"))
     at = lambda q: F.element_at("xs", max(1, int(q * samples)))

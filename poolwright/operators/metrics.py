@@ -9,10 +9,14 @@ from pyspark.sql import functions as F
 from poolwright.functions.answers import answer_mode, answers_match, extract_choice, extract_numeric, normalize_answer, parse_answer
 from poolwright.functions.hygiene import instruction_leak, malformed_wrapper, scaffold_residue, wrong_form
 from poolwright.functions.motif import quality
-from poolwright.functions.stats import rate
+from poolwright.functions.stats import pair_columns, rate
 from poolwright.functions.text import token_count
 
 
+#: The structs of sections().
+PARTS = ("summary", "right", "failures", "rescues", "sizes", "paired", "hygiene")
+
+
 def share(flag: Column) -> Column:
     """Mean of a boolean, 0 for no rows."""
     return F.coalesce(F.avg(flag.cast("int")), F.lit(0.0))
@@ -50,23 +54,31 @@ def exact_match(predictions: DataFrame) -> DataFrame:
     return predictions.agg(F.count("*").alias("total"), F.count_if(ok).alias("correct")).withColumn("accuracy", rate(F.col("correct"), F.col("total")))
 
 
-def ovf(f: DataFrame) -> DataFrame:
-    """Oracle coverage, selection efficiency given oracle, and accuracies."""
+def ovf_columns() -> list[Column]:
     n, o = F.count("*"), F.count_if("oracle")
-    return f.agg(
+    return [
         n.alias("total_examples"), o.alias("oracle_correct"), rate(o, n).alias("oracle_coverage"), rate(F.count_if("first_ok"), n).alias("first_accuracy"),
         rate(F.count_if("base_ok"), n).alias("base_accuracy"), rate(F.count_if("verifier_ok"), n).alias("verifier_accuracy"),
         rate(F.count_if("first_ok"), o).alias("first_given_oracle"), rate(F.count_if("base_ok"), o).alias("base_given_oracle"), rate(F.count_if("verifier_ok"), o).alias("verifier_given_oracle"),
-    )
+    ]
 
 
-def failure_decomposition(f: DataFrame) -> DataFrame:
+def ovf(f: DataFrame) -> DataFrame:
+    """Oracle coverage, selection efficiency given oracle, and accuracies."""
+    return f.agg(*ovf_columns())
+
+
+def failure_columns() -> list[Column]:
     o, hit = F.count_if(~F.col("oracle")), F.col("oracle")
     fails = F.count_if(~F.col("verifier_ok"))
-    return f.agg(
+    return [
         o.alias("oracle_miss"), F.count_if(hit & ~F.col("first_ok")).alias("first_selection_failure"), F.count_if(hit & ~F.col("base_ok")).alias("base_selection_failure"),
         F.count_if(hit & ~F.col("verifier_ok")).alias("verifier_selection_failure"), F.count_if(hit & ~F.col("first_ok") & ~F.col("base_ok") & ~F.col("verifier_ok")).alias("all_fail_on_hit"), rate(o, fails).alias("miss_share_of_failures"),
-    )
+    ]
+
+
+def failure_decomposition(f: DataFrame) -> DataFrame:
+    return f.agg(*failure_columns())
 
 
 def selection_efficiency(f: DataFrame) -> DataFrame:
@@ -75,21 +87,32 @@ def selection_efficiency(f: DataFrame) -> DataFrame:
     return rows.groupBy("selector").agg(F.count_if("ok").alias("correct"), F.count_if("oracle").alias("oracle_correct")).withColumn("efficiency", rate(F.col("correct"), F.col("oracle_correct")))
 
 
+def rescue_columns() -> list[Column]:
+    pairs = [("first", "base"), ("first", "verifier"), ("base", "verifier")]
+    return [*[F.count_if(~F.col(f"{a}_ok") & F.col(f"{b}_ok")).alias(f"{b}_rescues_{a}") for a, b in pairs], *[F.count_if(F.col(f"{a}_ok") & ~F.col(f"{b}_ok")).alias(f"{b}_overrules_{a}") for a, b in pairs]]
+
+
 def rescue_counts(f: DataFrame) -> DataFrame:
     """Gains and losses of a selector over another: rescues are right where the other is wrong."""
-    pairs = [("first", "base"), ("first", "verifier"), ("base", "verifier")]
-    return f.agg(*[F.count_if(~F.col(f"{a}_ok") & F.col(f"{b}_ok")).alias(f"{b}_rescues_{a}") for a, b in pairs], *[F.count_if(F.col(f"{a}_ok") & ~F.col(f"{b}_ok")).alias(f"{b}_overrules_{a}") for a, b in pairs])
+    return f.agg(*rescue_columns())
 
 
-def oracle_patterns(f: DataFrame) -> DataFrame:
+def right_pattern() -> Column:
     bit = lambda k: F.col(k).cast("int").cast("string")
-    pattern = F.concat(F.lit("F"), bit("first_ok"), F.lit("B"), bit("base_ok"), F.lit("V"), bit("verifier_ok"))
-    return f.where("oracle").groupBy(pattern.alias("pattern")).agg(F.count("*").alias("n"))
+    return F.concat(F.lit("F"), bit("first_ok"), F.lit("B"), bit("base_ok"), F.lit("V"), bit("verifier_ok"))
+
+
+def oracle_patterns(f: DataFrame) -> DataFrame:
+    return f.where("oracle").groupBy(right_pattern().alias("pattern")).agg(F.count("*").alias("n"))
+
+
+def size_columns() -> list[Column]:
+    return [F.count("*").alias("n"), share(F.col("oracle")).alias("oracle_rate"), share(F.col("first_ok")).alias("first_rate"), share(F.col("base_ok")).alias("base_rate"), share(F.col("verifier_ok")).alias("verifier_rate")]
 
 
 def count_breakdown(f: DataFrame) -> DataFrame:
     """By pool size: examples, their share, accuracies."""
-    rows = f.groupBy("n_candidates").agg(F.count("*").alias("n"), share(F.col("oracle")).alias("oracle_rate"), share(F.col("first_ok")).alias("first_rate"), share(F.col("base_ok")).alias("base_rate"), share(F.col("verifier_ok")).alias("verifier_rate"))
+    rows = f.groupBy("n_candidates").agg(*size_columns())
     return rows.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
 
 
@@ -99,6 +122,39 @@ def prediction_hygiene(rows: DataFrame, text: str = "prediction", mode: str = "a
     return rows.agg(F.count("*").alias("n"), share(parse_answer(t, m).isNotNull()).alias("parseable_rate"), share(instruction_leak(t)).alias("leak_rate"), share(scaffold_residue(t)).alias("scaffold_rate"), share(malformed_wrapper(t)).alias("wrapper_rate"))
 
 
+def sections(f: DataFrame, text: str = "verifier_text") -> DataFrame:
+    """All counted sections of the report on a run in one scan of its per-example facts `f`: (section, n_candidates, pattern)
+    and the structs summary, right, failures, rescues, sizes, paired and hygiene.
+
+    GROUPING SETS give a row of section `all`, one `pool_size` row for each number of candidates and one `pattern` row for
+    each pattern of right selectors among hits; examples without a hit share the `pattern` row of null. Texts are judged
+    before the sets fan out, so only flags are copied, and counts are added up before they are shuffled. Without examples
+    there are no rows, as grouping sets have it; totals() has one.
+    """
+    judged, parts = _judged(f, text)
+    name = F.when(F.grouping("n_candidates") == 0, "pool_size").when(F.grouping("pattern") == 0, "pattern").otherwise("all")
+    sets = judged.groupingSets([[], ["n_candidates"], ["pattern"]], "n_candidates", "pattern")
+    return sets.agg(name.alias("section"), *parts).select("section", "n_candidates", "pattern", *PARTS)
+
+
+def totals(f: DataFrame, text: str = "verifier_text") -> DataFrame:
+    """The structs of sections() over all examples: one row, with counts and rates of 0 where there are none."""
+    judged, parts = _judged(f, text)
+    return judged.agg(*parts)
+
+
+def _judged(f: DataFrame, text: str) -> tuple[DataFrame, list[Column]]:
+    t, m = F.col(text), F.col("answer_mode")
+    judged = f.select(
+        "n_candidates", F.when(F.col("oracle"), right_pattern()).alias("pattern"), "oracle", "first_ok", "base_ok", "verifier_ok",
+        parse_answer(t, m).isNotNull().alias("parseable"), instruction_leak(t).alias("leak"), scaffold_residue(t).alias("scaffold"), malformed_wrapper(t).alias("wrapper"),
+    )
+    hygiene = [F.count("*").alias("n"), *[share(F.col(c)).alias(f"{c}_rate") for c in ("parseable", "leak", "scaffold", "wrapper")]]
+    right = [F.count_if(f"{k}_ok").alias(k) for k in ("base", "first", "verifier")]
+    parts = [ovf_columns(), right, failure_columns(), rescue_columns(), size_columns(), pair_columns("base_ok", "verifier_ok"), hygiene]
+    return judged, [F.struct(*columns).alias(k) for k, columns in zip(PARTS, parts, strict=True)]
+
+
 def merge_hygiene(rows: DataFrame, fallback: DataFrame, columns: list[str], on: str) -> DataFrame:
     """`rows` with nulls of `columns` filled from `fallback`, and `provenance`: summary, fallback or mixed."""
     filled = rows.join(fallback.select(on, *[F.col(c).alias(f"_{c}") for c in columns]), on, "left")
@@ -194,10 +250,10 @@ def persistent_miss(slots: DataFrame, f: DataFrame) -> DataFrame:
     return miss.groupBy(wrong_form(F.col("verifier_text")).alias("form"), bucket.alias("gap")).agg(F.count("*").alias("n"))
 
 
-def dominant_bucket(rows: DataFrame, names: list[str], by: str) -> DataFrame:
-    """The name of the largest of several counts, the earliest on ties."""
+def dominant_bucket(rows: DataFrame, names: list[str], by: str, *more: Column) -> DataFrame:
+    """The name of the largest of several counts, the earliest on ties, and further columns of the row."""
     best = F.array_max(F.array(*[F.struct(F.col(n).alias("n"), F.lit(-i).alias("i"), F.lit(n).alias("name")) for i, n in enumerate(names)]))
-    return rows.select(by, best["name"].alias("dominant"), best["n"].alias("n"))
+    return rows.select(by, best["name"].alias("dominant"), best["n"].alias("n"), *more)
 
 
 def seed_stability(rows: DataFrame, by: str, metric: str) -> DataFrame:
@@ -228,6 +284,24 @@ def with_baseline(rows: DataFrame, by: str, baseline: str, metrics: list[str], m
     return rows.join(base, by, "left").withColumns({f"{m}_delta": F.col(m) - F.col(f"_{m}") for m in metrics}).drop(*[f"_{m}" for m in metrics])
 
 
+def baseline_board(rows: DataFrame, by: str, baseline: str, oracle: str = "oracle_rate", verifier: str = "verifier_rate", method: str = "method") -> DataFrame:
+    """`rows` with <metric>_delta against the row of method `baseline` in the same group, `best` (has the group's highest
+    verifier, then oracle rate, then name) and `tension` (oracle rose and verifier fell): one scan and one shuffle. For rows
+    of a report, of which a group holds one for each method; with_baseline() is for larger groups."""
+    group = Window.partitionBy(by)
+    first = F.max(F.struct(verifier, oracle, method)).over(group)
+    board = rows.withColumn("best", F.col(method) == first[method])
+    board = board.withColumns({f"{m}_delta": F.col(m) - F.max(F.when(F.col(method) == baseline, F.col(m))).over(group) for m in (oracle, verifier)})
+    return board.withColumn("tension", F.coalesce((F.col(f"{oracle}_delta") > 0) & (F.col(f"{verifier}_delta") < 0), F.lit(False)))
+
+
+def scored_rows(rows: DataFrame, by: str, conditions: dict[str, str]) -> DataFrame:
+    """(all_rows, row, n, c0, c1, ...): each row by its key `by`, and one line with all_rows true that counts the rows and those
+    that meet each SQL condition. GROUPING SETS give both in one scan; without rows there is no line."""
+    counts = [F.count_if(F.expr(c)).alias(f"c{i}") for i, c in enumerate(conditions.values())]
+    return rows.groupingSets([[by], []], by).agg((F.grouping(by) == 1).alias("all_rows"), F.first(F.struct(*rows.columns)).alias("row"), F.count("*").alias("n"), *counts).drop(by)
+
+
 def method_summary(slots: DataFrame, f: DataFrame) -> DataFrame:
     """One row on a pool: examples, cap, coverage, accuracies, parse and duplicate rates, tokens."""
     return ovf(f).join(F.broadcast(pool_hygiene(slots))).join(F.broadcast(f.agg(F.max("n_candidates").alias("max_candidates"))))

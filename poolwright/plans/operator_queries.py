@@ -823,6 +823,22 @@ def motif_report(spark, sf_dir):
     return _rows(spark, reports.motif_audit(C.tag_pool(pools(spark, sf_dir)))["labels"], "kind string, label string, n long")
 
 
+_MEAN = "coalesce(avg(({})::int), 0.0)"
+
+
+@query(
+    f"""with {P.flags()}, j as (select n_candidates, case when oracle then concat('F', first_ok::int, 'B', base_ok::int, 'V', verifier_ok::int) end pattern, oracle, first_ok, base_ok, verifier_ok,
+ {P.num('verifier_text')} is not null parseable, {P.leak('verifier_text')} leak, {P.scaffold('verifier_text')} scaffold, {P.wrapper('verifier_text')} wrapper from flags)
+ select case when grouping(n_candidates) = 0 then 'pool_size' when grouping(pattern) = 0 then 'pattern' else 'all' end section, n_candidates, pattern, count(*) n, count_if(oracle) oracle_correct, count_if(first_ok) first_correct, count_if(base_ok) base_correct, count_if(verifier_ok) verifier_correct,
+ count_if(not oracle) oracle_miss, count_if(oracle and not verifier_ok) verifier_selection_failure, count_if(not base_ok and verifier_ok) verifier_rescues_base, count_if(base_ok and not verifier_ok) a_only, {_MEAN.format('oracle')} oracle_rate,
+ {_MEAN.format('parseable')} parseable_rate, {_MEAN.format('leak')} leak_rate, {_MEAN.format('scaffold')} scaffold_rate, {_MEAN.format('wrapper')} wrapper_rate from j group by grouping sets ((), (n_candidates), (pattern))"""
+)
+def report_sections(spark, sf_dir):
+    rates = [f"hygiene.{c}_rate" for c in ("parseable", "leak", "scaffold", "wrapper")]
+    right = [F.col(f"right.{k}").alias(f"{k}_correct") for k in ("first", "base", "verifier")]
+    return M.sections(flags(spark, sf_dir)).select("section", "n_candidates", "pattern", "sizes.n", "summary.oracle_correct", *right, "failures.oracle_miss", "failures.verifier_selection_failure", "rescues.verifier_rescues_base", "paired.a_only", "sizes.oracle_rate", *rates)
+
+
 def _report_query(name: str, sql: str, schema: str, make) -> None:
     """A part of a report under a name, with the SQL of its rows."""
     query(sql, name)(lambda spark, sf_dir: _rows(spark, make(spark, sf_dir), schema))
@@ -839,6 +855,12 @@ _report_query("persistent_report", _of("persistent_miss"), "form string, gap str
 _report_query("diagnosis_report", _of("conversion_diagnosis"), "bucket string, n long, first_run_correct long, second_run_correct long, verifier_losses long", lambda spark, d: reports.conversion_diagnosis(slots(spark, d), slots(spark, d, "alt"))["buckets"])
 _report_query("budget_report", _of("budget_curve").replace("range(1, 9)", "range(1, 5)"), "k int, examples long, oracle_rate double, best_rate double, gain double", lambda spark, d: reports.candidate_budget(slots(spark, d), 4)["curve"])
 _report_query("flagship_report", f"select pattern, n from ({_of('oracle_patterns')})", "pattern string, n long", lambda spark, d: reports.generate_then_rerank(slots(spark, d))["patterns"])
+_report_query("flagship_sizes", _of("count_breakdown"), "n_candidates long, n long, oracle_rate double, first_rate double, base_rate double, verifier_rate double, share double", lambda spark, d: reports.generate_then_rerank(slots(spark, d), 0)["by_pool_size"])
+_report_query("flagship_efficiency", _of("selection_efficiency"), "selector string, correct long, oracle_correct long, efficiency double", lambda spark, d: reports.generate_then_rerank(slots(spark, d), 0)["efficiency"])
+_report_query("flagship_hygiene", _of("selected_hygiene"), "n long, parseable_rate double, leak_rate double, scaffold_rate double, wrapper_rate double", lambda spark, d: [reports.generate_then_rerank(slots(spark, d), 0)["selected_hygiene"]])
+_BOARD = f"with {_METHODS}, b as (select slice, oracle_rate o, verifier_rate v from m where method = '1-URGENT')"
+_report_query("compatibility_best", f"{_BOARD} select slice, max_by(method, (verifier_rate, oracle_rate, method)) as method from m group by slice", "slice string, method string", lambda spark, d: reports.gate_compatibility(_methods(spark, d), "1-URGENT")["best"])
+_report_query("compatibility_tension", f"{_BOARD} select slice, method, oracle_rate - o oracle_rate_delta, verifier_rate - v verifier_rate_delta from m join b using (slice) where oracle_rate > o and verifier_rate < v", "slice string, method string, oracle_rate_delta double, verifier_rate_delta double", lambda spark, d: reports.gate_compatibility(_methods(spark, d), "1-URGENT")["tension"])
 _report_query("retarget_report", _of("pool_diff"), "slots long, changed long, added long, removed long, examples_changed long", lambda spark, d: reports.retarget_diagnosis({k: pools(spark, d, k) for k in ("num", "alt")}, {k: slots(spark, d, k) for k in ("num", "alt")}, "num")["diffs"])
 
 

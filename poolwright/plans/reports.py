@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from poolwright.functions.labels import classify_delta, competitive_tag, risk_bucket, severity
-from poolwright.functions.stats import bootstrap_ci, ovf_decomposition, paired_counts
+from poolwright.functions.stats import ovf_decomposition, paired_counts, paired_rates, resampled
 from poolwright.operators import metrics as M
 from poolwright.operators import ordered as O
 from poolwright.operators import records as R
@@ -52,13 +52,21 @@ def write(report: dict, title: str, json_path: str, markdown_path: str | None =
 
 
 def generate_then_rerank(slots: DataFrame, samples: int = 3) -> dict:
-    """The flagship report: coverage, efficiency, failures, patterns, sizes, hygiene, paired test, examples."""
+    """The flagship report: coverage, efficiency, failures, patterns, sizes, hygiene, paired test, examples. The counted sections
+    come from one scan (M.sections), the paired test and the interval from its counts; `slots` is read once, for the
+    per-example facts are kept for the examples."""
     f = M.flags(slots).cache()
+    found = table(M.sections(f))
+    all_ = next((r for r in found if r["section"] == "all"), None) or one_row(M.totals(f))
+    s, n, right, pair = all_["summary"], all_["sizes"]["n"], all_["right"], all_["paired"]
+    counts = slots.sparkSession.createDataFrame([pair | {"up": pair["b_only"], "down": pair["a_only"]}], "n long, a_only long, b_only long, both long, neither long, up long, down long")
+    sizes = sorted((r for r in found if r["section"] == "pool_size"), key=lambda r: r["n_candidates"])
+    patterns = sorted((r for r in found if r["section"] == "pattern" and r["pattern"] is not None), key=lambda r: r["pattern"])
     kind = F.when(~F.col("oracle"), "oracle_miss").when(~F.col("verifier_ok"), "selection_failure").otherwise("solved")
     examples = O.bucket_sample(f.withColumn("bucket", kind), "bucket", samples, F.length("problem"))
     out = {
-        "summary": one_row(M.ovf(f)), "failures": one_row(M.failure_decomposition(f)), "efficiency": table(M.selection_efficiency(f), "selector"), "rescues": one_row(M.rescue_counts(f)), "patterns": table(M.oracle_patterns(f), "pattern"),
-        "by_pool_size": table(M.count_breakdown(f), "n_candidates"), "selected_hygiene": one_row(M.prediction_hygiene(f, "verifier_text")), "paired": one_row(paired_counts(f, "base_ok", "verifier_ok")), "interval": one_row(bootstrap_ci(f, "base_ok", "verifier_ok")),
+        "summary": s, "failures": all_["failures"], "efficiency": [{"selector": k, "correct": c, "oracle_correct": s["oracle_correct"], "efficiency": s[f"{k}_given_oracle"]} for k, c in right.items()], "rescues": all_["rescues"], "patterns": [{"pattern": r["pattern"], "n": r["sizes"]["n"]} for r in patterns],
+        "by_pool_size": [{"n_candidates": r["n_candidates"]} | r["sizes"] | {"share": r["sizes"]["n"] / n} for r in sizes], "selected_hygiene": all_["hygiene"], "paired": one_row(paired_rates(counts.drop("up", "down"))), "interval": one_row(resampled(counts)),
         "examples": table(R.serialize_example(examples).join(examples.select("example_id", "bucket"), "example_id"), "bucket", "example_id"),
     }
     f.unpersist()
@@ -126,21 +134,28 @@ def gate(rows: DataFrame, conditions: dict[str, str]) -> dict:
 
 
 def gate_compatibility(rows: DataFrame, baseline: str) -> dict:
-    """Rows (slice, method, oracle_rate, verifier_rate): each slice's best method and those under tension with the baseline."""
-    deltas = M.with_baseline(rows, "slice", baseline, ["oracle_rate", "verifier_rate"])
-    return {"deltas": table(deltas, "slice", "method"), "best": table(deltas.groupBy("slice").agg(F.max_by("method", F.struct("verifier_rate", "oracle_rate", "method")).alias("method")), "slice"), "tension": table(M.tension_rows(rows, "slice", baseline), "slice", "method")}
+    """Rows (slice, method, oracle_rate, verifier_rate): each slice's best method and those under tension with the baseline, all
+    from one scan."""
+    board = table(M.baseline_board(rows, "slice", baseline), "slice", "method")
+    plain = lambda r: {k: v for k, v in r.items() if k not in ("best", "tension")}
+    return {"deltas": [plain(r) for r in board], "best": [{"slice": r["slice"], "method": r["method"]} for r in board if r["best"]], "tension": [plain(r) for r in board if r["tension"]]}
 
 
 def gate_external(rows: DataFrame) -> dict:
     """Rows (benchmark, ours, external): delta and tag."""
     tagged = rows.withColumn("delta", F.col("ours") - F.col("external")).withColumn("tag", competitive_tag(F.col("delta")))
-    return {"rows": table(tagged, "benchmark"), "passed": all(r["tag"] in ("clear_win", "edge_or_win", "near_parity") for r in table(tagged))}
+    found = table(tagged, "benchmark")
+    return {"rows": found, "passed": all(r["tag"] in ("clear_win", "edge_or_win", "near_parity") for r in found)}
 
 
 def gate_stability(rows: DataFrame, limit: float = 0.02) -> dict:
-    """Rows (slice, seed, accuracy): spread over seeds within `limit`."""
-    s = M.seed_stability(rows, "slice", "accuracy")
-    return {"stability": table(s, "slice")} | gate(s, {"spread": f"spread <= {limit}", "several_runs": "runs > 1"})
+    """Rows (slice, seed, accuracy): spread over seeds within `limit`. One scan gives the slices and the gate over them."""
+    conditions = {"spread": f"spread <= {limit}", "several_runs": "runs > 1"}
+    found = table(M.scored_rows(M.seed_stability(rows, "slice", "accuracy"), "slice", conditions))
+    slices = sorted((r["row"] for r in found if not r["all_rows"]), key=lambda r: (r["slice"] is not None, r["slice"] or ""))
+    n, hits = next(((r["n"], [r[f"c{i}"] for i in range(len(conditions))]) for r in found if r["all_rows"]), (0, [0] * len(conditions)))
+    states = sorted(({"section": k, "status": "waiting" if not c else "ready" if c == n else "partial"} for k, c in zip(conditions, hits, strict=True)), key=lambda r: r["section"])
+    return {"stability": slices, "sections": states, "passed": all(r["status"] == "ready" for r in states)}
 
 
 def readiness_pack(runs: DataFrame, reparsed: DataFrame, metrics: list[str]) -> dict:
@@ -149,7 +164,8 @@ def readiness_pack(runs: DataFrame, reparsed: DataFrame, metrics: list[str]) ->
 
 def tradeoff_pack(rows: DataFrame, counts: list[str]) -> dict:
     """Runs with named failure counts: which dominates, and effective efficiency."""
-    return {"dominant": table(M.dominant_bucket(rows, counts, "run_id"), "run_id"), "efficiency": table(rows.select("run_id", F.try_divide("verifier", "oracle").alias("v_given_o")), "run_id")}
+    found = table(M.dominant_bucket(rows, counts, "run_id", F.try_divide("verifier", "oracle").alias("v_given_o")), "run_id")
+    return {"dominant": [{k: r[k] for k in ("run_id", "dominant", "n")} for r in found], "efficiency": [{k: r[k] for k in ("run_id", "v_given_o")} for r in found]}
 
 
 def variant_ladder(rows: DataFrame, order: list[str]) -> DataFrame:
