@@ -11,6 +11,7 @@ from poolwright.functions.answers import canonical_numeric, extract_numeric, fin
 from poolwright.functions.labels import prompt
 from poolwright.functions.text import brief_reasoning, clip, filtered_cot, normalize_reasoning, strip, subgoals, synthesize_trace
 from poolwright.operators.ordered import negatives, shuffle_seeded
+from poolwright.sources.files import work_path
 
 #: Answer modes of known datasets (fixed values).
 DATASET_MODES = {"gsm8k": "numeric", "gsm8k_full_clean": "numeric", "competition_math_numeric": "numeric", "competition_math": "numeric", "mmlu_pro": "choice_letter", "gpqa_diamond": "choice_letter"}
@@ -176,8 +177,13 @@ def numeric_gold(rows: DataFrame) -> DataFrame:
 
 
 def latest_position(rows: DataFrame, *order: str) -> DataFrame:
-    """`rows` with a gapless `pos` from 0 in the given order: range-partitioned, counted by partition, no single task."""
-    ranged = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    counts = ranged.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_base", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    numbered = ranged.withColumn("_i", F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1)
-    return numbered.join(F.broadcast(counts.select("_part", "_base")), "_part").withColumn("pos", F.col("_base") + F.col("_i")).drop("_part", "_i", "_base")
+    """`rows` with a gapless `pos` from 0 in the given order: sorted in ranges and stored with each row's range and place, then
+    counted by range, no single task. Bounds of ranges come from a sample, another one each time that the plan runs, so places
+    are only good beside the counts of the same run: both are read from what is stored."""
+    path, at = work_path(rows.sparkSession, "positions"), 1 << 33  # ids: the range above, the place in it below
+    rows.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()).write.parquet(path)
+    placed = rows.sparkSession.read.parquet(path)
+    part = F.shiftright("_at", 33)
+    counts = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n")).withColumn("_base", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    joined = placed.withColumn("_part", part).join(F.broadcast(counts.select("_part", "_base")), "_part")
+    return joined.withColumn("pos", F.col("_base") + F.pmod("_at", F.lit(at))).drop("_part", "_at", "_base")
