@@ -14,7 +14,8 @@ _CHOICE = rf"(?i)(?:final answer|answer|option|choice){SPACE}*[:\-]?{SPACE}*\(?(
 def normalize_answer(text: Column) -> Column:
     """Lower case, stripped, without one leading `final answer:`."""
     mark = "final answer:"
-    return let(F.lower(strip(text)), lambda low: F.when(F.startswith(low, F.lit(mark)), strip(F.substr(low, F.lit(len(mark) + 1), F.char_length(low)))).otherwise(low))
+    low = F.lower(strip(text))
+    return F.when(F.startswith(low, F.lit(mark)), strip(F.substr(low, F.lit(len(mark) + 1), F.char_length(low)))).otherwise(low)
 
 
 #: Significant digits and the largest exponent of the decimal context in which numbers are spelled (fixed values).
@@ -70,16 +71,28 @@ def canonical_numeric(token: Column) -> Column:
 
     cleaned = ascii_digits(F.translate(strip(token), ",_", ""))
     valid = r"\A[-+]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][-+]?[0-9]{1,9})?\z"
-    return let(cleaned, lambda c: F.when(c.rlike(valid), plain(c)))
+    # most numbers are short and need no decimal context: whole ones are their own spelling, others lose zeros at the end
+    return F.when(token.rlike(_WHOLE), token).when(token.rlike(_SHORT), F.regexp_replace(token, r"\.?0+\z", "")).otherwise(let(cleaned, lambda c: F.when(c.rlike(valid), plain(c))))
+
+
+#: Short numbers in ASCII digits, without signs of plus, commas, exponents or zeros in front.
+_WHOLE, _SHORT = r"\A-?(?:0|[1-9][0-9]{0,17})\z", r"\A-?(?:0|[1-9][0-9]{0,13})\.[0-9]{1,10}\z"
 
 
 def _last_number(tokens: Column) -> Column:
-    return F.try_element_at(F.filter(F.transform(tokens, canonical_numeric), lambda x: x.isNotNull()), F.lit(-1))
+    """The last token that is a number, in canonical form: as a rule the last one, so the others are spelled only if it isn't."""
+    every = lambda t: F.try_element_at(F.filter(F.transform(t, canonical_numeric), lambda x: x.isNotNull()), F.lit(-1))
+    return let(tokens, lambda t: F.coalesce(canonical_numeric(F.try_element_at(t, F.lit(-1))), every(t)))
 
 
 def extract_numeric(text: Column) -> Column:
     """The last boxed number, else the last number, in canonical form."""
-    return let(normalize_answer(text), lambda n: F.coalesce(_last_number(F.regexp_extract_all(n, F.lit(r"\\boxed\{([^}]+)\}"), 1)), _last_number(F.regexp_extract_all(n, F.lit(NUMBER), 0))))
+
+    def of(n: Column) -> Column:
+        boxed = F.when(F.contains(n, F.lit("\\boxed{")), _last_number(F.regexp_extract_all(n, F.lit(r"\\boxed\{([^}]+)\}"), 1)))
+        return F.when(n.rlike(_WHOLE), n).otherwise(F.coalesce(boxed, _last_number(F.regexp_extract_all(n, F.lit(NUMBER), 0))))
+
+    return let(normalize_answer(text), of)
 
 
 def extract_numeric_tail(text: Column) -> Column:

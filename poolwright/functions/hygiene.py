@@ -210,20 +210,24 @@ def meta_instruction(line: Column, profile: str = "selector") -> Column:
 
 def strip_meta_lines(text: Column, profile: str = "selector") -> Column:
     """Lines without scaffold openings; lines that instruct are left out unless they give the answer."""
-    kept = F.filter(F.transform(lines(text), strip_scaffold), lambda x: (x != "") & (starts_with_any(F.lower(x), _ANSWER_LINES) | ~contains_any(F.lower(x), LEAKS[profile])))
-    return F.array_join(kept, "\n")
+    fine = lambda x: (x != "") & let(F.lower(x), lambda low: starts_with_any(low, _ANSWER_LINES) | ~contains_any(low, LEAKS[profile]))
+    return F.array_join(F.filter(F.transform(lines(text), strip_scaffold), fine), "\n")
 
 
 def sanitize(text: Column) -> Column:
     """Cut at the first role turn, meta lines out, and at most one final answer line, the last thing said."""
 
     def of(s: Column) -> Column:
-        at = F.instr(F.lower(s), "final answer:")
+        return let(F.instr(F.lower(s), "final answer:"), lambda at: F.when(at == 0, s).otherwise(let(parts(s, at), joined)))
+
+    def parts(s: Column, at: Column) -> Column:
         before = strip_meta_lines(F.substr(s, F.lit(1), F.greatest(at - 1, F.lit(0))))
         said = F.coalesce(F.get(lines(F.substr(s, at + F.lit(len("final answer:")), F.char_length(s))), 0), F.lit(""))
-        said = F.regexp_replace(said, r"(?i)\A(?:final answer\s*:\s*)++", "")
-        line = F.when(said != "", F.concat(F.lit("Final answer: "), said)).otherwise("")
-        return F.when(at == 0, s).when((line != "") & (before != ""), F.concat(before, F.lit("\n"), line)).when(line != "", line).otherwise(s)
+        return F.struct(s.alias("s"), before.alias("before"), F.regexp_replace(said, r"(?i)\A(?:final answer\s*:\s*)++", "").alias("said"))
+
+    def joined(p: Column) -> Column:
+        line = F.concat(F.lit("Final answer: "), p["said"])
+        return F.when((p["said"] != "") & (p["before"] != ""), F.concat(p["before"], F.lit("\n"), line)).when(p["said"] != "", line).otherwise(p["s"])
 
     turns = r"(?is)\n(?:human|user|assistant|problem)\b[,:]?.*\z"
     return let(strip_meta_lines(strip(F.regexp_replace(strip(text), turns, ""))), of)
@@ -231,31 +235,37 @@ def sanitize(text: Column) -> Column:
 
 def prefix_without_answer(text: Column) -> Column:
     """Lines before the first answer line, without instructions."""
-    rows = lines(text)
-    first = F.array_position(F.transform(rows, lambda x: starts_with_any(F.lower(x), _ANSWER_LINES)), True)
-    head = F.when(first > 0, F.slice(rows, F.lit(1), first.cast("int") - 1)).otherwise(rows)
-    return F.array_join(F.filter(head, lambda x: ~meta_instruction(x)), "\n")
+
+    def head(rows: Column) -> Column:
+        first = F.array_position(F.transform(rows, lambda x: starts_with_any(F.lower(x), _ANSWER_LINES)), True)
+        return let(first, lambda n: F.when(n > 0, F.slice(rows, F.lit(1), n.cast("int") - 1)).otherwise(rows))
+
+    return F.array_join(F.filter(let(lines(text), head), lambda x: ~meta_instruction(x)), "\n")
 
 
 def answer_token(text: Column, mode: Column) -> Column:
-    said = extract_prediction(text)
-    return F.when(mode == "choice_letter", F.coalesce(extract_choice(said), extract_choice(text))).when(mode == "numeric", F.coalesce(extract_numeric(said), extract_numeric(text))).otherwise(F.nullif(said, F.lit("")))
+
+    def of(said: Column) -> Column:
+        return F.when(mode == "choice_letter", F.coalesce(extract_choice(said), extract_choice(text))).when(mode == "numeric", F.coalesce(extract_numeric(said), extract_numeric(text))).otherwise(F.nullif(said, F.lit("")))
+
+    return let(extract_prediction(text), of)
 
 
 def normalize_candidate(text: Column, mode: Column, style: str = "canonical_answerline") -> Column:
     """struct(text, action): the candidate as one answer line, or with its reasoning kept before it."""
 
     def of(s: Column) -> Column:
-        token = answer_token(s["work"], mode)
-        line = F.concat(F.lit("Final answer: "), token)
-        before = prefix_without_answer(s["work"])
-        whole = line if style == "canonical_answerline" else F.when(before != "", F.concat(before, F.lit("\n"), line)).otherwise(line)
-        new = F.coalesce(whole, s["work"])
+        before = F.lit("") if style == "canonical_answerline" else prefix_without_answer(s["work"])
+        return let(F.struct(s["old"].alias("old"), s["work"].alias("work"), answer_token(s["work"], mode).alias("token"), before.alias("before")), written)
+
+    def written(s: Column) -> Column:
+        token, line = s["token"], F.concat(F.lit("Final answer: "), s["token"])
+        new = F.coalesce(F.when(s["before"] != "", F.concat(s["before"], F.lit("\n"), line)).otherwise(line), s["work"])
         action = F.when(token.isNull() & (s["work"] == s["old"]), "unchanged").when(token.isNull(), "sanitized_only").when(new == s["old"], "unchanged").otherwise("rewritten")
         return F.struct(new.alias("text"), action.alias("action"))
 
     old = strip(text)
-    return let(F.struct(old.alias("old"), F.coalesce(F.nullif(sanitize(old), F.lit("")), old).alias("work")), of)
+    return let(F.struct(old.alias("old"), let(sanitize(old), lambda x: F.when(x != "", x).otherwise(old)).alias("work")), of)
 
 
 def rewrite_choice(text: Column, mode: str = "canonical_answerline") -> Column:
@@ -264,15 +274,14 @@ def rewrite_choice(text: Column, mode: str = "canonical_answerline") -> Column:
         work = F.coalesce(F.nullif(sanitize(text), F.lit("")), strip(text))
         return let(work, lambda w: F.struct(F.when(extract_choice(w).isNotNull(), w).alias("text"), extract_choice(w).alias("token")))
     new = normalize_candidate(text, F.lit("choice_letter"))["text"]
-    return let(extract_choice(new), lambda t: F.struct(F.concat(F.lit("Final answer: "), t).alias("text"), t.alias("token")))
+    return let(let(new, extract_choice), lambda t: F.struct(F.concat(F.lit("Final answer: "), t).alias("text"), t.alias("token")))
 
 
 def format_candidate(text: Column, mode: Column) -> Column:
     """A generated text as a candidate: reasoning lines, then its answer line; empty where it has no answer."""
-    token = answer_token(text, mode)
-    before = prefix_without_answer(sanitize(text))
-    line = F.concat(F.lit("Final answer: "), token)
-    return F.coalesce(F.when(before != "", F.concat(before, F.lit("\n"), line)).otherwise(line), F.lit(""))
+    before = let(sanitize(text), prefix_without_answer)
+    line = F.concat(F.lit("Final answer: "), answer_token(text, mode))
+    return let(F.struct(before.alias("before"), line.alias("line")), lambda x: F.coalesce(F.when(x["before"] != "", F.concat(x["before"], F.lit("\n"), x["line"])).otherwise(x["line"]), F.lit("")))
 
 
 def dirty_count(text: Column, mode: Column, validity: str = "loose") -> Column:

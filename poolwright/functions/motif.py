@@ -27,6 +27,8 @@ CUES = {
     "temporal_or_age_shift": ("age", "older", "younger", "before", "after", "remaining", "first", "then"),
     "reverse_reasoning": ("originally", "started with", "at first", "left", "remain", "difference", "how many were"),
 }
+#: What every match of a cue of the candidate holds.
+_PLAIN = {"candidate:let": "let", "candidate:equation": "equation", "candidate:solve_for": "solve for", "candidate:variable_equals": "=", "candidate:equals": "="}
 _FORMS = {"percent": r"\bpercent(?:age)?\b", "remain": r"\bremain(?:ing)?\b"}
 #: Unit words by kind (fixed values).
 UNITS = {
@@ -47,12 +49,16 @@ def _cues(pairs: list[tuple[Column, str]]) -> Column:
 
 def unit_conversion(combined: Column) -> Column:
     """Units of two kinds, or two units and a word that links them."""
-    groups = [combined.rlike(rf"\b(?:{'|'.join(u)})\b").cast("int") for u in UNITS.values()]
-    found = F.size(F.array_distinct(F.regexp_extract_all(combined, F.lit(rf"\b({'|'.join(u for g in UNITS.values() for u in g)})\b"), 1)))
-    kinds = groups[0]
-    for g in groups[1:]:
-        kinds = kinds + g
-    return (kinds >= 2) | ((found >= 2) & combined.rlike(r"\bconvert\b|\bcontains\b|\bper\b|\beach\b"))
+    # units are whole words, so one search finds those of all kinds
+    units = F.array_distinct(F.regexp_extract_all(combined, F.lit(rf"\b({'|'.join(u for g in UNITS.values() for u in g)})\b"), 1))
+
+    def of(found: Column) -> Column:
+        kinds = F.lit(0)
+        for g in UNITS.values():
+            kinds = kinds + F.arrays_overlap(found, F.array(*map(F.lit, g))).cast("int")
+        return (F.size(found) >= 2) & ((kinds >= 2) | combined.rlike(r"\bconvert\b|\bcontains\b|\bper\b|\beach\b"))
+
+    return let(units, of)
 
 
 def arithmetic(candidate: Column) -> Column:
@@ -60,17 +66,18 @@ def arithmetic(candidate: Column) -> Column:
 
 
 def motif(problem: Column, candidate: Column) -> Column:
-    """struct(label, confidence, cues): the motif with most cues, ties by priority; other_or_unclear without any."""
+    """struct(label, confidence, cues): the motif with most cues, ties by priority; other_or_unclear without any. Texts are put
+    together once, cues are looked up once, and a word is looked for as a plain string before its bounds are."""
 
     def of(s: Column) -> Column:
-        c, both = s["c"], strip(F.concat(s["p"], F.lit("\n"), s["c"]))
-        said = {m: [(both.rlike(_FORMS.get(w, rf"\b{w}\b")), w.replace(" ", "_")) for w in ws] for m, ws in CUES.items()}
-        said |= {m: [(c.rlike(p), n) for n, p in cues.items()] for m, cues in CANDIDATE_CUES.items()}
+        c, both = s["c"], s["both"]
+        said = {m: [(F.contains(both, F.lit(w)) & both.rlike(_FORMS.get(w, rf"\b{w}\b")), w.replace(" ", "_")) for w in ws] for m, ws in CUES.items()}
+        said |= {m: [(F.contains(c, F.lit(_PLAIN[n])) & c.rlike(p), n) for n, p in cues.items()] for m, cues in CANDIDATE_CUES.items()}
         said["count_aggregation"].append((occurrences(c, "step") >= 2, "candidate:multi_step"))
         said["unit_conversion"] = [(unit_conversion(F.concat(s["p"], F.lit(" "), c)), "unit_groups>=2")]
         said["arithmetic_finish"] = [(arithmetic(c), "candidate:arithmetic_ops"), (F.contains(c, F.lit("final answer:")), "candidate:final_answer")]
-        rows = F.array(*[F.struct(F.size(_cues(said[m])).alias("n"), F.lit(k).alias("k"), F.lit(m).alias("label"), F.array_sort(_cues(said[m])).alias("cues")) for k, m in enumerate(PRIORITY)])
-        best = F.array_max(F.transform(rows, lambda r: F.struct(r["n"].alias("n"), r["k"].alias("k"), r["label"].alias("label"), r["cues"].alias("cues"))))
+        rows = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(m).alias("label"), _cues(said[m]).alias("cues")) for k, m in enumerate(PRIORITY)])
+        best = F.array_max(F.transform(rows, lambda r: F.struct(F.size(r["cues"]).alias("n"), r["k"].alias("k"), r["label"].alias("label"), F.array_sort(r["cues"]).alias("cues"))))
         return let(
             best,
             lambda b: F.struct(
@@ -81,7 +88,8 @@ def motif(problem: Column, candidate: Column) -> Column:
         )
 
     empty = F.lit("")
-    return let(F.struct(freeform(F.coalesce(problem, empty)).alias("p"), freeform(F.coalesce(candidate, empty)).alias("c")), of)
+    texts = F.struct(freeform(F.coalesce(problem, empty)).alias("p"), freeform(F.coalesce(candidate, empty)).alias("c"))
+    return let(let(texts, lambda t: F.struct(t["p"].alias("p"), t["c"].alias("c"), strip(F.concat(t["p"], F.lit("\n"), t["c"])).alias("both"))), of)
 
 
 def quality(candidate: Column) -> Column:
@@ -92,8 +100,12 @@ def quality(candidate: Column) -> Column:
         fragment = _cues([(F.char_length(t) < 18, "short_chars"), (n <= 4, "short_words"), (ends_with_any(low, DANGLING), "dangling_suffix")])
         partial = _cues([(low.rlike(r"\b(step\s*\d+|then|so)\b"), "reasoning_marker"), (low.rlike(r"-?\d+(?:\.\d+)?"), "contains_number"), (n >= 12, "long_enough")])
         complete = _cues(
-            [(low.rlike(r"\bfinal answer:\b"), "final_answer"), (t.rlike(r"[.!?]\z"), "terminal_punctuation"), (low.rlike(r"\btherefore\b|\bso the answer\b"), "final_conclusion"), (n >= 20, "substantial_length")]
+            [(low.rlike(r"\bfinal answer:\b"), "final_answer"), (F.substring(t, -1, 1).isin(".", "!", "?"), "terminal_punctuation"), (low.rlike(r"\btherefore\b|\bso the answer\b"), "final_conclusion"), (n >= 20, "substantial_length")]
         )
+        return let(F.struct(fragment.alias("f"), partial.alias("p"), complete.alias("c"), t.alias("t")), judged)
+
+    def judged(s: Column) -> Column:
+        t, fragment, partial, complete = s["t"], s["f"], s["p"], s["c"]
         f, p, c = F.size(fragment), F.size(partial), F.size(complete)
         made = lambda label, top, base, step, k, cues: F.struct(F.lit(label).alias("label"), F.round(F.least(F.lit(top), F.lit(base) + F.lit(step) * k), 4).alias("confidence"), F.array_sort(cues).alias("cues"))
         rest = made("partial_solution", 0.9, 0.4, 0.1, F.greatest(p, F.lit(1)), F.when(p == 0, F.array(F.lit("default_partial"))).otherwise(partial))

@@ -29,13 +29,18 @@ def ascii_digits(text: Column) -> Column:
     return let(text, lambda t: F.when(t.rlike(r"[^\x00-\x7F]"), F.translate(t, _NUMERALS, _VALUES)).otherwise(t))
 
 
+#: The characters of SPACE one by one.
+_BLANKS = "".join(map(chr, (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+
+
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"\A{SPACE}+|(?<!{SPACE}){SPACE}++\z", "")
+    """Trimmed from both ends, without a search through the text as a pattern would make."""
+    return F.btrim(text, F.lit(_BLANKS))
 
 
 def collapse(text: Column) -> Column:
-    """White space runs to one space, none at the ends."""
-    return strip(F.regexp_replace(text, rf"{SPACE}+", " "))
+    """White space runs to one space, none at the ends. Single spaces are left as they are, so most texts aren't written anew."""
+    return strip(F.regexp_replace(text, rf"(?! (?!{SPACE})){SPACE}+", " "))
 
 
 def freeform(text: Column) -> Column:

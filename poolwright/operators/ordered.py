@@ -51,19 +51,20 @@ def prefix_fill(candidates: Column, prefix: int, most: int) -> Column:
     """Text-unique candidates: the first `prefix`, then those with a number not seen among the ones kept, then the rest, up
     to `most`."""
 
-    def of(a: Column) -> Column:
+    def of(s: Column) -> Column:
+        a, numbers = s["a"], s["numbers"]
         head = F.slice(a, F.lit(1), F.least(F.lit(prefix), F.size(a)))
-        numbers = F.transform(a, lambda t: extract_numeric(t))
 
         def fresh(t: Column, i: Column) -> Column:
             n = F.get(numbers, i)
             return (i >= prefix) & n.isNotNull() & (F.array_position(numbers, n) == i + 1)
 
         new = F.filter(a, fresh)
-        rest = F.filter(a, lambda t, i: (i >= prefix) & ~fresh(t, i))
+        rest = F.filter(a, lambda t, i: (i >= prefix) & ~F.coalesce(fresh(t, i), F.lit(False)))
         return F.slice(F.concat(head, new, rest), 1, most)
 
-    return let(F.array_distinct(candidates), of)
+    # numbers are read once for each text, not for each pair of texts
+    return let(let(F.array_distinct(candidates), lambda a: F.struct(a.alias("a"), F.transform(a, extract_numeric).alias("numbers"))), of)
 
 
 def context_topk(tags: DataFrame, k: int) -> DataFrame:
