@@ -135,6 +135,20 @@ def parse_answer(text: Column, mode: Column, validity: str = "loose") -> Column:
     return F.when(mode == "choice_letter", extract_choice(text)).when(mode == "numeric", number).otherwise(F.nullif(normalize_answer(text), F.lit("")))
 
 
+def answer_facts(text: Column) -> Column:
+    """struct(same, number, letter): all that answers_match() reads of a prediction."""
+    return F.struct(normalize_answer(text).alias("same"), extract_numeric(text).alias("number"), extract_choice(text).alias("letter"))
+
+
+def facts_match(facts: Column, gold: Column, mode: Column) -> Column:
+    """answers_match() of a prediction whose answer_facts() are known. Short whole numbers and single letters, which most gold
+    answers are, are their own normal forms."""
+    whole, option = gold.rlike(_WHOLE), gold.rlike(r"\A[A-J]\z")
+    same = facts["same"] == F.when(whole, gold).otherwise(normalize_answer(gold))
+    letter = facts["letter"] == F.when(option, gold).otherwise(F.coalesce(extract_choice(gold), F.upper(normalize_answer(gold))))
+    return F.coalesce(same | F.when(mode == "choice_letter", letter).otherwise(facts["number"] == F.when(whole, gold).otherwise(extract_numeric(gold))), F.lit(False))
+
+
 def answers_match(prediction: Column, gold: Column, mode: Column) -> Column:
     """Equal normal forms, else equal letters or equal numbers as the mode has it."""
     same = normalize_answer(prediction) == normalize_answer(gold)

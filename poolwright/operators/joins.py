@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from poolwright.functions.answers import key, normalize_answer
 from poolwright.functions.text import strip
+from poolwright.operators.texts import with_facts
 
 
 def last_by_id(rows: DataFrame, position: str, by: str = "example_id") -> DataFrame:
@@ -110,11 +111,12 @@ def score_fallback(slots: DataFrame, first: DataFrame, second: DataFrame, strict
 
 def selected_slot(slots: DataFrame, winners: DataFrame) -> DataFrame:
     """(example_id, selected_slot): where the logged winner text stands: equal text, else equal key, else equal normal form."""
-    j = slots.join(winners.select("example_id", strip(F.col("prediction")).alias("w")), "example_id")
-    k = lambda c: key(c, F.col("answer_mode"), "letter_then_number")
-    first = lambda c: F.min(F.when(c & (F.col("w") != ""), F.col("slot")))
-    t = F.col("candidate")
-    return j.groupBy("example_id").agg(F.coalesce(first(strip(t) == F.col("w")), first(k(t) == k(F.col("w"))), first(normalize_answer(t) == normalize_answer(F.col("w")))).alias("selected_slot"))
+    facts = lambda c: F.struct(strip(c).alias("text"), key(c, F.col("answer_mode"), "letter_then_number").alias("key"), normalize_answer(c).alias("same"))
+    known = slots.select("answer_mode", "candidate")
+    j = with_facts(slots, ["candidate", "answer_mode"], {"_t": facts(F.col("candidate"))}).join(winners.select("example_id", strip(F.col("prediction")).alias("w")), "example_id")
+    j = with_facts(j, ["w", "answer_mode"], {"_w": facts(F.col("w"))}, known.select(strip(F.col("candidate")).alias("w"), "answer_mode"), whole=False)
+    first = lambda n: F.min(F.when((F.col("_t")[n] == F.col("_w")[n]) & (F.col("w") != ""), F.col("slot")))
+    return j.groupBy("example_id").agg(F.coalesce(*map(first, ("text", "key", "same"))).alias("selected_slot"))
 
 
 def candidate_pairs(pools: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from poolwright.functions.hygiene import instruction_leak, malformed_wrapper, sc
 from poolwright.functions.motif import quality
 from poolwright.functions.stats import pair_columns, rate
 from poolwright.functions.text import token_count
+from poolwright.operators.texts import with_match
 
 
 #: The structs of sections().
@@ -25,8 +26,7 @@ def share(flag: Column) -> Column:
 def flags(slots: DataFrame) -> DataFrame:
     """One row for each example from slot rows: size, and whether first, base, verifier and any candidate are right. Argmax
     ties go to the earlier slot."""
-    ok = answers_match(F.col("candidate"), F.col("gold_answer"), F.col("answer_mode"))
-    judged = slots.withColumn("ok", ok)
+    judged = with_match(slots)
     best = lambda m: F.max_by(F.struct("ok", "candidate", "slot"), F.struct(F.coalesce(F.col(m), F.lit(float("-inf"))), -F.col("slot")))
     out = judged.groupBy("example_id").agg(
         F.count("*").alias("n_candidates"),
@@ -242,8 +242,7 @@ def external_buckets(f: DataFrame) -> DataFrame:
 
 def persistent_miss(slots: DataFrame, f: DataFrame) -> DataFrame:
     """Hits that the verifier misses: by the form of its choice and by how far the best right candidate's margin lies below."""
-    ok = answers_match(F.col("candidate"), F.col("gold_answer"), F.col("answer_mode"))
-    per = slots.groupBy("example_id").agg(F.max("margin").alias("top"), F.max(F.when(ok, F.col("margin"))).alias("right"))
+    per = with_match(slots).groupBy("example_id").agg(F.max("margin").alias("top"), F.max(F.when(F.col("ok"), F.col("margin"))).alias("right"))
     miss = f.where("oracle and not verifier_ok").join(per, "example_id")
     gap = F.col("top") - F.col("right")
     bucket = F.when(gap.isNull(), "unscored").when(gap <= 100, "close").when(gap <= 5000, "middle").otherwise("far")

@@ -6,8 +6,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from poolwright.functions.answers import answers_match, extract_numeric, key
+from poolwright.functions.answers import extract_numeric, key
 from poolwright.functions.text import let
+from poolwright.operators.texts import with_match
 
 
 def _per(*order: Column | str):
@@ -30,10 +31,9 @@ def budget_curve(slots: DataFrame, most: int = 16) -> DataFrame:
     first k is right (earliest on ties), and the marginal gain of k. A pool shorter than k counts with all it has.
 
     Rows grow with examples x `most`, a parameter; prefix answers are running aggregates over one sort by example."""
-    ok = answers_match(F.col("candidate"), F.col("gold_answer"), F.col("answer_mode"))
     run = _per("slot").rowsBetween(Window.unboundedPreceding, 0)
     order = F.struct(F.coalesce(F.col("margin"), F.lit(float("-inf"))), -F.col("slot"))
-    steps = slots.withColumn("ok", ok).select("example_id", "slot", F.bool_or("ok").over(run).alias("any_ok"), F.max_by("ok", order).over(run).alias("best_ok"), F.lead("slot", 1, most).over(_per("slot")).alias("until"))
+    steps = with_match(slots).select("example_id", "slot", F.bool_or("ok").over(run).alias("any_ok"), F.max_by("ok", order).over(run).alias("best_ok"), F.lead("slot", 1, most).over(_per("slot")).alias("until"))
     # a row answers for every k from slot + 1 until the next slot exists
     ks = steps.where(F.col("slot") < most).select(F.explode(F.sequence(F.col("slot") + 1, F.least("until", F.lit(most)))).alias("k"), "any_ok", "best_ok")
     curve = ks.groupBy("k").agg(F.count("*").alias("examples"), F.avg(F.col("any_ok").cast("int")).alias("oracle_rate"), F.avg(F.col("best_ok").cast("int")).alias("best_rate"))

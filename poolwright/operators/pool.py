@@ -10,20 +10,21 @@ from poolwright.functions.answers import answers_match, extract_choice, extract_
 from poolwright.functions.hygiene import instruction_leak, malformed_wrapper, normalize_candidate, rewrite_choice, scaffold_residue
 from poolwright.functions.motif import motif, quality, source_bucket
 from poolwright.functions.text import let, strip, token_count
-from poolwright.operators.texts import with_facts
+from poolwright.operators.texts import with_array_facts, with_facts, with_match
 
 _NONE = F.array
 
 
-def tag_pool(pools: DataFrame) -> DataFrame:
-    """One motif tag row for each candidate."""
-    # what a pool's problem asks is judged once, before its candidates become rows
-    asked = pools.select("example_id", "problem", "gold_answer", "answer_mode", "candidates", motif(F.col("problem"), F.lit("")).alias("pm"))
+def tag_pool(pools: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+    """One motif tag row for each candidate. `texts`: rows (problem, c) with all problems and candidates, if some are cheaper to
+    make than pools."""
+    # what a problem asks, what a text says and its answer are judged once for each distinct one
+    texts = (pools.select("problem", F.explode("candidates").alias("c")) if texts is None else texts).withColumnRenamed("c", "candidate_text")
+    asked = with_facts(pools.select("example_id", "problem", "gold_answer", "answer_mode", "candidates"), ["problem"], {"pm": motif(F.col("problem"), F.lit(""))}, texts)
     slots = asked.select("example_id", "problem", "gold_answer", "answer_mode", "pm", F.posexplode("candidates").alias("candidate_index", "candidate_text"))
-    texts = pools.select("problem", F.explode("candidates").alias("candidate_text"))
     tagged = with_facts(slots, ["problem", "candidate_text"], {"m": motif(F.col("problem"), F.col("candidate_text")), "q": quality(F.col("candidate_text"))}, texts)
-    return tagged.select(
-        "example_id", "answer_mode", "candidate_index", "candidate_text", answers_match(F.col("candidate_text"), F.col("gold_answer"), F.col("answer_mode")).alias("candidate_is_correct"),
+    return with_match(tagged, "candidate_is_correct", "candidate_text", texts).select(
+        "example_id", "answer_mode", "candidate_index", "candidate_text", "candidate_is_correct",
         *[F.col(f"{s}.{f}").alias(f"{n}_{f}") for s, n in (("pm", "problem_motif"), ("m", "motif"), ("q", "quality")) for f in ("label", "confidence", "cues")],
     )
 
@@ -39,11 +40,12 @@ def keep_first(rows: Column, k) -> Column:
     return let(rows, lambda a: let(F.transform(a, k), lambda ks: F.filter(a, lambda x, i: F.array_position(ks, F.get(ks, i)) == i + 1)))
 
 
-def family_hygiene(pools: DataFrame, rewrite: str = "canonical_answerline", dedupe: str = "answer_token") -> DataFrame:
+def family_hygiene(pools: DataFrame, rewrite: str = "canonical_answerline", dedupe: str = "answer_token", texts: DataFrame | None = None) -> DataFrame:
     """Multiple-choice pools: candidates rewritten, those without an option dropped, one of each option kept; a pool left
-    empty gets its first candidate back. Others stay. Adds dropped_invalid and dropped_duplicates."""
-    made = F.transform("candidates", lambda c: rewrite_choice(c, rewrite))
-    valid = F.filter(made, lambda x: x["text"].isNotNull())
+    empty gets its first candidate back. Others stay. Adds dropped_invalid and dropped_duplicates. `texts`: rows (c) with all
+    candidates, if some are cheaper to make."""
+    pools = with_array_facts(pools, "candidates", [], lambda c: {"new": rewrite_choice(c, rewrite)}, texts, "_made")
+    valid = F.filter(F.transform("_made", lambda x: x["new"]), lambda x: x["text"].isNotNull())
     k = (lambda x: x["token"]) if dedupe == "answer_token" else (lambda x: x["text"])
     done = pools.withColumn("_valid", valid).withColumn("_kept", F.transform(keep_first(F.col("_valid"), k), lambda x: x["text"]))
     first = F.filter(F.array(strip(F.get("candidates", F.lit(0)))), lambda x: F.coalesce(x != "", F.lit(False)))
@@ -54,28 +56,32 @@ def family_hygiene(pools: DataFrame, rewrite: str = "canonical_answerline", dedu
             "dropped_duplicates": F.when(choice, F.size("_valid") - F.size("_kept")).otherwise(0),
             "candidates": F.when(choice, F.when(F.size("_kept") > 0, F.col("_kept")).otherwise(first)).otherwise(F.col("candidates")),
         }
-    ).drop("_valid", "_kept")
+    ).drop("_made", "_valid", "_kept")
 
 
-def merge_anchor(base: DataFrame, anchor: DataFrame, aux: DataFrame, most: int = 8, protect: int = 1, insertions: int = 3, profile: str = "mode_aware") -> DataFrame:
+def merge_anchor(base: DataFrame, anchor: DataFrame, aux: DataFrame, most: int = 8, protect: int = 1, insertions: int = 3, profile: str = "mode_aware", texts: DataFrame | None = None) -> DataFrame:
     """Anchor pools enriched from aux pools.
 
     Aux candidates with keys of their own fill the anchor up to `most`; what is left of `insertions` then overwrites, from
     the last slot to the first unprotected one, slots whose key the base pool has, slots just filled among them. Pools are
-    joined by example_id. Adds appended and replaced."""
-    side = lambda d, n: d.select("example_id", F.col("candidates").alias(n))
+    joined by example_id; the anchor's mode holds. Adds appended and replaced. `texts`: rows (answer_mode, c) with all modes and
+    candidates, if some are cheaper to make."""
+    side = lambda d, n: d.select("example_id", F.coalesce("candidates", F.array().cast("array<string>")).alias(n))
     j = anchor.withColumn("candidates", F.slice("candidates", 1, most)).join(side(base, "_base"), "example_id").join(side(aux, "_aux"), "example_id")
-    k = lambda c: key(c, F.col("answer_mode"), profile)
-    j = j.withColumns({"_bk": F.transform("_base", k), "_ak": F.transform("candidates", k)})
-    unique = keep_first(F.filter(F.transform("_aux", lambda c: F.struct(c.alias("c"), k(c).alias("k"))), lambda x: ~F.array_contains("_ak", x["k"])), lambda x: x["k"])
-    j = j.withColumn("_new", F.transform(unique, lambda x: x["c"]))
+    # candidates of all three pools take their key along; where each pool ends is told by sizes
+    j = j.withColumn("_all", F.concat("candidates", "_base", "_aux"))
+    j = with_array_facts(j, "_all", ["answer_mode"], lambda c: {"k": key(c, F.col("answer_mode"), profile)}, texts, "_keyed")
+    part = lambda start, n: F.slice("_keyed", start + 1, n)
+    j = j.withColumns({"_a": part(F.lit(0), F.size("candidates")), "_bk": F.transform(part(F.size("candidates"), F.size("_base")), lambda x: x["k"]), "_x": part(F.size("candidates") + F.size("_base"), F.size("_aux"))})
+    held = F.transform("_a", lambda x: x["k"])
+    j = j.withColumn("_new", keep_first(let(held, lambda h: F.filter("_x", lambda x: ~F.array_contains(h, x["k"]))), lambda x: x["k"]))
     j = j.withColumn("appended", F.least(F.lit(insertions), F.lit(most) - F.size("candidates"), F.size("_new")))
-    j = j.withColumn("_m", F.concat("candidates", F.slice("_new", F.lit(1), F.col("appended"))))
-    slots = F.filter(F.sequence(F.lit(0), F.greatest(F.size("_m") - 1, F.lit(0))), lambda i: (i >= protect) & F.coalesce(F.array_contains("_bk", k(F.get("_m", i))), F.lit(False)))
+    j = j.withColumn("_m", F.concat("_a", F.slice("_new", F.lit(1), F.col("appended"))))
+    slots = F.filter(F.sequence(F.lit(0), F.greatest(F.size("_m") - 1, F.lit(0))), lambda i: (i >= protect) & F.coalesce(F.array_contains("_bk", F.get("_m", i)["k"]), F.lit(False)))
     j = j.withColumn("_slots", F.reverse(slots)).withColumn("_left", F.slice("_new", F.col("appended") + 1, F.greatest(F.lit(insertions) - F.col("appended"), F.lit(0))))
-    put = lambda c, i: F.coalesce(F.get("_left", F.nullif(F.array_position("_slots", i), F.lit(0)).cast("int") - 1), c)
+    put = lambda x, i: F.coalesce(F.get("_left", F.nullif(F.array_position("_slots", i), F.lit(0)).cast("int") - 1)["c"], x["c"])
     j = j.withColumns({"replaced": F.least(F.size("_slots"), F.size("_left")), "candidates": F.transform("_m", put)})
-    return j.drop("_base", "_aux", "_bk", "_ak", "_new", "_m", "_slots", "_left")
+    return j.drop("_base", "_aux", "_all", "_keyed", "_a", "_bk", "_x", "_new", "_m", "_slots", "_left")
 
 
 # --- completion merge: which slots make room ---------------------------------------------------------------------------
@@ -102,22 +108,21 @@ POLICIES = {
 }
 
 
-def slot_features(text: Column, index: Column, problem: Column, mode: Column, margin: Column, seed: int = 0, salt: Column | None = None, asked: Column | None = None, names: set[str] | None = None) -> Column:
+def slot_features(text: Column, index: Column, problem: Column, mode: Column, margin: Column, seed: int = 0, salt: Column | None = None, asked: Column | None = None, names: set[str] | None = None, facts: Column | None = None) -> Column:
     """What the policies read of a slot, each so that smaller goes first; `asked`: the problem's motif, if it is known already;
-    `names`: the features that are read, all unless given."""
-    wanted = lambda *ns: names is None or not names.isdisjoint(ns)
+    `names`: the features that are read, all unless given; `facts`: the text's text_facts(), if they are known."""
+    wanted = lambda *ns: _wanted(names, *ns)
 
     def of(s: Column) -> Column:
         flag = lambda c: c.cast("double")
-        q, same = s["q"], s["m"] == s["pm"]
-        wrapped = F.contains(F.lower(text), F.lit("final answer:"))
+        q, same, wrapped = s["q"], s["m"] == s["pm"], s["wrapped"]
         support = F.coalesce(margin, F.lit(0.0))
         rank = lambda a, b: F.when(q == a, 0.0).when(q == b, 1.0).when(q == "complete_attempt", 2.0).otherwise(1.0)
         risk = 4.0 * flag(s["invalid"]) + 3.0 * flag(s["leak"]) + 2.0 * flag(s["scaffold"]) + 1.5 * flag(~wrapped)
         salvage = F.when(q == "complete_attempt", 3.0).when(q == "partial_solution", 2.5).otherwise(1.5) + 0.75 * flag(same) + 0.5 * flag(wrapped) + 0.5 * F.greatest(support, F.lit(0.0))
         tokens = F.least(s["n"], F.lit(40)).cast("double")
         closure = 4 * flag(~s["invalid"]) + 2 * flag(wrapped) + F.least(tokens, F.lit(12.0)) / 12.0 - 2 * flag(s["leak"]) - 1.5 * flag(s["scaffold"])
-        short = (mode == "numeric") & (tokens <= 6) & ~s["leak"] & extract_numeric(text).isNotNull()
+        short = (mode == "numeric") & (tokens <= 6) & ~s["leak"] & s["number"]
         values = {
             "quality": rank("fragment", "partial_solution"), "partials": rank("partial_solution", "fragment"), "invalid": flag(~s["invalid"]), "leak": flag(~s["leak"]), "scaffold": flag(~s["scaffold"]),
             "wrapper": flag(wrapped), "motif": flag(same), "closure": closure, "missing": flag(margin.isNull()), "margin": F.coalesce(margin, F.lit(1e9)), "risk": -risk, "salvage": salvage, "support": support,
@@ -126,13 +131,23 @@ def slot_features(text: Column, index: Column, problem: Column, mode: Column, ma
         }
         return F.struct(index.alias("index"), text.alias("text"), q.alias("q"), *[v.cast("double").alias(n) for n, v in values.items() if wanted(n)])
 
+    known = text_facts(text, problem, mode, names)
+    pm = motif(problem, F.lit(""))["label"] if asked is None else asked
+    return let(F.struct(*[(v if facts is None else facts[n]).alias(n) for n, v in known.items()], pm.alias("pm")), of)
+
+
+def _wanted(names: set[str] | None, *some: str) -> bool:
+    return names is None or not names.isdisjoint(some)
+
+
+def text_facts(text: Column, problem: Column, mode: Column, names: set[str] | None = None) -> dict[str, Column]:
+    """What slot_features() reads of a text alone, beside its problem and mode; facts that the features `names` don't need are left out."""
+    judged, by_motif, short = _wanted(names, "invalid", "leak", "scaffold", "risk", "closure", "short"), _wanted(names, "motif", "salvage"), _wanted(names, "short")
     no = F.lit(False)
-    judged, by_motif = wanted("invalid", "leak", "scaffold", "risk", "closure", "short"), wanted("motif", "salvage")
-    facts = F.struct(
-        (parse_answer(text, mode).isNull() if judged else no).alias("invalid"), (instruction_leak(text) if judged else no).alias("leak"), (scaffold_residue(text) if judged else no).alias("scaffold"), quality(text)["label"].alias("q"),
-        (motif(problem, text)["label"] if by_motif else F.lit("")).alias("m"), (motif(problem, F.lit(""))["label"] if asked is None else asked).alias("pm"), token_count(text).alias("n"),
-    )
-    return let(facts, of)
+    return {
+        "invalid": parse_answer(text, mode).isNull() if judged else no, "leak": instruction_leak(text) if judged else no, "scaffold": scaffold_residue(text) if judged else no, "q": quality(text)["label"],
+        "m": motif(problem, text)["label"] if by_motif else F.lit(""), "n": token_count(text), "wrapped": F.contains(F.lower(text), F.lit("final answer:")), "number": extract_numeric(text).isNotNull() if short else no,
+    }
 
 
 def _read(policy: str) -> set[str]:
@@ -165,9 +180,10 @@ def removal_order(slots: Column, policy: str, protected: Column | None = None) -
     return keyed(F.when(F.size(free) > 0, free).otherwise(slots))
 
 
-def merge_completion(pools: DataFrame, policy: str, new: str = "completions", most: int = 8, protect: int = 1, seed: int = 0) -> DataFrame:
+def merge_completion(pools: DataFrame, policy: str, new: str = "completions", most: int = 8, protect: int = 1, seed: int = 0, texts: DataFrame | None = None) -> DataFrame:
     """Pools with their `completions` merged in: appended while there is room, else put in place of slots that the policy
-    gives up, behind the ones that stay. Adds removed (slot indices) and added. Needs `margins` (may be null)."""
+    gives up, behind the ones that stay. Adds removed (slot indices) and added. Needs `margins` (may be null). `texts`: rows
+    (problem, answer_mode, c) with all candidates, if some are cheaper to make than pools."""
     old = F.slice("candidates", 1, most)
     rows = pools.withColumn("_old", old).withColumn("_new", F.coalesce(new, F.array().cast("array<string>")))
     room = (F.size("_old") < most) if policy != "append_if_room" else F.lit(True)
@@ -176,10 +192,15 @@ def merge_completion(pools: DataFrame, policy: str, new: str = "completions", mo
     else:
         # the first `protect` slots are never given up, and where there is room none is: their features are not asked for
         names = _read(policy)
-        full = F.when(~room & (F.size("_new") > 0), F.transform("_old", lambda c, i: F.struct(c.alias("c"), i.alias("i"))))
-        at_risk = F.filter(F.coalesce(full, F.array().cast("array<struct<c:string,i:int>>")), lambda x: x["i"] >= protect)
-        rows = rows.withColumn("_asked", motif(F.col("problem"), F.lit(""))["label"] if names & {"motif", "salvage"} else F.lit(""))
-        rows = rows.withColumn("_feats", F.transform(at_risk, lambda x: slot_features(x["c"], x["i"], F.col("problem"), F.col("answer_mode"), F.get("margins", x["i"]), seed, F.col("example_id"), F.col("_asked"), names)))
+        full = F.when(~room & (F.size("_new") > 0), F.slice("_old", protect + 1, most))
+        rows = rows.withColumn("_risk", F.coalesce(full, F.array().cast("array<string>")))
+        keys = ["problem", "answer_mode"]
+        if names & {"motif", "salvage"}:
+            rows = with_facts(rows, ["problem"], {"_asked": motif(F.col("problem"), F.lit(""))["label"]}, texts)
+        else:
+            rows, keys = rows.withColumn("_asked", F.lit("")), ["answer_mode"]
+        rows = with_array_facts(rows, "_risk", keys, lambda c: text_facts(c, F.col("problem"), F.col("answer_mode"), names), texts, "_known")
+        rows = rows.withColumn("_feats", F.transform("_known", lambda x, i: slot_features(x["c"], i + protect, F.col("problem"), F.col("answer_mode"), F.get("margins", i + protect), seed, F.col("example_id"), F.col("_asked"), names, x)))
         if policy in _STRATIFIED:
             rows = rows.withColumn("_kept", _protected(F.col("_feats"), policy))
         order = removal_order(F.col("_feats"), policy, F.col("_kept") if policy in _STRATIFIED else None)
@@ -188,7 +209,7 @@ def merge_completion(pools: DataFrame, policy: str, new: str = "completions", mo
     taken = F.when(room, F.least(F.size("_new"), F.greatest(F.lit(most) - F.size("_old"), F.lit(0)))).otherwise(F.size("removed"))
     rows = rows.withColumn("added", taken)
     merged = F.concat(F.filter("_old", lambda c, i: ~F.array_contains("removed", i)), F.slice("_new", F.lit(1), F.col("added")))
-    return rows.withColumn("candidates", merged).drop("_old", "_new", "_asked", "_feats", "_kept")
+    return rows.withColumn("candidates", merged).drop("_old", "_new", "_risk", "_asked", "_known", "_feats", "_kept")
 
 
 def replace_slots(pools: DataFrame, replacements: DataFrame) -> DataFrame:

@@ -176,7 +176,7 @@ def numeric_gold(rows: DataFrame) -> DataFrame:
     return rows.withColumn("gold_answer", canonical_numeric(F.col("gold_answer")))
 
 
-def latest_position(rows: DataFrame, *order: str) -> DataFrame:
+def latest_position(rows: DataFrame, *order: Column | str) -> DataFrame:
     """`rows` with a gapless `pos` from 0 in the given order: sorted in ranges and stored with each row's range and place, then
     counted by range, no single task. Bounds of ranges come from a sample, another one each time that the plan runs, so places
     are only good beside the counts of the same run: both are read from what is stored."""

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from poolwright.functions.answers import extract_numeric_tail, key, parse_answer
 from poolwright.functions.hygiene import instruction_leak, malformed, scaffold_residue
 from poolwright.functions.text import let
+from poolwright.operators.texts import with_array_facts
 
 _LOW = float("-inf")
 
@@ -40,25 +41,35 @@ def parse_rule(name: str) -> Rule:
     raise ValueError(f"no such rule: {name}")
 
 
-def scored(pools: DataFrame, candidates: str = "candidates", margins: str = "margins", mode: str = "answer_mode", validity: str = "loose", facts: str = "all") -> DataFrame:
+def scored(pools: DataFrame, candidates: str = "candidates", margins: str = "margins", mode: str = "answer_mode", validity: str = "loose", facts: str = "all", texts: DataFrame | None = None) -> DataFrame:
     """`pools` with `scored`: the candidates by falling margin (null last, then slot) with what the rules read: `all`, no
-    more than what `parsed` answers tell, or nothing but `margins`."""
+    more than what `parsed` answers tell, or nothing but `margins`. Texts are read once for each distinct one; `texts`: rows (mode, c)
+    with all candidates, if some are cheaper to make than pools."""
     raw = F.array_sort(F.transform(candidates, lambda c, i: F.struct((-F.coalesce(F.get(margins, i), F.lit(_LOW))).alias("o"), i.alias("index"), c.alias("answer"), F.get(margins, i).alias("margin"))))
 
     def place(s: Column, rank: Column) -> list[Column]:
         return [s["index"].alias("index"), rank.alias("rank"), s["answer"].alias("answer"), s["margin"].alias("margin"), F.coalesce(s["margin"], F.lit(_LOW)).alias("sort_margin")]
 
-    def parsed_only(s: Column, rank: Column) -> Column:
-        return let(parse_answer(s["answer"], F.col(mode), validity), lambda p: F.struct(*place(s, rank), p.alias("parsed"), p.isNull().alias("invalid")))
+    if facts == "margins":
+        return pools.withColumn("_raw", raw).withColumn("scored", F.transform("_raw", lambda s, rank: F.struct(*place(s, rank)))).drop("_raw")
+
+    def judged(text: Column) -> dict[str, Column]:
+        m = F.col(mode)
+        parsed = {"parsed": parse_answer(text, m, validity)}
+        if facts != "all":
+            return parsed
+        return parsed | {"leak": instruction_leak(text), "scaffold": scaffold_residue(text), "malformed": malformed(text, m, validity), "tail_valid": (m == "numeric") & extract_numeric_tail(text).isNotNull(), "key": key(text, m, "parsed")}
+
+    pools = with_array_facts(pools.withColumn("_raw", raw).withColumn("_texts", F.transform("_raw", lambda s: s["answer"])), "_texts", [mode], judged, texts)
+    fact = lambda rank: F.get("_facts", rank)
 
     if facts != "all":
-        made = (lambda s, rank: F.struct(*place(s, rank))) if facts == "margins" else parsed_only
-        return pools.withColumn("_raw", raw).withColumn("scored", F.transform("_raw", made)).drop("_raw")
+        parsed_only = lambda s, rank: let(fact(rank)["parsed"], lambda p: F.struct(*place(s, rank), p.alias("parsed"), p.isNull().alias("invalid")))
+        return pools.withColumn("scored", F.transform("_raw", parsed_only)).drop("_raw", "_texts", "_facts")
 
     def enrich(s: Column, rank: Column) -> Column:
-        text, m = s["answer"], F.col(mode)
         return let(
-            F.struct(parse_answer(text, m, validity).alias("parsed"), instruction_leak(text).alias("leak"), scaffold_residue(text).alias("scaffold"), malformed(text, m, validity).alias("malformed")),
+            fact(rank),
             lambda f: F.struct(
                 *place(s, rank),
                 f["parsed"].alias("parsed"),
@@ -67,15 +78,15 @@ def scored(pools: DataFrame, candidates: str = "candidates", margins: str = "mar
                 f["scaffold"].alias("scaffold"),
                 f["malformed"].alias("malformed"),
                 (f["parsed"].isNull().cast("int") + f["leak"].cast("int") + f["scaffold"].cast("int") + f["malformed"].cast("int")).alias("dirty"),
-                ((m == "numeric") & extract_numeric_tail(text).isNotNull()).alias("tail_valid"),
-                key(text, m, "parsed").alias("key"),
+                f["tail_valid"].alias("tail_valid"),
+                f["key"].alias("key"),
             ),
         )
 
-    out = pools.withColumn("_raw", raw).withColumn("_s", F.transform("_raw", enrich))
+    out = pools.withColumn("_s", F.transform("_raw", enrich))
     earlier = lambda s: F.size(F.filter("_s", lambda x: (x["key"] == s["key"]) & ((x["index"] < s["index"]) | ((x["index"] == s["index"]) & (x["rank"] < s["rank"])))))
     with_dups = F.transform("_s", lambda s: s.withField("dup_rank", earlier(s)).withField("group_size", F.size(F.filter("_s", lambda x: x["key"] == s["key"]))))
-    return out.withColumn("scored", with_dups).drop("_raw", "_s")
+    return out.withColumn("scored", with_dups).drop("_raw", "_texts", "_facts", "_s")
 
 
 def _best(array: Column, order) -> Column:
@@ -152,7 +163,7 @@ def baseline_selected(array: Column, prediction: Column) -> Column:
     return F.coalesce(top_margin(F.filter(array, lambda s: s["answer"] == prediction)), top_margin(array))
 
 
-def select(pools: DataFrame, rule: str, validity: str = "loose", legacy: bool = False) -> DataFrame:
-    """`pools` with `selected` (struct) under a rule; pools without candidates drop out."""
+def select(pools: DataFrame, rule: str, validity: str = "loose", legacy: bool = False, texts: DataFrame | None = None) -> DataFrame:
+    """`pools` with `selected` (struct) under a rule; pools without candidates drop out. `texts`: as for scored()."""
     facts = {"baseline_top_margin": "margins", "parseable_then_margin": "parsed", "first_if_close": "parsed"}.get(parse_rule(rule).family, "all")
-    return scored(pools.where(F.size("candidates") > 0), validity=validity, facts=facts).withColumn("selected", rule_column(rule, legacy=legacy))
+    return scored(pools.where(F.size("candidates") > 0), validity=validity, facts=facts, texts=texts).withColumn("selected", rule_column(rule, legacy=legacy))

@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from poolwright.functions.answers import answers_match
+from poolwright.functions.answers import answer_facts, answers_match, facts_match
+from poolwright.operators.texts import with_array_facts
 
 
 def pending(dataset: DataFrame, done: DataFrame, by: str = "example_id") -> DataFrame:
@@ -43,10 +44,12 @@ def observed(rows: DataFrame, name: str = "progress") -> tuple[DataFrame, Observ
     return watched.drop("_ok"), o
 
 
-def running_metrics(rows: DataFrame, by: str = "answer_mode") -> DataFrame:
-    """Running counts of a stream (or a table) of pools; write it in complete or update mode."""
-    ok = F.transform("candidates", lambda c: answers_match(c, F.col("gold_answer"), F.col("answer_mode")))
-    marked = rows.select(by, ok.alias("ok"))
+def running_metrics(rows: DataFrame, by: str = "answer_mode", texts: DataFrame | None = None) -> DataFrame:
+    """Running counts of a stream (or a table) of pools; write it in complete or update mode. `texts`: rows (c) with all candidates
+    of a table, if some are cheaper to make than pools."""
+    read = with_array_facts(rows, "candidates", [], lambda c: {"read": answer_facts(c)}, texts)
+    ok = F.transform("_facts", lambda x: facts_match(x["read"], F.col("gold_answer"), F.col("answer_mode")))
+    marked = read.select(by, ok.alias("ok"))
     return marked.groupBy(by).agg(F.count("*").alias("examples"), F.count_if(F.coalesce(F.get("ok", F.lit(0)), F.lit(False))).alias("first_correct"), F.count_if(F.exists("ok", lambda x: x)).alias("oracle_correct"))
 
 

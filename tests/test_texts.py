@@ -1,7 +1,11 @@
 """Facts of distinct texts, broadcast or in place, and pools that give up slots."""
 
+import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
+from poolwright.functions.answers import answers_match
+
 from poolwright.operators import pool as C
 from poolwright.operators import texts as X
 
@@ -21,3 +25,35 @@ def test_policies_ask_for_what_they_read(spark):
     rows = spark.createDataFrame([("e", "p", "numeric", ["1", "2", "so the"], [1.0, 2.0, 3.0], ["9"])], "example_id string, problem string, answer_mode string, candidates array<string>, margins array<double>, completions array<string>")
     for most, want in ((3, ["1", "2", "9"]), (4, ["1", "2", "so the", "9"])):
         assert C.merge_completion(rows, "replace_invalid_first", most=most).first().candidates == want
+
+
+def test_facts_of_texts_that_others_name(spark, monkeypatch):
+    """Texts that are cheaper to make must hold all keys, unless what they lack is computed in place."""
+    rows, other = spark.createDataFrame([("a",), ("bb",), (None,)], "t string"), spark.createDataFrame([("a",), (None,)], "t string")
+    facts = {"n": F.char_length("t")}
+    assert sorted(X.with_facts(rows, ["t"], facts, other, whole=False).collect(), key=repr) == sorted(X.with_facts(rows, ["t"], facts).collect(), key=repr)
+    with pytest.raises(Exception, match="not among"):
+        X.with_facts(rows, ["t"], facts, other).collect()
+
+
+def test_array_facts_keep_pools(spark, monkeypatch):
+    pools = spark.createDataFrame([("e", "p", ["b", "a", "b"]), ("e", "q", ["a", None]), ("f", "p", []), ("g", "p", None)], "example_id string, p string, xs array<string>").repartition(3)
+    of = lambda: sorted(map(repr, X.with_array_facts(pools, "xs", ["p"], lambda c: {"both": F.concat(c, "p")}).select("example_id", "p", "xs", "_facts").collect()))
+    few = of()
+    monkeypatch.setattr(X, "MOST_TEXTS", 0)
+    assert few == of() and "Row(c='b', both='bp'), Row(c='a', both='ap'), Row(c='b', both='bp')" in few[0]
+
+
+def test_match_is_that_of_answers(spark, monkeypatch):
+    golds, said = ["7", "-7", "007", "7.0", "1e2", "C", "c", "(C)", "so it is", " 7", "", None, "Final answer: 7"], ["Final answer: 7.0", "answer: C", "c", "7 of 8", "-7", "so it is", "", None, "100"]
+    rows = spark.createDataFrame([(g, t, m) for g in golds for t in said for m in ("numeric", "choice_letter", "text", None)], "gold_answer string, candidate string, answer_mode string")
+    for most in (50_000, 0):
+        monkeypatch.setattr(X, "MOST_TEXTS", most)
+        assert X.with_match(rows).withColumn("want", answers_match(F.col("candidate"), F.col("gold_answer"), F.col("answer_mode"))).where("not ok <=> want").count() == 0
+
+
+def test_texts_are_read_once(spark, sf):
+    """Reports, selectors and merges over pools join facts of texts instead of reading each row's text."""
+    for name in ("paired_counts", "family_keys", "candidate_pairs", "selector_first_if_close_2000", "merge_anchor", "family_hygiene", "running_metrics", "merge_policy_replace_fragments_first", "selected_slot"):
+        plan = entry.queries()[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+        assert "_key_" in plan, name
