@@ -1,12 +1,17 @@
 """Near copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, and what these links join.
 
-Candidates share one of BANDS keys, each of ROWS least hashes over all shingles of the text. At a similarity of 0.8 a pair
-shares none with a chance of (1 - 0.8^6)^40, or 5 in a million, and with less above. Every link is confirmed by the
-similarity of the whole sets. Each text is held against the first of its keys; then, where a key still holds texts that
-aren't joined, they meet in blocks of about BLOCK and each pair that has this key as its first one and isn't joined yet is
-confirmed there, so nothing but links leaves a block. In large blocks, sketches (MARKS bits, one of each least hash) that
-differ in more than FAR bits tell pairs apart first: at a similarity of 0.8 one bit in ten differs, and more than FAR do with
-a chance of about one in a million.
+SimHash fingerprints of the sets (64 bits, each shingle once) are searched by BK-trees, as in `simhash`. Two sets of that
+similarity have a cosine of 0.889 or more, so a bit differs with a chance of 0.15, in very short texts of 0.19, and more than
+RADIUS of 64 do with a chance of about one in 15 million, in very short texts of two in a million. A radius that wide leaves
+no blocks of bits to shard by, so shards are texts that share one of BANDS keys, each of ROWS least hashes over all shingles
+of the text. At a similarity of 0.8 a pair shares none with a chance of (1 - 0.8^6)^40, or 5 in a million, and with less above.
+
+Every link is confirmed by the similarity of the whole sets. First each text is held against its nearest one in the trees
+of its keys, of about BLOCK texts and the key's least one each. Then, where a key still holds texts that aren't joined, they
+meet in blocks of about BLOCK: a tree gives all within the radius, and each pair that has this key as its first one and isn't
+joined yet is confirmed there, so nothing but links leaves a block. In large blocks, sketches (MARKS bits, one of each least
+hash) that differ in more than FAR bits tell pairs apart before their sets are compared: at a similarity of 0.8 one bit in ten
+differs, and more than FAR do with a chance of about one in a million.
 """
 
 from __future__ import annotations
@@ -20,14 +25,16 @@ from pyspark.sql import functions as F
 
 from poolwright.llm.common import discard, plain_rows, release, split_join, stored, text_slices, with_rows
 from poolwright.llm.components import components
+from poolwright.llm.simhash import BKTree, majority
 from poolwright.llm.wordarrays import Words, mix, ranges_hash
 
-WORDS, SIMILARITY, BANDS, ROWS, MARKS, FAR, BLOCK = 5, 0.8, 40, 6, 512, 85, 1024
+WORDS, SIMILARITY, RADIUS, BANDS, ROWS, MARKS, FAR, BLOCK = 5, 0.8, 28, 40, 6, 512, 85, 1024
+_ALL = 0xFFFFFFFFFFFFFFFF
 _TURNS = np.random.default_rng(5).integers(0, 2**64, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 _MARK_TURNS = np.random.default_rng(6).integers(0, 2**64, MARKS, dtype=np.uint64) | np.uint64(1)
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
-_KEYS = pa.schema([("id", pa.int64()), ("doc_id", pa.int64()), ("tag", pa.int64()), ("keys", pa.list_(pa.int64()))])
+_KEYS = pa.schema([("id", pa.int64()), ("doc_id", pa.int64()), ("tag", pa.int64()), ("fp", pa.int64()), ("keys", pa.list_(pa.int64()))])
 _PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -44,6 +51,12 @@ def shingles(column: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarr
     return hashes[fits], np.concatenate([[0], np.cumsum(np.where(n < words, np.minimum(n, 1), n - words + 1))])
 
 
+def fingerprints(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The SimHash fingerprint of each text's set of shingles, as a signed long; 0 for texts without words."""
+    sets = [np.unique(values[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
+    return majority(np.concatenate(sets) if sets else values, np.array([len(s) for s in sets], np.int64))
+
+
 def band_keys(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     """The keys of each text, a row of BANDS; all texts without words have the same."""
     out = np.repeat(np.arange(BANDS, dtype=np.uint64)[None], len(first) - 1, axis=0)
@@ -67,9 +80,30 @@ def sketches(values: np.ndarray, first: np.ndarray) -> np.ndarray:
 def _keyed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b in text_slices(batch):
-            keys = band_keys(*shingles(batch.column("text")[a:b]))
+            values, first = shingles(batch.column("text")[a:b])
+            keys, own = band_keys(values, first), pa.array(fingerprints(values, first))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("id")[a:b], batch.column("doc_id")[a:b].cast(pa.int64()), batch.column("tag")[a:b], lists], schema=_KEYS)
+            yield pa.RecordBatch.from_arrays([batch.column("id")[a:b], batch.column("doc_id")[a:b].cast(pa.int64()), batch.column("tag")[a:b], own, lists], schema=_KEYS)
+
+
+def _nearest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by key and part to pairs: each text with its nearest one within the radius in a BK-tree of the key's least
+    text and those before it."""
+    group, tree, tags = None, BKTree(RADIUS), []
+    for batch in batches:
+        out = []
+        for key, part, tag, fp, least, least_fp in zip(*(batch.column(c).to_pylist() for c in ("key", "part", "tag", "fp", "least", "least_fp")), strict=True):
+            if (key, part) != group:
+                group, tree, tags = (key, part), BKTree(RADIUS), [least]
+                tree.insert(least_fp & _ALL)
+            if tag != least:
+                near = tree.nearest(fp & _ALL)
+                if near is not None:
+                    out.append((tag, tags[near]))
+                tree.insert(fp & _ALL)
+                tags.append(tag)
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], schema=_PAIR)
 
 
 def alike(x: np.ndarray, y: np.ndarray) -> bool:
@@ -94,12 +128,14 @@ def _confirmed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], schema=_PAIR)
 
 
-def _met(key: int, blocks: list[int], tags: list[int], roots: list[int], keys: np.ndarray, texts: pa.Array) -> list[tuple[int, int]]:
-    """The links between texts of one key and block, or pair of blocks, that aren't joined."""
+def _met(key: int, blocks: list[int], tags: list[int], roots: list[int], fps: list[int], keys: np.ndarray, texts: pa.Array) -> list[tuple[int, int]]:
+    """The links between texts of one key and block, or pair of blocks, that aren't joined; a BK-tree gives the pairs."""
     hashes, first = shingles(texts)
     sets = [np.unique(hashes[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
     marks = sketches(hashes, first) if len(tags) > 24 else None
     join: dict[int, int] = {}
+    tree = BKTree(RADIUS)
+    tree.insert(fps[0] & _ALL)
 
     def find(x: int) -> int:
         while (y := join.get(x, x)) != x:
@@ -109,10 +145,10 @@ def _met(key: int, blocks: list[int], tags: list[int], roots: list[int], keys: n
     number = np.asarray(blocks)
     whole, out, root = bool((number == number[0]).all()), [], np.asarray(roots)
     for k in range(1, len(tags)):
-        fits = (root[:k] != root[k]) & (whole | (number[:k] != number[k]))
+        at = np.sort(np.array(tree.add(fps[k] & _ALL), np.int64))
+        at = at[(root[at] != root[k]) & (whole | (number[at] != number[k]))]
         if marks is not None:
-            fits &= np.bitwise_count(marks[:k] ^ marks[k]).sum(axis=1) <= FAR
-        at = np.flatnonzero(fits)
+            at = at[np.bitwise_count(marks[at] ^ marks[k]).sum(axis=1) <= FAR]
         same = keys[at] == keys[k]
         at = at[keys[k][same.argmax(axis=1)] == key]  # the first key that both have
         for i in at.tolist():
@@ -132,7 +168,7 @@ def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if rows is None or rows.num_rows < 2:
             return []
         keys = pa.concat_arrays([rows.column("keys")]).flatten().to_numpy(zero_copy_only=False).reshape(-1, BANDS)
-        return _met(group[0], rows.column("block").to_pylist(), rows.column("tag").to_pylist(), rows.column("root").to_pylist(), keys, rows.column("text"))
+        return _met(group[0], rows.column("block").to_pylist(), rows.column("tag").to_pylist(), rows.column("root").to_pylist(), rows.column("fp").to_pylist(), keys, rows.column("text"))
 
     for batch in batches:
         names = list(zip(*(batch.column(c).to_pylist() for c in ("key", "lo", "hi")), strict=True))
@@ -151,13 +187,13 @@ def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def links(keyed: DataFrame, firsts: DataFrame, rows: DataFrame) -> DataFrame:
-    """(a, b): text hashes of texts of `rows` (id, row) that share a key of `keyed` (id, tag, keys) and are alike. Pairs that
+    """(a, b): text hashes of texts of `rows` (id, row) that share a key of `keyed` (id, tag, fp, keys) and are alike. Pairs that
     other links join already are not all among them. `firsts` (id, tag) names one row of each text, so copies have no keys."""
-    one = stored(keyed.join(firsts, "id", "left_semi").select("id", "tag", "keys"), "one")
-    each = one.select(F.explode("keys").alias("key"), "tag")
-    shared = each.groupBy("key").agg(F.min("tag").alias("least"), F.max("tag").alias("most"), F.count("*").alias("n")).where("least < most")
-    shared = stored(shared.select("key", "least", "n"), "shared")
-    members = stored(split_join(each, shared, ["key"], F.xxhash64("tag")), "members")
+    one = stored(keyed.join(firsts, "id", "left_semi").select("id", "tag", "fp", "keys"), "one")
+    each = one.select(F.explode("keys").alias("key"), "tag", "fp")
+    shared = each.groupBy("key").agg(F.min(F.struct("tag", "fp")).alias("l"), F.max("tag").alias("most"), F.count("*").alias("n")).where("l.tag < most")
+    shared = stored(shared.select("key", F.col("l.tag").alias("least"), F.col("l.fp").alias("least_fp"), F.ceil(F.col("n") / BLOCK).alias("parts"), "n"), "shared")
+    members = stored(split_join(each, shared, ["key"], F.xxhash64("tag")).withColumn("part", F.pmod(F.xxhash64("tag"), "parts")).drop("parts"), "members")
     texts = stored(rows.select("id", F.col("row.text").alias("text")).join(one.join(members.select("tag").distinct(), "tag", "left_semi").select("id", "tag"), "id").select("tag", "text"), "texts")
     release(rows.sparkSession)
 
@@ -165,7 +201,8 @@ def links(keyed: DataFrame, firsts: DataFrame, rows: DataFrame) -> DataFrame:
         sides = pairs.join(texts.select(F.col("tag").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("tag").alias("b"), F.col("text").alias("text_b")), "b")
         return stored(sides.select("a", "b", "text_a", "text_b").mapInArrow(_confirmed, "a long, b long"), "links")
 
-    tried = stored(members.where("tag <> least").select(F.col("tag").alias("a"), F.col("least").alias("b")).distinct(), "pairs")
+    shards = members.repartition("key", "part").sortWithinPartitions("key", "part", "tag")
+    tried = stored(shards.mapInArrow(_nearest, "a long, b long").distinct(), "pairs")
     sure = confirm(tried)
     release(rows.sparkSession)
     roots = components(sure)
@@ -173,9 +210,9 @@ def links(keyed: DataFrame, firsts: DataFrame, rows: DataFrame) -> DataFrame:
     open_ = named.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("n")).where("x <> y and n > 2")
     left = stored(named.join(open_.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("n_blocks")), "key").withColumn("block", F.pmod(F.xxhash64("tag"), "n_blocks").cast("int")), "open")
     spread = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "tag", "root")
-    facts = one.select("tag", "keys").join(texts, "tag")
+    facts = one.select("tag", "fp", "keys").join(texts, "tag")
     met = spread.join(facts, "tag").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-    more = stored(met.select("key", "lo", "hi", "block", "tag", "root", "keys", "text").mapInArrow(_blocks, "a long, b long"), "links")
+    more = stored(met.select("key", "lo", "hi", "block", "tag", "root", "fp", "keys", "text").mapInArrow(_blocks, "a long, b long"), "links")
     discard(texts, members, tried, left, roots, one, shared)
     return sure.unionAll(more)
 
@@ -190,7 +227,7 @@ def representatives(docs: DataFrame) -> DataFrame:
     """
     rows = with_rows(docs)
     narrow = rows.select("id", F.col("row.doc_id").alias("doc_id"), F.xxhash64("row.text").alias("tag"), F.col("row.text").alias("text"))
-    keyed = stored(narrow.mapInArrow(_keyed, "id long, doc_id long, tag long, keys array<long>"), "keyed")
+    keyed = stored(narrow.mapInArrow(_keyed, "id long, doc_id long, tag long, fp long, keys array<long>"), "keyed")
     firsts = stored(keyed.groupBy("tag").agg(F.min("id").alias("id"), F.count("*").alias("n")), "firsts")
     roots = components(links(keyed, firsts, rows))
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tag", "id")

@@ -66,31 +66,54 @@ def majority(hashes: np.ndarray, counts: np.ndarray, step: int = 200_000) -> np.
 
 
 class BKTree:
-    """Distinct 64-bit values; `add` also gives those within the radius that came before."""
+    """64-bit values, children keyed by their Hamming distance to the parent; searches follow only edges within the radius."""
 
     def __init__(self, radius: int):
         self.radius, self.values, self.children = radius, [], []
 
     def add(self, value: int) -> list[int]:
+        """Takes a value in and gives those within the radius that came before."""
+        near = self.within(value)
+        self.insert(value)
+        return near
+
+    def within(self, value: int) -> list[int]:
         near, radius, values, children = [], self.radius, self.values, self.children
-        new = len(values)
-        if new:
-            stack, at = [0], 0
-            while stack:
-                node = stack.pop()
-                d = (values[node] ^ value).bit_count()
-                if d <= radius:
-                    near.append(node)
-                stack += [c for k, c in children[node].items() if -radius <= d - k <= radius]
-            while True:
-                d = (values[at] ^ value).bit_count()
-                if d not in children[at]:
-                    children[at][d] = new
+        stack = [0] if values else []
+        while stack:
+            node = stack.pop()
+            d = (values[node] ^ value).bit_count()
+            if d <= radius:
+                near.append(node)
+            stack += [c for k, c in children[node].items() if -radius <= d - k <= radius]
+        return near
+
+    def nearest(self, value: int) -> int | None:
+        """The nearest value within the radius, which shrinks with what is found."""
+        best, radius, values, children = None, self.radius + 1, self.values, self.children
+        stack = [(0, 0)] if values else []
+        while stack:
+            least, node = stack.pop()
+            if least >= radius:
+                continue
+            d = (values[node] ^ value).bit_count()
+            if d < radius:
+                best, radius = node, d
+                if not d:
                     break
-                at = children[at][d]
+            stack += sorted(((abs(d - k), c) for k, c in children[node].items() if abs(d - k) < radius), reverse=True)
+        return best
+
+    def insert(self, value: int) -> None:
+        values, children, at, new = self.values, self.children, 0, len(self.values)
+        while new:
+            d = (values[at] ^ value).bit_count()
+            if d not in children[at]:
+                children[at][d] = new
+                break
+            at = children[at][d]
         values.append(value)
         children.append({})
-        return near
 
 
 def _trees(radius: int):

@@ -2,9 +2,12 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from poolwright.llm import nearcopies
+from poolwright.llm.simhash import BKTree
 
 
 def sets(text):
@@ -48,3 +51,44 @@ def test_representatives_are_those_of_all_pairs(spark, star, monkeypatch):
 
 def test_empty(spark):
     assert nearcopies.representatives(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_trees_give_the_nearest_and_all_within():
+    r = random.Random(3)
+    base = [r.getrandbits(64) for _ in range(20)]
+    values = [b ^ sum(1 << k for k in r.sample(range(64), r.randint(0, 12))) for b in base for _ in range(20)]
+    for radius in (3, 28):
+        tree = BKTree(radius)
+        for i, v in enumerate(values):
+            apart = [(v ^ w).bit_count() for w in values[:i]]
+            near = tree.nearest(v)
+            assert (near is None) == (min(apart, default=64) > radius) and (near is None or apart[near] == min(apart))
+            assert sorted(tree.add(v)) == [j for j, d in enumerate(apart) if d <= radius]
+
+
+def test_alike_sets_lie_within_the_radius():
+    """Pairs at the least similarity, with shingles repeated: a fingerprint is that of the set."""
+    r, apart = np.random.default_rng(2), []
+    for n in (4, 9, 50, 400):
+        for _ in range(500):
+            whole = r.integers(0, 2**64, n + max(1, n // 4), dtype=np.uint64)
+            x, y = whole[:n], whole  # n of n * 1.25, or 4 of 5
+            if len(x) >= 0.8 * len(y):
+                a, b = nearcopies.fingerprints(np.concatenate([x, np.repeat(x[:1], 300), y]), np.array([0, n + 300, n + 300 + len(y)])).tolist()
+                apart.append(((a ^ b) & 0xFFFFFFFFFFFFFFFF).bit_count())
+    assert len(apart) == 2000 and max(apart) <= nearcopies.RADIUS and max(apart) > 16
+
+
+def test_all_pairs_come_from_trees(monkeypatch):
+    """Without a radius only equal fingerprints meet, in both searches: nothing beside the trees finds pairs."""
+    words = [f"w{i}" for i in range(60)]
+    texts = pa.array([" ".join(words), " ".join([*words, "end"]), " ".join(words).upper()])
+    values, first = nearcopies.shingles(texts)
+    fps, keys, tags = nearcopies.fingerprints(values, first).tolist(), nearcopies.band_keys(values, first), [1, 2, 3]
+    key = int(next(k for k in keys[0] if all(k in row for row in keys)))
+    rows = pa.RecordBatch.from_pydict({"key": [key] * 3, "part": [0] * 3, "tag": tags, "fp": fps, "least": [1] * 3, "least_fp": [fps[0]] * 3})
+    shared = int(keys[0][(keys == keys[0]).all(axis=0)][0])
+    found = lambda: ([p for b in nearcopies._nearest([rows]) for p in zip(*b.to_pydict().values())], nearcopies._met(shared, [0] * 3, tags, tags, fps, keys, texts))
+    assert found() == ([(2, 1), (3, 1)], [(2, 1), (3, 1)])
+    monkeypatch.setattr(nearcopies, "RADIUS", 0)
+    assert found() == ([(3, 1)], [(3, 1)])
