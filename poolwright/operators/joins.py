@@ -88,17 +88,24 @@ def by_ordinal(left: DataFrame, right: DataFrame, position: str = "pos", index:
     return left.join(right, left[position] == right[index])
 
 
-def text_scores(slots: DataFrame, scores: DataFrame, mode: Column | None = None) -> DataFrame:
+def text_scores(slots: DataFrame, scores: DataFrame, mode: Column | None = None, texts: DataFrame | None = None, score_texts: DataFrame | None = None) -> DataFrame:
     """`slots` with the margin that `scores` (example_id, candidate_answer, margin, pos) has for the candidate: by exact text
-    (the last row of a text), else by normal form, else, with `mode`, by answer key (the first row of either)."""
-    exact = scores.groupBy("example_id", strip(F.col("candidate_answer")).alias("_k0")).agg(F.max_by("margin", "pos").alias("_m0"))
-    out = slots.withColumn("_k0", strip(F.col("candidate"))).join(exact, ["example_id", "_k0"], "left")
-    keys = [normalize_answer] + ([lambda c: key(c, mode, "letter_then_number")] if mode is not None else [])
-    for i, k in enumerate(keys, 1):
-        side = scores.groupBy("example_id", k(F.col("candidate_answer")).alias(f"_k{i}")).agg(F.min_by("margin", "pos").alias(f"_m{i}"))
-        out = out.withColumn(f"_k{i}", k(F.col("candidate"))).join(side, ["example_id", f"_k{i}"], "left")
-    found = F.coalesce(*[f"_m{i}" for i in range(len(keys) + 1)])
-    return out.withColumn("score", found).drop(*[f"_{x}{i}" for x in "km" for i in range(len(keys) + 1)])
+    (the last row of a text), else by normal form, else, with `mode`, by answer key (the first row of either). Scores of an
+    example, a pool of which is capped, come together once and are looked up in its slots. `texts`, `score_texts`: rows (c) with
+    all texts of either, if some are cheaper to make."""
+
+    def read(rows: DataFrame, column: str, known: DataFrame | None, name: str) -> DataFrame:
+        facts = {name: F.struct(strip(F.col(column)).alias("k0"), normalize_answer(F.col(column)).alias("k1"))}
+        out = with_facts(rows, [column], facts, known.select(F.col("c").alias(column)) if known is not None else None)
+        more = key(F.col(column), mode, "letter_then_number") if mode is not None else F.lit(None).cast("string")
+        return out.withColumn(name, F.struct(f"{name}.k0", f"{name}.k1", more.alias("k2")))
+
+    item = F.struct("pos", "margin", "_k.k0", "_k.k1", "_k.k2")
+    per = read(scores.where("pos is not null"), "candidate_answer", score_texts, "_k").groupBy("example_id").agg(F.collect_list(item).alias("_scores"))
+    out = read(slots, "candidate", texts, "_own").join(per, "example_id", "left")
+    same = lambda k: F.transform(F.filter("_scores", lambda x: x[k] == F.col("_own")[k]), lambda x: F.struct(x["pos"].alias("pos"), x["margin"].alias("margin")))
+    found = F.coalesce(F.array_max(same("k0"))["margin"], *[F.array_min(same(k))["margin"] for k in ("k1", "k2")[: 1 if mode is None else 2]])
+    return out.withColumn("score", found).drop("_own", "_scores")
 
 
 def score_fallback(slots: DataFrame, first: DataFrame, second: DataFrame, strict: bool = True) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from poolwright.functions.answers import answers_match
 
+from poolwright.operators import joins as J
 from poolwright.operators import pool as C
 from poolwright.operators import texts as X
 
@@ -57,3 +58,17 @@ def test_texts_are_read_once(spark, sf):
     for name in ("paired_counts", "family_keys", "candidate_pairs", "selector_first_if_close_2000", "merge_anchor", "family_hygiene", "running_metrics", "merge_policy_replace_fragments_first", "selected_slot"):
         plan = entry.queries()[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
         assert "_key_" in plan, name
+
+
+def test_scores_of_an_example_come_together_once(spark, sf, monkeypatch):
+    slots = spark.createDataFrame([("e", " The 7. "), ("e", "the 7."), ("e", "8"), ("e", "Final answer: 8"), ("e", None), ("f", "x"), ("g", "")], "example_id string, candidate string")
+    scores = spark.createDataFrame([("e", "The 7.", 1.0, 0), ("e", "the 7", 2.0, 1), ("e", "The 7.", None, 2), ("e", "the 7.", 4.0, 3), ("e", "answer: 8", 5.0, 4), ("e", None, 6.0, 5), ("e", "THE 7.", 8.0, None), ("g", "", 9.0, 1)], "example_id string, candidate_answer string, margin double, pos int")
+    for mode, most in ((None, 50_000), (None, 0), (F.lit("numeric"), 50_000)):
+        monkeypatch.setattr(X, "MOST_TEXTS", most)
+        got = sorted(((r.example_id, r.candidate, r.score) for r in J.text_scores(slots, scores, mode).collect()), key=repr)
+        last = 5.0 if mode is not None else None
+        assert [g for g in got if g[:2] in (("e", "8"), ("e", "Final answer: 8"))] == [("e", "8", last), ("e", "Final answer: 8", last)]
+        assert [g[2] for g in got if g[1] in (" The 7. ", "the 7.", None, "x", "")] == [1.0, 4.0, None, None, 9.0]
+    monkeypatch.undo()
+    plan = entry.queries()["text_scores"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(example_id") == 2  # one for the slots, one for the scores
