@@ -143,10 +143,11 @@ def answer_facts(text: Column) -> Column:
 def facts_match(facts: Column, gold: Column, mode: Column) -> Column:
     """answers_match() of a prediction whose answer_facts() are known. Short whole numbers and single letters, which most gold
     answers are, are their own normal forms."""
-    whole, option = gold.rlike(_WHOLE), gold.rlike(r"\A[A-J]\z")
-    same = facts["same"] == F.when(whole, gold).otherwise(normalize_answer(gold))
-    letter = facts["letter"] == F.when(option, gold).otherwise(F.coalesce(extract_choice(gold), F.upper(normalize_answer(gold))))
-    return F.coalesce(same | F.when(mode == "choice_letter", letter).otherwise(facts["number"] == F.when(whole, gold).otherwise(extract_numeric(gold))), F.lit(False))
+    same, number, letter, choice = facts["same"], facts["number"], facts["letter"], mode == "choice_letter"
+    read = (same == normalize_answer(gold)) | F.when(choice, letter == F.coalesce(extract_choice(gold), F.upper(normalize_answer(gold)))).otherwise(number == extract_numeric(gold))
+    whole = (same == gold) | F.when(choice, letter == gold).otherwise(number == gold)
+    option = (same == F.lower(gold)) | (choice & (letter == gold))
+    return F.coalesce(F.when(gold.rlike(_WHOLE), whole).when(gold.rlike(r"\A[A-J]\z"), option).otherwise(read), F.lit(False))
 
 
 def answers_match(prediction: Column, gold: Column, mode: Column) -> Column:

@@ -39,8 +39,13 @@ def strip(text: Column) -> Column:
 
 
 def collapse(text: Column) -> Column:
-    """White space runs to one space, none at the ends. Single spaces are left as they are, so most texts aren't written anew."""
-    return strip(F.regexp_replace(text, rf"(?! (?!{SPACE})){SPACE}+", " "))
+    """White space runs to one space, none at the ends. Single spaces are left as they are, so most texts aren't written anew;
+    those of printable ASCII without two spaces in a row, as most are, aren't searched for runs either."""
+
+    def of(t: Column) -> Column:
+        return F.when(F.contains(t, F.lit("  ")) | t.rlike("[^ -~]"), F.regexp_replace(t, rf"(?! (?!{SPACE})){SPACE}+", " ")).otherwise(t)
+
+    return strip(let(text, of))
 
 
 def freeform(text: Column) -> Column:
@@ -62,8 +67,7 @@ def lines(text: Column) -> Column:
 
 def clip(text: Column, limit: int = 160) -> Column:
     """Collapsed text of at most `limit` characters; a longer one ends in dots within the limit."""
-    flat = collapse(text)
-    return F.when(F.char_length(flat) > limit, F.concat(F.substring(flat, 1, limit - 3), F.lit("..."))).otherwise(flat)
+    return let(collapse(text), lambda flat: F.when(F.char_length(flat) > limit, F.concat(F.substring(flat, 1, limit - 3), F.lit("..."))).otherwise(flat))
 
 
 def _any(text: Column, parts: tuple[str, ...], test: Callable[[Column, Column], Column]) -> Column:

@@ -37,7 +37,9 @@ def slots(spark: SparkSession, sf_dir: str, kind: str = "num") -> DataFrame:
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumn("example_id", F.col("l_orderkey").cast("string"))
     columns = [c.strip() for c in ORDER.split(",")]
     priciest = F.struct(F.col("l_extendedprice").alias("p"), *[F.col(c) for c in columns], F.expr(GOLD[kind]).alias("gold"))
-    rows = lines.withColumns({"slot": F.row_number().over(Window.partitionBy("example_id").orderBy(*columns)) - 1, "gold_answer": F.max(priciest).over(Window.partitionBy("example_id"))["gold"]})
+    ordered = Window.partitionBy("example_id").orderBy(*columns)  # one window for both, so each example's rows are held once
+    whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = lines.withColumns({"slot": F.row_number().over(ordered) - 1, "gold_answer": F.max(priciest).over(whole)["gold"]})
     return rows.select(
         "example_id",
         "slot",
