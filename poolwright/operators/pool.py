@@ -59,20 +59,28 @@ def family_hygiene(pools: DataFrame, rewrite: str = "canonical_answerline", dedu
     ).drop("_made", "_valid", "_kept")
 
 
-def merge_anchor(base: DataFrame, anchor: DataFrame, aux: DataFrame, most: int = 8, protect: int = 1, insertions: int = 3, profile: str = "mode_aware", texts: DataFrame | None = None) -> DataFrame:
+def merge_anchor(base: DataFrame | int, anchor: DataFrame, aux: DataFrame, most: int = 8, protect: int = 1, insertions: int = 3, profile: str = "mode_aware", texts: DataFrame | None = None, keys: str | None = None) -> DataFrame:
     """Anchor pools enriched from aux pools.
 
     Aux candidates with keys of their own fill the anchor up to `most`; what is left of `insertions` then overwrites, from
     the last slot to the first unprotected one, slots whose key the base pool has, slots just filled among them. Pools are
-    joined by example_id; the anchor's mode holds. Adds appended and replaced. `texts`: rows (answer_mode, c) with all modes and
-    candidates, if some are cheaper to make."""
-    side = lambda d, n: d.select("example_id", F.coalesce("candidates", F.array().cast("array<string>")).alias(n))
-    j = anchor.withColumn("candidates", F.slice("candidates", 1, most)).join(side(base, "_base"), "example_id").join(side(aux, "_aux"), "example_id")
-    # candidates of all three pools take their key along; where each pool ends is told by sizes
-    j = j.withColumn("_all", F.concat("candidates", "_base", "_aux"))
-    j = with_array_facts(j, "_all", ["answer_mode"], lambda c: {"k": key(c, F.col("answer_mode"), profile)}, texts, "_keyed")
-    part = lambda start, n: F.slice("_keyed", start + 1, n)
-    j = j.withColumns({"_a": part(F.lit(0), F.size("candidates")), "_bk": F.transform(part(F.size("candidates"), F.size("_base")), lambda x: x["k"]), "_x": part(F.size("candidates") + F.size("_base"), F.size("_aux"))})
+    joined by example_id; the anchor's mode holds. Adds appended and replaced. `base` may be a number: the base pools are then the
+    anchor's own first candidates, as many as that, and take no join. `texts`: rows (answer_mode, c) with all modes and
+    candidates, if some are cheaper to make. `keys`: the column in which all pools hold the keys of their candidates under
+    `profile` and the anchor's mode, if they have them already; nothing is taken apart by candidate then."""
+    zipped = F.transform("candidates", lambda c, i: F.struct(c.alias("c"), F.get(keys, i).alias("k"))) if keys else None
+    own = F.coalesce(zipped, F.array().cast("array<struct<c:string,k:string>>")) if keys else F.coalesce("candidates", F.array().cast("array<string>"))
+    side = lambda d, n: d.select("example_id", own.alias(n))
+    j = anchor.withColumn("_base", F.slice(own, 1, base)) if isinstance(base, int) else anchor.join(side(base, "_base"), "example_id")
+    if keys:
+        j = j.join(side(aux, "_x"), "example_id").withColumns({"_a": F.slice(zipped, 1, most), "_bk": F.transform("_base", lambda x: x["k"]), "candidates": F.slice("candidates", 1, most)})
+    else:
+        j = j.withColumn("candidates", F.slice("candidates", 1, most)).join(side(aux, "_aux"), "example_id")
+        # candidates of all three pools take their key along; where each pool ends is told by sizes
+        j = j.withColumn("_all", F.concat("candidates", "_base", "_aux"))
+        j = with_array_facts(j, "_all", ["answer_mode"], lambda c: {"k": key(c, F.col("answer_mode"), profile)}, texts, "_keyed")
+        part = lambda start, n: F.slice("_keyed", start + 1, n)
+        j = j.withColumns({"_a": part(F.lit(0), F.size("candidates")), "_bk": F.transform(part(F.size("candidates"), F.size("_base")), lambda x: x["k"]), "_x": part(F.size("candidates") + F.size("_base"), F.size("_aux"))})
     held = F.transform("_a", lambda x: x["k"])
     j = j.withColumn("_new", keep_first(let(held, lambda h: F.filter("_x", lambda x: ~F.array_contains(h, x["k"]))), lambda x: x["k"]))
     j = j.withColumn("appended", F.least(F.lit(insertions), F.lit(most) - F.size("candidates"), F.size("_new")))
@@ -81,7 +89,7 @@ def merge_anchor(base: DataFrame, anchor: DataFrame, aux: DataFrame, most: int =
     j = j.withColumn("_slots", F.reverse(slots)).withColumn("_left", F.slice("_new", F.col("appended") + 1, F.greatest(F.lit(insertions) - F.col("appended"), F.lit(0))))
     put = lambda x, i: F.coalesce(F.get("_left", F.nullif(F.array_position("_slots", i), F.lit(0)).cast("int") - 1)["c"], x["c"])
     j = j.withColumns({"replaced": F.least(F.size("_slots"), F.size("_left")), "candidates": F.transform("_m", put)})
-    return j.drop("_base", "_aux", "_all", "_keyed", "_a", "_bk", "_x", "_new", "_m", "_slots", "_left")
+    return j.drop("_base", "_aux", "_all", "_keyed", "_a", "_bk", "_x", "_new", "_m", "_slots", "_left", *([keys] if keys else []))
 
 
 # --- completion merge: which slots make room ---------------------------------------------------------------------------

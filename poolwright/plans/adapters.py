@@ -52,11 +52,12 @@ def slots(spark: SparkSession, sf_dir: str, kind: str = "num") -> DataFrame:
     )
 
 
-def pool(rows: DataFrame) -> DataFrame:
-    """Slots as one row for each example with the ordered arrays candidates and scores."""
-    item = F.struct("slot", "candidate", "margin", "base_margin")
+def pool(rows: DataFrame, *more: str) -> DataFrame:
+    """Slots as one row for each example with the ordered arrays candidates and scores; each of the columns `more` becomes an
+    array in the same order."""
+    item = F.struct("slot", "candidate", "margin", "base_margin", *more)
     made = rows.groupBy("example_id", "problem", "gold_answer", "answer_mode").agg(F.array_sort(F.collect_list(item)).alias("s"))
-    return made.select("example_id", "problem", "gold_answer", "answer_mode", F.transform("s", lambda x: x["candidate"]).alias("candidates"), F.transform("s", lambda x: x["margin"]).alias("margins"), F.transform("s", lambda x: x["base_margin"]).alias("base_margins"))
+    return made.select("example_id", "problem", "gold_answer", "answer_mode", F.col("s.candidate").alias("candidates"), F.col("s.margin").alias("margins"), F.col("s.base_margin").alias("base_margins"), *[F.col(f"s.{m}").alias(m) for m in more])
 
 
 def slots_sql(kind: str = "num") -> str:

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from poolwright.functions import answers as A
 from poolwright.operators import joins as J
 from poolwright.operators import ordered as O
 from poolwright.operators import pool as C
@@ -93,3 +94,16 @@ def test_bucket_sample_and_positions(spark):
     rows = spark.range(1000).select(F.col("id").cast("string").alias("example_id"), (F.col("id") % 3 == 0).alias("b"), "id")
     got = {(r.b, r.id) for r in O.bucket_sample(rows, "b", 2, "id").collect()}
     assert got == {(True, 0), (True, 3), (False, 1), (False, 2)}
+
+
+def test_merge_anchor_with_keys_at_hand(spark):
+    """Pools that hold their keys, and base pools that are the anchor's first candidates, give the same without taking pools
+    apart or joining the anchor with itself."""
+    pools = [["1", "2", "3"], ["Final answer: 1", "1", " 2"], ["x"], [], ["7", None]]
+    of = lambda ps: spark.createDataFrame([(str(i), "p", "numeric", p) for i, p in enumerate(ps)], "example_id string, problem string, answer_mode string, candidates array<string>")
+    anchor, aux = of(pools), of([["3", "8", "9", "10", "8"], ["2.0", "so 5"], None, ["4"], ["6"]])
+    keyed = lambda d: d.withColumn("k", F.transform("candidates", lambda c: A.key(c, F.col("answer_mode"))))
+    want = C.merge_anchor(anchor.withColumn("candidates", F.slice("candidates", 1, 2)), anchor, aux, most=4)
+    rows = lambda d: sorted(map(repr, d.select("example_id", "candidates", "appended", "replaced").collect()))
+    got = C.merge_anchor(2, keyed(anchor), keyed(aux), most=4, keys="k")
+    assert rows(got) == rows(want) == rows(C.merge_anchor(2, anchor, aux, most=4)) and got.columns == want.columns
