@@ -23,12 +23,14 @@ def share(flag: Column) -> Column:
     return F.coalesce(F.avg(flag.cast("int")), F.lit(0.0))
 
 
-def flags(slots: DataFrame) -> DataFrame:
+def flags(slots: DataFrame, margins: bool = False) -> DataFrame:
     """One row for each example from slot rows: size, and whether first, base, verifier and any candidate are right. Argmax
-    ties go to the earlier slot."""
+    ties go to the earlier slot. With `margins` also top_margin and right_margin, the highest of all and of right candidates."""
     judged = with_match(slots)
     best = lambda m: F.max_by(F.struct("ok", "candidate", "slot"), F.struct(F.coalesce(F.col(m), F.lit(float("-inf"))), -F.col("slot")))
+    more = [F.max("margin").alias("top_margin"), F.max(F.when(F.col("ok"), F.col("margin"))).alias("right_margin")] if margins else []
     out = judged.groupBy("example_id").agg(
+        *more,
         F.count("*").alias("n_candidates"),
         F.min_by(F.struct("ok", "candidate"), "slot").alias("f"),
         best("base_margin").alias("b"),
@@ -43,6 +45,7 @@ def flags(slots: DataFrame) -> DataFrame:
         "example_id", "problem", "gold_answer", "answer_mode", "n_candidates", "oracle", "first_correct_position",
         F.col("f.ok").alias("first_ok"), F.col("b.ok").alias("base_ok"), F.col("v.ok").alias("verifier_ok"),
         F.col("f.candidate").alias("first_text"), F.col("b.candidate").alias("base_text"), F.col("v.candidate").alias("verifier_text"), F.col("v.slot").alias("verifier_slot"), F.col("b.slot").alias("base_slot"),
+        *(["top_margin", "right_margin"] if margins else []),
     )
 
 
@@ -240,11 +243,11 @@ def external_buckets(f: DataFrame) -> DataFrame:
     return f.groupBy(outcome.alias("outcome"), wrong_form(loser).alias("form")).agg(F.count("*").alias("n"))
 
 
-def persistent_miss(slots: DataFrame, f: DataFrame) -> DataFrame:
-    """Hits that the verifier misses: by the form of its choice and by how far the best right candidate's margin lies below."""
-    per = with_match(slots).groupBy("example_id").agg(F.max("margin").alias("top"), F.max(F.when(F.col("ok"), F.col("margin"))).alias("right"))
-    miss = f.where("oracle and not verifier_ok").join(per, "example_id")
-    gap = F.col("top") - F.col("right")
+def persistent_miss(f: DataFrame) -> DataFrame:
+    """Hits that the verifier misses: by the form of its choice and by how far the best right candidate's margin lies below.
+    `f`: flags() with margins, so that pools are gone through once."""
+    miss = f.where("oracle and not verifier_ok")
+    gap = F.col("top_margin") - F.col("right_margin")
     bucket = F.when(gap.isNull(), "unscored").when(gap <= 100, "close").when(gap <= 5000, "middle").otherwise("far")
     return miss.groupBy(wrong_form(F.col("verifier_text")).alias("form"), bucket.alias("gap")).agg(F.count("*").alias("n"))
 

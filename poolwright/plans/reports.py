@@ -107,7 +107,7 @@ def external_audit(f: DataFrame, shown: int = 3) -> dict:
 
 
 def persistent_miss_audit(slots: DataFrame) -> dict:
-    return {"buckets": table(M.persistent_miss(slots, M.flags(slots)), "form", "gap")}
+    return {"buckets": table(M.persistent_miss(M.flags(slots, margins=True)), "form", "gap")}
 
 
 def slice_calibration(pools: DataFrame, rules: list[str], in_slice: str) -> DataFrame:

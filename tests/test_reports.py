@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from poolwright.functions.stats import paired_counts, paired_rates
 from poolwright.operators import metrics as M
 from poolwright.plans import reports as R
@@ -100,3 +101,8 @@ def test_merges_of_metrics(spark, few):
     assert one_row(M.best_row(spark.createDataFrame([(1, 0.5), (2, 0.5), (3, None)], "id int, m double"), "m", "id")) == {"id": 1, "m": 0.5}
     p = pool(few).withColumn("candidates", F.slice("candidates", 1, 2))
     assert p.count() == few.select("example_id").distinct().count()
+
+
+def test_persistent_misses_go_through_pools_once(spark, sf):
+    plan = entry.queries()["persistent_miss"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert sum(line.lstrip(" :+-").startswith("Window ") for line in plan.splitlines()) == 1
