@@ -84,6 +84,12 @@ def repair_topk(slots: DataFrame, k: int, protect: int = 1) -> DataFrame:
     return slots.where(F.col("slot") >= protect).withColumn("rank", F.row_number().over(_per(*order))).where(F.col("rank") <= k)
 
 
+def repair_targets(slots: DataFrame, k: int, protect: int = 1) -> DataFrame:
+    """All slots with `target`: whether repair_topk() has them."""
+    need = [F.desc("invalid"), F.desc("leak"), F.desc("scaffold"), F.when(F.col("quality_label") == "fragment", 0).when(F.col("quality_label") == "partial_solution", 1).otherwise(2), F.coalesce("margin", F.lit(float("-inf"))), F.col("slot")]
+    return slots.withColumn("_rank", F.row_number().over(_per(F.col("slot") < protect, *need))).withColumn("target", (F.col("slot") >= protect) & (F.col("_rank") <= k)).drop("_rank")
+
+
 def beam(rows: DataFrame, width: int, by: str = "example_id") -> DataFrame:
     """The `width` best distinct texts of each group: by score, then text."""
     once = rows.groupBy(by, "text").agg(F.max("score").alias("score"))
