@@ -10,7 +10,7 @@ from poolwright.functions.answers import answers_match, extract_choice, extract_
 from poolwright.functions.hygiene import instruction_leak, malformed_wrapper, normalize_candidate, rewrite_choice, scaffold_residue
 from poolwright.functions.motif import motif, quality, source_bucket
 from poolwright.functions.text import let, strip, token_count
-from poolwright.operators.texts import with_array_facts, with_facts, with_match
+from poolwright.operators.texts import with_array_facts, with_facts, with_made, with_match
 
 _NONE = F.array
 
@@ -35,6 +35,13 @@ def normalize_pool(pools: DataFrame, style: str = "canonical_answerline") -> Dat
     return done.withColumns({"candidates": F.transform("_n", lambda x: x["text"]), "actions": F.transform("_n", lambda x: x["action"])}).drop("_n")
 
 
+def normalize_slots(slots: DataFrame, style: str = "canonical_answerline", texts: DataFrame | None = None) -> DataFrame:
+    """As normalize_pool() for rows (answer_mode, candidate): `candidate` anew, and `action`. Each distinct text is normalised once
+    where these are few. `texts`: rows (answer_mode, candidate) with all of them, if some are cheaper to make."""
+    done = with_made(slots, ["answer_mode", "candidate"], lambda d: d.withColumn("_n", normalize_candidate(F.col("candidate"), F.col("answer_mode"), style)), ["_n"], texts)
+    return done.withColumns({"candidate": F.col("_n.text"), "action": F.col("_n.action")}).drop("_n")
+
+
 def keep_first(rows: Column, k) -> Column:
     """Elements whose key no earlier element has."""
     return let(rows, lambda a: let(F.transform(a, k), lambda ks: F.filter(a, lambda x, i: F.array_position(ks, F.get(ks, i)) == i + 1)))
